@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, simhash
 
 _QUERIES = {
     "op1_mix_sources": (mixing.query, mixing.SQL),
+    "op3_simhash": (simhash.query, None),
 }
 
 
