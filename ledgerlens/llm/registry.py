@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import media, mixing, simhash, urls
 
 _QUERIES = {
     "op1_mix_sources": (mixing.query, mixing.SQL),
     "op3_simhash": (simhash.query, None),
+    "op4_media_columns": (media.query, None),
+    "op5_url_filter": (urls.query, None),
 }
 
 
