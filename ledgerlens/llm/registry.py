@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, mixing, simhash, urls
+from . import media, mixing, simhash, tokens, urls
 
 _QUERIES = {
     "op1_mix_sources": (mixing.query, mixing.SQL),
     "op3_simhash": (simhash.query, None),
     "op4_media_columns": (media.query, None),
     "op5_url_filter": (urls.query, None),
+    "op6_token_files": (tokens.query, None),
 }
 
 
