@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, simhash, tokens, urls
+from . import media, mixing, neighbours, pieces, simhash, tokens, urls
 
 _QUERIES = {
     "op1_mix_sources": (mixing.query, mixing.SQL),
@@ -10,6 +10,8 @@ _QUERIES = {
     "op4_media_columns": (media.query, None),
     "op5_url_filter": (urls.query, None),
     "op6_token_files": (tokens.query, None),
+    "op7_pieces": (pieces.query, None),
+    "op10_nearest": (neighbours.query, None),
 }
 
 
