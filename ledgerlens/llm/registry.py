@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, neighbours, pieces, simhash, tokens, urls
+from . import lines, media, mixing, neighbours, pieces, simhash, tokens, urls
 
 _QUERIES = {
     "op1_mix_sources": (mixing.query, mixing.SQL),
@@ -11,6 +11,7 @@ _QUERIES = {
     "op5_url_filter": (urls.query, None),
     "op6_token_files": (tokens.query, None),
     "op7_pieces": (pieces.query, None),
+    "op8_line_dedup": (lines.query, None),
     "op10_nearest": (neighbours.query, None),
 }
 
