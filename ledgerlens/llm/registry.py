@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import lines, media, mixing, neighbours, pieces, simhash, tokens, urls
+from . import lines, media, mixing, neighbours, pieces, quality, simhash, tokens, urls
 
 _QUERIES = {
     "op1_mix_sources": (mixing.query, mixing.SQL),
+    "op2_quality": (quality.query, None),
     "op3_simhash": (simhash.query, None),
     "op4_media_columns": (media.query, None),
     "op5_url_filter": (urls.query, None),
