@@ -1,0 +1,64 @@
+"""The corpus pipeline: documents to token ids in five stages, each written as Parquet and read by the next.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept;
+all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlens.llm import lines, mixing, pieces, quality, simhash
+from ledgerlens.llm.common import new_path
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that reach the top grade, by a model fitted on those of them that carry marks; the others go."""
+    model = quality.fit(docs, quality.grades(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality.select(docs, model)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines that an earlier one of the corpus has within one edit."""
+    return lines.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, by five-word shingles at a similarity of 0.8."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it: not at all, once or twice."""
+    return mixing.mix(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids_crc32, decoded_ok and ids of each document of the mix."""
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"))
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("line dedup", repeated_lines),
+    ("SimHash near-dedup", near_copies),
+    ("mixing sources", source_mix),
+    ("SentencePiece encoding", token_ids),
+]
+
+#: The model, the fingerprints and the segmentation are beyond SQL; tests hold each stage against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage's result is a table in the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = new_path(spark, "stage-" + name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import lines, media, mixing, neighbours, pieces, quality, simhash, tokens, urls
+import corpus_pipeline
+
+from . import licences, lines, media, mixing, neighbours, pieces, quality, simhash, tokens, urls
 
 _QUERIES = {
     "op1_mix_sources": (mixing.query, mixing.SQL),
@@ -13,7 +15,9 @@ _QUERIES = {
     "op6_token_files": (tokens.query, None),
     "op7_pieces": (pieces.query, None),
     "op8_line_dedup": (lines.query, None),
+    "op9_licences": (licences.query, licences.SQL),
     "op10_nearest": (neighbours.query, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
 

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved
+from .common import components, saved, small
 
 #: Fingerprints of a cell that one task holds; a larger cell is split into blocks.
 TILE = 4096
-#: Words of at least this many 64-bit steps in the mixing of further fingerprint words (fixed odd constants).
+#: Odd constants of the mixing that makes further fingerprint words of a hash (fixed values).
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -252,8 +252,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs whose key is the smallest of its near-duplicate group, one row of each; columns as in docs."""
-    got = near_duplicates(docs, text, key, **how)
-    keep = got.groupBy(F.col("component").alias("_c")).agg(F.min(key).alias("_low"))
-    first = docs.join(keep, docs[key].eqNullSafe(keep["_low"]), "left_semi")
-    return first.dropDuplicates([key])
+    """One row of each near-duplicate group of docs, that of the smallest key; columns as in docs.
+
+    Rows of one key are one document. A row without a key goes by its text's hash. Only
+    the keys that go meet the documents, by broadcast while they are few.
+    """
+    name = F.coalesce(F.col(key), F.xxhash64(text))
+    got = saved(near_duplicates(docs.select(name.alias("_name"), F.col(text).alias("text")), "text", "_name", **how), "near")
+    gone = got.where("_name <> component").select(F.col("_name").alias("_gone")).distinct()
+    out = docs.join(small(gone), name == F.col("_gone"), "left_anti")
+    again = got.groupBy("_name").count().where("count > 1").limit(1).count()
+    return out.withColumn("_name", name).dropDuplicates(["_name"]).drop("_name") if again else out

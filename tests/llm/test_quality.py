@@ -7,7 +7,7 @@ from ledgerlens.llm import quality
 
 def sample(n, seed):
     rng = random.Random(seed)
-    words = [f"w{i}" for i in range(300)]
+    words = [f"w{i}" for i in range(60)]
     texts, grades = [], []
     for _ in range(n):
         t, g = [rng.choice(words) for _ in range(rng.choice([5, 60, 300]))], rng.choice([0, 1, 2, 2])
@@ -21,7 +21,7 @@ def sample(n, seed):
 
 
 def test_held_out_grades_and_order():
-    model = quality.Ordinal.fit(*sample(600, 1), 3)
+    model = quality.Ordinal.fit(*sample(1500, 1), 3)
     texts, grades = sample(200, 2)
     p = model.tail(np.array([model.score(t) for t in texts]))
     assert np.all(np.diff(model.thresholds) > 0) and np.all(p[:, 0] >= p[:, 1])
