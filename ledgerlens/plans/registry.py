@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from . import analyse, prepare, series
+
+ALL = prepare.QUERIES | analyse.QUERIES | series.QUERIES
+NO_SQL = analyse.NO_SQL | series.NO_SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(ALL)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q.sql for k, q in ALL.items() if k not in NO_SQL}
