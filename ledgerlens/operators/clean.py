@@ -35,13 +35,13 @@ def types(df: DataFrame) -> DataFrame:
 
 
 def introduced_nulls(before: DataFrame) -> DataFrame:
-    """(column, introduced): cells of each column that ``types`` turns into nulls."""
+    """(column_name, introduced): cells of each column that ``types`` turns into nulls."""
     have = dict(before.dtypes)
     cast = [c for c, k in TYPES.items() if c in have and have[c] != k]
     if not cast:
-        return before.sparkSession.createDataFrame([], "column string, introduced long")
+        return before.sparkSession.createDataFrame([], "column_name string, introduced long")
     counts = before.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(TYPES[c]).isNull()).alias(c) for c in cast])
-    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("introduced")) for c in cast])).alias("x")).select("x.*")
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("introduced")) for c in cast])).alias("x")).select("x.*")
 
 
 def drop_unfinished_month(df: DataFrame, days: int = 5) -> DataFrame:

@@ -12,14 +12,14 @@ NOT_MEASURES = {"hour", "vehicle_index", "driver_index", "location_index"}
 
 def _long(one: DataFrame, rows: dict[str, dict[str, str]]) -> DataFrame:
     """One wide row as a row for each column: rows[column][field] is the wide name."""
-    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"`{w}`").alias(n) for n, w in fields.items()]) for c, fields in rows.items()])).alias("x")).select("x.*")
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"`{w}`").alias(n) for n, w in fields.items()]) for c, fields in rows.items()])).alias("x")).select("x.*")
 
 
 def missing(df: DataFrame) -> DataFrame:
-    """(column, missing, fraction) of the columns with nulls, in one pass."""
+    """(column_name, missing, fraction) of the columns with nulls, in one pass."""
     one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(f"_{c}") for c in df.columns])
     x = _long(one, {c: {"missing": f"_{c}", "n": "_n"} for c in df.columns})
-    return x.where("missing > 0").select("column", "missing", F.try_divide("missing", "n").alias("fraction"))
+    return x.where("missing > 0").select("column_name", "missing", F.try_divide("missing", "n").alias("fraction"))
 
 
 def duplicates(df: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def types(df: DataFrame) -> dict[str, str]:
 
 
 def outliers(df: DataFrame) -> DataFrame:
-    """(column, q1, q3, low, high, outliers, percent) of numeric columns with values outside max(q1 - 1.5 iqr, 0) .. q3 + 1.5 iqr.
+    """(column_name, q1, q3, low, high, outliers, percent) of numeric columns with values outside max(q1 - 1.5 iqr, 0) .. q3 + 1.5 iqr.
 
     Two passes: all quartiles, then all counts with the quartiles as one broadcast row.
     """
@@ -50,7 +50,7 @@ def outliers(df: DataFrame) -> DataFrame:
         aggs += [F.count_if((b > a) & ((F.col(c) < low) | (F.col(c) > high))).alias(f"_n_{c}"), F.first(a).alias(f"_1_{c}"), F.first(b).alias(f"_3_{c}"), F.first(low).alias(f"_l_{c}"), F.first(high).alias(f"_h_{c}")]
     one = x.agg(F.count(F.lit(1)).alias("_rows"), *aggs)
     out = _long(one, {c: {"q1": f"_1_{c}", "q3": f"_3_{c}", "low": f"_l_{c}", "high": f"_h_{c}", "outliers": f"_n_{c}", "n": "_rows"} for c in cols})
-    return out.where("outliers > 0").select("column", "q1", "q3", "low", "high", "outliers", (F.col("outliers") * 100.0 / F.col("n")).alias("percent"))
+    return out.where("outliers > 0").select("column_name", "q1", "q3", "low", "high", "outliers", (F.col("outliers") * 100.0 / F.col("n")).alias("percent"))
 
 
 def validity(df: DataFrame, now: datetime) -> DataFrame:

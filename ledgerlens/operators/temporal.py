@@ -196,8 +196,9 @@ def score(df: DataFrame, peers: DataFrame, config: Config = Config(), points: Da
     ``points`` is (series, change_points) from the segmentation, if wanted; without it that term is 0.
     """
     t, need = config.temporal, config.data_requirements
-    m = monthly(df, need.min_temporal_transactions, need.min_months)
-    s, base = long(m), baselines(peers, config)
+    # two small tables that every detector reads: kept, so that transactions are read once for each
+    m = monthly(df, need.min_temporal_transactions, need.min_months).persist()
+    s, base = long(m), baselines(peers, config).persist()
     count = lambda x, name: x.groupBy(*KEY).agg(F.count(F.lit(1)).alias(name))
     parts = [
         count(mann_kendall(s).where("trend = 'increasing'"), "trends"), count(cusum(s, t.cusum_k, t.cusum_h), "changes"), count(spikes(s, base, t, need.min_months), "spikes"), count(escalations(s, t), "escalations"),

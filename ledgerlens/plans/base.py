@@ -35,7 +35,7 @@ f1 as (
          cast(dayofmonth(transaction_timestamp) as integer) as day_of_month, cast(hour(transaction_timestamp) as integer) as hour, cast(minute(transaction_timestamp) as integer) as minute,
          isodow(transaction_timestamp) >= 6 as is_weekend, lower(regexp_replace(coalesce(product_category, 'unknown'), '^\\s+|\\s+$', '', 'g')) as product_clean,
          transaction_amount / nullif(fuel_volume_gallons, 0) as cost_per_gallon, distance_miles / nullif(fuel_volume_gallons, 0) as mpg,
-         least(idle_duration_minutes / nullif(engine_runtime_minutes, 0) * 100, 100) as idle_percentage, least(driving_duration_minutes / nullif(engine_runtime_minutes, 0) * 100, 100) as driving_percentage,
+         case when engine_runtime_minutes <> 0 then least(idle_duration_minutes / engine_runtime_minutes * 100, 100) end as idle_percentage, case when engine_runtime_minutes <> 0 then least(driving_duration_minutes / engine_runtime_minutes * 100, 100) end as driving_percentage,
          case when transaction_amount < 50 then 'Small' when transaction_amount <= 150 then 'Medium' when transaction_amount > 150 then 'Large' else 'Unknown' end as transaction_size_category,
          location_index = 4 as is_target, case when location_index = 4 then 'Target' else 'Other Branches' end as branch_group
   from clean),

@@ -60,8 +60,8 @@ QUERIES = {
         """select a + b as initial, b as duplicates, a - c as incomplete, c as final from (select (select count(*) from canon) as a, (select count(*) from canon where odometer_miles % 7 = 0) as b, (select count(*) from clean) as c)"""),
     "clean_types": Query("bad_amounts bad_times amount_sum", lambda s, d: clean.types(_texts(s, d)).agg(F.count_if(F.col("transaction_amount").isNull()).alias("bad_amounts"), F.count_if(F.col("transaction_timestamp").isNull()).alias("bad_times"), F.sum(F.col("transaction_amount").cast("long")).alias("amount_sum")),
         "select count(*) filter (where odometer_miles % 101 = 0) as bad_amounts, count(*) filter (where odometer_miles % 103 = 0) as bad_times, cast(sum(case when odometer_miles % 101 <> 0 then odometer_miles end) as bigint) as amount_sum from canon", _PLAIN, base=False),
-    "clean_introduced_nulls": Query("column introduced", lambda s, d: clean.introduced_nulls(_texts(s, d)),
-        """select 'transaction_amount' as "column", count(*) filter (where odometer_miles % 101 = 0) as introduced from canon union all select 'transaction_timestamp', count(*) filter (where odometer_miles % 103 = 0) from canon""", _PLAIN, base=False),
+    "clean_introduced_nulls": Query("column_name introduced", lambda s, d: clean.introduced_nulls(_texts(s, d)),
+        """select 'transaction_amount' as column_name, count(*) filter (where odometer_miles % 101 = 0) as introduced from canon union all select 'transaction_timestamp', count(*) filter (where odometer_miles % 103 = 0) from canon""", _PLAIN, base=False),
     "clean_trailing_month": Query("month n", lambda s, d: cleaned(s, d).groupBy(F.date_format("transaction_timestamp", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n")),
         "select strftime(transaction_timestamp, '%Y-%m') as month, count(*) as n from clean group by 1"),
     "clean_absolute": Query("distance:2 volume:2", lambda s, d: clean.absolute(raw(s, d).withColumns({"distance_miles": -F.col("distance_miles"), "fuel_volume_gallons": -F.col("fuel_volume_gallons")})).agg(F.sum("distance_miles").alias("distance"), F.sum("fuel_volume_gallons").alias("volume")),
@@ -84,11 +84,11 @@ QUERIES = {
         """select case when year(a) = year(b) then cast(year(b) as varchar) || ' YTD (' || strftime(a, '%b') || '-' || strftime(b, '%b') || ')' else '(' || strftime(a, '%b %Y') || '-' || strftime(b, '%b %Y') || ')' end as period from (select min(transaction_timestamp) as a, max(transaction_timestamp) as b from px where in_period)"""),
     "split_scope": Query("peer_locations first_time last_time row_count", lambda s, d: split.scope(transactions(s, d)),
         "select count(distinct case when not is_target then location_index end) as peer_locations, min(transaction_timestamp) as first_time, max(transaction_timestamp) as last_time, count(*) as row_count from tx"),
-    "quality_missing": Query("column missing fraction:8", lambda s, d: quality.missing(cleaned(s, d)),
-        """select * from (select unnest(['driver_name', 'distance_miles']) as "column", unnest([count(*) - count(driver_name), count(*) - count(distance_miles)]) as missing, unnest([1 - count(driver_name) / count(*), 1 - count(distance_miles) / count(*)]) as fraction from clean) where missing > 0"""),
+    "quality_missing": Query("column_name missing fraction:8", lambda s, d: quality.missing(cleaned(s, d)),
+        """select * from (select unnest(['driver_name', 'distance_miles']) as column_name, unnest([count(*) - count(driver_name), count(*) - count(distance_miles)]) as missing, unnest([1 - count(driver_name) / count(*), 1 - count(distance_miles) / count(*)]) as fraction from clean) where missing > 0"""),
     "quality_duplicates": Query("duplicates", lambda s, d: quality.duplicates(_copies(s, d)), "select count(*) filter (where odometer_miles % 7 = 0) as duplicates from canon", _PLAIN, base=False),
-    "quality_outliers": Query("column q1:4 q3:4 low:4 high:4 outliers percent:6", lambda s, d: quality.outliers(transactions(s, d).select("transaction_amount", "fuel_volume_gallons", "cost_per_gallon", "mpg", "odometer_miles", "hour", "location_index")),
-        " union all ".join(f"""select '{c}' as "column", q1, q3, low, high, outliers, outliers * 100.0e0 / n as percent from (
+    "quality_outliers": Query("column_name q1:4 q3:4 low:4 high:4 outliers percent:6", lambda s, d: quality.outliers(transactions(s, d).select("transaction_amount", "fuel_volume_gallons", "cost_per_gallon", "mpg", "odometer_miles", "hour", "location_index")),
+        " union all ".join(f"""select '{c}' as column_name, q1, q3, low, high, outliers, outliers * 100.0e0 / n as percent from (
             select any_value(q1) as q1, any_value(q3) as q3, any_value(greatest(q1 - 1.5e0 * (q3 - q1), 0)) as low, any_value(q3 + 1.5e0 * (q3 - q1)) as high, count(*) as n,
                    count(*) filter (where q3 > q1 and ({c} < greatest(q1 - 1.5e0 * (q3 - q1), 0) or {c} > q3 + 1.5e0 * (q3 - q1))) as outliers
             from tx, (select quantile_cont(cast({c} as double), 0.25) as q1, quantile_cont(cast({c} as double), 0.75) as q3 from tx)) where outliers > 0""" for c in ("transaction_amount", "fuel_volume_gallons", "cost_per_gallon", "mpg", "odometer_miles"))),

@@ -30,7 +30,7 @@ CTE = ", ".join([
     f"lg as (select *, lag(value) over ({_S} order by month) as a, row_number() over ({_S} order by month) as i, count(*) over ({_S}) as n, avg(value) over ({_S}) as mean, stddev_samp(value) over ({_S}) as sd from ls)",
     "ch as (select *, case when a is null then null when a = 0 and value = 0 then 0 when a = 0 then value when value = 0 then -a else (value - a) / a end as change from lg)",
     f"""sp as (select entity_type, entity_id, metric, string_agg(month, ',' order by month) as spike_months, max({stats.normal_cdf_sql('z')} * 100) as highest_percentile from (
-       select ch.*, (ch.value - base.mean) / base.std as z from ch join base using (entity_type, metric) where base.std > 0 and n >= 3) where change > 0 and (change > 0.5 or z > 1.645) group by 1, 2, 3)""",
+       select ch.*, (ch.value - base.mean) / base.std as z from ch join base using (entity_type, metric) where base.std > 0 and ch.n >= 3) where change > 0 and (change > 0.5 or z > 1.645) group by 1, 2, 3)""",
     f"""es as (select entity_type, entity_id, metric, max(run) as longest from (select entity_type, entity_id, metric, isl, count(*) as run from (
        select *, sum(case when change > 0 then 0 else 1 end) over ({_S} order by month) as isl from ch where change is not null) where change > 0 group by 1, 2, 3, 4) group by 1, 2, 3 having max(run) >= 3)""",
     f"""ac as (select entity_type, entity_id, metric, n, acf1, case when acf1 > 0.6 then 'HIGH' when acf1 > 0.4 then 'MEDIUM' else 'LOW' end as risk_level from (
@@ -55,9 +55,8 @@ CTE = ", ".join([
 _cnt = lambda t, where, name: f"left join (select entity_type, entity_id, count(*) as {name} from {t} where {where} group by 1, 2) {name}_t using (entity_type, entity_id)"
 
 
-# the score's detectors run over all seven metrics
 def _score_ctes() -> str:
-    return CTE.replace(_long("ls", "mt", temporal.TRACKED), _long("ls", "mt", temporal.METRICS)) + f""",
+    return CTE + f""",
   sc0 as (select la.entity_type, la.entity_id, la.month as latest_month, coalesce(trends, 0) as trends, coalesce(changes, 0) as changes, coalesce(spikes, 0) as spikes, coalesce(escalations, 0) as escalations, coalesce(persistent, 0) as persistent,
        cast(off_hours_concentration as integer) + cast(spike_and_retreat as integer) + cast(escalation_by_halves as integer) as patterns,
        (case when no_eld_rate > 20 then 8 else 0 end) + (case when non_diesel_rate > 15 then 6 else 0 end) + (case when after_hours_rate > 25 then 6 else 0 end) as current
@@ -92,11 +91,11 @@ def _both_scores(s, d):
 
 _HALF = f"select *, i > n // 2 as later from lg where n // 2 >= 3"
 QUERIES = {
-    "series_monthly": Query("entity_type entity_id month datetime_count no_eld_rate:6 non_diesel_rate:6 after_hours_rate:6 cost_mean:4 cost_median:4 cost_sum:2", lambda s, d: temporal.monthly(target(s, d), 20, 3), "select * from mt", CTE),
+    "series_monthly": Query("entity_type entity_id month datetime_count no_eld_rate:6 non_diesel_rate:6 after_hours_rate:6 cost_mean:8 cost_median:8 cost_sum:6", lambda s, d: temporal.monthly(target(s, d), 20, 3), "select * from mt", CTE),
     "series_baselines": Query("entity_type metric n mean:4 std:4 minimum:4 maximum:4 q25:4 median:4 q75:4 q90:4 q95:4 q99:4", lambda s, d: temporal.baselines(peers(s, d)), "select * from base", CTE),
-    "series_percentiles": Query("entity_type entity_id metric month value:4 z:4 percentile:4", lambda s, d: temporal.against_baseline(ser(s, d), temporal.baselines(peers(s, d))),
+    "series_percentiles": Query("entity_type entity_id metric month value:8 z:4 percentile:4", lambda s, d: temporal.against_baseline(ser(s, d), temporal.baselines(peers(s, d))),
         """select *, case when std = 0 then 0 else (value - mean) / std end as z, case when value <= minimum then 0 """ + "".join(f"when value <= {b} then {pa} + coalesce((value - {a}) / nullif({b} - {a}, 0), 0) * {pb - pa} " for (a, pa), (b, pb) in zip([("minimum", 0), ("q25", 25), ("median", 50), ("q75", 75), ("q90", 90), ("q95", 95), ("q99", 99)], [("q25", 25), ("median", 50), ("q75", 75), ("q90", 90), ("q95", 95), ("q99", 99), ("maximum", 100)])) + "else 100 end as percentile from (select ls.*, mean, std, minimum, q25, median, q75, q90, q95, q99, maximum from ls join base using (entity_type, metric))", CTE),
-    "series_changes": Query("entity_type entity_id metric month value:4 change:6", lambda s, d: temporal.changes(ser(s, d)), "select * from ch", CTE),
+    "series_changes": Query("entity_type entity_id metric month value:8 change:6", lambda s, d: temporal.changes(ser(s, d)), "select * from ch", CTE),
     "series_spikes": Query("entity_type entity_id metric spike_months highest_percentile:4", lambda s, d: temporal.spikes(ser(s, d), temporal.baselines(peers(s, d))), "select * from sp", CTE),
     "series_escalations": Query("entity_type entity_id metric longest", lambda s, d: temporal.escalations(ser(s, d)), "select * from es", CTE),
     "series_volatility": Query("entity_type entity_id volatility:5", lambda s, d: temporal.volatility(ser(s, d)), "select entity_type, entity_id, sum(v) as volatility from (select entity_type, entity_id, metric, coalesce(stddev_samp(change) filter (where abs(change) < 5), 0) as v from ch where change is not null group by 1, 2, 3) group by 1, 2", CTE),
