@@ -18,6 +18,7 @@ def distance(a, b):
 
 def brute(rows, threshold, min_chars=20):
     """Texts after dedup, by comparing all lines with all."""
+    rows = list(rows)
     spots = sorted(((k is not None, k or 0, n), line.strip(" \t\r\x0b\x0c")) for k, t in rows if t is not None for n, line in enumerate(t.split("\n")))
     spots = [(at, x) for at, x in spots if len(x) >= min_chars]
     comp = list(range(len(spots)))
