@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from . import stats
+from . import stats, workers
 
 
 def percentile_rank(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -21,7 +21,8 @@ def rank_test(df: DataFrame, value: str, first: str, by: tuple[str, ...] = (), e
     """Mann-Whitney U of the rows where the boolean ``first`` holds against the others, for each group ``by``.
 
     Returns by, n1, n2, u, cliffs_delta, z, p_value (two-sided normal approximation
-    with tie and continuity corrections; null below two values a side). The rows are
+    with tie and continuity corrections; null below two values a side). With ``exact``,
+    a sample of at most 8 without ties gets its p-value by counting arrangements. The rows are
     reduced to (value, count, count) before the running sums, so a task sees one row for each
     different value of a group, not each transaction.
     """
@@ -37,7 +38,11 @@ def rank_test(df: DataFrame, value: str, first: str, by: tuple[str, ...] = (), e
     mean, var = n1 * n2 / 2, n1 * n2 / 12 * ((n + 1) - F.col("_ties") / F.nullif(n * (n - 1), F.lit(0.0)))
     z = F.try_divide(F.greatest(F.abs(F.col("u") - mean) - 0.5, F.lit(0.0)), F.sqrt(var)) * F.when(F.col("u") < mean, -1).otherwise(1)
     g = g.withColumns({"cliffs_delta": F.try_divide(2 * F.col("u"), n1 * n2) - 1, "z": F.when((F.col("n1") >= 2) & (F.col("n2") >= 2), z)})
-    return g.withColumn("p_value", F.expr(stats.two_sided_p_sql("z"))).select(*by, "n1", "n2", "u", "cliffs_delta", "z", "p_value")
+    g = g.withColumn("p_value", F.expr(stats.two_sided_p_sql("z")))
+    if exact:
+        few = (F.least("n1", "n2") <= 8) & (F.col("_ties") == 0) & F.col("z").isNotNull()
+        g = g.withColumn("p_value", F.when(few, workers.exact_u(F.when(few, F.col("u")), F.col("n1"), F.col("n2"))).otherwise(F.col("p_value")))
+    return g.select(*by, "n1", "n2", "u", "cliffs_delta", "z", "p_value")
 
 
 def rank_test_sql(source: str, value: str, first: str, by: str = "") -> str:

@@ -46,6 +46,11 @@ def exact_u_p(u: float, n: int, m: int) -> float:
     return min(1.0, 2 * ways[n, : int(math.floor(low)) + 1].sum() / total)
 
 
+@F.pandas_udf(T.DoubleType())
+def exact_u(u: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(x) else exact_u_p(float(x), int(a), int(b)) for x, a, b in zip(u, n, m)], dtype=float)
+
+
 def bootstrap(values: DataFrame, column: str, resamples: int = 10_000, seed: int = 42, alpha: float = 0.05, statistic: Callable[[np.ndarray], float] = np.mean, limit: int = 1_000_000) -> DataFrame:
     """(low, high) of the percentile interval of a statistic, resampled in parallel over replicates.
 

@@ -45,6 +45,15 @@ def family(df: DataFrame, config: Config = Config()) -> DataFrame:
     return x.withColumn("p_band", F.expr(stats.p_band_sql("p_value")))
 
 
+def executive(df: DataFrame, config: Config = Config()) -> DataFrame:
+    """Significant tests by p: odds ratio, risk difference (notable from 0.05) and, for costs, the probability of superiority."""
+    f = family(df, config).where("rejected")
+    t = proportions(counts(df), config.statistics.alpha).select("metric", "odds_ratio", (F.col("rate_1") - F.col("rate_2")).alias("risk_difference"))
+    x = f.join(F.broadcast(t), "metric", "left")  # a row for each test
+    x = x.withColumns({"notable": F.coalesce(F.abs("risk_difference") >= 0.05, F.lit(False)), "superiority": F.when(F.col("metric") == "Cost Distribution", (F.abs("effect") + 1) / 2)})
+    return x.select("metric", "p_value", "odds_ratio", "risk_difference", "notable", "superiority").orderBy("p_value", "metric")
+
+
 def exposure(df: DataFrame, config: Config = Config()) -> DataFrame:
     """One row (excess, mean_unverified, exposure) if the target's unverified rate is significantly higher; else none."""
     t = proportions(counts(df, {"No ELD Match": FLAGS["No ELD Match"]}), config.statistics.alpha)

@@ -233,5 +233,8 @@ def timeline(changes_found: DataFrame) -> DataFrame:
 
 
 def timeline_summary(t: DataFrame) -> DataFrame:
-    """One row: months, total, clustered (variance of the monthly counts above their mean)."""
-    return t.agg(F.count(F.lit(1)).alias("months"), F.coalesce(F.sum("changes"), F.lit(0)).alias("total"), F.coalesce(F.var_samp("changes") > F.avg("changes"), F.lit(False)).alias("clustered"))
+    """One row: months, total, shares of the first and last third of the months, clustered (variance of the monthly counts above their mean)."""
+    third = F.ntile(3).over(W.orderBy("month"))  # a row for each month
+    t = t.withColumn("_third", third)
+    share = lambda k: F.coalesce(F.try_divide(F.sum(F.when(F.col("_third") == k, F.col("changes"))), F.sum("changes")), F.lit(0.0))
+    return t.agg(share(1).alias("early_share"), share(3).alias("late_share"), F.count(F.lit(1)).alias("months"), F.coalesce(F.sum("changes"), F.lit(0)).alias("total"), F.coalesce(F.var_samp("changes") > F.avg("changes"), F.lit(False)).alias("clustered"))

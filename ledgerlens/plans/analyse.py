@@ -117,6 +117,8 @@ QUERIES = {
     "tests_continuity": Query("metric p_value:6", lambda s, d: compare.counts(period_rows(s, d)).select("metric", F.expr(stats.two_by_two_sql("a", "n1", "b", "n2", continuity=True)["p_value"]).alias("p_value")), f"select metric, {stats.two_by_two_sql('a', 'n1', 'b', 'n2', continuity=True)['p_value']} as p_value from ct", TEST_CTE),
     "tests_family": Query("metric statistic:3 effect:6 p_value:6 q_value:6 rejected p_band", lambda s, d: compare.family(period_rows(s, d)), f"select *, {stats.p_band_sql('p_value')} as p_band from ({ranks.bh_sql(_FAMILY)})", TEST_CTE),
     "tests_significant": Query("metric p_value:6", lambda s, d: compare.family(period_rows(s, d)).where("rejected").orderBy("p_value", "metric").select("metric", "p_value"), f"select metric, p_value from ({ranks.bh_sql(_FAMILY)}) where rejected", TEST_CTE),
+    "summary_executive": Query("metric p_value:6 odds_ratio:5 risk_difference:6 notable superiority:6", lambda s, d: compare.executive(period_rows(s, d)),
+        f"select f.metric, f.p_value, te.odds_ratio, te.rate_1 - te.rate_2 as risk_difference, coalesce(abs(te.rate_1 - te.rate_2) >= 0.05e0, false) as notable, case when f.metric = 'Cost Distribution' then (abs(f.effect) + 1) / 2 end as superiority from ({ranks.bh_sql(_FAMILY)}) f left join te using (metric) where f.rejected", TEST_CTE),
     "tests_cost": Query("n1 n2 u:1 cliffs_delta:6 z:5 p_value:6 mean_target:4 mean_peer:4 p25_target:4 median_target:4 p75_target:4 p25_peer:4 median_peer:4 p75_peer:4 total_target:2 total_peer:2 mean_difference:4 percent_difference:4 direction magnitude", lambda s, d: compare.cost(period_rows(s, d)),
         f"""select u.*, q.*, mean_target - mean_peer as mean_difference, (mean_target - mean_peer) / mean_peer * 100 as percent_difference, case when abs(cliffs_delta) < 0.147 then 'negligible' when cliffs_delta > 0 then 'higher' else 'lower' end as direction,
             {stats.band_sql('cliffs_delta', (0.147, 0.33, 0.474), stats.CLIFF_NAMES)} as magnitude from ({_U}) u, (select """ + ", ".join(f"avg(transaction_amount) filter (where {c}) as mean_{n}, sum(transaction_amount) filter (where {c}) as total_{n}, quantile_cont(transaction_amount, 0.25) filter (where {c}) as p25_{n}, quantile_cont(transaction_amount, 0.5) filter (where {c}) as median_{n}, quantile_cont(transaction_amount, 0.75) filter (where {c}) as p75_{n}" for n, c in (("target", "is_target"), ("peer", "not is_target"))) + " from pp) q", TEST_CTE),

@@ -113,7 +113,7 @@ QUERIES = {
     "series_score_summary": Query("entity_type entities mean_score:4 median_score:4 critical high with_spikes with_changes with_patterns", lambda s, d: temporal.score_summary(_scores(s, d)),
         "select entity_type, count(*) as entities, avg(temporal_risk_score) as mean_score, quantile_cont(cast(temporal_risk_score as double), 0.5) as median_score, count(*) filter (where risk_band = 'critical') as critical, count(*) filter (where risk_band = 'high') as high, count(*) filter (where spikes > 0) as with_spikes, count(*) filter (where changes > 0) as with_changes, count(*) filter (where patterns > 0) as with_patterns from sc group by rollup (entity_type)", SCORE),
     "series_timeline": Query("month changes is_peak", lambda s, d: temporal.timeline(temporal.cusum(ser(s, d), 0.5, 3.5)), "select change_month as month, count(*) as changes, rank() over (order by count(*) desc) = 1 as is_peak from cu group by 1", CTE),
-    "series_timeline_summary": Query("months total clustered", lambda s, d: temporal.timeline_summary(temporal.timeline(temporal.cusum(ser(s, d), 0.5, 3.5))), "select count(*) as months, cast(coalesce(sum(k), 0) as bigint) as total, coalesce(var_samp(k) > avg(k), false) as clustered from (select count(*) as k from cu group by change_month)", CTE),
+    "series_timeline_summary": Query("months total early_share:6 late_share:6 clustered", lambda s, d: temporal.timeline_summary(temporal.timeline(temporal.cusum(ser(s, d), 0.5, 3.5))), "select count(*) as months, cast(coalesce(sum(k), 0) as bigint) as total, coalesce(sum(k) filter (where th = 1) / sum(k), 0) as early_share, coalesce(sum(k) filter (where th = 3) / sum(k), 0) as late_share, coalesce(var_samp(k) > avg(k), false) as clustered from (select k, ntile(3) over (order by change_month) as th from (select change_month, count(*) as k from cu group by change_month))", CTE),
     "series_segments": Query("entity_type entity_id metric change_points", lambda s, d: workers.change_points(ser(s, d), temporal.SERIES, "month", "value"), ""),
     "series_score_comparison": Query("n1 n2 u:1 cliffs_delta:6 p_value:5 mean_1:4 mean_2:4 median_1:4 median_2:4 direction", _both_scores, ""),
 }

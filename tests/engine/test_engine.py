@@ -71,6 +71,8 @@ def test_ranks_against_numpy(spark):
     delta = np.sign(a[:, None] - b[None, :]).mean()
     assert abs(r.cliffs_delta - delta) < 1e-12 and (r.n1, r.n2) == (30, 25)
     assert abs(r.u - ((a[:, None] > b).sum() + 0.5 * (a[:, None] == b).sum())) < 1e-9 and 0 <= r.p_value <= 1
+    few = spark.createDataFrame([(1.0, True), (2.0, True), (3.0, True), (4.0, False), (5.0, False), (6.0, False)], "v double, first boolean")
+    assert abs(ranks.rank_test(few, "v", "first", exact=True).first().p_value - 0.1) < 1e-12
     d = ranks.cohens_d(df, "v", "first").first()
     pooled = math.sqrt((29 * a.var(ddof=1) + 24 * b.var(ddof=1)) / 53)
     assert abs(d.cohens_d - (a.mean() - b.mean()) / pooled) < 1e-9
