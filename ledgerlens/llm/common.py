@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word, by the contracts of the operators: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: How many rows a table may have to be broadcast after it was counted (a few tens of MB of narrow rows).
-BROADCAST_ROWS = 500_000
+#: How many rows a table may have to be broadcast after it was counted (a few MB of narrow rows).
+BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:

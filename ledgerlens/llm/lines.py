@@ -26,8 +26,7 @@ from .common import components, saved, small
 #: Shorter lines are left alone: closing brackets, list marks and headings repeat by nature.
 MIN_CHARS = 20
 #: Different lines on a key beyond which it is hot; characters up to which a hot line is taken character by character.
-HOT, HOT_CHARS, PARTS = 40, 600, 64
-NORM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+HOT, HOT_CHARS, PARTS = 40, 600, 16
 
 
 def occurrences(docs: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -99,11 +98,14 @@ def links(lines: DataFrame, texts, threshold: int = 1) -> DataFrame:
     hot_ids = saved(rows.where((F.col("n") > HOT) if threshold == 1 else F.lit(False)).select("id").distinct(), "line-hot")
     norm = saved(texts(saved(ids.unionByName(hot_ids).distinct(), "line-ids")), "line-texts")
     hot = norm.join(hot_ids, "id", "left_semi")
-    long = hot.where(F.length("norm") > HOT_CHARS).select("id", F.explode(_part_keys(F.col("norm"))).alias("x")).select("id", "x.*")
-    pairs = cold.unionByName(_pairs(long)).distinct()
+    n_hot, n_long = hot.agg(F.count(F.lit(1)), F.count_if(F.length("norm") > HOT_CHARS)).first()
+    pairs = cold
+    if n_long:
+        long = hot.where(F.length("norm") > HOT_CHARS).select("id", F.explode(_part_keys(F.col("norm"))).alias("x")).select("id", "x.*")
+        pairs = saved(cold.unionByName(_pairs(long)).distinct(), "line-pairs")
     near = pairs.join(norm.select(F.col("id").alias("a"), F.col("norm").alias("ta")), "a").join(norm.select(F.col("id").alias("b"), F.col("norm").alias("tb")), "b")
     near = near.where(F.levenshtein("ta", "tb", threshold).between(0, threshold)).select("a", "b")
-    return near.unionByName(_hot_links(hot.where(F.length("norm") <= HOT_CHARS)))
+    return near.unionByName(_hot_links(hot.where(F.length("norm") <= HOT_CHARS))) if n_hot > n_long else near
 
 
 def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
