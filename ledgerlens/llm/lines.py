@@ -32,7 +32,7 @@ HOT, HOT_CHARS, PARTS = 40, 600, 16
 def occurrences(docs: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
     """(_k, _th, n, norm, h1, h2) of each line of min_chars characters or more; 128 bits of hash stand for a line."""
     each = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_th"), F.posexplode(F.split(F.col(text), "\n")).alias("n", "line"))
-    each = each.where(F.length("line") >= min_chars).select("_k", "_th", "n", F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")).alias("norm"))
+    each = each.where(F.length("line") >= min_chars).select("_k", "_th", "n", F.trim("line", F.lit(" \t\r\x0b\x0c")).alias("norm"))
     return each.where(F.length("norm") >= min_chars).select("*", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"))
 
 
@@ -92,7 +92,7 @@ def links(lines: DataFrame, texts, threshold: int = 1) -> DataFrame:
     rows = lines.select("id", F.explode("keys").alias("x")).select("id", "x.*")
     shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("side").alias("side"), F.count(F.lit(1)).alias("n"))
     shared = saved(shared.where("low <> high and side = 0").select("key", "n"), "line-keys")
-    rows = saved(rows.join(small(shared), "key"), "line-rows")
+    rows = saved(rows.join(shared, "key"), "line-rows")
     cold = saved(_pairs(rows if threshold != 1 else rows.where(F.col("n") <= HOT)), "line-pairs")
     ids = cold.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     hot_ids = saved(rows.where((F.col("n") > HOT) if threshold == 1 else F.lit(False)).select("id").distinct(), "line-hot")
@@ -129,7 +129,7 @@ def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     exact = lines.where("copies > 1").join(near, ["h1", "h2"], "left_anti").select("h1", "h2", F.col("first").alias("keep"))
     touched = saved(near.unionByName(exact), "line-touched")
     again = occ.select("h1", "h2", F.struct("_k", "_th", "n").alias("at"))
-    gone = again.join(small(touched), ["h1", "h2"]).where(~F.col("at").eqNullSafe(F.col("keep")))
+    gone = again.join(touched, ["h1", "h2"]).where(~F.col("at").eqNullSafe(F.col("keep")))
     return gone.groupBy("at._k", "at._th").agg(F.collect_set("at.n").alias("drop"))
 
 
@@ -139,7 +139,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: i
     A text that loses no line is not changed; one that loses all is empty.
     """
     gone = saved(dropped(docs, text, key, threshold, min_chars), "line-drops")
-    joined = docs.join(small(gone.select(F.col("_k"), F.col("_th"), F.col("drop").alias("_drop"))), docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[text]) == F.col("_th")), "left")
+    joined = docs.join(gone.select(F.col("_k"), F.col("_th"), F.col("drop").alias("_drop")), docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[text]) == F.col("_th")), "left")
     parts = F.split(docs[text], "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drop")), lambda i: F.get(F.col("_parts"), i))
     out = joined.withColumn("_parts", F.when(F.col("_drop").isNotNull(), parts)).withColumn("_new", F.when(F.col("_drop").isNull(), docs[text]).otherwise(F.array_join(kept, "\n")))
