@@ -51,7 +51,8 @@ def two_by_two_sql(a: str, n1: str, b: str, n2: str, alpha: float = 0.05, contin
     """Tests of a of n1 against b of n2. Null where a test is undefined.
 
     risk_ratio, odds_ratio with log-normal intervals (half a count added if any cell is
-    empty), z and p_value of the pooled two-proportion test, chi2 with the continuity
+    empty), z and p_value of the pooled two-proportion test (p_value names the column z, so it
+    is selected over the others and the long polynomial doesn't repeat what z is made of), chi2 with the continuity
     correction and Cramer's V, Newcombe-style bounds of the difference.
     """
     z = f"{z_of(alpha)!r}e0"
@@ -86,7 +87,7 @@ def two_by_two_sql(a: str, n1: str, b: str, n2: str, alpha: float = 0.05, contin
         "odds_ratio_low": when(f"exp(ln({orr}) - {z} * {ose})"),
         "odds_ratio_high": when(f"exp(ln({orr}) + {z} * {ose})"),
         "z": when(f"(case when {flat} then 0.0e0 else {zs} end)"),
-        "p_value": when(f"(case when {flat} then (case when {p1} = {p2} then 1.0e0 else 0.0e0 end) else {two_sided_p_sql(zs)} end)"),
+        "p_value": when(f"(case when {flat} then (case when {p1} = {p2} then 1.0e0 else 0.0e0 end) else {two_sided_p_sql('z')} end)"),
         "chi2": when(chi),
         "cramers_v": when(f"sqrt({chi} / {n})"),
         "difference_low": f"({l1}) - ({u2})",

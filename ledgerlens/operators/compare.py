@@ -18,9 +18,11 @@ def counts(df: DataFrame, flags: dict[str, str] = FLAGS) -> DataFrame:
     return one.select(F.explode(rows).alias("x")).select("x.*").where("n1 > 0 and n2 > 0")
 
 
-def proportions(c: DataFrame, alpha: float = 0.05) -> DataFrame:
+def proportions(c: DataFrame, alpha: float = 0.05, continuity: bool = False) -> DataFrame:
     """All tests of each row of ``counts``."""
-    return c.select("*", *[F.expr(e).alias(k) for k, e in stats.two_by_two_sql("a", "n1", "b", "n2", alpha).items()])
+    tests = stats.two_by_two_sql("a", "n1", "b", "n2", alpha, continuity)
+    x = c.select("*", *[F.expr(e).alias(k) for k, e in tests.items() if k != "p_value"])
+    return x.withColumn("p_value", F.expr(tests["p_value"]))
 
 
 def cost(df: DataFrame) -> DataFrame:

@@ -62,8 +62,15 @@ STATION_CTE = """
          from st, (select quantile_cont(non_diesel_rate, 0.75) as a, quantile_cont(no_eld_rate, 0.75) as b, quantile_cont(avg_cost, 0.25) as c from st))"""
 FLAG_SQL = {"No ELD Match": "not has_eld_activity", "Non-Diesel/DEF": "not is_diesel_def", "After-Hours": "not is_business_hours", "Multiple Same-Day Fillups": "fillups_per_day > 1"}
 _COUNT = " union all ".join(f"select '{m}' as metric, count(*) filter (where is_target and {c}) as a, count(*) filter (where is_target) as n1, count(*) filter (where not is_target and {c}) as b, count(*) filter (where not is_target) as n2 from px where in_period" for m, c in FLAG_SQL.items())
-_TESTS = ", ".join(f"{e} as {k}" for k, e in stats.two_by_two_sql("a", "n1", "b", "n2").items())
-TEST_CTE = f"ct as ({_COUNT}), te as (select *, {_TESTS} from ct), pp as (select * from px where in_period)"
+
+
+def _tests_sql(continuity: bool = False) -> str:
+    e = stats.two_by_two_sql("a", "n1", "b", "n2", continuity=continuity)
+    first = ", ".join(f"{v} as {k}" for k, v in e.items() if k != "p_value")
+    return f"select *, {e['p_value']} as p_value from (select *, {first} from ct)"
+
+
+TEST_CTE = f"ct as ({_COUNT}), te as ({_tests_sql()}), pp as (select * from px where in_period)"
 _U = ranks.rank_test_sql("pp", "transaction_amount", "is_target")
 _FAMILY = f"select metric, z as statistic, cramers_v as effect, p_value from te union all select 'Cost Distribution', u, cliffs_delta, p_value from ({_U})"
 TEST_COLUMNS = "metric a n1 b n2 rate_1:6 rate_2:6 risk_ratio:6 risk_ratio_low:6 risk_ratio_high:6 odds_ratio:6 odds_ratio_low:6 odds_ratio_high:6 z:5 p_value:6 chi2:4 cramers_v:6 difference_low:6 difference_high:6"
@@ -114,7 +121,7 @@ QUERIES = {
     "tests_wilson": Query("k n low:6 high:6", lambda s, d: _grid(s, d).select("k", "n", *[F.expr(e).alias(c) for e, c in zip(stats.wilson_sql("k", "n"), ("low", "high"))]),
         f"select k, n, {stats.wilson_sql('k', 'n')[0]} as low, {stats.wilson_sql('k', 'n')[1]} as high from (select i % 21 as k, (i // 21) * 30 + 20 as n from range(0, 41) t(i))", base=False),
     "tests_proportions": Query(TEST_COLUMNS, lambda s, d: compare.proportions(compare.counts(period_rows(s, d))), "select * from te", TEST_CTE),
-    "tests_continuity": Query("metric p_value:6", lambda s, d: compare.counts(period_rows(s, d)).select("metric", F.expr(stats.two_by_two_sql("a", "n1", "b", "n2", continuity=True)["p_value"]).alias("p_value")), f"select metric, {stats.two_by_two_sql('a', 'n1', 'b', 'n2', continuity=True)['p_value']} as p_value from ct", TEST_CTE),
+    "tests_continuity": Query("metric p_value:6", lambda s, d: compare.proportions(compare.counts(period_rows(s, d)), continuity=True), _tests_sql(True), TEST_CTE),
     "tests_family": Query("metric statistic:3 effect:6 p_value:6 q_value:6 rejected p_band", lambda s, d: compare.family(period_rows(s, d)), f"select *, {stats.p_band_sql('p_value')} as p_band from ({ranks.bh_sql(_FAMILY)})", TEST_CTE),
     "tests_significant": Query("metric p_value:6", lambda s, d: compare.family(period_rows(s, d)).where("rejected").orderBy("p_value", "metric").select("metric", "p_value"), f"select metric, p_value from ({ranks.bh_sql(_FAMILY)}) where rejected", TEST_CTE),
     "summary_executive": Query("metric p_value:6 odds_ratio:5 risk_difference:6 notable superiority:6", lambda s, d: compare.executive(period_rows(s, d)),
