@@ -139,7 +139,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: i
     A text that loses no line is not changed; one that loses all is empty.
     """
     gone = saved(dropped(docs, text, key, threshold, min_chars), "line-drops")
-    joined = docs.join(gone.select(F.col("_k"), F.col("_th"), F.col("drop").alias("_drop")), docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[text]) == F.col("_th")), "left")
+    joined = docs.join(gone.select(F.col("_k"), F.col("_th"), F.col("drop").alias("_drop")).hint("merge"), docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[text]) == F.col("_th")), "left")
     parts = F.split(docs[text], "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drop")), lambda i: F.get(F.col("_parts"), i))
     out = joined.withColumn("_parts", F.when(F.col("_drop").isNotNull(), parts)).withColumn("_new", F.when(F.col("_drop").isNull(), docs[text]).otherwise(F.array_join(kept, "\n")))

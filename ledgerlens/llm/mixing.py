@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import n_words, saved, small
+from .common import n_words, saved
 
 #: Hexadecimal digits of the order hash that name a range of a source: 256 ranges.
 RANGE_DIGITS = 2
@@ -104,9 +104,9 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> Data
     """
     got = queue(docs.select(key, "source", n_words(F.col(text)).alias("size")), key, **how)
     got = got.where("copies > 0").groupBy(F.col(key).alias("_mk"), F.col("source").alias("_ms"), F.col("size").alias("_mn")).agg(F.max("copies").alias("_mc"))
-    got = saved(got, "mix-taken")
+    got = saved(got, "mix-taken").hint("merge")  # as many rows as documents: a plan that is the same at every size
     d = docs.withColumn("_n", n_words(F.col(text)))
-    return d.join(small(got), d[key].eqNullSafe(F.col("_mk")) & d["source"].eqNullSafe(F.col("_ms")) & (F.col("_n") == F.col("_mn"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mc")))).select(*[d[c] for c in docs.columns])
+    return d.join(got, d[key].eqNullSafe(F.col("_mk")) & d["source"].eqNullSafe(F.col("_ms")) & (F.col("_n") == F.col("_mn"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mc")))).select(*[d[c] for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
