@@ -13,6 +13,11 @@ Equal lines are one row before the join. A key that many different lines share
 1, lines differing in one character share the rest of the line around it, so
 grouping by that rest gives the links without pairs. Lines too long for that are cut into
 ``PARTS`` parts and joined on all of the line but one part.
+
+With ``words``, lines whose words differ in one place are linked too, however many
+characters that is: one word replaced, put in or left out, of at most a ``WORD_SHARE``-th
+of the characters of the others. Half of the words bring candidates, and grouping by
+all words but one gives the links, for hot keys as for others.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ from .common import components, saved, small
 MIN_CHARS = 20
 #: Different lines on a key beyond which it is hot; characters up to which a hot line is taken character by character.
 HOT, HOT_CHARS, PARTS = 40, 600, 16
+#: A word that differs may have this part of the other words' characters; words stand between runs of these.
+WORD_SHARE, SPACES = 10, r"[ \t\r\x0b\x0c]+"
 
 
 def occurrences(docs: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -108,21 +115,60 @@ def links(lines: DataFrame, texts, threshold: int = 1) -> DataFrame:
     return near.unionByName(_hot_links(hot.where(F.length("norm") <= HOT_CHARS))) if n_hot > n_long else near
 
 
-def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
+def _word_keys(norm: Column) -> Column:
+    """Keys of both halves of a line's words (side 0) and, as the one with a word more, of the halves of the others (side 1)."""
+    w, out = F.split(norm, SPACES), []
+    for d in (0, 1):
+        n = F.size(w) - d
+        half = F.floor(n / 2).cast("int")
+        for i, part in enumerate((F.slice(w, F.lit(1), half), F.slice(w, half + d + 1, n - half))):
+            out.append(F.struct(F.xxhash64(F.lit(i), n, part).alias("key"), F.lit(d).alias("side")))
+    return F.array(*out)
+
+
+def word_links(lines: DataFrame, texts) -> DataFrame:
+    """Links (a, b) that reach every pair of lines whose words differ in one place at most.
+
+    lines holds (id, word_keys); texts is as for ``links``. A word and its place are one hash, the words of a line the
+    exclusive or of theirs, so that a line without one word takes one step a word.
+    """
+    rows = lines.select("id", F.explode("word_keys").alias("x")).select("id", "x.*")
+    shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("side").alias("side")).where("low <> high and side = 0").select("key")
+    norm = texts(saved(rows.join(shared, "key").select("id").distinct(), "line-word-ids"))
+    word = norm.select("id", F.posexplode(F.split("norm", SPACES)).alias("p", "w")).select("id", "p", F.length("w").alias("c"), F.xxhash64("p", "w").alias("h"), F.xxhash64(F.col("p") - 1, "w").alias("g"))
+    line = W.partitionBy("id")
+    upto = line.orderBy("p").rowsBetween(W.unboundedPreceding, 0)
+    word = word.select("id", "p", "c", "h", F.bit_xor("h").over(upto).alias("hs"), F.bit_xor("g").over(upto).alias("gs"), F.bit_xor("h").over(line).alias("h_all"), F.bit_xor("g").over(line).alias("g_all"), F.sum("c").over(line).alias("chars"))
+    key = lambda p, h, whole: F.struct(p.cast("int").alias("p"), h.alias("h"), F.lit(whole).alias("whole"))
+    replaced = key(F.col("p") + 1, F.col("h_all").bitwiseXOR(F.col("h")), False)
+    left_out = key(F.lit(0), F.col("hs").bitwiseXOR(F.col("h")).bitwiseXOR(F.col("g_all")).bitwiseXOR(F.col("gs")), False)
+    cut = F.concat(F.when(F.col("c") * WORD_SHARE <= F.col("chars") - F.col("c"), F.array(replaced, left_out)).otherwise(F.array()), F.when(F.col("p") == 0, F.array(key(F.lit(0), F.col("h_all"), True))).otherwise(F.array()))
+    cut = saved(word.select("id", F.explode(cut).alias("x")).select("id", "x.*"), "line-words")
+    # many lines can agree but for one word: grouped minimums and a join, no window
+    centre = cut.groupBy("p", "h").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max(F.when(F.col("whole"), F.col("id"))).alias("whole_id")).where("low <> high")
+    centre = centre.select("p", "h", F.when(F.col("p") > 0, F.col("low")).otherwise(F.col("whole_id")).alias("b")).where("b is not null")
+    return cut.join(centre, ["p", "h"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+
+
+def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = 1, min_chars: int = MIN_CHARS, words: bool = False) -> DataFrame:
     """(_k, _th, drop): the line numbers, from 0, that go from each document that loses lines.
 
     Documents are told apart by key and text; rows equal in both are one document and
     get one answer. Earliest means smallest key (null first), then text hash, then line number.
     """
     occ = occurrences(docs, text, key, min_chars)
-    at = F.struct("_k", "_th", "n", _keys(F.col("norm"), threshold).alias("keys"))
+    no_keys = F.array().cast("array<struct<key:bigint,side:int>>")
+    at = F.struct("_k", "_th", "n", _keys(F.col("norm"), threshold).alias("keys"), (_word_keys(F.col("norm")) if words else no_keys).alias("word_keys"))
     lines = occ.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("copies"))
-    lines = saved(lines.select("h1", "h2", F.struct("first._k", "first._th", "first.n").alias("first"), F.col("first.keys").alias("keys"), "copies"), "lines")
+    lines = saved(lines.select("h1", "h2", F.struct("first._k", "first._th", "first.n").alias("first"), "first.keys", "first.word_keys", "copies"), "lines")
 
     def texts(ids: DataFrame) -> DataFrame:
         return occ.select(F.col("h1").alias("id"), "norm").join(small(ids), "id", "left_semi").groupBy("id").agg(F.min("norm").alias("norm"))
 
-    classes = components(links(lines.select(F.col("h1").alias("id"), "keys"), texts, threshold)).withColumnRenamed("node", "h1")
+    near = links(lines.select(F.col("h1").alias("id"), "keys"), texts, threshold)
+    if words:
+        near = near.unionByName(word_links(lines.select(F.col("h1").alias("id"), "word_keys"), texts))
+    classes = components(near).withColumnRenamed("node", "h1")
     member = lines.select("h1", "h2", "first").join(classes, "h1")
     keep = member.groupBy("component").agg(F.min("first").alias("keep"))
     near = saved(member.join(keep, "component").select("h1", "h2", "keep"), "line-classes")
@@ -133,12 +179,12 @@ def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     return gone.groupBy("at._k", "at._th").agg(F.collect_set("at.n").alias("drop"))
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = 1, min_chars: int = MIN_CHARS, words: bool = False) -> DataFrame:
     """The rows of docs with repeated lines taken out of ``text``; a null text stays null, other columns stay.
 
     A text that loses no line is not changed; one that loses all is empty.
     """
-    gone = saved(dropped(docs, text, key, threshold, min_chars), "line-drops")
+    gone = saved(dropped(docs, text, key, threshold, min_chars, words), "line-drops")
     joined = docs.join(gone.select(F.col("_k"), F.col("_th"), F.col("drop").alias("_drop")).hint("merge"), docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[text]) == F.col("_th")), "left")
     parts = F.split(docs[text], "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drop")), lambda i: F.get(F.col("_parts"), i))
@@ -149,5 +195,5 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: i
 def query(spark, sf_dir: str) -> DataFrame:
     """doc_id, lines and characters before and after, and the digest of the deduplicated text, for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    slim = dedup(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0))).withColumn("chars", F.coalesce(F.length("text"), F.lit(0))))
+    slim = dedup(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0))).withColumn("chars", F.coalesce(F.length("text"), F.lit(0))), words=True)
     return slim.select("doc_id", "n_lines", F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size(F.split("text", "\n"))).alias("n_kept"), "chars", F.coalesce(F.length("text"), F.lit(0)).alias("chars_kept"), F.md5("text").alias("text_md5"))

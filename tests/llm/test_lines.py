@@ -67,3 +67,50 @@ def test_empty_table_and_repeated_rows(spark):
     assert lines.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     same = [(1, "one line that is long enough\nanother one that is long enough", "", 0)] * 3
     assert [r.text for r in lines.dedup(spark.createDataFrame(same, SCHEMA)).collect()] == [same[0][1]] * 3
+
+
+def one_word(a, b):
+    """Whether two lines' words differ in one place at most, by a word of a tenth of the others' characters or less."""
+    x, y = a.split(), b.split()
+    if x == y:
+        return True
+    cuts = lambda w: [(i, w[:i] + w[i + 1 :], w[i]) for i in range(len(w))]
+    fits = lambda word, rest: 10 * len(word) <= sum(map(len, rest))
+    if len(x) == len(y):
+        return any(i == j and r == s and fits(v, r) and fits(w, s) for i, r, v in cuts(x) for j, s, w in cuts(y))
+    return any(r == y and fits(v, r) for _, r, v in cuts(x)) or any(r == x and fits(v, r) for _, r, v in cuts(y))
+
+
+@pytest.mark.parametrize("hot", [2, 40])
+def test_a_word_replaced_put_in_or_left_out(spark, monkeypatch, hot):
+    rng = random.Random(hot)
+    monkeypatch.setattr(lines, "HOT", hot)
+    base = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 5, 9]))) for _ in range(rng.choice([5, 12, 13, 30]))) for _ in range(8)]
+    base += [" ".join(["again", "and"] * 9), "a-single-word-of-many-characters", "another-single-word-of-many-ones"]
+    rows = []
+    for i in range(60):
+        out = []
+        for _ in range(2):
+            w = rng.choice(base).split(" ")
+            p = rng.randrange(len(w))
+            w[p : p + rng.choice([0, 1])] = rng.choice([[], ["replaced"], ["xy"], [""]])
+            out.append(" ".join(w))
+        rows.append((i, "\n".join(out)))
+    want = brute_words(rows)
+    got = lines.dedup(spark.createDataFrame([(k, t, "n", 1) for k, t in rows], SCHEMA).repartition(3), words=True).collect()
+    assert {r.doc_id: r.text for r in got} == want
+    assert sum(map(len, want.values())) < sum(len(t) for t in brute(rows, 1).values())
+
+
+def brute_words(rows):
+    """brute for one edit of a character or one word."""
+    spots = [((k, n), x.strip()) for k, t in rows for n, x in enumerate(t.split("\n")) if len(x.strip()) >= 20]
+    comp = list(range(len(spots)))
+    for i in range(len(spots)):
+        for j in range(i):
+            a, b = spots[i][1], spots[j][1]
+            if comp[i] != comp[j] and (one_word(a, b) or abs(len(a) - len(b)) <= 1 and distance(a, b) <= 1):
+                old, new = max(comp[i], comp[j]), min(comp[i], comp[j])
+                comp = [new if c == old else c for c in comp]
+    gone = {spots[i][0] for i in range(len(spots)) if comp[i] != i}
+    return {k: "\n".join(x for n, x in enumerate(t.split("\n")) if (k, n) not in gone) for k, t in rows}
