@@ -23,8 +23,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that an earlier one of the corpus has within one edit."""
-    return lines.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Every document, without the lines that an earlier one of the corpus has within one edit, or as they are if they are short."""
+    return lines.dedup(docs, short=True).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql.window import Window as W
 
 from .common import components, saved, small
 
-#: Shorter lines are left alone: closing brackets, list marks and headings repeat by nature.
+#: Shorter lines are not compared by edits, as one edit is much of them; with ``short`` their exact repeats go.
 MIN_CHARS = 20
 #: Different lines on a key beyond which it is hot; characters up to which a hot line is taken character by character.
 HOT, HOT_CHARS, PARTS = 40, 600, 16
@@ -150,15 +150,16 @@ def word_links(lines: DataFrame, texts) -> DataFrame:
     return cut.join(centre, ["p", "h"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = 1, min_chars: int = MIN_CHARS, words: bool = False) -> DataFrame:
+def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = 1, min_chars: int = MIN_CHARS, words: bool = False, short: bool = False) -> DataFrame:
     """(_k, _th, drop): the line numbers, from 0, that go from each document that loses lines.
 
     Documents are told apart by key and text; rows equal in both are one document and
     get one answer. Earliest means smallest key (null first), then text hash, then line number.
     """
-    occ = occurrences(docs, text, key, min_chars)
+    occ = occurrences(docs, text, key, 1 if short else min_chars)
     no_keys = F.array().cast("array<struct<key:bigint,side:int>>")
-    at = F.struct("_k", "_th", "n", _keys(F.col("norm"), threshold).alias("keys"), (_word_keys(F.col("norm")) if words else no_keys).alias("word_keys"))
+    keyed = lambda keys: F.when(F.length("norm") >= min_chars, keys).otherwise(no_keys)
+    at = F.struct("_k", "_th", "n", keyed(_keys(F.col("norm"), threshold)).alias("keys"), (keyed(_word_keys(F.col("norm"))) if words else no_keys).alias("word_keys"))
     lines = occ.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("copies"))
     lines = saved(lines.select("h1", "h2", F.struct("first._k", "first._th", "first.n").alias("first"), "first.keys", "first.word_keys", "copies"), "lines")
 
@@ -179,12 +180,12 @@ def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     return gone.groupBy("at._k", "at._th").agg(F.collect_set("at.n").alias("drop"))
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = 1, min_chars: int = MIN_CHARS, words: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = 1, min_chars: int = MIN_CHARS, words: bool = False, short: bool = False) -> DataFrame:
     """The rows of docs with repeated lines taken out of ``text``; a null text stays null, other columns stay.
 
     A text that loses no line is not changed; one that loses all is empty.
     """
-    gone = saved(dropped(docs, text, key, threshold, min_chars, words), "line-drops")
+    gone = saved(dropped(docs, text, key, threshold, min_chars, words, short), "line-drops")
     joined = docs.join(gone.select(F.col("_k"), F.col("_th"), F.col("drop").alias("_drop")).hint("merge"), docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[text]) == F.col("_th")), "left")
     parts = F.split(docs[text], "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drop")), lambda i: F.get(F.col("_parts"), i))
@@ -195,5 +196,5 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: i
 def query(spark, sf_dir: str) -> DataFrame:
     """doc_id, lines and characters before and after, and the digest of the deduplicated text, for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    slim = dedup(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0))).withColumn("chars", F.coalesce(F.length("text"), F.lit(0))), words=True)
+    slim = dedup(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0))).withColumn("chars", F.coalesce(F.length("text"), F.lit(0))), words=True, short=True)
     return slim.select("doc_id", "n_lines", F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size(F.split("text", "\n"))).alias("n_kept"), "chars", F.coalesce(F.length("text"), F.lit(0)).alias("chars_kept"), F.md5("text").alias("text_md5"))

@@ -114,3 +114,10 @@ def brute_words(rows):
                 comp = [new if c == old else c for c in comp]
     gone = {spots[i][0] for i in range(len(spots)) if comp[i] != i}
     return {k: "\n".join(x for n, x in enumerate(t.split("\n")) if (k, n) not in gone) for k, t in rows}
+
+
+def test_short_lines_go_only_if_equal(spark):
+    rows = [(1, "Les.\nLes!\n\n}"), (2, " Les.\n\nLes\nkept"), (3, "}\n\na line of twenty characters or more\nLes."), (4, "a line of twenty characters or mores")]
+    docs = spark.createDataFrame([(k, t, "n", 1) for k, t in rows], SCHEMA)
+    got = {r.doc_id: r.text for r in lines.dedup(docs, short=True).collect()}
+    assert got == {1: "Les.\nLes!\n\n}", 2: "\nLes\nkept", 3: "\na line of twenty characters or more", 4: ""}
