@@ -105,14 +105,15 @@ def links(lines: DataFrame, texts, threshold: int = 1) -> DataFrame:
     hot_ids = saved(rows.where((F.col("n") > HOT) if threshold == 1 else F.lit(False)).select("id").distinct(), "line-hot")
     norm = saved(texts(saved(ids.unionByName(hot_ids).distinct(), "line-ids")), "line-texts")
     hot = norm.join(hot_ids, "id", "left_semi")
-    n_hot, n_long = hot.agg(F.count(F.lit(1)), F.count_if(F.length("norm") > HOT_CHARS)).first()
+    # lines of HOT_CHARS characters are in both, so that those of one more find them
+    n_long, n_short = hot.agg(F.count_if(F.length("norm") >= HOT_CHARS), F.count_if(F.length("norm") <= HOT_CHARS)).first()
     pairs = cold
     if n_long:
-        long = hot.where(F.length("norm") > HOT_CHARS).select("id", F.explode(_part_keys(F.col("norm"))).alias("x")).select("id", "x.*")
+        long = hot.where(F.length("norm") >= HOT_CHARS).select("id", F.explode(_part_keys(F.col("norm"))).alias("x")).select("id", "x.*")
         pairs = saved(cold.unionByName(_pairs(long)).distinct(), "line-pairs")
     near = pairs.join(norm.select(F.col("id").alias("a"), F.col("norm").alias("ta")), "a").join(norm.select(F.col("id").alias("b"), F.col("norm").alias("tb")), "b")
     near = near.where(F.levenshtein("ta", "tb", threshold).between(0, threshold)).select("a", "b")
-    return near.unionByName(_hot_links(hot.where(F.length("norm") <= HOT_CHARS))) if n_hot > n_long else near
+    return near.unionByName(_hot_links(hot.where(F.length("norm") <= HOT_CHARS))) if n_short else near
 
 
 def _word_keys(norm: Column) -> Column:

@@ -121,3 +121,12 @@ def test_short_lines_go_only_if_equal(spark):
     docs = spark.createDataFrame([(k, t, "n", 1) for k, t in rows], SCHEMA)
     got = {r.doc_id: r.text for r in lines.dedup(docs, short=True).collect()}
     assert got == {1: "Les.\nLes!\n\n}", 2: "\nLes\nkept", 3: "\na line of twenty characters or more", 4: ""}
+
+
+def test_hot_lines_on_both_sides_of_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT", 2)
+    monkeypatch.setattr(lines, "HOT_CHARS", 40)
+    template = "".join(chr(ord("A") + i) for i in range(41))
+    rows = [(0, template)] + [(i + 1, template[:i] + template[i + 1 :]) for i in range(41)]
+    got = lines.dedup(spark.createDataFrame([(k, t, "n", 1) for k, t in rows], SCHEMA)).collect()
+    assert {r.doc_id: r.text for r in got} == {k: template if k == 0 else "" for k, _ in rows} == brute(rows, 1)
