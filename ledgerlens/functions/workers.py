@@ -13,18 +13,40 @@ from pyspark.sql import types as T
 
 
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:
-    """Two-sided p of a 2x2 table: all tables of the margins that are no likelier."""
+    """Two-sided p of a 2x2 table: all tables of the margins that are no likelier.
+
+    Likelihoods fall on both sides of the mode, so each tail begins at a place found by bisection
+    and is summed outward until its terms no longer count.
+    """
     n1, n2, k = a + b, c + d, a + c
     if min(a, b, c, d) < 0 or n1 + n2 == 0:
         return float("nan")
-    log = math.lgamma
+    log, low, high = math.lgamma, max(0, k - n2), min(k, n1)
 
     def term(x):
         return log(n1 + 1) - log(x + 1) - log(n1 - x + 1) + log(n2 + 1) - log(k - x + 1) - log(n2 - k + x + 1)
 
-    ps = {x: term(x) for x in range(max(0, k - n2), min(k, n1) + 1)}
     whole = log(n1 + n2 + 1) - log(k + 1) - log(n1 + n2 - k + 1)
-    return min(1.0, sum(math.exp(v - whole) for v in ps.values() if v <= ps[a] + 1e-7))
+    mode = min(high, max(low, (n1 + 1) * (k + 1) // (n1 + n2 + 2)))
+    # lgamma is exact to a relative 1e-15 or so: equal likelihoods may differ by that
+    most = term(a) + max(1e-7, 1e-15 * log(n1 + n2 + 1))
+    if term(mode) <= most:
+        return 1.0
+
+    def tail(end, step):
+        inside, outside = mode, end + step  # likelier than a; not
+        while abs(outside - inside) > 1:
+            x = (inside + outside) // 2
+            inside, outside = (inside, x) if term(x) <= most else (x, outside)
+        x, total = outside, 0.0
+        ratio = math.exp(term(x) - whole) if low <= x <= high else 0.0
+        while low <= x <= high and ratio > total * 1e-17:
+            total += ratio
+            up, down = ((n1 - x) * (k - x), (x + 1) * (n2 - k + x + 1)) if step > 0 else (x * (n2 - k + x), (n1 - x + 1) * (k - x + 1))
+            ratio, x = ratio * up / down, x + step
+        return total
+
+    return min(1.0, tail(low, -1) + tail(high, 1))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -138,7 +138,7 @@ QUERIES = {
     "tests_exposure": Query("excess mean_unverified:4 exposure:2", lambda s, d: compare.exposure(period_rows(s, d)),
         "select *, excess * mean_unverified as exposure from (select cast(trunc((rate_1 - rate_2) * n1) as bigint) as excess, (select avg(transaction_amount) from pp where is_target and not has_eld_activity) as mean_unverified, p_value from te where metric = 'No ELD Match') where p_value < 0.05 and excess > 0", TEST_CTE),
     "tests_log_advice": Query("n skew:5 kurtosis:5 p99_ratio:5 tail_share:6 dispersion_drop:5 advised", lambda s, d: compare.log_advice(target_rows(s, d), "transaction_amount"), _LOG, _LOG_CTE),
-    "tests_fisher": Query("metric p:6", lambda s, d: compare.counts(period_rows(s, d)).select("metric", workers.fisher((F.col("a") % 40), F.lit(60) - F.col("a") % 40, F.col("b") % 40, F.lit(60) - F.col("b") % 40).alias("p")), ""),
+    "tests_fisher": Query("metric p:6", lambda s, d: compare.counts(period_rows(s, d)).select("metric", workers.fisher("a", F.col("n1") - F.col("a"), "b", F.col("n2") - F.col("b")).alias("p")), ""),
     "tests_bootstrap": Query("low:4 high:4", lambda s, d: workers.bootstrap(target_rows(s, d).where("not has_eld_activity"), "transaction_amount", 1000), ""),
     "tests_vif": Query("feature vif:4", lambda s, d: workers.vif(target_rows(s, d), ["fuel_volume_gallons", "transaction_amount", "idle_duration_minutes", "driving_duration_minutes"]), ""),
     "summary_coverage": Query("slice row_count eld_share:6", lambda s, d: split.in_period(transactions(s, d)).where("in_period").groupBy(F.when(F.col("is_target"), "target").otherwise("peers").alias("slice")).agg(F.count(F.lit(1)).alias("row_count"), F.avg(F.col("has_eld_activity").cast("double")).alias("eld_share")),

@@ -1,5 +1,7 @@
 import math
+import time
 from datetime import datetime, timedelta
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens import config, report
 from ledgerlens.functions import ranks, stats, workers
 from ledgerlens.operators import clean, compare, features, patterns, quality, risk, split, temporal
+from ledgerlens.plans import analyse
 from ledgerlens.schema import REQUIRED, TYPES
 from ledgerlens.sources import readers
 
@@ -103,6 +106,26 @@ def test_workers(spark):
     assert workers.segments(np.r_[np.zeros(10), np.ones(10) * 5], 2) == [10, 20]
 
 
+def plain_fisher(a, b, c, d):
+    n1, n2, k = a + b, c + d, a + c
+    ways = {x: math.comb(n1, x) * math.comb(n2, k - x) for x in range(max(0, k - n2), min(k, n1) + 1)}
+    return float(Fraction(sum(w for w in ways.values() if w <= ways[a]), math.comb(n1 + n2, k)))
+
+
+def test_fisher_on_real_counts(spark):
+    rng = np.random.default_rng(9)
+    for most in (1, 4, 30, 400):
+        for a, b, c, d in rng.integers(0, most + 1, (60, 4)).tolist():
+            if a + b + c + d:
+                assert abs(workers.fisher_exact(a, b, c, d) - plain_fisher(a, b, c, d)) < 1e-9, (a, b, c, d)
+    began = time.perf_counter()
+    assert 0.4 < workers.fisher_exact(10**8, 10**8, 10**8 + 5_000, 10**8 - 5_000) < 0.8
+    assert workers.fisher_exact(10**8, 10**8, 2 * 10**8, 10**8) == 0.0 and time.perf_counter() - began < 5
+    counts = compare.counts(analyse.period_rows(spark, "/root/testdata/sf0.001")).collect()
+    got = {r.metric: r.p for r in analyse.QUERIES["tests_fisher"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {r.metric: pytest.approx(plain_fisher(r.a, r.n1 - r.a, r.b, r.n2 - r.b), abs=1e-6) for r in counts}
+
+
 def test_cleaning(spark, frame):
     days = [datetime(2024, 1, 1) + timedelta(days=i) for i in range(36)]
     df = frame([{"transaction_timestamp": t, "odometer_miles": -i, "driver_name": " \t" if i == 0 else "Bö"} for i, t in enumerate(days)])
