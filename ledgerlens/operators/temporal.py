@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..config import Config, Temporal
-from ..functions import ranks, stats
+from ..functions import ranks, stats, workers
 
 KEY = ("entity_type", "entity_id")
 SERIES = (*KEY, "metric")
@@ -190,18 +190,23 @@ def halves(s: DataFrame, least: int = 3) -> DataFrame:
     return t.join(med, list(SERIES)).withColumn("direction", d)
 
 
-def score(df: DataFrame, peers: DataFrame, config: Config = Config(), points: DataFrame | None = None) -> DataFrame:
+def score(df: DataFrame, peers: DataFrame, config: Config = Config(), points: DataFrame | None = None, whole: bool = True) -> DataFrame:
     """The temporal risk score of each entity of df, with baselines from peers, and the counts it is made of.
 
-    ``points`` is (series, change_points) from the segmentation, if wanted; without it that term is 0.
+    ``points`` is (series, change_points) from the segmentation, found here if not given. Without ``whole`` the score
+    is the part that SQL can express: no such points, and every increasing trend but no decreasing one.
     """
     t, need = config.temporal, config.data_requirements
     # two small tables that every detector reads: kept, so that transactions are read once for each
     m = monthly(df, need.min_temporal_transactions, need.min_months).persist()
     s, base = long(m), baselines(peers, config).persist()
+    if whole and points is None:
+        points = workers.change_points(s, SERIES, "month", "value")
+    # for costs the decrease is of concern: small vehicles
+    concern = F.when(F.col("metric") == "cost_mean", F.col("trend") == "decreasing").otherwise(F.col("trend") == "increasing") if whole else F.col("trend") == "increasing"
     count = lambda x, name: x.groupBy(*KEY).agg(F.count(F.lit(1)).alias(name))
     parts = [
-        count(mann_kendall(s).where("trend = 'increasing'"), "trends"), count(cusum(s, t.cusum_k, t.cusum_h), "changes"), count(spikes(s, base, t, need.min_months), "spikes"), count(escalations(s, t), "escalations"),
+        count(mann_kendall(s).where(concern), "trends"), count(cusum(s, t.cusum_k, t.cusum_h), "changes"), count(spikes(s, base, t, need.min_months), "spikes"), count(escalations(s, t), "escalations"),
         count(autocorrelation(s, t).where("risk_level = 'HIGH'"), "persistent"), count(rolling_outliers(s, t), "outliers"),
     ]
     if points is not None:

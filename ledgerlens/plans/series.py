@@ -79,12 +79,13 @@ def ser(s, d):
     return temporal.series(target(s, d))
 
 
-def _scores(s, d):
-    return temporal.score(target(s, d), peers(s, d))
+def _scores(s, d, whole=False):
+    """Scores of the target; those that are held against SQL are the part that it can express."""
+    return temporal.score(target(s, d), peers(s, d), whole=whole)
 
 
 def _both_scores(s, d):
-    a = _scores(s, d).where("entity_type = 'driver'").select("temporal_risk_score", F.lit(True).alias("is_target"))
+    a = _scores(s, d, True).where("entity_type = 'driver'").select("temporal_risk_score", F.lit(True).alias("is_target"))
     b = temporal.score(peers(s, d), peers(s, d)).where("entity_type = 'driver'").select("temporal_risk_score", F.lit(False).alias("is_target"))
     return compare.scores(a.unionByName(b), "temporal_risk_score", "is_target")
 
