@@ -49,18 +49,29 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return base * i + F.greatest(F.lit(0), F.lit(i) - (parts - rest)), base + F.when(F.lit(i) >= parts - rest, 1).otherwise(0)
 
 
-def _keys(norm: Column, threshold: int) -> Column:
-    """Index keys (side 0) and probes (side 1) of a line; a probe at the segment's own place is the index key itself."""
-    length, out = F.length(norm), []
+def _probes(threshold: int) -> list[tuple[int, int, int]]:
+    """(d, segment, move) of each key of a line; an index key has neither d nor move."""
+    out = []
     for d in range(threshold + 1):
         for i in range(threshold + 1):
-            start, size = _segment(length - d, i, threshold + 1)
-            for move in range(max(-i, d - (threshold - i)), min(i, d + threshold - i) + 1):
-                side = 0 if d == 0 and move == 0 else 1
-                out.append(F.struct(F.xxhash64(F.lit(i), length - d, norm.substr(start + move + 1, size)).alias("key"), F.lit(side).alias("side")))
+            out += [(d, i, move) for move in range(max(-i, d - (threshold - i)), min(i, d + threshold - i) + 1)]
+    return out
+
+
+def _keys(norm: Column, threshold: int) -> Column:
+    """Index keys and probes of a line as longs, in the order of ``_probes``; a probe at the segment's own place is the index key itself."""
+    length, out = F.length(norm), []
+    for d, i, move in _probes(threshold):
+        start, size = _segment(length - d, i, threshold + 1)
+        out.append(F.xxhash64(F.lit(i), length - d, norm.substr(start + move + 1, size)))
     return F.array(*out)
 
 
+def _rows(lines: DataFrame, keys: str, index: list[int]) -> DataFrame:
+    """(id, key, side) of each key of a line: side 0 for those at the places ``index``, else 1."""
+    return lines.select("id", F.posexplode(keys).alias("at", "key")).select("id", "key", F.when(F.col("at").isin(*index), 0).otherwise(1).alias("side"))
+
+
 def _hot_links(hot: DataFrame) -> DataFrame:
     """Links of lines (id, norm) at distance 1: lines that agree but for the character at one place, or for one more."""
     place = F.explode(F.sequence(F.lit(1), F.length("norm"))).alias("p")
@@ -90,21 +101,24 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links(lines: DataFrame, texts, threshold: int = 1) -> DataFrame:
-    """Links (a, b) that reach every pair of lines within the threshold.
+def shared_keys(lines: DataFrame, threshold: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(id, key, side, n) of keys that n different lines share, one of them indexed, and the pairs (a, b) to be verified.
 
-    lines holds (id, keys), ``keys`` as from ``_keys``, one row for each different line; texts(ids)
-    gives (id, norm) for a table of ids.
+    lines holds (id, keys), ``keys`` as from ``_keys``, one row for each different line. With a threshold of 1 a key of
+    more than ``HOT`` lines gives no pairs.
     """
-    rows = lines.select("id", F.explode("keys").alias("x")).select("id", "x.*")
+    rows = _rows(lines, "keys", [at for at, (d, _, move) in enumerate(_probes(threshold)) if d == move == 0])
     shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("side").alias("side"), F.count(F.lit(1)).alias("n"))
     shared = saved(shared.where("low <> high and side = 0").select("key", "n"), "line-keys")
     rows = saved(rows.join(shared, "key"), "line-rows")
-    cold = saved(_pairs(rows if threshold != 1 else rows.where(F.col("n") <= HOT)), "line-pairs")
-    ids = cold.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    hot_ids = saved(rows.where((F.col("n") > HOT) if threshold == 1 else F.lit(False)).select("id").distinct(), "line-hot")
-    norm = saved(texts(saved(ids.unionByName(hot_ids).distinct(), "line-ids")), "line-texts")
-    hot = norm.join(hot_ids, "id", "left_semi")
+    return rows, saved(_pairs(rows if threshold != 1 else rows.where(F.col("n") <= HOT)), "line-pairs")
+
+
+def links(cold: DataFrame, hot: DataFrame, norm: DataFrame, threshold: int = 1) -> DataFrame:
+    """Links (a, b) that reach every pair of lines within the threshold.
+
+    cold holds the pairs to be verified, hot the lines (id, norm) of hot keys, norm (id, norm) of all lines of either.
+    """
     # lines of HOT_CHARS characters are in both, so that those of one more find them
     n_long, n_short = hot.agg(F.count_if(F.length("norm") >= HOT_CHARS), F.count_if(F.length("norm") <= HOT_CHARS)).first()
     pairs = cold
@@ -116,26 +130,34 @@ def links(lines: DataFrame, texts, threshold: int = 1) -> DataFrame:
     return near.unionByName(_hot_links(hot.where(F.length("norm") <= HOT_CHARS))) if n_short else near
 
 
-def _word_keys(norm: Column) -> Column:
-    """Keys of both halves of a line's words (side 0) and, as the one with a word more, of the halves of the others (side 1)."""
-    w, out = F.split(norm, SPACES), []
+def _one_space(norm: Column) -> Column:
+    """The line with one space between its words."""
+    return F.when(norm.rlike(r"[\t\r\x0b\x0c]|  "), F.regexp_replace(norm, SPACES, " ")).otherwise(norm)
+
+
+def _word_keys(spaced: Column) -> Column:
+    """Keys of both halves of a line's words (at 0 and 1) and, as the one with a word more, of the halves of the others; spaced is from ``_one_space``."""
+    words, out = F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1, []
     for d in (0, 1):
-        n = F.size(w) - d
+        n = words - d
         half = F.floor(n / 2).cast("int")
-        for i, part in enumerate((F.slice(w, F.lit(1), half), F.slice(w, half + d + 1, n - half))):
-            out.append(F.struct(F.xxhash64(F.lit(i), n, part).alias("key"), F.lit(d).alias("side")))
+        out += [F.xxhash64(F.lit(i), n, F.call_function("substring_index", spaced, F.lit(" "), part)) for i, part in enumerate((half, half - n))]
     return F.array(*out)
 
 
-def word_links(lines: DataFrame, texts) -> DataFrame:
-    """Links (a, b) that reach every pair of lines whose words differ in one place at most.
+def shared_words(lines: DataFrame) -> DataFrame:
+    """(id) of lines that share half of their words with another; lines holds (id, word_keys)."""
+    rows = _rows(lines, "word_keys", [0, 1])
+    shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("side").alias("side")).where("low <> high and side = 0").select("key")
+    return rows.join(shared, "key").select("id").distinct()
+
+
+def word_links(norm: DataFrame) -> DataFrame:
+    """Links (a, b) that reach every pair of the lines (id, norm) whose words differ in one place at most.
 
-    lines holds (id, word_keys); texts is as for ``links``. A word and its place are one hash, the words of a line the
-    exclusive or of theirs, so that a line without one word takes one step a word.
+    A word and its place are one hash, the words of a line the exclusive or of theirs, so that a line without one word
+    takes one step a word.
     """
-    rows = lines.select("id", F.explode("word_keys").alias("x")).select("id", "x.*")
-    shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("side").alias("side")).where("low <> high and side = 0").select("key")
-    norm = texts(saved(rows.join(shared, "key").select("id").distinct(), "line-word-ids"))
     word = norm.select("id", F.posexplode(F.split("norm", SPACES)).alias("p", "w")).select("id", "p", F.length("w").alias("c"), F.xxhash64("p", "w").alias("h"), F.xxhash64(F.col("p") - 1, "w").alias("g"))
     line = W.partitionBy("id")
     upto = line.orderBy("p").rowsBetween(W.unboundedPreceding, 0)
@@ -158,18 +180,28 @@ def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     get one answer. Earliest means smallest key (null first), then text hash, then line number.
     """
     occ = occurrences(docs, text, key, 1 if short else min_chars)
-    no_keys = F.array().cast("array<struct<key:bigint,side:int>>")
-    keyed = lambda keys: F.when(F.length("norm") >= min_chars, keys).otherwise(no_keys)
-    at = F.struct("_k", "_th", "n", keyed(_keys(F.col("norm"), threshold)).alias("keys"), (keyed(_word_keys(F.col("norm"))) if words else no_keys).alias("word_keys"))
-    lines = occ.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("copies"))
-    lines = saved(lines.select("h1", "h2", F.struct("first._k", "first._th", "first.n").alias("first"), "first.keys", "first.word_keys", "copies"), "lines")
-
-    def texts(ids: DataFrame) -> DataFrame:
-        return occ.select(F.col("h1").alias("id"), "norm").join(small(ids), "id", "left_semi").groupBy("id").agg(F.min("norm").alias("norm"))
-
-    near = links(lines.select(F.col("h1").alias("id"), "keys"), texts, threshold)
+    keyed = occ.withColumn("keys", _keys(F.col("norm"), threshold))
+    if words:
+        keyed = keyed.withColumn("_spaced", _one_space(F.col("norm"))).withColumn("word_keys", _word_keys(F.col("_spaced")))
+    names = ["keys", *["word_keys"] * words]
+    at = F.struct("_k", "_th", "n", (F.length("norm") >= min_chars).alias("long"), *names)
+    lines = keyed.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("copies"))
+    lines = saved(lines.select("h1", "h2", F.struct("first._k", "first._th", "first.n").alias("first"), "first.long", *[f"first.{c}" for c in names], "copies"), "lines")
+    compared = lines.where("long").select(F.col("h1").alias("id"), *names)
+
+    rows, cold = shared_keys(compared, threshold)
+    ids = cold.select(F.explode(F.array("a", "b")).alias("id")).select("id", F.lit(False).alias("hot"), F.lit(False).alias("word"))
+    if threshold == 1:
+        ids = ids.unionByName(rows.where(F.col("n") > HOT).select("id", F.lit(True).alias("hot"), F.lit(False).alias("word")))
+    if words:
+        ids = ids.unionByName(shared_words(compared).select("id", F.lit(False).alias("hot"), F.lit(True).alias("word")))
+    ids = saved(ids.groupBy("id").agg(F.max("hot").alias("hot"), F.max("word").alias("word")), "line-ids")
+    # the text of each line that is looked at, from one more pass over the documents
+    norm = occ.select(F.col("h1").alias("id"), "norm").join(small(ids), "id").groupBy("id", "hot", "word").agg(F.min("norm").alias("norm"))
+    norm = saved(norm, "line-texts")
+    near = links(cold, norm.where("hot").select("id", "norm"), norm.select("id", "norm"), threshold)
     if words:
-        near = near.unionByName(word_links(lines.select(F.col("h1").alias("id"), "word_keys"), texts))
+        near = near.unionByName(word_links(norm.where("word").select("id", "norm")))
     classes = components(near).withColumnRenamed("node", "h1")
     member = lines.select("h1", "h2", "first").join(classes, "h1")
     keep = member.groupBy("component").agg(F.min("first").alias("keep"))
