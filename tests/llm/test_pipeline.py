@@ -3,9 +3,10 @@ import random
 import corpus_pipeline
 import public_tokenizers
 import pytest
-from ledgerlens.llm import pieces, quality, simhash
+from ledgerlens.llm import pieces, quality
 from tests.llm.test_lines import brute as plain_lines
 from tests.llm.test_mixing import brute as plain_mix
+from tests.llm.test_simhash import plain_groups
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -54,24 +55,10 @@ def test_stages_equal_plain_versions(spark, folder):
     want = plain_lines({(r.doc_id, r.text): None for r in rows[1]}, 1)
     assert len(rows[2]) == len(rows[1]) and {r.doc_id: r.text for r in rows[2]} == want
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows[2])
-    # 3: all fingerprints against all fingerprints
-    prints = {}
-    for r in rows[2]:
-        f, n = simhash.fingerprint((r.text or "").encode(), 5, simhash.NEAR_WORDS, True)
-        prints[r.doc_id] = (sum(int(w) << 64 * i for i, w in enumerate(f)), n)
-    comp = {k: k for k in prints}
-    for a in prints:
-        for b in prints:
-            (x, n), (y, m) = prints[a], prints[b]
-            if comp[a] != comp[b] and (x == y or ((x ^ y) & (2**64 - 1)).bit_count() <= simhash.NEAR_FIRST and (x ^ y).bit_count() <= simhash.NEAR_RADIUS and min(n, m) >= 0.8 * max(n, m)):
-                old, new = comp[a], comp[b]
-                comp = {k: new if c == old else c for k, c in comp.items()}
-    groups = {}
-    for k, c in comp.items():
-        groups.setdefault(c, set()).add(k)
-    kept = {r.doc_id for r in rows[3]}
-    assert len(rows[3]) == len(groups) and all(len(kept & g) == 1 for g in groups.values())
-    assert all(min(k for k in g if k is not None) in kept for g in groups.values() if None not in g)
+    # 3: all sets of shingles against all
+    groups = plain_groups({(r.doc_id is None, r.doc_id): r.text for r in rows[2]})
+    kept = {(r.doc_id is None, r.doc_id) for r in rows[3]}
+    assert len(rows[3]) == len(kept) and kept == {min(g, key=lambda k: (k[0], k[1] or 0)) for g in groups}
     # 4: the mix by plain loops
     _, _, copies = plain_mix([(r.doc_id, r.text, r.source) for r in rows[3]])
     got = {}

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from ledgerlens.llm import simhash
@@ -88,5 +89,56 @@ def test_near_duplicates_at_080(spark):
 
 
 def test_longer_fingerprints_are_mixed():
-    f, _ = simhash.fingerprint(b"a b c d e f g h", 3, 4)
+    f = simhash._majority(simhash.shingle_set(b"a b c d e f g h", 3), 4)
     assert len(set(f.tolist())) == 4 and f.dtype == np.uint64
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({b" ".join(words)} if words else set())
+
+
+def plain_groups(texts, least=0.8):
+    """Sets of keys that links of a Jaccard similarity of ``least`` or more reach, all pairs tried."""
+    sets, comp = {k: shingles(t) for k, t in texts.items()}, {k: k for k in texts}
+    for a in sets:
+        for b in sets:
+            x, y = sets[a], sets[b]
+            if comp[a] != comp[b] and (x == y or len(x & y) >= least * len(x | y) - 1e-9):
+                old, new = comp[a], comp[b]
+                comp = {k: new if c == old else c for k, c in comp.items()}
+    out = {}
+    for k, c in comp.items():
+        out.setdefault(c, set()).add(k)
+    return list(out.values())
+
+
+@pytest.mark.parametrize("tile,held", [(simhash.TILE, simhash.HELD), (5, 600)])
+def test_near_duplicates_are_those_of_exact_similarity(spark, tile, held):
+    rng = random.Random(tile)
+    texts = {}
+    for n in (9, 30, 200, 400):  # a group of copies that drift, on both sides of the bound
+        base = [f"w{rng.randrange(10**4)}" for _ in range(n)]
+        for _ in range(25):
+            words = list(base)
+            for _ in range(rng.randrange(max(2, n // 25))):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**4)}"
+            texts[len(texts)] = " ".join(words)
+    texts |= {200: "", 201: None, 202: "one", 203: "ONE", 204: "one two", 205: " ".join(["again"] * 5000)}
+    docs = spark.createDataFrame([(k, t, 0) for k, t in texts.items()], SCHEMA).repartition(3)
+    got = {}
+    for r in simhash.near_duplicates(docs, tile=tile, held=held).collect():
+        got.setdefault(r.component, set()).add(r._k)
+    want = plain_groups(texts)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want)) and 10 < len(want) < len(texts) - 10
+    pairs = sum(1 for g in want for a in g for b in g if a < b and len(shingles(texts[a]) & shingles(texts[b])) < 0.8 * len(shingles(texts[a]) | shingles(texts[b])))
+    assert pairs  # some are linked through others only
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs, tile=tile, held=held).collect()}
+    assert kept == {min(g) for g in want}
+
+
+def test_repeated_and_null_keys(spark):
+    long, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, long, 0), (1, other, 0), (1, other, 0), (1, other, 7), (None, long, 0), (None, "alone", 0), (None, "alone", 1), (2, None, 0), (3, "", 0)]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, long), (1, other), (None, "alone"), (2, None)], key=str)
