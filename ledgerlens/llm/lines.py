@@ -132,7 +132,10 @@ def links(cold: DataFrame, hot: DataFrame, norm: DataFrame, threshold: int = 1)
 
 def _one_space(norm: Column) -> Column:
     """The line with one space between its words."""
-    return F.when(norm.rlike(r"[\t\r\x0b\x0c]|  "), F.regexp_replace(norm, SPACES, " ")).otherwise(norm)
+    odd = F.lit(False)
+    for x in ("  ", "\t", "\r", "\x0b", "\x0c"):  # looked for in the bytes, so that few lines meet the regular expression
+        odd |= norm.contains(x)
+    return F.when(odd, F.regexp_replace(norm, SPACES, " ")).otherwise(norm)
 
 
 def _word_keys(spaced: Column) -> Column:
@@ -146,26 +149,45 @@ def _word_keys(spaced: Column) -> Column:
 
 
 def shared_words(lines: DataFrame) -> DataFrame:
-    """(id) of lines that share half of their words with another; lines holds (id, word_keys)."""
-    rows = _rows(lines, "word_keys", [0, 1])
-    shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("side").alias("side")).where("low <> high and side = 0").select("key")
-    return rows.join(shared, "key").select("id").distinct()
+    """(id, halves) of lines that share half of their words with another; lines holds (id, word_keys).
+
+    Bits of halves: 0 and 1 for the first and the second half shared with a line of as many words, 2 and 3 for those
+    shared with a line of one word less, 4 for one shared with a line of one word more.
+    """
+    rows = lines.select("id", F.posexplode("word_keys").alias("at", "key"))
+    own, longer = F.when(F.col("at") < 2, F.col("id")), F.when(F.col("at") >= 2, F.col("id"))
+    shared = rows.groupBy("key").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.min(longer).alias("low_1"), F.max(longer).alias("high_1"))
+    shared = shared.where("low is not null and least(low, low_1) <> greatest(high, high_1)")
+    other = lambda low, high: F.coalesce((F.col(low) != F.col("id")) | (F.col(high) != F.col("id")), F.lit(False))
+    bits = F.when(other("low", "high"), F.call_function("shiftleft", F.lit(1), F.col("at"))).otherwise(0)
+    bits = bits.bitwiseOR(F.when((F.col("at") < 2) & other("low_1", "high_1"), 16).otherwise(0))
+    return rows.join(shared, "key").groupBy("id").agg(F.bit_or(bits).alias("halves")).where("halves <> 0")
 
 
 def word_links(norm: DataFrame) -> DataFrame:
-    """Links (a, b) that reach every pair of the lines (id, norm) whose words differ in one place at most.
+    """Links (a, b) that reach every pair of the lines (id, norm, halves) whose words differ in one place at most.
 
-    A word and its place are one hash, the words of a line the exclusive or of theirs, so that a line without one word
-    takes one step a word.
+    The place lies outside a half that both have, so only the words there are left out in turn. A word and its place are
+    one hash, the words of a line the exclusive or of theirs, so that a line without one word takes one step.
     """
-    word = norm.select("id", F.posexplode(F.split("norm", SPACES)).alias("p", "w")).select("id", "p", F.length("w").alias("c"), F.xxhash64("p", "w").alias("h"), F.xxhash64(F.col("p") - 1, "w").alias("g"))
+    word = norm.select("id", "halves", F.posexplode(F.split("norm", SPACES)).alias("p", "w")).select("id", "halves", "p", F.length("w").alias("c"), F.xxhash64("p", "w").alias("h"), F.xxhash64(F.col("p") - 1, "w").alias("g"))
     line = W.partitionBy("id")
     upto = line.orderBy("p").rowsBetween(W.unboundedPreceding, 0)
-    word = word.select("id", "p", "c", "h", F.bit_xor("h").over(upto).alias("hs"), F.bit_xor("g").over(upto).alias("gs"), F.bit_xor("h").over(line).alias("h_all"), F.bit_xor("g").over(line).alias("g_all"), F.sum("c").over(line).alias("chars"))
+    word = word.select("id", "halves", "p", "c", "h", F.bit_xor("h").over(upto).alias("hs"), F.bit_xor("g").over(upto).alias("gs"), F.bit_xor("h").over(line).alias("h_all"), F.bit_xor("g").over(line).alias("g_all"), F.sum("c").over(line).alias("chars"), F.count("p").over(line).alias("n"))
     key = lambda p, h, whole: F.struct(p.cast("int").alias("p"), h.alias("h"), F.lit(whole).alias("whole"))
-    replaced = key(F.col("p") + 1, F.col("h_all").bitwiseXOR(F.col("h")), False)
-    left_out = key(F.lit(0), F.col("hs").bitwiseXOR(F.col("h")).bitwiseXOR(F.col("g_all")).bitwiseXOR(F.col("gs")), False)
-    cut = F.concat(F.when(F.col("c") * WORD_SHARE <= F.col("chars") - F.col("c"), F.array(replaced, left_out)).otherwise(F.array()), F.when(F.col("p") == 0, F.array(key(F.lit(0), F.col("h_all"), True))).otherwise(F.array()))
+    bit = lambda i: F.col("halves").bitwiseAND(1 << i) != 0
+    half, half_1 = F.floor(F.col("n") / 2), F.floor((F.col("n") - 1) / 2)
+    small_word = F.col("c") * WORD_SHARE <= F.col("chars") - F.col("c")
+    replaced = small_word & ((bit(0) & (F.col("p") >= half)) | (bit(1) & (F.col("p") < half)))
+    left_out = small_word & ((bit(2) & (F.col("p") >= half_1)) | (bit(3) & (F.col("p") <= half_1)))
+    # equal words between other spaces are a replacement at no place: all lines of a shared half have their whole
+    whole = (F.col("p") == 0) & (F.col("halves") != 0)
+    one = lambda when, k: F.when(when, F.array(k)).otherwise(F.array())
+    cut = F.concat(
+        one(replaced, key(F.col("p") + 1, F.col("h_all").bitwiseXOR(F.col("h")), False)),
+        one(left_out, key(F.lit(0), F.col("hs").bitwiseXOR(F.col("h")).bitwiseXOR(F.col("g_all")).bitwiseXOR(F.col("gs")), False)),
+        one(whole, key(F.lit(0), F.col("h_all"), True)),
+    )
     cut = saved(word.select("id", F.explode(cut).alias("x")).select("id", "x.*"), "line-words")
     # many lines can agree but for one word: grouped minimums and a join, no window
     centre = cut.groupBy("p", "h").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max(F.when(F.col("whole"), F.col("id"))).alias("whole_id")).where("low <> high")
@@ -190,18 +212,18 @@ def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     compared = lines.where("long").select(F.col("h1").alias("id"), *names)
 
     rows, cold = shared_keys(compared, threshold)
-    ids = cold.select(F.explode(F.array("a", "b")).alias("id")).select("id", F.lit(False).alias("hot"), F.lit(False).alias("word"))
+    ids = cold.select(F.explode(F.array("a", "b")).alias("id")).select("id", F.lit(False).alias("hot"), F.lit(0).alias("halves"))
     if threshold == 1:
-        ids = ids.unionByName(rows.where(F.col("n") > HOT).select("id", F.lit(True).alias("hot"), F.lit(False).alias("word")))
+        ids = ids.unionByName(rows.where(F.col("n") > HOT).select("id", F.lit(True).alias("hot"), F.lit(0).alias("halves")))
     if words:
-        ids = ids.unionByName(shared_words(compared).select("id", F.lit(False).alias("hot"), F.lit(True).alias("word")))
-    ids = saved(ids.groupBy("id").agg(F.max("hot").alias("hot"), F.max("word").alias("word")), "line-ids")
+        ids = ids.unionByName(shared_words(compared).select("id", F.lit(False).alias("hot"), "halves"))
+    ids = saved(ids.groupBy("id").agg(F.max("hot").alias("hot"), F.max("halves").alias("halves")), "line-ids")
     # the text of each line that is looked at, from one more pass over the documents
-    norm = occ.select(F.col("h1").alias("id"), "norm").join(small(ids), "id").groupBy("id", "hot", "word").agg(F.min("norm").alias("norm"))
+    norm = occ.select(F.col("h1").alias("id"), "norm").join(small(ids), "id").groupBy("id", "hot", "halves").agg(F.min("norm").alias("norm"))
     norm = saved(norm, "line-texts")
     near = links(cold, norm.where("hot").select("id", "norm"), norm.select("id", "norm"), threshold)
     if words:
-        near = near.unionByName(word_links(norm.where("word").select("id", "norm")))
+        near = near.unionByName(word_links(norm.where("halves <> 0").select("id", "norm", "halves")))
     classes = components(near).withColumnRenamed("node", "h1")
     member = lines.select("h1", "h2", "first").join(classes, "h1")
     keep = member.groupBy("component").agg(F.min("first").alias("keep"))
