@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from . import stats, workers
+from . import ranges, stats, workers
 
 
 def percentile_rank(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -17,21 +17,34 @@ def percentile_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.withColumn(name, F.when(F.col(column).isNotNull(), rank / n * 100))
 
 
-def rank_test(df: DataFrame, value: str, first: str, by: tuple[str, ...] = (), exact: bool = False) -> DataFrame:
+def rank_test(df: DataFrame, value: str, first: str, by: tuple[str, ...] = (), exact: bool = False, ranged: bool = True) -> DataFrame:
     """Mann-Whitney U of the rows where the boolean ``first`` holds against the others, for each group ``by``.
 
     Returns by, n1, n2, u, cliffs_delta, z, p_value (two-sided normal approximation
     with tie and continuity corrections; null below two values a side). With ``exact``,
     a sample of at most 8 without ties gets its p-value by counting arrangements. The rows are
-    reduced to (value, count, count) before the running sums, so a task sees one row for each
-    different value of a group, not each transaction.
+    reduced to (value, count, count) before the running sums, which go by ranges of values, so
+    that no task sees all different values of a group; ``ranged=False`` orders a group at once, for many small groups.
     """
-    v = df.where(F.col(value).isNotNull() & F.col(first).isNotNull()).groupBy(*by, value).agg(F.count_if(F.col(first)).alias("_a"), F.count_if(~F.col(first)).alias("_b"))
+    v = counted(df, value, first, by)
+    if ranged:
+        return from_counts(ranges.running(v, value, ("_a", "_b"), by), by, exact)
     before = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    v = v.withColumns({"_t": F.col("_a") + F.col("_b"), "_below": F.coalesce(F.sum(F.col("_a") + F.col("_b")).over(before), F.lit(0))})
+    return from_counts(v.withColumns({f"_before_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("_a", "_b")}), by, exact)
+
+
+def counted(df: DataFrame, value: str, first: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, value, _a, _b): how many rows of either side have each different value."""
+    return df.where(F.col(value).isNotNull() & F.col(first).isNotNull()).groupBy(*by, value).agg(F.count_if(F.col(first)).alias("_a"), F.count_if(~F.col(first)).alias("_b"))
+
+
+def from_counts(v: DataFrame, by: tuple[str, ...] = (), exact: bool = False, also: tuple = ()) -> DataFrame:
+    """``rank_test`` from running counts of ``counted``; ``also`` are further aggregates of the same pass."""
+    v = v.withColumns({"_t": F.col("_a") + F.col("_b"), "_below": F.col("_before__a") + F.col("_before__b")})
     ranks = F.col("_a") * (F.col("_below") + (F.col("_t") + 1) / 2.0)
     t = F.col("_t").cast("double")
-    g = v.groupBy(*by).agg(F.sum("_a").alias("n1"), F.sum("_b").alias("n2"), F.sum(ranks).alias("_r"), F.sum(t * t * t - t).alias("_ties"))
+    g = v.groupBy(*by).agg(F.sum("_a").alias("n1"), F.sum("_b").alias("n2"), F.sum(ranks).alias("_r"), F.sum(t * t * t - t).alias("_ties"), *also)
+    more = [c for c in g.columns if c not in (*by, "n1", "n2", "_r", "_ties")]
     g = g.withColumn("u", F.col("_r") - F.col("n1") * (F.col("n1") + 1) / 2.0)
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
@@ -42,7 +55,7 @@ def rank_test(df: DataFrame, value: str, first: str, by: tuple[str, ...] = (), e
     if exact:
         few = (F.least("n1", "n2") <= 8) & (F.col("_ties") == 0) & F.col("z").isNotNull()
         g = g.withColumn("p_value", F.when(few, workers.exact_u(F.when(few, F.col("u")), F.col("n1"), F.col("n2"))).otherwise(F.col("p_value")))
-    return g.select(*by, "n1", "n2", "u", "cliffs_delta", "z", "p_value")
+    return g.select(*by, "n1", "n2", "u", "cliffs_delta", "z", "p_value", *more)
 
 
 def rank_test_sql(source: str, value: str, first: str, by: str = "") -> str:

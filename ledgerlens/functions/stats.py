@@ -8,9 +8,6 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 #: Chebyshev coefficients of the complementary error function, lowest order first (fixed values; relative error below 1.2e-7).
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 
@@ -95,10 +92,6 @@ def two_by_two_sql(a: str, n1: str, b: str, n2: str, alpha: float = 0.05, contin
     }
 
 
-def expr(text: str) -> Column:
-    return F.expr(text)
-
-
 def band_sql(x: str, cuts: tuple[float, ...], names: tuple[str, ...]) -> str:
     """The name of the first cut that |x| is below, else the last name; null for null."""
     return "case when {0} is null then null ".format(x) + "".join(f"when abs({x}) < {c!r}e0 then '{n}' " for c, n in zip(cuts, names)) + f"else '{names[-1]}' end"
@@ -113,3 +106,4 @@ def risk_band_sql(x: str, bands: tuple[float, ...] = (75.0, 50.0, 25.0)) -> str:
 
 
 CLIFF_NAMES = ("negligible", "small", "medium", "large")
+RATIO_NAMES = ("small", "medium", "large")

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -73,26 +71,39 @@ def exact_u(u: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(x) else exact_u_p(float(x), int(a), int(b)) for x, a, b in zip(u, n, m)], dtype=float)
 
 
-def bootstrap(values: DataFrame, column: str, resamples: int = 10_000, seed: int = 42, alpha: float = 0.05, statistic: Callable[[np.ndarray], float] = np.mean, limit: int = 1_000_000) -> DataFrame:
-    """(low, high) of the percentile interval of a statistic, resampled in parallel over replicates.
+#: Different values that a task of the bootstrap holds, and tasks among which replicates are dealt while there are few blocks.
+BLOCK, DEALT = 20_000, 16
+
+
+def bootstrap(values: DataFrame, column: str, resamples: int = 10_000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """(low, high) of the percentile interval of the mean over resamples as large as the data; nulls without values.
 
-    The values are collected once and broadcast: their number is checked against ``limit``
-    and a larger set raises, as a resample of it would not fit a task either.
+    Equal values are counted and dealt to blocks of about ``BLOCK`` different ones. In a resample each block gets a
+    multinomial share of the draws and each of its values a multinomial share of those, which is the same as drawing
+    rows one by one. Shares of blocks follow from the seed and the resample's number, so all tasks agree on them; a
+    task holds its block alone, and the driver sees the blocks' sizes.
     """
-    spark = values.sparkSession
-    x = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double"))
-    n = x.count()
-    if n > limit:
-        raise ValueError(f"{n} values; reduce them below {limit} first")
-    shared = spark.sparkContext.broadcast(np.sort(x.toPandas()[column].to_numpy()))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        data = shared.value
-        for part in parts:
-            yield pd.DataFrame({"value": [float(statistic(data[np.random.default_rng((seed, int(i))).integers(0, len(data), len(data))])) if len(data) else None for i in part["id"]]})
-
-    reps = spark.range(resamples).mapInPandas(run, "value double")
-    return reps.agg(F.percentile("value", F.lit(alpha / 2)).alias("low"), F.percentile("value", F.lit(1 - alpha / 2)).alias("high"))
+    x = values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    blocks = max(1, -(-x.count() // BLOCK))
+    x = x.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
+    sizes = {k: n for k, n in x.groupBy("block").agg(F.sum("c")).collect()}
+    total = sum(sizes.values())
+    share = np.array([sizes.get(i, 0) for i in range(blocks)]) / max(1, total)
+    deals = max(1, DEALT // blocks)
+    rows = x.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+
+    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+        block, deal = int(key[0]), int(key[1])
+        part = part.sort_values("v")
+        v, p = part["v"].to_numpy(float), part["c"].to_numpy(float)
+        p, reps, sums = p / p.sum(), np.arange(deal, resamples, deals), []
+        for r in reps.tolist():
+            draws = np.random.default_rng((seed, r)).multinomial(total, share)[block] if blocks > 1 else total
+            sums.append(float(np.random.default_rng((seed, r, block)).multinomial(draws, p) @ v))
+        return pd.DataFrame({"replicate": reps, "s": sums})
+
+    means = rows.groupBy("block", "deal").applyInPandas(run, "replicate long, s double").groupBy("replicate").agg((F.sum("s") / F.lit(float(max(1, total)))).alias("value"))
+    return means.agg(F.percentile("value", F.lit(alpha / 2)).alias("low"), F.percentile("value", F.lit(1 - alpha / 2)).alias("high"))
 
 
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:

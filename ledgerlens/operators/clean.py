@@ -60,18 +60,22 @@ def absolute(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.abs(c) for c in ABSOLUTE})
 
 
-def clean(df: DataFrame, config: Config = Config(), distinct: bool = True) -> DataFrame:
-    """All steps in order. ``distinct=False`` leaves out the shuffle of whole rows, for sources whose rows are known to differ."""
-    x = blank_to_null(nan_to_null(require(rename(df, config.columns))))
-    x = types(x.dropDuplicates() if distinct else x)
-    return absolute(drop_unfinished_month(x, config.data_requirements.monthend_days))
+def plain(df: DataFrame, config: Config = Config()) -> DataFrame:
+    """Canonical names, the required columns, blanks and NaN as nulls: the rows that are compared for copies."""
+    return blank_to_null(nan_to_null(require(rename(df, config.columns))))
+
+
+def clean(df: DataFrame, config: Config = Config()) -> DataFrame:
+    """All steps in order; copies go by a shuffle of whole rows."""
+    return absolute(drop_unfinished_month(types(plain(df, config).dropDuplicates()), config.data_requirements.monthend_days))
 
 
 def counts(df: DataFrame, config: Config = Config()) -> DataFrame:
-    """One row: initial, duplicates, incomplete, final."""
-    x = blank_to_null(nan_to_null(require(rename(df, config.columns))))
-    copies = x.groupBy(*REQUIRED).agg(F.count(F.lit(1)).alias("_n"))
-    one = types(copies)
-    final = drop_unfinished_month(one, config.data_requirements.monthend_days).agg(F.count(F.lit(1)).alias("final"))
-    first = copies.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("initial"), F.count(F.lit(1)).alias("_d"))
-    return first.join(F.broadcast(final), F.lit(True)).select("initial", (F.col("initial") - F.col("_d")).alias("duplicates"), (F.col("_d") - F.col("final")).alias("incomplete"), "final")
+    """One row: initial, duplicates, incomplete, final; one shuffle of whole rows, then counts by month."""
+    x = types(plain(df, config).groupBy(*REQUIRED).agg(F.count(F.lit(1)).alias("_n")))
+    month = F.date_format("transaction_timestamp", "yyyy-MM")
+    m = x.groupBy(month.alias("_m")).agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_d"), F.max("transaction_timestamp").alias("_t"))
+    last = F.max(F.col("_t"))
+    one = m.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("initial"), F.coalesce(F.sum("_d"), F.lit(0)).alias("_different"), F.max_by("_d", "_t").alias("_latest"), (F.datediff(F.last_day(last), F.to_date(last)) > config.data_requirements.monthend_days).alias("_bad"))
+    gone = F.when(F.col("_bad"), F.col("_latest")).otherwise(0)
+    return one.select("initial", (F.col("initial") - F.col("_different")).alias("duplicates"), gone.alias("incomplete"), (F.col("_different") - gone).alias("final"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions import ranks, stats
+from ..functions import ranges, ranks, stats, workers
 
 FLAGS = {"No ELD Match": "not has_eld_activity", "Non-Diesel/DEF": "not is_diesel_def", "After-Hours": "not is_business_hours", "Multiple Same-Day Fillups": "coalesce(fillups_per_day > 1, false)"}
 
@@ -25,17 +27,35 @@ def proportions(c: DataFrame, alpha: float = 0.05, continuity: bool = False) ->
     return x.withColumn("p_value", F.expr(tests["p_value"]))
 
 
-def cost(df: DataFrame) -> DataFrame:
-    """One row: the amounts of target and peers, their rank test and effect."""
-    t = ranks.rank_test(df, "transaction_amount", "is_target")
-    a, b = F.when(F.col("is_target"), F.col("transaction_amount")), F.when(~F.col("is_target"), F.col("transaction_amount"))
-    q = df.agg(*[f for n, c in (("target", a), ("peer", b)) for f in (F.avg(c).alias(f"mean_{n}"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{n}"), F.sum(c).alias(f"total_{n}"))])
-    x = t.join(F.broadcast(q), F.lit(True))
+def cost(df: DataFrame, config: Config = Config()) -> DataFrame:
+    """One row: the amounts of target and peers, their rank test and effect, all from one table of counted amounts."""
+    v, c = F.col("transaction_amount"), ranks.counted(df, "transaction_amount", "is_target")
+    also = []
+    for n, k in (("target", "_a"), ("peer", "_b")):
+        also += [F.try_divide(F.sum(v * F.col(k)), F.sum(k)).alias(f"mean_{n}"), F.sum(v * F.col(k)).alias(f"total_{n}")]
+        also += [q.alias(f"_{p}_{n}") for p, q in zip(("p25", "median", "p75"), ranges.at_shares("transaction_amount", k, (0.25, 0.5, 0.75)))]
+    x = ranks.from_counts(ranges.running(c, "transaction_amount", ("_a", "_b")), also=tuple(also))
     for n in ("target", "peer"):
-        x = x.withColumns({f"p25_{n}": F.get(f"_q_{n}", F.lit(0)), f"median_{n}": F.get(f"_q_{n}", F.lit(1)), f"p75_{n}": F.get(f"_q_{n}", F.lit(2))}).drop(f"_q_{n}")
-    diff = F.col("mean_target") - F.col("mean_peer")
-    d = F.when(F.abs("cliffs_delta") < 0.147, "negligible").when(F.col("cliffs_delta") > 0, "higher").otherwise("lower")
-    return x.withColumns({"mean_difference": diff, "percent_difference": F.try_divide(diff, "mean_peer") * 100, "direction": d, "magnitude": F.expr(stats.band_sql("cliffs_delta", (0.147, 0.33, 0.474), stats.CLIFF_NAMES))})
+        x = x.withColumns({f"{p}_{n}": ranges.between(F.col(f"_{p}_{n}")) for p in ("p25", "median", "p75")}).drop(*[f"_{p}_{n}" for p in ("p25", "median", "p75")])
+    diff, cuts = F.col("mean_target") - F.col("mean_peer"), config.effect_sizes.cliff
+    d = F.when(F.abs("cliffs_delta") < cuts[0], "negligible").when(F.col("cliffs_delta") > 0, "higher").otherwise("lower")
+    return x.withColumns({"mean_difference": diff, "percent_difference": F.try_divide(diff, "mean_peer") * 100, "direction": d, "magnitude": F.expr(stats.band_sql("cliffs_delta", cuts, stats.CLIFF_NAMES))})
+
+
+def magnitudes(tests: DataFrame, config: Config = Config()) -> DataFrame:
+    """Adds the bands of risk ratio, odds ratio and risk difference to ``proportions``; ratios below 1 go by their inverse."""
+    e = config.effect_sizes
+    gap = F.abs(F.col("rate_1") - F.col("rate_2"))
+    far = lambda c: F.greatest(F.col(c), F.try_divide(F.lit(1.0), F.col(c)))
+    x = tests.withColumns({"_rr": far("risk_ratio"), "_or": far("odds_ratio"), "_rd": gap})
+    for name, column, cuts in (("risk_ratio", "_rr", e.risk_ratio), ("odds_ratio", "_or", e.odds_ratio), ("risk_difference", "_rd", e.risk_difference)):
+        x = x.withColumn(f"{name}_band", F.expr(stats.band_sql(column, cuts, stats.RATIO_NAMES)))
+    return x.drop("_rr", "_or", "_rd")
+
+
+def standardised(df: DataFrame, value: str, first: str, config: Config = Config()) -> DataFrame:
+    """Cohen's d of a value with its band."""
+    return ranks.cohens_d(df, value, first).withColumn("magnitude", F.expr(stats.band_sql("cohens_d", config.effect_sizes.cohen, stats.CLIFF_NAMES)))
 
 
 def family(df: DataFrame, config: Config = Config()) -> DataFrame:
@@ -56,12 +76,20 @@ def executive(df: DataFrame, config: Config = Config()) -> DataFrame:
     return x.select("metric", "p_value", "odds_ratio", "risk_difference", "notable", "superiority").orderBy("p_value", "metric")
 
 
-def exposure(df: DataFrame, config: Config = Config()) -> DataFrame:
-    """One row (excess, mean_unverified, exposure) if the target's unverified rate is significantly higher; else none."""
-    t = proportions(counts(df, {"No ELD Match": FLAGS["No ELD Match"]}), config.statistics.alpha)
-    mean = df.where("is_target and not has_eld_activity").agg(F.avg("transaction_amount").alias("mean_unverified"))
-    x = t.join(F.broadcast(mean), F.lit(True)).withColumn("excess", ((F.col("rate_1") - F.col("rate_2")) * F.col("n1")).cast("long"))
-    return x.where((F.col("p_value") < config.statistics.alpha) & (F.col("excess") > 0)).select("excess", "mean_unverified", (F.col("excess") * F.col("mean_unverified")).alias("exposure"))
+def exposure(df: DataFrame, config: Config = Config(), interval: bool = True) -> DataFrame:
+    """One row (excess, mean_unverified, exposure, exposure_low, exposure_high) if the target's unverified rate is significantly higher; else none.
+
+    The bounds are those of the mean's bootstrap interval times the excess; without ``interval`` they are left out.
+    """
+    alpha = config.statistics.alpha
+    t = proportions(counts(df, {"No ELD Match": FLAGS["No ELD Match"]}), alpha)
+    mine = df.where("is_target and not has_eld_activity")
+    x = t.join(F.broadcast(mine.agg(F.avg("transaction_amount").alias("mean_unverified"))), F.lit(True)).withColumn("excess", ((F.col("rate_1") - F.col("rate_2")) * F.col("n1")).cast("long"))
+    x = x.where((F.col("p_value") < alpha) & (F.col("excess") > 0)).select("excess", "mean_unverified", (F.col("excess") * F.col("mean_unverified")).alias("exposure"))
+    if not interval:
+        return x
+    ci = workers.bootstrap(mine, "transaction_amount", config.performance.n_bootstrap, alpha=alpha)
+    return x.join(F.broadcast(ci), F.lit(True)).select("excess", "mean_unverified", "exposure", (F.col("excess") * F.col("low")).alias("exposure_low"), (F.col("excess") * F.col("high")).alias("exposure_high"))
 
 
 def log_advice(df: DataFrame, column: str) -> DataFrame:
@@ -73,12 +101,15 @@ def log_advice(df: DataFrame, column: str) -> DataFrame:
     """
     v = F.col(column)
     x = df.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("v"), F.log1p(F.greatest(v, F.lit(0.0))).alias("lv"))
-    one = x.agg(F.count("v").alias("n"), F.min("v").alias("lowest"), F.skewness("v").alias("_g1"), F.kurtosis("v").alias("_g2"), F.percentile("v", F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75, 0.99)])).alias("_q"), F.percentile("lv", F.lit(0.5)).alias("_lm"))
+    one = x.agg(F.count("v").alias("n"), F.min("v").alias("lowest"), F.skewness("v").alias("_g1"), F.kurtosis("v").alias("_g2"))
+    q = ranges.quantiles(x, {"_v": F.col("v"), "_lv": F.col("lv")}, (0.25, 0.5, 0.75, 0.99))
+    q = q.select(*[F.get("_v", F.lit(i)).alias(k) for i, k in enumerate(("p25", "p50", "p75", "p99"))], F.get("_lv", F.lit(1)).alias("_lm"))
     n = F.col("n").cast("double")
-    one = one.select("n", "lowest", "_lm", *[F.get("_q", F.lit(i)).alias(k) for i, k in enumerate(("p25", "p50", "p75", "p99"))], (F.col("_g1") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))).alias("skew"), ((n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * F.col("_g2") + 6)).alias("kurtosis"))
-    y = x.join(F.broadcast(one.select("p25", "p50", "p75", "_lm")), F.lit(True))
-    two = y.agg(F.percentile(F.abs(F.col("v") - F.col("p50")), F.lit(0.5)).alias("_mad"), F.percentile(F.abs(F.col("lv") - F.col("_lm")), F.lit(0.5)).alias("_lmad"), F.avg((F.col("v") > F.col("p50") + 3 * (F.col("p75") - F.col("p25"))).cast("double")).alias("tail_share"))
-    z = one.join(F.broadcast(two), F.lit(True))
+    one = one.join(F.broadcast(q), F.lit(True)).select("n", "lowest", "_lm", "p25", "p50", "p75", "p99", (F.col("_g1") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))).alias("skew"), ((n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * F.col("_g2") + 6)).alias("kurtosis"))
+    y = x.join(F.broadcast(q), F.lit(True))
+    mad = ranges.quantiles(y, {"_mad": F.abs(F.col("v") - F.col("p50")), "_lmad": F.abs(F.col("lv") - F.col("_lm"))}, (0.5,)).select(F.get("_mad", F.lit(0)).alias("_mad"), F.get("_lmad", F.lit(0)).alias("_lmad"))
+    tail = y.agg(F.avg((F.col("v") > F.col("p50") + 3 * (F.col("p75") - F.col("p25"))).cast("double")).alias("tail_share"))
+    z = one.join(F.broadcast(mad), F.lit(True)).join(F.broadcast(tail), F.lit(True))
     drop = 1 - F.try_divide(F.try_divide("_lmad", "_lm"), F.try_divide("_mad", "p50"))
     z = z.withColumns({"p99_ratio": F.try_divide("p99", "p50"), "dispersion_drop": F.coalesce(drop, F.lit(0.0))})
     rule = (F.col("skew") > 1) | (F.col("kurtosis") > 3) | (F.col("p99_ratio") >= 3) | (F.col("tail_share") > 0.02)
@@ -86,25 +117,68 @@ def log_advice(df: DataFrame, column: str) -> DataFrame:
     return z.select("n", "skew", "kurtosis", "p99_ratio", "tail_share", "dispersion_drop", F.coalesce(ok, F.lit(False)).alias("advised"))
 
 
-def scores(df: DataFrame, value: str, first: str) -> DataFrame:
-    """One row: the distribution of a score in two groups of entities, rank test, effect and direction."""
-    t = ranks.rank_test(df, value, first).where("n1 >= 3 and n2 >= 3")
-    a, b = F.when(F.col(first), F.col(value)), F.when(~F.col(first), F.col(value))
-    g = df.agg(F.avg(a).alias("mean_1"), F.avg(b).alias("mean_2"), F.percentile(a, F.lit(0.5)).alias("median_1"), F.percentile(b, F.lit(0.5)).alias("median_2"))
+def scores(df: DataFrame, value: str, first: str, config: Config = Config()) -> DataFrame:
+    """One row: the distribution of a score in two groups of entities, their differences, rank test, effect, magnitude and direction."""
+    counted = ranks.counted(df, value, first)
+    v, also = F.col(value), []
+    for i, k in ((1, "_a"), (2, "_b")):
+        also += [F.try_divide(F.sum(v * F.col(k)), F.sum(k)).alias(f"mean_{i}")]
+        also += [q.alias(f"_{p}_{i}") for p, q in zip(("p25", "median", "p75"), ranges.at_shares(value, k, (0.25, 0.5, 0.75)))]
+    x = ranks.from_counts(ranges.running(counted, value, ("_a", "_b")), exact=True, also=tuple(also)).where("n1 >= 3 and n2 >= 3")
+    names = [f"{p}_{i}" for i in (1, 2) for p in ("p25", "median", "p75")]
+    x = x.withColumns({n: ranges.between(F.col(f"_{n}")) for n in names}).drop(*[f"_{n}" for n in names])
     d = F.when(F.abs("cliffs_delta") < 0.15, "negligible").when(F.col("cliffs_delta") > 0, "higher").otherwise("lower")
-    return t.join(F.broadcast(g), F.lit(True)).withColumn("direction", d)
+    return x.withColumns({"direction": d, "magnitude": F.expr(stats.band_sql("cliffs_delta", config.effect_sizes.cliff, stats.CLIFF_NAMES)), "mean_difference": F.col("mean_1") - F.col("mean_2"), "median_difference": F.col("median_1") - F.col("median_2"), "significant": F.col("p_value") < config.statistics.alpha})
+
+
+#: Candidate shifts that one pass of ``hodges_lehmann`` counts pairs for.
+SHIFTS = 16
 
 
-def hodges_lehmann(df: DataFrame, value: str, first: str, limit: int = 5_000) -> DataFrame:
-    """One row (shift): the median difference between the groups' values, over different values with their counts.
+def hodges_lehmann(df: DataFrame, value: str, first: str) -> DataFrame:
+    """One row (shift): the median difference between the groups' values; null if a group is empty.
 
-    Pairs of values are formed, so the numbers of different values are checked against
-    ``limit`` a side; reduce or round the values of larger ones first.
+    No pair is formed: how many differences are at most d is a running count over the values of one side and, moved by
+    d, of the other. The two middle differences are enclosed by sections of an interval, a pass each, in which only
+    the counts of pairs come to the driver, until the interval holds one floating-point number.
     """
-    v = df.where(F.col(value).isNotNull()).groupBy(value, first).agg(F.count(F.lit(1)).alias("n"))
-    sides = {r[0]: r[1] for r in v.groupBy(first).count().collect()}
-    if max(sides.values(), default=0) > limit:
-        raise ValueError(f"more than {limit} different values a side")
-    a, b = v.where(F.col(first)).select(F.col(value).alias("x"), F.col("n").alias("nx")), v.where(~F.col(first)).select(F.col(value).alias("y"), F.col("n").alias("ny"))
-    d = F.broadcast(a).join(b, F.lit(True)).select((F.col("x") - F.col("y")).alias("d"), (F.col("nx") * F.col("ny")).alias("w"))
-    return d.groupBy("d").agg(F.sum("w").alias("w")).agg(F.percentile("d", F.lit(0.5), F.col("w")).alias("shift"))
+    spark = df.sparkSession
+    v = df.where(F.col(value).isNotNull() & F.col(first).isNotNull()).select(F.col(value).cast("double").alias("v"), F.col(first).alias("f"))
+    v = v.groupBy("v").agg(F.count_if("f").alias("a"), F.count_if(~F.col("f")).alias("b")).persist()
+    n, m, x0, x1, y0, y1 = v.agg(F.sum("a"), F.sum("b"), *[g(F.when(F.col(c) > 0, F.col("v"))) for c in ("a", "b") for g in (F.min, F.max)]).first()
+    schema = "shift double"
+    if not n or not m:
+        return spark.createDataFrame([(None,)], schema)
+
+    def at_most(shifts: list[float]) -> list[int]:
+        """Pairs (x, y) with x <= y + d, for each d."""
+        sides = [F.struct(F.lit(i).alias("s"), (F.col("v") + F.lit(d)).alias("v"), F.lit(0).cast("long").alias("a"), F.col("b")) for i, d in enumerate(shifts)]
+        x = [F.struct(F.lit(i).alias("s"), F.col("v"), F.col("a"), F.lit(0).cast("long").alias("b")) for i in range(len(shifts))]
+        rows = v.select(F.explode(F.array(*sides, *x)).alias("x")).select("x.*").where("a > 0 or b > 0").groupBy("s", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        r = ranges.running(rows, "v", ("a", "b"), ("s",))
+        got = {k: c for k, c in r.groupBy("s").agg(F.sum(F.col("a") * (F.col("_all_b") - F.col("_before_b")))).collect()}
+        return [got[i] for i in range(len(shifts))]
+
+    # how many differences are at most a number: none below the least, all up to the largest
+    known = {_ordinal(x0 - y1) - 1: 0, _ordinal(x1 - y0) + 1: n * m}
+    middle = []
+    for place in sorted({(n * m + 1) // 2, n * m // 2 + 1}):
+        while True:
+            low, high = max(k for k, c in known.items() if c < place), min(k for k, c in known.items() if c >= place)
+            if high - low <= 1:
+                break
+            cuts = sorted({low + (high - low) * i // (SHIFTS + 1) for i in range(1, SHIFTS + 1)} - {low, high}) or [low + 1]
+            known.update(zip(cuts, at_most([_number(k) for k in cuts])))
+        middle.append(_number(high))
+    v.unpersist()
+    return spark.createDataFrame([(sum(middle) / len(middle),)], schema)
+
+
+def _ordinal(x: float) -> int:
+    """The place of a double among all doubles."""
+    i = struct.unpack("<q", struct.pack("<d", x + 0.0))[0]
+    return i if i >= 0 else -(i + (1 << 63))
+
+
+def _number(i: int) -> float:
+    return struct.unpack("<d", struct.pack("<q", i))[0] if i >= 0 else -struct.unpack("<d", struct.pack("<q", -i))[0]

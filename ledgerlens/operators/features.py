@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..config import BusinessHours, Config, Target
+from ..schema import TYPES
+from . import clean
 
 
 def dates(df: DataFrame, days: tuple[int, ...] = (0, 1, 2, 3, 4)) -> DataFrame:
     """Calendar parts; ``year`` and ``week_number`` are ISO; a null time counts as weekend."""
     t = F.col("transaction_timestamp")
-    x = df.withColumns({"datetime_parsed": t, "date_only": F.to_date(t), "year": F.expr("extract(yearofweek from transaction_timestamp)").cast("int"), "month": F.date_format(t, "yyyy-MM"), "week_number": F.weekofyear(t), "weekday": F.weekday(t), "day_of_month": F.dayofmonth(t)})
+    x = df.withColumns({"datetime_parsed": t, "date_only": F.col("_day") if "_day" in df.columns else F.to_date(t), "year": F.expr("extract(yearofweek from transaction_timestamp)").cast("int"), "month": F.date_format(t, "yyyy-MM"), "week_number": F.weekofyear(t), "weekday": F.weekday(t), "day_of_month": F.dayofmonth(t)})
     return x.withColumn("is_weekend", ~F.coalesce(F.col("weekday").isin(*days), F.lit(False)))
 
 
@@ -50,18 +52,30 @@ def size(df: DataFrame) -> DataFrame:
     return df.withColumn("transaction_size_category", F.when(a.isNull(), "Unknown").when(a < 50, "Small").when(a <= 150, "Medium").otherwise("Large"))
 
 
+def _spread(day: str = "date_only") -> Column:
+    """0, but for rows with neither vehicle nor day, which may be many: those are dealt to groups by their odometer and amount."""
+    lost = F.col("vehicle_index").isNull() & F.col(day).isNull()
+    return F.when(lost, F.pmod(F.xxhash64("odometer_miles", "transaction_amount", "driver_index"), F.lit(1024)).cast("int")).otherwise(0)
+
+
+def _vehicle_days(df: DataFrame):
+    """df with ``_spread`` and the window of a vehicle-day."""
+    return (df if "_spread" in df.columns else df.withColumn("_spread", _spread())), W.partitionBy("vehicle_index", "date_only", "_spread")
+
+
 def fillups_per_day(df: DataFrame) -> DataFrame:
     """Different times of each vehicle-day, on each of its rows; null without vehicle or day.
 
     The count of changes in time order gives it in the partitioning that the telemetry
     steps need too, without a set for each row.
     """
-    day = W.partitionBy("vehicle_index", "date_only")
+    x, day = _vehicle_days(df)
     t = F.col("transaction_timestamp")
-    before = F.lag(t).over(day.orderBy("transaction_timestamp", "odometer_miles"))
-    x = df.withColumn("_new", F.when(t.isNotNull() & (before.isNull() | (before != t)), 1).otherwise(0))
+    before = F.lag(t).over(day.orderBy("transaction_timestamp", "odometer_miles", "transaction_amount"))
+    x = x.withColumn("_new", F.when(t.isNotNull() & (before.isNull() | (before != t)), 1).otherwise(0))
     known = F.col("vehicle_index").isNotNull() & F.col("date_only").isNotNull()
-    return x.withColumn("fillups_per_day", F.when(known, F.sum("_new").over(day))).drop("_new")
+    x = x.withColumn("fillups_per_day", F.when(known, F.sum("_new").over(day))).drop("_new")
+    return x if "_spread" in df.columns else x.drop("_spread")
 
 
 def branch(df: DataFrame, target: Target = Target()) -> DataFrame:
@@ -99,16 +113,19 @@ def telemetry_mode(df: DataFrame) -> DataFrame:
 def telemetry(df: DataFrame, mode: str | None = None) -> DataFrame:
     """has_eld_activity and is_first_transaction_of_day; in daily mode distance stays on the day's first row only.
 
-    The mode is found in the data, unless given, and comes in as one broadcast row. Equal
-    times are ordered by odometer and amount.
+    The mode is found in the data, unless given or there as the column ``_mode``, and comes in as one broadcast row. Equal
+    times are ordered by odometer and amount. Rows of a vehicle without a day, or of a day without a vehicle, are a group
+    with a first row too; rows with neither are up to 1,024 groups.
     """
-    first = W.partitionBy("vehicle_index", "date_only").orderBy(F.asc_nulls_last("transaction_timestamp"), "odometer_miles", "transaction_amount")
-    x = df.withColumns({"has_eld_activity": F.col("distance_miles").isNotNull(), "is_first_transaction_of_day": F.row_number().over(first) == 1})
-    if mode is None:
-        x = x.join(F.broadcast(telemetry_mode(df).select("mode")), F.lit(True)).withColumnRenamed("mode", "_mode")
-    else:
+    x, day = _vehicle_days(df)
+    first = day.orderBy(F.asc_nulls_last("transaction_timestamp"), "odometer_miles", "transaction_amount")
+    x = x.withColumns({"has_eld_activity": F.col("distance_miles").isNotNull(), "is_first_transaction_of_day": F.row_number().over(first) == 1})
+    if mode is not None:
         x = x.withColumn("_mode", F.lit(mode))
-    return x.withColumn("distance_miles", F.when((F.col("_mode") == "granular") | F.col("is_first_transaction_of_day"), F.col("distance_miles"))).drop("_mode")
+    elif "_mode" not in df.columns:
+        x = x.join(F.broadcast(telemetry_mode(df).select("mode")), F.lit(True)).withColumnRenamed("mode", "_mode")
+    x = x.withColumn("distance_miles", F.when((F.col("_mode") == "granular") | F.col("is_first_transaction_of_day"), F.col("distance_miles"))).drop("_mode")
+    return x if "_spread" in df.columns else x.drop("_spread")
 
 
 def features(df: DataFrame, config: Config = Config(), mode: str | None = None) -> DataFrame:
@@ -116,3 +133,38 @@ def features(df: DataFrame, config: Config = Config(), mode: str | None = None)
     x = business_hours(clock(dates(df, config.business_hours.business_days)), config.business_hours)
     x = branch(fillups_per_day(size(cost_per_gallon(product(day_part(rush_hours(x)))))), config.target)
     return telemetry(engine_shares(mileage(x)), mode)
+
+
+def facts(x: DataFrame, days: int = 5) -> DataFrame:
+    """One row (_bad, _mode) of typed transactions: the unfinished last month, if any, and the telemetry mode of the others.
+
+    Vehicle-days are grouped, then months, so both scalars come from one pass; copies change neither.
+    """
+    t = F.col("transaction_timestamp")
+    day = x.groupBy("vehicle_index", F.to_date(t).alias("_d")).agg((F.min(F.abs("distance_miles")) < F.max(F.abs("distance_miles"))).alias("many"), F.max(t).alias("last"))
+    many = F.col("vehicle_index").isNotNull() & F.col("_d").isNotNull() & F.col("many")
+    month = day.groupBy(F.date_format("_d", "yyyy-MM").alias("month")).agg(F.coalesce(F.bool_or(many), F.lit(False)).alias("many"), F.max("last").alias("last"))
+    end = month.agg(F.max("last").alias("last"), F.collect_list(F.struct("month", "many")).alias("months"))  # a few hundred months
+    bad = F.when(F.datediff(F.last_day("last"), F.to_date("last")) > days, F.date_format("last", "yyyy-MM"))
+    end = end.withColumn("_bad", bad)
+    granular = F.exists("months", lambda m: m["many"] & (F.col("_bad").isNull() | (m["month"] != F.col("_bad"))))
+    return end.select("_bad", F.when(F.coalesce(granular, F.lit(False)), "granular").otherwise("daily").alias("_mode"))
+
+
+def prepared(df: DataFrame, config: Config = Config()) -> DataFrame:
+    """``features`` of ``clean``ed transactions, in two scans and one shuffle of whole rows.
+
+    Copies share vehicle and day, so rows are dealt by those, compared and given their day's features where they are.
+    """
+    raw = clean.plain(df, config)
+    typed = dict(raw.dtypes)
+    scalars = facts(clean.types(raw), config.data_requirements.monthend_days)
+    if typed.get("vehicle_index") == TYPES["vehicle_index"] and typed.get("transaction_timestamp") == TYPES["transaction_timestamp"]:
+        x = raw.withColumn("_day", F.to_date("transaction_timestamp")).withColumn("_spread", _spread("_day"))
+        x = clean.types(x.repartition("vehicle_index", "_day", "_spread").dropDuplicates())
+    else:  # texts are compared as they are, before they have a day
+        x = clean.types(raw.dropDuplicates())
+    x = x.join(F.broadcast(scalars), F.lit(True))
+    month = F.date_format("transaction_timestamp", "yyyy-MM")
+    x = clean.absolute(x.where(F.col("_bad").isNull() | ~F.coalesce(month == F.col("_bad"), F.lit(False))).drop("_bad"))
+    return features(x, config).drop("_day", "_spread")

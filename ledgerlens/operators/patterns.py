@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..config import RedFlags
-
+from ..functions import ranges
 
 
 def _every():
@@ -45,7 +45,7 @@ def day_patterns(df: DataFrame) -> DataFrame:
 
 def red_flags(p: DataFrame, flags: RedFlags = RedFlags()) -> DataFrame:
     """Adds red_flags, fraud_indicators, misuse_indicators, suspicion_score; the two low quartiles are one broadcast row."""
-    q = p.agg(F.percentile("avg_cost", F.lit(flags.low_quantile)).alias("_qc"), F.percentile("avg_volume", F.lit(flags.low_quantile)).alias("_qv"))
+    q = ranges.quantiles(p, {"_qc": F.col("avg_cost"), "_qv": F.col("avg_volume")}, (flags.low_quantile,)).select(F.get("_qc", F.lit(0)).alias("_qc"), F.get("_qv", F.lit(0)).alias("_qv"))
     x = p.join(F.broadcast(q), F.lit(True))
     no = lambda c: F.coalesce(c, F.lit(False))
     tests = {

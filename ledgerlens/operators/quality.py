@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ranges
+
 NOT_MEASURES = {"hour", "vehicle_index", "driver_index", "location_index"}
 
 
@@ -34,10 +36,12 @@ def types(df: DataFrame) -> dict[str, str]:
 def outliers(df: DataFrame) -> DataFrame:
     """(column_name, q1, q3, low, high, outliers, percent) of numeric columns with values outside max(q1 - 1.5 iqr, 0) .. q3 + 1.5 iqr.
 
-    Two passes: all quartiles, then all counts with the quartiles as one broadcast row.
+    Two passes: all quartiles, by ranges of counted values, then all counts with the quartiles as one broadcast row.
     """
     cols = [c for c, k in df.dtypes if (k in ("int", "bigint", "double", "float", "smallint", "tinyint") or k.startswith("decimal")) and c not in NOT_MEASURES]
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{c}") for c in cols])
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column_name string, q1 double, q3 double, low double, high double, outliers long, percent double")
+    q = ranges.quantiles(df, {f"_q_{c}": F.col(c) for c in cols}, (0.25, 0.75))
     x = df.select(*cols).join(F.broadcast(q), F.lit(True))
 
     def bounds(c):

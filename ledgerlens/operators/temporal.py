@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..config import Config, Temporal
-from ..functions import ranks, stats, workers
+from ..functions import ranges, ranks, stats, workers
 
 KEY = ("entity_type", "entity_id")
 SERIES = (*KEY, "metric")
@@ -29,23 +29,41 @@ def _whole():
     return W.partitionBy(*SERIES)
 
 
-def entities(df: DataFrame) -> DataFrame:
+def entities(df: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """Each transaction once for its driver and once for its vehicle; entities without a name or called Unknown are left out."""
     both = F.explode(F.array(F.struct(F.lit("driver").alias("entity_type"), F.col("driver_name").alias("entity_id")), F.struct(F.lit("vehicle").alias("entity_type"), F.col("vehicle_id").alias("entity_id")))).alias("_e")
-    x = df.select("month", "datetime_parsed", "has_eld_activity", "is_diesel_def", "is_business_hours", "transaction_amount", both).select("*", "_e.*").drop("_e")
+    x = df.select(*also, "month", "datetime_parsed", "has_eld_activity", "is_diesel_def", "is_business_hours", "transaction_amount", both).select("*", "_e.*").drop("_e")
     return x.where("entity_id is not null and entity_id not in ('', 'Unknown')")
 
 
+def entity_months(df: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """Seven metrics of each entity's observed months, within each value of ``also``, with the entity's rows (_n) and months (_m).
+
+    The different times of an entity's month are a set, as its amounts are for the median, so one shuffle does.
+    """
+    rate = lambda c: 100 * F.avg((~F.col(c)).cast("double"))
+    g = entities(df, also).groupBy(*also, *KEY, "month").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.size(F.collect_set("datetime_parsed")).cast("long").alias("datetime_count"),
+        rate("has_eld_activity").alias("no_eld_rate"),
+        rate("is_diesel_def").alias("non_diesel_rate"),
+        rate("is_business_hours").alias("after_hours_rate"),
+        F.avg("transaction_amount").alias("cost_mean"),
+        F.median("transaction_amount").alias("cost_median"),
+        F.coalesce(F.sum("transaction_amount"), F.lit(0.0)).alias("cost_sum"),
+    )
+    own = W.partitionBy(*also, *KEY)
+    return g.withColumns({"_n": F.sum("_rows").over(own), "_m": F.count("month").over(own)}).where("month is not null").drop("_rows")
+
+
+def enough(g: DataFrame, least_rows: int = 0, least_months: int = 0) -> DataFrame:
+    """Those of ``entity_months`` whose entity has enough rows and months."""
+    return g.where((F.col("_n") >= least_rows) & (F.col("_m") >= least_months)).drop("_n", "_m")
+
+
 def monthly(df: DataFrame, least_rows: int = 0, least_months: int = 0) -> DataFrame:
     """Seven metrics of each entity's observed months, for entities with enough rows and months."""
-    rate = lambda c: 100 * F.avg((~F.col(c)).cast("double"))
-    g = entities(df).groupBy(*KEY, "month").agg(
-        F.count(F.lit(1)).alias("_rows"), F.countDistinct("datetime_parsed").alias("datetime_count"), rate("has_eld_activity").alias("no_eld_rate"), rate("is_diesel_def").alias("non_diesel_rate"), rate("is_business_hours").alias("after_hours_rate"),
-        F.avg("transaction_amount").alias("cost_mean"), F.median("transaction_amount").alias("cost_median"), F.coalesce(F.sum("transaction_amount"), F.lit(0.0)).alias("cost_sum"),
-    )
-    own = W.partitionBy(*KEY)
-    g = g.withColumns({"_n": F.sum("_rows").over(own), "_m": F.count("month").over(own)})
-    return g.where((F.col("_n") >= least_rows) & (F.col("_m") >= least_months) & F.col("month").isNotNull()).drop("_rows", "_n", "_m")
+    return enough(entity_months(df), least_rows, least_months)
 
 
 def long(m: DataFrame, metrics: tuple[str, ...] = TRACKED) -> DataFrame:
@@ -60,10 +78,21 @@ def series(df: DataFrame, config: Config = Config(), metrics: tuple[str, ...] =
 
 def baselines(df: DataFrame, config: Config = Config()) -> DataFrame:
     """Distribution of each metric over the peers' entity-months: n and ten statistics for each entity type."""
-    m = long(monthly(df, config.data_requirements.min_months, config.data_requirements.min_months), METRICS)
+    return baselines_of(monthly(df, config.data_requirements.min_months, config.data_requirements.min_months))
+
+
+def baselines_of(months: DataFrame) -> DataFrame:
+    """``baselines`` from the peers' monthly table."""
+    m = long(months, METRICS)
     qs = {"q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9, "q95": 0.95, "q99": 0.99}
-    g = m.groupBy("entity_type", "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.percentile("value", F.array(*[F.lit(q) for q in qs.values()])).alias("_q"))
-    return g.select("*", *[F.get("_q", F.lit(i)).alias(k) for i, k in enumerate(qs)]).drop("_q")
+    by = ("entity_type", "metric")
+    # equal values are counted and ordered by ranges: entity-months grow with the entities
+    r = ranges.running(m.where("value is not null").groupBy(*by, "value").agg(F.count(F.lit(1)).alias("_c")), "value", ("_c",), by)
+    v, c = F.col("value"), F.col("_c")
+    n, mean = F.sum(c), F.sum(v * c) / F.sum(c)
+    g = r.groupBy(*by).agg(n.alias("n"), mean.alias("mean"), F.min(v).alias("minimum"), F.max(v).alias("maximum"), *[q.alias(f"_{k}") for k, q in zip(qs, ranges.at_shares("value", "_c", tuple(qs.values())))])
+    sd = m.groupBy(*by).agg(F.stddev_pop("value").alias("std"))
+    return g.join(F.broadcast(sd), list(by)).select(*by, "n", "mean", "std", "minimum", "maximum", *[ranges.between(F.col(f"_{k}")).alias(k) for k in qs])  # 14 rows
 
 
 def against_baseline(s: DataFrame, base: DataFrame) -> DataFrame:
@@ -184,7 +213,7 @@ def halves(s: DataFrame, least: int = 3) -> DataFrame:
     """Later half of each series against its earlier half: rank test, effect and direction by the medians."""
     x = s.withColumns({"_r": F.row_number().over(_order()), "_n": F.count(F.lit(1)).over(_whole())}).withColumn("later", F.col("_r") > F.floor(F.col("_n") / 2))
     x = x.where(F.floor(F.col("_n") / 2) >= least)
-    t = ranks.rank_test(x, "value", "later", SERIES)
+    t = ranks.rank_test(x, "value", "later", SERIES, exact=True, ranged=False)
     med = x.groupBy(*SERIES).agg(F.percentile(F.when(~F.col("later"), F.col("value")), F.lit(0.5)).alias("median_early"), F.percentile(F.when(F.col("later"), F.col("value")), F.lit(0.5)).alias("median_late"))
     d = F.when(F.coalesce(F.col("p_value") >= 0.05, F.lit(True)), "stable").when(F.col("median_late") > F.col("median_early"), "higher").when(F.col("median_late") < F.col("median_early"), "lower").otherwise("stable")
     return t.join(med, list(SERIES)).withColumn("direction", d)
@@ -196,10 +225,25 @@ def score(df: DataFrame, peers: DataFrame, config: Config = Config(), points: Da
     ``points`` is (series, change_points) from the segmentation, found here if not given. Without ``whole`` the score
     is the part that SQL can express: no such points, and every increasing trend but no decreasing one.
     """
+    need = config.data_requirements
+    return score_of(monthly(df, need.min_temporal_transactions, need.min_months), monthly(peers, need.min_months, need.min_months), config, points, whole)
+
+
+def branch_months(df: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Monthly tables of enriched transactions from one pass: the target's, the peers' for baselines, and those of peers with enough rows for a score.
+
+    The pass is kept until the session ends: every detector reads it.
+    """
+    need = config.data_requirements
+    g = entity_months(df, ("is_target",)).persist()
+    mine, others = g.where("is_target").drop("is_target"), g.where("not is_target").drop("is_target")
+    return enough(mine, need.min_temporal_transactions, need.min_months), enough(others, need.min_months, need.min_months), enough(others, need.min_temporal_transactions, need.min_months)
+
+
+def score_of(m: DataFrame, peer_months: DataFrame, config: Config = Config(), points: DataFrame | None = None, whole: bool = True) -> DataFrame:
+    """``score`` from monthly tables."""
     t, need = config.temporal, config.data_requirements
-    # two small tables that every detector reads: kept, so that transactions are read once for each
-    m = monthly(df, need.min_temporal_transactions, need.min_months).persist()
-    s, base = long(m), baselines(peers, config).persist()
+    s, base = long(m), baselines_of(peer_months)
     if whole and points is None:
         points = workers.change_points(s, SERIES, "month", "value")
     # for costs the decrease is of concern: small vehicles

@@ -89,6 +89,32 @@ _LOG = """select n, skew, kurtosis, p99_ratio, tail_share, dispersion_drop, n >=
 _LOG_CTE = """a as (select count(v) as n, min(v) as lowest, skewness(v) as skew, kurtosis(v) as kurtosis, quantile_cont(v, 0.25) as p25, quantile_cont(v, 0.5) as p50, quantile_cont(v, 0.75) as p75, quantile_cont(v, 0.99) as p99, quantile_cont(ln(1 + v), 0.5) as lm from (select transaction_amount as v from tp)),
    b as (select quantile_cont(abs(v - p50), 0.5) as mad, quantile_cont(abs(ln(1 + v) - lm), 0.5) as lmad, avg(cast(v > p50 + 3 * (p75 - p25) as integer)) as tail_share from (select transaction_amount as v from tp), a)"""
 
+_LF = lambda x: f"lgamma(cast({x} as double) + 1)"
+_TERM = lambda x: f"(-({_LF(x)} + {_LF(f'n1 - {x}')} + {_LF(f'k - {x}')} + {_LF(f'n2 - k + {x}')}))"
+_FISHER = f"""select metric, least(1.0e0, sum(exp(t - top)) filter (where t <= ta + 1e-7) / sum(exp(t - top))) as p from (
+   select *, max(t) over (partition by metric) as top from (select metric, {_TERM('a')} as ta, {_TERM('x')} as t from (
+     select metric, a, n1, n2, a + b as k, unnest(range(greatest(0, a + b - n2), least(a + b, n1) + 1)) as x from ct))) group by metric"""
+_VIF = ("fuel_volume_gallons", "transaction_amount", "idle_duration_minutes", "driving_duration_minutes")
+
+
+def _det(rows: list[list[str]]) -> str:
+    """The determinant by its first row, as SQL."""
+    if len(rows) == 1:
+        return rows[0][0]
+    return "(" + " + ".join(f"{'-' if j % 2 else ''}({x}) * {_det([r[:j] + r[j + 1 :] for r in rows[1:]])}" for j, x in enumerate(rows[0])) + ")"
+
+
+def _vif_sql(columns: tuple[str, ...]) -> str:
+    """A diagonal element of the products' matrix times that of its inverse; the products are scaled to a diagonal of ones first."""
+    at = lambda i, j: f"g{min(i, j)}{max(i, j)}"
+    k = range(len(columns))
+    sums = ", ".join(f"sum({columns[i]} * {columns[j]}) / sqrt(sum({columns[i]} * {columns[i]}) * sum({columns[j]} * {columns[j]})) as {at(i, j)}" for i in k for j in k if i <= j)
+    matrix = [[at(i, j) for j in k] for i in k]
+    minors = ", ".join(f"{_det([[x for j, x in enumerate(r) if j != i] for n, r in enumerate(matrix) if n != i])} / det" for i in k)
+    given = " and ".join(f"{c} is not null" for c in columns)
+    return f"select unnest({list(columns)}) as feature, unnest([{minors}]) as vif from (select *, {_det(matrix)} as det from (select {sums} from tp where {given}))"
+
+
 QUERIES = {
     "risk_driver_metrics": Query("driver_name total_transactions no_eld_count non_diesel_count after_hours_count total_cost:2", lambda s, d: risk.metrics(target_rows(s, d)), _metrics_sql("driver_name")),
     "risk_driver_profile": Query("driver_name " + PROFILE_COLUMNS, lambda s, d: risk.profile(target_rows(s, d)), f"select * from {DRIVER}", DRIVER_CTE),
@@ -129,18 +155,24 @@ QUERIES = {
     "tests_cost": Query("n1 n2 u:1 cliffs_delta:6 z:5 p_value:6 mean_target:4 mean_peer:4 p25_target:4 median_target:4 p75_target:4 p25_peer:4 median_peer:4 p75_peer:4 total_target:2 total_peer:2 mean_difference:4 percent_difference:4 direction magnitude", lambda s, d: compare.cost(period_rows(s, d)),
         f"""select u.*, q.*, mean_target - mean_peer as mean_difference, (mean_target - mean_peer) / mean_peer * 100 as percent_difference, case when abs(cliffs_delta) < 0.147 then 'negligible' when cliffs_delta > 0 then 'higher' else 'lower' end as direction,
             {stats.band_sql('cliffs_delta', (0.147, 0.33, 0.474), stats.CLIFF_NAMES)} as magnitude from ({_U}) u, (select """ + ", ".join(f"avg(transaction_amount) filter (where {c}) as mean_{n}, sum(transaction_amount) filter (where {c}) as total_{n}, quantile_cont(transaction_amount, 0.25) filter (where {c}) as p25_{n}, quantile_cont(transaction_amount, 0.5) filter (where {c}) as median_{n}, quantile_cont(transaction_amount, 0.75) filter (where {c}) as p75_{n}" for n, c in (("target", "is_target"), ("peer", "not is_target"))) + " from pp) q", TEST_CTE),
-    "tests_cohens_d": Query("n1 n2 m1:4 m2:4 cohens_d:6", lambda s, d: ranks.cohens_d(period_rows(s, d), "fuel_volume_gallons", "is_target"),
-        """select *, (m1 - m2) / nullif(sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 0) as cohens_d from (select count(*) filter (where is_target) as n1, count(*) filter (where not is_target) as n2, avg(fuel_volume_gallons) filter (where is_target) as m1, avg(fuel_volume_gallons) filter (where not is_target) as m2,
-           var_samp(fuel_volume_gallons) filter (where is_target) as v1, var_samp(fuel_volume_gallons) filter (where not is_target) as v2 from pp)""", TEST_CTE),
+    "tests_cohens_d": Query("n1 n2 m1:4 m2:4 cohens_d:6 magnitude", lambda s, d: compare.standardised(period_rows(s, d), "fuel_volume_gallons", "is_target"),
+        f"select *, {stats.band_sql('cohens_d', CONFIG.effect_sizes.cohen, stats.CLIFF_NAMES)} as magnitude from (" + """select *, (m1 - m2) / nullif(sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 0) as cohens_d from (select count(*) filter (where is_target) as n1, count(*) filter (where not is_target) as n2, avg(fuel_volume_gallons) filter (where is_target) as m1, avg(fuel_volume_gallons) filter (where not is_target) as m2,
+           var_samp(fuel_volume_gallons) filter (where is_target) as v1, var_samp(fuel_volume_gallons) filter (where not is_target) as v2 from pp))""", TEST_CTE),
+    "tests_hodges_lehmann_amounts": Query("shift:4", lambda s, d: compare.hodges_lehmann(target_rows(s, d), "transaction_amount", "has_eld_activity"),
+        """select min(d) filter (where c * 2 >= t) * 0.5 + min(d) filter (where c * 2 > t) * 0.5 as shift from (select d, sum(w) over (order by d) as c, sum(w) over () as t from (
+           select x - y as d, sum(nx * ny) as w from (select transaction_amount as x, count(*) as nx from tp where has_eld_activity group by 1), (select transaction_amount as y, count(*) as ny from tp where not has_eld_activity group by 1) group by 1))"""),
     "tests_hodges_lehmann": Query("shift:4", lambda s, d: compare.hodges_lehmann(period_rows(s, d), "fuel_volume_gallons", "is_target"),
         """select min(d) filter (where c * 2 >= t) * 0.5 + min(d) filter (where c * 2 > t) * 0.5 as shift from (select d, sum(w) over (order by d) as c, sum(w) over () as t from (
            select x - y as d, sum(nx * ny) as w from (select fuel_volume_gallons as x, count(*) as nx from pp where is_target group by 1), (select fuel_volume_gallons as y, count(*) as ny from pp where not is_target group by 1) group by 1))""", TEST_CTE),
-    "tests_exposure": Query("excess mean_unverified:4 exposure:2", lambda s, d: compare.exposure(period_rows(s, d)),
+    "tests_exposure": Query("excess mean_unverified:4 exposure:2", lambda s, d: compare.exposure(period_rows(s, d), interval=False),
         "select *, excess * mean_unverified as exposure from (select cast(trunc((rate_1 - rate_2) * n1) as bigint) as excess, (select avg(transaction_amount) from pp where is_target and not has_eld_activity) as mean_unverified, p_value from te where metric = 'No ELD Match') where p_value < 0.05 and excess > 0", TEST_CTE),
+    "tests_exposure_interval": Query("excess exposure:2 exposure_low:2 exposure_high:2", lambda s, d: compare.exposure(period_rows(s, d), CONFIG), ""),
+    "tests_magnitudes": Query("metric risk_ratio_band odds_ratio_band risk_difference_band", lambda s, d: compare.magnitudes(compare.proportions(compare.counts(period_rows(s, d)))),
+        "select metric, " + ", ".join(f"{stats.band_sql(x, cuts, stats.RATIO_NAMES)} as {n}_band" for n, x, cuts in (("risk_ratio", "greatest(risk_ratio, 1 / nullif(risk_ratio, 0))", CONFIG.effect_sizes.risk_ratio), ("odds_ratio", "greatest(odds_ratio, 1 / nullif(odds_ratio, 0))", CONFIG.effect_sizes.odds_ratio), ("risk_difference", "(rate_1 - rate_2)", CONFIG.effect_sizes.risk_difference))) + " from te", TEST_CTE),
     "tests_log_advice": Query("n skew:5 kurtosis:5 p99_ratio:5 tail_share:6 dispersion_drop:5 advised", lambda s, d: compare.log_advice(target_rows(s, d), "transaction_amount"), _LOG, _LOG_CTE),
-    "tests_fisher": Query("metric p:6", lambda s, d: compare.counts(period_rows(s, d)).select("metric", workers.fisher("a", F.col("n1") - F.col("a"), "b", F.col("n2") - F.col("b")).alias("p")), ""),
-    "tests_bootstrap": Query("low:4 high:4", lambda s, d: workers.bootstrap(target_rows(s, d).where("not has_eld_activity"), "transaction_amount", 1000), ""),
-    "tests_vif": Query("feature vif:4", lambda s, d: workers.vif(target_rows(s, d), ["fuel_volume_gallons", "transaction_amount", "idle_duration_minutes", "driving_duration_minutes"]), ""),
+    "tests_fisher": Query("metric p:6", lambda s, d: compare.counts(period_rows(s, d)).select("metric", workers.fisher("a", F.col("n1") - F.col("a"), "b", F.col("n2") - F.col("b")).alias("p")), _FISHER, TEST_CTE),
+    "tests_bootstrap": Query("low:4 high:4", lambda s, d: workers.bootstrap(target_rows(s, d).where("not has_eld_activity"), "transaction_amount", CONFIG.performance.n_bootstrap), ""),
+    "tests_vif": Query("feature vif:4", lambda s, d: workers.vif(target_rows(s, d), list(_VIF)), _vif_sql(_VIF)),
     "summary_coverage": Query("slice row_count eld_share:6", lambda s, d: split.in_period(transactions(s, d)).where("in_period").groupBy(F.when(F.col("is_target"), "target").otherwise("peers").alias("slice")).agg(F.count(F.lit(1)).alias("row_count"), F.avg(F.col("has_eld_activity").cast("double")).alias("eld_share")),
         "select case when is_target then 'target' else 'peers' end as slice, count(*) as row_count, avg(cast(has_eld_activity as integer)) as eld_share from px where in_period group by 1"),
     "summary_financial": Query("total_target:2 total_peer:2 target_share:6 mean_difference:4", lambda s, d: compare.cost(period_rows(s, d)).select("total_target", "total_peer", (F.col("total_target") / (F.col("total_target") + F.col("total_peer"))).alias("target_share"), "mean_difference"),
@@ -154,7 +186,7 @@ QUERIES = {
     "dashboard_products": Query("product n", lambda s, d: _top_products(target_rows(s, d)),
         "select case when r <= 4 then product_clean else 'Other' end as product, cast(sum(n) as bigint) as n from (select product_clean, count(*) as n, row_number() over (order by count(*) desc, product_clean) as r from tp group by 1) group by 1"),
 }
-NO_SQL = {"tests_fisher", "tests_bootstrap", "tests_vif"}
+NO_SQL = {"tests_bootstrap", "tests_exposure_interval"}
 
 
 def _weekly(df):

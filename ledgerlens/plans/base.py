@@ -15,18 +15,17 @@ CONFIG = Config()
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned test transactions; their rows differ by odometer, so whole rows need no comparison."""
-    return clean.clean(canonical.transactions(spark, sf_dir), CONFIG, distinct=False)
+    return clean.clean(canonical.transactions(spark, sf_dir), CONFIG)
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.features(cleaned(spark, sf_dir), CONFIG)
+    return features.prepared(canonical.transactions(spark, sf_dir), CONFIG)
 
 
 #: The same steps for DuckDB: tx has all columns, trimmed to what the oracle queries use.
 TX = f"""
 canon as ({canonical.SQL}),
-blank as (select * replace (case when not regexp_full_match(driver_name, '\\s*') then driver_name end as driver_name, abs(distance_miles) as distance_miles) from canon),
+blank as (select distinct * replace (case when not regexp_full_match(driver_name, '\\s*') then driver_name end as driver_name, abs(distance_miles) as distance_miles) from canon),
 lastm as (select case when date_diff('day', cast(max(transaction_timestamp) as date), last_day(max(transaction_timestamp))) > 5 then strftime(max(transaction_timestamp), '%Y-%m') end as bad from blank),
 clean as (select blank.* from blank, lastm where bad is null or strftime(transaction_timestamp, '%Y-%m') <> bad),
 f1 as (
@@ -46,7 +45,7 @@ tx as (
            case when hour < 6 then 'Early Morning' when hour < 12 then 'Morning' when hour < 18 then 'Afternoon' else 'Evening' end as time_of_day_category,
            distance_miles is not null as has_eld_activity,
            count(distinct transaction_timestamp) over (partition by vehicle_index, date_only) as fillups_per_day,
-           row_number() over (partition by vehicle_index, date_only order by transaction_timestamp, odometer_miles) = 1 as is_first_transaction_of_day,
+           row_number() over (partition by vehicle_index, date_only order by transaction_timestamp, odometer_miles, transaction_amount) = 1 as is_first_transaction_of_day,
            (select coalesce(max(n), 0) > 1 from (select count(distinct distance_miles) as n from f1 group by vehicle_index, date_only)) as granular
     from f1)),
 span as (

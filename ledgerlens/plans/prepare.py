@@ -55,9 +55,9 @@ QUERIES = {
     "clean_rename": Query("card_holder n", lambda s, d: clean.rename(raw(s, d).withColumnRenamed("driver_name", "Card Holder"), {"card_holder": "Card Holder"}).groupBy("card_holder").agg(F.count(F.lit(1)).alias("n")),
         "select driver_name as card_holder, count(*) as n from canon group by 1", _PLAIN, base=False),
     "clean_dedup": Query("n odometer_sum", lambda s, d: _copies(s, d).dropDuplicates().agg(F.count(F.lit(1)).alias("n"), F.sum("odometer_miles").alias("odometer_sum")),
-        "select count(*) as n, cast(sum(odometer_miles) as bigint) as odometer_sum from canon", _PLAIN, base=False),
+        "select count(*) as n, cast(sum(odometer_miles) as bigint) as odometer_sum from (select distinct * from canon)", _PLAIN, base=False),
     "clean_counts": Query("initial duplicates incomplete final", lambda s, d: clean.counts(_copies(s, d)),
-        """select a + b as initial, b as duplicates, a - c as incomplete, c as final from (select (select count(*) from canon) as a, (select count(*) from canon where odometer_miles % 7 = 0) as b, (select count(*) from clean) as c)"""),
+        """select a as initial, a - b as duplicates, b - c as incomplete, c as final from (select (select count(*) + count(*) filter (where odometer_miles % 7 = 0) from canon) as a, (select count(*) from blank) as b, (select count(*) from clean) as c)"""),
     "clean_types": Query("bad_amounts bad_times amount_sum", lambda s, d: clean.types(_texts(s, d)).agg(F.count_if(F.col("transaction_amount").isNull()).alias("bad_amounts"), F.count_if(F.col("transaction_timestamp").isNull()).alias("bad_times"), F.sum(F.col("transaction_amount").cast("long")).alias("amount_sum")),
         "select count(*) filter (where odometer_miles % 101 = 0) as bad_amounts, count(*) filter (where odometer_miles % 103 = 0) as bad_times, cast(sum(case when odometer_miles % 101 <> 0 then odometer_miles end) as bigint) as amount_sum from canon", _PLAIN, base=False),
     "clean_introduced_nulls": Query("column_name introduced", lambda s, d: clean.introduced_nulls(_texts(s, d)),
@@ -68,7 +68,7 @@ QUERIES = {
         "select sum(distance_miles) as distance, sum(fuel_volume_gallons) as volume from canon", _PLAIN, base=False),
     "features_dates": Query("odometer_miles date_only year month week_number weekday day_of_month is_weekend", transactions, "select * from tx"),
     "features_clock": Query("odometer_miles hour minute is_business_hours is_morning_rush is_evening_rush is_rush_hour time_of_day_category", transactions, "select * from tx"),
-    "features_transaction": Query("odometer_miles product_clean is_diesel_def cost_per_gallon:6 transaction_size_category branch_group", transactions, "select * from tx"),
+    "features_transaction": Query("odometer_miles product_clean is_diesel_def cost_per_gallon transaction_size_category branch_group", transactions, "select * from tx"),
     "features_vehicle": Query("odometer_miles mpg:6 idle_percentage:6 driving_percentage:6", transactions, "select * from tx"),
     "features_fillups_per_day": Query("odometer_miles fillups_per_day", transactions, "select * from tx"),
     "features_flags": Query("odometer_miles no_eld many_fillups", lambda s, d: features.above(features.inverted(transactions(s, d), "has_eld_activity", "no_eld"), "fillups_per_day", 1, "many_fillups"), "select *, not has_eld_activity as no_eld, fillups_per_day > 1 as many_fillups from tx"),
@@ -86,7 +86,7 @@ QUERIES = {
         "select count(distinct case when not is_target then location_index end) as peer_locations, min(transaction_timestamp) as first_time, max(transaction_timestamp) as last_time, count(*) as row_count from tx"),
     "quality_missing": Query("column_name missing fraction:8", lambda s, d: quality.missing(cleaned(s, d)),
         """select * from (select unnest(['driver_name', 'distance_miles']) as column_name, unnest([count(*) - count(driver_name), count(*) - count(distance_miles)]) as missing, unnest([1 - count(driver_name) / count(*), 1 - count(distance_miles) / count(*)]) as fraction from clean) where missing > 0"""),
-    "quality_duplicates": Query("duplicates", lambda s, d: quality.duplicates(_copies(s, d)), "select count(*) filter (where odometer_miles % 7 = 0) as duplicates from canon", _PLAIN, base=False),
+    "quality_duplicates": Query("duplicates", lambda s, d: quality.duplicates(_copies(s, d)), "select count(*) + count(*) filter (where odometer_miles % 7 = 0) - (select count(*) from (select distinct * from canon)) as duplicates from canon", _PLAIN, base=False),
     "quality_outliers": Query("column_name q1:4 q3:4 low:4 high:4 outliers percent:6", lambda s, d: quality.outliers(transactions(s, d).select("transaction_amount", "fuel_volume_gallons", "cost_per_gallon", "mpg", "odometer_miles", "hour", "location_index")),
         " union all ".join(f"""select '{c}' as column_name, q1, q3, low, high, outliers, outliers * 100.0e0 / n as percent from (
             select any_value(q1) as q1, any_value(q3) as q3, any_value(greatest(q1 - 1.5e0 * (q3 - q1), 0)) as low, any_value(q3 + 1.5e0 * (q3 - q1)) as high, count(*) as n,

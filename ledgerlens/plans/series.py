@@ -81,12 +81,13 @@ def ser(s, d):
 
 def _scores(s, d, whole=False):
     """Scores of the target; those that are held against SQL are the part that it can express."""
-    return temporal.score(target(s, d), peers(s, d), whole=whole)
+    mine, others, _ = temporal.branch_months(transactions(s, d))
+    return temporal.score_of(mine, others, whole=whole)
 
 
 def _both_scores(s, d):
-    a = _scores(s, d, True).where("entity_type = 'driver'").select("temporal_risk_score", F.lit(True).alias("is_target"))
-    b = temporal.score(peers(s, d), peers(s, d)).where("entity_type = 'driver'").select("temporal_risk_score", F.lit(False).alias("is_target"))
+    mine, others, known = temporal.branch_months(transactions(s, d))
+    a, b = (temporal.score_of(m, others).where("entity_type = 'driver'").select("temporal_risk_score", F.lit(t).alias("is_target")) for m, t in ((mine, True), (known, False)))
     return compare.scores(a.unionByName(b), "temporal_risk_score", "is_target")
 
 
@@ -116,6 +117,6 @@ QUERIES = {
     "series_timeline": Query("month changes is_peak", lambda s, d: temporal.timeline(temporal.cusum(ser(s, d), 0.5, 3.5)), "select change_month as month, count(*) as changes, rank() over (order by count(*) desc) = 1 as is_peak from cu group by 1", CTE),
     "series_timeline_summary": Query("months total early_share:6 late_share:6 clustered", lambda s, d: temporal.timeline_summary(temporal.timeline(temporal.cusum(ser(s, d), 0.5, 3.5))), "select count(*) as months, cast(coalesce(sum(k), 0) as bigint) as total, coalesce(sum(k) filter (where th = 1) / sum(k), 0) as early_share, coalesce(sum(k) filter (where th = 3) / sum(k), 0) as late_share, coalesce(var_samp(k) > avg(k), false) as clustered from (select k, ntile(3) over (order by change_month) as th from (select change_month, count(*) as k from cu group by change_month))", CTE),
     "series_segments": Query("entity_type entity_id metric change_points", lambda s, d: workers.change_points(ser(s, d), temporal.SERIES, "month", "value"), ""),
-    "series_score_comparison": Query("n1 n2 u:1 cliffs_delta:6 p_value:5 mean_1:4 mean_2:4 median_1:4 median_2:4 direction", _both_scores, ""),
+    "series_score_comparison": Query("n1 n2 u:1 cliffs_delta:6 p_value:5 mean_1:4 mean_2:4 p25_1:4 p25_2:4 median_1:4 median_2:4 p75_1:4 p75_2:4 mean_difference:4 median_difference:4 direction magnitude significant", _both_scores, ""),
 }
 NO_SQL = {"series_segments", "series_score_comparison"}

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens import config, report
-from ledgerlens.functions import ranks, stats, workers
+from ledgerlens import config, dashboard, report
+from ledgerlens.functions import ranges, ranks, stats, workers
 from ledgerlens.operators import clean, compare, features, patterns, quality, risk, split, temporal
 from ledgerlens.plans import analyse
 from ledgerlens.schema import REQUIRED, TYPES
@@ -97,6 +97,7 @@ def test_workers(spark):
     df = spark.createDataFrame([(float(x), float(x % 7), float(3 * x)) for x in range(1, 60)], "a double, b double, c double")
     low, high = workers.bootstrap(df, "a", 500).first()
     assert low < 30 < high and (low, high) == tuple(workers.bootstrap(df, "a", 500).first())
+    assert tuple(workers.bootstrap(df.limit(0), "a", 500).first()) == (None, None)
     got = {r.feature: r.vif for r in workers.vif(df, ["a", "b"]).collect()}
     x = np.array([[v, v % 7] for v in range(1, 60)], float)
     want = np.diag(x.T @ x) * np.diag(np.linalg.inv(x.T @ x))
@@ -106,6 +107,45 @@ def test_workers(spark):
     assert workers.segments(np.r_[np.zeros(10), np.ones(10) * 5], 2) == [10, 20]
 
 
+@pytest.mark.parametrize("block", [20_000, 40])
+def test_bootstrap_interval_is_that_of_the_mean(spark, monkeypatch, block):
+    """Percentiles of many resampled means lie where the normal approximation puts them, however the values are dealt."""
+    monkeypatch.setattr(workers, "BLOCK", block)
+    x = np.random.default_rng(2).gamma(2.0, 50.0, 900).round(1)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    low, high = workers.bootstrap(df, "v", 4_000).first()
+    half = 1.96 * x.std() / math.sqrt(len(x))
+    assert abs(low - (x.mean() - half)) < 0.15 * half and abs(high - (x.mean() + half)) < 0.15 * half
+
+
+def test_ranges_rise_with_values(spark):
+    xs = [-1e300, -5.0, -1.0001, -1.0, -1e-70, -0.0, 0.0, 1e-70, 0.3, 1.0, 1.5, 3.0, 1e9, 1e300, float("inf"), float("nan")]
+    got = [r.r for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", ranges.range_of(F.col("x")).alias("r")).orderBy("i").collect()]
+    assert got == sorted(got) and got[5] == got[6] and got[2] != got[10]
+    v = np.random.default_rng(3).normal(size=501).round(2)
+    q = ranges.quantiles(spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double"), {"a": F.col("v"), "b": 2 * F.col("v")}, (0.0, 0.25, 0.5, 0.99, 1.0)).first()
+    np.testing.assert_allclose(q.a, np.quantile(v, (0, 0.25, 0.5, 0.99, 1)))
+    np.testing.assert_allclose(q.b, 2 * np.array(q.a))
+
+
+def test_hodges_lehmann_forms_no_pairs(spark):
+    rng = np.random.default_rng(5)
+    for n, m in ((7, 6), (5, 5), (40, 31), (1, 1)):
+        a, b = rng.normal(size=n), np.r_[rng.normal(2, 3, m - 1), 0.0]
+        df = spark.createDataFrame([(float(x), True) for x in a] + [(float(x), False) for x in b] + [(None, True), (9.0, None)], "v double, first boolean")
+        assert abs(compare.hodges_lehmann(df, "v", "first").first().shift - np.median(a[:, None] - b[None, :])) < 1e-9
+    assert compare.hodges_lehmann(df.where("first"), "v", "first").first().shift is None
+
+
+def test_report_and_dashboard(spark):
+    df = split.in_period(analyse.transactions(spark, "/root/testdata/sf0.001"))
+    text = report.report(df)
+    for title in ("SCOPE", "PERIOD", "DATA QUALITY", "TESTS", "FINANCIAL IMPACT", "DRIVER RISK", "VEHICLE RISK", "TEMPORAL RISK", "SUMMARY"):
+        assert f"\n{title}\n" in text, title
+    rows = dashboard.panels(df)
+    assert len(rows["Significance (-log10 p)"]) == 5 and len(rows["Spend by month"]) > 3
+
+
 def plain_fisher(a, b, c, d):
     n1, n2, k = a + b, c + d, a + c
     ways = {x: math.comb(n1, x) * math.comb(n2, k - x) for x in range(max(0, k - n2), min(k, n1) + 1)}
@@ -232,7 +272,8 @@ def test_sources_and_report(spark, tmp_path, frame):
     (tmp_path / "y.csv").write_text("a,b\n1,2\n")
     assert readers.read(spark, str(tmp_path / "y.csv")).columns == ["a", "b"]
     assert readers.slug("Ünïted  Branch/No. 5") == "United-Branch-No-5" and readers.slug("con") == "Con-File" and readers.slug("") == "Unnamed"
-    assert report.fill("{a} {b:,.2f}", {"a": 1}) == "1 {MISSING:b}" or "MISSING" in report.fill("{a} {b}", {"a": 1})
+    assert report.fill("{a} {b}", {"a": 1}) == "1 {MISSING:b}" and report.fill("{a} {b:,.2f}", {"a": 1}) == "1 {MISSING:b}"
+    assert report.fill("{a:,.2f}", {"a": "x"}) == "x"
     assert report.currency(-2.5) == "-$2.50" and report.percent(None) == "N/A" and report.is_missing("n/a") and not report.is_missing(False)
     fuel = df.select("vehicle_id", "transaction_timestamp", "odometer_miles")
     trips = spark.createDataFrame([("x", datetime(2024, 1, 1), 1.0, 1.0, 1.0, 1.0)] * 2, "vehicle_id string, date timestamp_ntz, distance_miles double, idle_duration_minutes double, driving_duration_minutes double, engine_runtime_minutes double")
