@@ -1,11 +1,13 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory. DataFrame operations only.
 
-Every line of a file that holds an anchor word is a candidate: a header line, a line of a
-licence file, an SPDX tag. Its terms are weighted by frequency and by inverse
-frequency over all candidate lines of the corpus and the templates, and its cosine to
-each template is a sparse dot product by an equi-join on terms. A file that has no
-licence of its own takes that of the licence file (LICENSE, COPYING, NOTICE ...) in the
-nearest directory above it, found by joins on the directories of its path.
+A line of a file that holds an anchor word begins candidate headers: the line alone, with
+the one after it, with the three after it, and with the one before and two after it, so
+that a grant which runs over several lines meets its template as a whole. A licence file (LICENSE, COPYING, NOTICE ...) is a
+candidate as a whole too. Terms are weighted by frequency and by inverse frequency over
+all candidates of the corpus and the templates, and a candidate's cosine to each
+template is a sparse dot product by an equi-join on terms. A file that has no licence of
+its own takes that of the licence file in the nearest directory above it, found by joins
+on the directories of its path.
 """
 
 from __future__ import annotations
@@ -15,32 +17,54 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-#: (licence, template): well-known grants and tags of each licence, one line each.
-TEMPLATES = (
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_1 = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_2 = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+#: (licence, template): public grants, notices and whole short licences (fixed texts).
+GRANTS = (
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("MIT", _MIT),
+    ("MIT", "MIT License " + _MIT + ' (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("BSD-2-Clause", f"BSD 2-Clause License {_BSD} {_BSD_1} {_BSD_2}"),
+    ("BSD-3-Clause", f"BSD 3-Clause License {_BSD} {_BSD_1} {_BSD_2} {_BSD_3}"),
+    ("GPL-2.0-only", "it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
+    ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0-or-later", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("GPL-3.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "licensed under the GNU Lesser General Public License, version 2.1"),
     ("LGPL-3.0", "it under the terms of the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
     ("CC-BY-4.0", "Licensed under the Creative Commons Attribution 4.0 International License, CC BY 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC0-1.0", "dedicated to the public domain under CC0 1.0 Universal"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
     ("Proprietary", "All rights reserved. Unauthorized copying of this file is strictly prohibited. Proprietary and confidential"),
 )
-#: A candidate line holds one of these; every template does.
+#: Identifiers that a tag may name and the licence that is reported for each: itself, but for the later versions of three.
+TAGS = "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 ISC Unlicense Zlib 0BSD BSL-1.0".split()
+_GENERAL = {f"{x}-{v}": x for x in ("GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for v in ("only", "or-later")}
+TEMPLATES = (*GRANTS, *((_GENERAL.get(x, x), f"SPDX-License-Identifier: {x}") for x in TAGS))
+#: A header begins with a line that holds one of these; every template does.
 ANCHOR = r"(?i)licen[sc]|copyright|spdx|permission|redistribut|public domain|rights reserved|warrant"
+#: A line that denies its licence begins no header.
+DENIED = r"(?i)\b(not|never|no longer)\b[^.]{0,25}\b(licen[sc]|released|distributed|covered|available)"
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)[^/]*$"
 LEAST = 0.6
 TERM = r"[a-z0-9]+"
@@ -60,10 +84,29 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.sql("select * from values " + ", ".join(rows) + " as t(tid, licence, line)")
 
 
-def candidates(files: DataFrame, text: str = "text") -> DataFrame:
-    """(line, uses) of the different candidate lines of all files: repeated lines are weighed once and counted."""
-    t = files.where(F.col(text).rlike(ANCHOR)).select(F.explode(F.split(F.col(text), "\n")).alias("line")).select(F.trim("line").alias("line"))
-    return t.where(F.col("line").rlike(ANCHOR)).groupBy("line").agg(F.count(F.lit(1)).alias("uses"))
+def _begins(line: Column) -> Column:
+    return line.rlike(ANCHOR) & ~line.rlike(DENIED)
+
+
+def _headers(text: Column, path: Column) -> Column:
+    """The different candidates of a text with an anchor: headers of 1, 2 and 4 lines from each that begins one, of 4 from the line before, and a licence file as a whole.
+
+    Each line is put beside the three after it first, so that the steps of a long text take one look at it.
+    """
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    n = F.size(lines)
+    beside = F.arrays_zip(lines.alias("a"), F.slice(lines, F.lit(2), n).alias("b"), F.slice(lines, F.lit(3), n).alias("c"), F.slice(lines, F.lit(4), n).alias("d"))
+    here = F.filter(beside, lambda z: _begins(z["a"]) | (F.coalesce(_begins(z["b"]), F.lit(False)) & ~z["a"].rlike(DENIED)))
+    four = lambda z: F.concat_ws(" ", z["a"], z["b"], z["c"], z["d"])
+    spans = F.flatten(F.transform(here, lambda z: F.when(_begins(z["a"]), F.array(z["a"], F.concat_ws(" ", z["a"], z["b"]), four(z))).otherwise(F.array(four(z)))))
+    whole = F.when(path.rlike(LICENCE_FILE) & F.exists(lines, _begins), F.array(F.array_join(lines, " "))).otherwise(F.array())
+    return F.array_distinct(F.concat(spans, whole))
+
+
+def candidates(files: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
+    """(line, uses) of the different candidates of all files: repeated ones are weighed once and counted by files."""
+    t = files.where(F.col(text).rlike(ANCHOR)).select(F.explode(_headers(F.col(text), F.col(path))).alias("line"))
+    return t.groupBy("line").agg(F.count(F.lit(1)).alias("uses"))
 
 
 def match(lines: DataFrame, least: float = LEAST) -> DataFrame:
@@ -80,26 +123,26 @@ def match(lines: DataFrame, least: float = LEAST) -> DataFrame:
     norm = w.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     tw = known.join(idf, "term").select("tid", "term", (F.col("tf") * F.col("idf")).alias("tw"))
     tnorm = tw.groupBy("tid").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
-    # a template has at most a few dozen terms, so this side has a few hundred rows
+    # a template has at most a few dozen terms, so this side has about a thousand rows
     dot = w.join(F.broadcast(tw), "term").groupBy("line", "tid").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     cos = dot.join(norm, "line").join(F.broadcast(tnorm), "tid").select("line", "tid", F.round(F.try_divide("dot", F.col("norm") * F.col("tnorm")), 6).alias("score"))
     best = cos.groupBy("line").agg(F.max(F.struct("score", (-F.col("tid")).alias("t"))).alias("b")).select("line", F.col("b.score").alias("score"), (-F.col("b.t")).alias("tid"))
     return best.where(F.col("score") >= least).join(F.broadcast(t.select("tid", "licence")), "tid").select("line", "licence", "score")
 
 
-def scan(files: DataFrame, path: str = "path", text: str = "text", least: float = LEAST) -> DataFrame:
-    """(path, licence, score, line, from_path) of each row of files.
+def scan(files: DataFrame, path: str = "path", text: str = "text", least: float = LEAST, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, path, licence, score, line, from_path) of each row of files.
 
-    ``line`` is the matched line of the file itself or of the licence file ``from_path``
-    whose licence it inherits; all null if there is neither. A file's best line wins,
-    then the licence's name, then the line. Null paths are scanned but inherit nothing;
+    ``line`` is the matched header of the file itself or of the licence file ``from_path``
+    whose licence it inherits; all null if there is neither. A file's best header wins,
+    then the licence's name, then the header. Null paths are scanned but inherit nothing;
     rows of one path and text share their answer; an empty table gives no rows.
     """
-    f = files.select(F.col(path).alias("path"), F.col(text).alias("text"))
+    f = files.select(*[F.col(c).alias(f"_keep_{c}") for c in keep], F.col(path).alias("path"), F.col(text).alias("text"))
     good = saved(match(candidates(f), least), "licence-good")
     # the anchor is looked for in the whole text first, so most files are done with one pass
-    mine = f.where(F.col("text").rlike(ANCHOR)).select("path", F.xxhash64("text").alias("th"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).select("path", "th", F.trim("line").alias("line"))
-    mine = mine.where(F.col("line").rlike(ANCHOR)).join(good, "line")
+    mine = f.where(F.col("text").rlike(ANCHOR)).select("path", F.xxhash64("text").alias("th"), F.explode(_headers(F.col("text"), F.col("path"))).alias("line"))
+    mine = mine.join(good, "line")
     own = mine.groupBy("path", "th").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence", "line")).alias("b"))
     own = saved(own.select("path", "th", F.struct(F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"), F.col("b.line").alias("line")).alias("own")), "licence-own")
     # licence files by their directory: the best of each, with its path
@@ -108,11 +151,11 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", least: float
     here = f.where("path is not null").select(_parent(F.col("path")).alias("home")).distinct()
     up = here.select("home", F.explode(_ancestors(F.col("home"))).alias("dir"))
     near = up.join(dirs, "dir").groupBy("home").agg(F.max(F.struct(F.length("dir").alias("depth"), "c")).alias("n")).select("home", "n.c")
-    out = f.select("path", F.xxhash64("text").alias("th"), _parent(F.col("path")).alias("home"))
+    out = f.select(*[f"_keep_{c}" for c in keep], "path", F.xxhash64("text").alias("th"), _parent(F.col("path")).alias("home"))
     out = out.join(own.select(F.col("path").alias("_p"), F.col("th").alias("_t"), "own"), F.col("path").eqNullSafe(F.col("_p")) & F.col("th").eqNullSafe(F.col("_t")), "left").join(near, "home", "left")
     has = F.col("own").isNotNull()
     pick = lambda a, b: F.when(has, F.col(a)).otherwise(b)
-    return out.select("path", pick("own.licence", F.col("c.licence")).alias("licence"), pick("own.score", -F.col("c.s")).alias("score"), pick("own.line", F.col("c.line")).alias("line"), F.when(~has, F.col("c.path")).alias("from_path"))
+    return out.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], "path", pick("own.licence", F.col("c.licence")).alias("licence"), pick("own.score", -F.col("c.s")).alias("score"), pick("own.line", F.col("c.line")).alias("line"), F.when(~has, F.col("c.path")).alias("from_path"))
 
 
 def _parent(path: Column) -> Column:
@@ -127,28 +170,38 @@ def _ancestors(home: Column) -> Column:
 
 
 def corpus_files(documents: DataFrame) -> DataFrame:
-    """documents as a source tree: a source is a repository, a language a directory, documents go to ten modules; every 97th document is named as a licence file of its module."""
-    module = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.concat(F.lit("m"), F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(10)).cast("string")))
-    name = F.when(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(97)) == 0, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
-    return documents.select(F.col("doc_id"), F.concat(module, F.lit("/"), name).alias("path"), "text")
+    """documents as a source tree: a source is a repository, a language a directory, documents go to ten modules.
+
+    Every 97th document is named as a licence file, of its repository, its language's directory or its module in turn.
+    """
+    k = F.coalesce("doc_id", F.lit(0))
+    top, language, module = F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.concat(F.lit("m"), F.pmod(k, F.lit(10)).cast("string"))
+    home = F.concat_ws("/", top, language, module)
+    third = F.pmod(k, F.lit(3))
+    held = F.when(third == 0, top).when(third == 1, F.concat_ws("/", top, language)).otherwise(home)
+    path = F.when(F.pmod(k, F.lit(97)) == 0, F.concat(held, F.lit("/LICENSE."), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))).otherwise(F.concat(home, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    return documents.select("doc_id", path.alias("path"), "text")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """doc_id, path, licence, score, line and from_path of every document, as a file of ``corpus_files``."""
     files = corpus_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return scan(files).select(F.regexp_extract("path", r"([0-9]+)(\.txt)?$", 1).cast("long").alias("doc_id"), "path", "licence", "score", "line", "from_path")
+    return scan(files, keep=("doc_id",))
 
 
 SQL = r"""
 with t as (select * from (values @TEMPLATES@) as t(tid, licence, line)),
-f as (
-  select doc_id, text,
-         concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), 'm' || cast(((coalesce(doc_id, 0) % 10) + 10) % 10 as varchar)) as home,
-         case when coalesce(doc_id, 0) % 97 = 0 then 'LICENSE.' || cast(doc_id as varchar) else coalesce(cast(doc_id as varchar), 'none') || '.txt' end as name
-  from documents),
+f0 as (
+  select doc_id, text, coalesce(doc_id, 0) as k, coalesce(source, 'none') as top, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none')) as dir from documents),
+f1 as (select *, dir || '/m' || cast(((k % 10) + 10) % 10 as varchar) as home0, k % 97 = 0 as held, ((k % 3) + 3) % 3 as third from f0),
+f2 as (select *, case when not held or third = 2 then home0 when third = 0 then top else dir end as home,
+              case when held then 'LICENSE.' || coalesce(cast(doc_id as varchar), 'none') else cast(doc_id as varchar) || '.txt' end as name from f1),
+f as (select row_number() over () as rid, doc_id, text, home, name, held, list_transform(string_split(text, chr(10)), x -> trim(x, ' ')) as ls from f2),
+a as (select *, list_filter(range(1, len(ls) + 1), i -> regexp_matches(ls[i], '@ANCHOR@') and not regexp_matches(ls[i], '@DENIED@')) as at from f where regexp_matches(text, '@ANCHOR@')),
 l as (
-  select doc_id, home, name, trim(line, ' ') as line from (select doc_id, home, name, unnest(string_split(text, chr(10))) as line from f)
-  where regexp_matches(line, '@ANCHOR@')),
+  select rid, home, name, held, unnest(list_distinct(list_concat(
+    flatten(list_transform(at, i -> [ls[i], array_to_string(ls[i:i + 1], ' '), array_to_string(ls[i:i + 3], ' '),
+      case when i > 1 and not regexp_matches(ls[i - 1], '@DENIED@') then array_to_string(ls[i - 1:i + 2], ' ') else ls[i] end])), case when held and len(at) > 0 then [array_to_string(ls, ' ')] else [] end))) as line from a),
 c as (select line, count(*) as uses from l group by line),
 own as (select line, uses, term, count(*) as tf from (select line, uses, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) as term from c) group by all),
 known as (select tid, term, count(*) as tf from (select tid, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) as term from t) group by all),
@@ -163,11 +216,15 @@ nt as (select tid, sqrt(sum(tw * tw)) as tnorm from tw group by tid),
 cs as (
   select line, tid, round(dot / nullif(norm * tnorm, 0), 6) as score
   from (select line, tid, sum(w * tw) as dot from w join tw using (term) group by all) join nw using (line) join nt using (tid)),
-b as (select line, licence, score from (select *, row_number() over (partition by line order by score desc, tid) as r from cs) join t_names using (tid) where r = 1 and score >= 0.6),
-m as (select doc_id, home, name, licence, score, line from (select *, row_number() over (partition by doc_id order by score desc, licence, line) as r from l join b using (line)) where r = 1),
+b as (select line, licence, score from (select *, row_number() over (partition by line order by score desc, tid) as r from cs) join (select tid, licence from t) using (tid) where r = 1 and score >= 0.6),
+m as (select rid, home, name, held, licence, score, line from (select *, row_number() over (partition by rid order by score desc, licence, line) as r from l join b using (line)) where r = 1),
 lf as (
-  select * from (select *, row_number() over (partition by home order by score desc, licence, name, line) as r from m where name like 'LICENSE.%') where r = 1)
+  select * from (select *, row_number() over (partition by home order by score desc, licence, home || '/' || name, line) as r from m where held) where r = 1),
+h as (select distinct home from f),
+near as (
+  select home, lf_home from (select h.home, lf.home as lf_home, row_number() over (partition by h.home order by length(lf.home) desc) as r
+    from h join lf on starts_with(h.home || '/', lf.home || '/')) where r = 1)
 select f.doc_id, f.home || '/' || f.name as path, coalesce(m.licence, lf.licence) as licence, coalesce(m.score, lf.score) as score,
-       coalesce(m.line, lf.line) as line, case when m.doc_id is null then lf.home || '/' || lf.name end as from_path
-from f left join m using (doc_id) left join lf on lf.home = f.home
-""".replace("t_names using", "(select tid, licence from t) using").replace("@TEMPLATES@", ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(TEMPLATES))).replace("@ANCHOR@", ANCHOR)
+       coalesce(m.line, lf.line) as line, case when m.rid is null then lf.home || '/' || lf.name end as from_path
+from f left join m using (rid) left join near on near.home = f.home left join lf on lf.home = near.lf_home
+""".replace("@TEMPLATES@", ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(TEMPLATES))).replace("@ANCHOR@", ANCHOR).replace("@DENIED@", DENIED)

@@ -14,7 +14,14 @@ FILES = [
 def brute(files):
     """(path, licence, from) by comparing every line with every template."""
     terms = lambda t: Counter(re.findall(r"[a-z0-9]+", t.lower()))
-    lines = [x.strip(" ") for _, t in files if t is not None for x in t.split("\n") if re.search(licences.ANCHOR, x)]
+    def headers(p, t):
+        ls = [x.strip(" ") for x in t.split("\n")] if t is not None else []
+        at = [i for i, x in enumerate(ls) if re.search(licences.ANCHOR, x) and not re.search(licences.DENIED, x)]
+        whole = [" ".join(ls)] if at and p and re.search(licences.LICENCE_FILE, p) else []
+        before = [" ".join(ls[i - 1 : i + 3]) for i in at if i and not re.search(licences.DENIED, ls[i - 1])]
+        return list(dict.fromkeys([" ".join(ls[i : i + n]) for i in at for n in (1, 2, 4)] + before + whole))
+
+    lines = [x for p, t in files for x in headers(p, t)]
     n = len(lines) + len(licences.TEMPLATES)
     df = Counter(w for x in [*lines, *[t for _, t in licences.TEMPLATES]] for w in terms(x))
     vec = lambda t: {w: c * math.log((1 + n) / df[w]) for w, c in terms(t).items()}
@@ -30,8 +37,8 @@ def brute(files):
         return out if out[0] >= licences.LEAST else None
 
     own = []
-    for _, t in files:
-        found = [(-b[0], b[1], x.strip(" ")) for x in (t or "").split("\n") if re.search(licences.ANCHOR, x) and (b := best(x.strip(" ")))]
+    for p, t in files:
+        found = [(-b[0], b[1], x) for x in headers(p, t) if (b := best(x))]
         own.append(min(found) if found else None)
     top = {}
     for (p, _), o in zip(files, own):
@@ -60,3 +67,36 @@ def test_equals_brute_force(spark):
 
 def test_empty_table(spark):
     assert licences.scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+HEADERS = {
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
+    "GPL-3.0": "it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "GPL-2.0-only": "# SPDX-License-Identifier: GPL-2.0-only",
+    "BSD-2-Clause": "// SPDX-License-Identifier: BSD-2-Clause",
+    "BSD-3-Clause": "/* SPDX-License-Identifier: BSD-3-Clause */",
+    "EPL-2.0": "made available under the terms of the Eclipse Public License 2.0",
+    "AGPL-3.0": "it under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.',
+}
+
+
+def test_versions_and_denials(spark):
+    rows = [(f"{i}/x.c", t) for i, t in enumerate(HEADERS.values())] + [("no/x.c", "This file is not released under the MIT License."), ("long/x.c", "word\n" * 50_000 + "Released under the MIT License.")]
+    rows.append(("whole/LICENSE", licences.TEMPLATES[2][1].replace(", ", ",\n")))
+    rows.append(("whole/src/deep/y.c", "int x;"))
+    got = {r.path: r for r in licences.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [got[f"{i}/x.c"].licence for i in range(len(HEADERS))] == list(HEADERS)
+    assert got["no/x.c"].licence is None and got["long/x.c"].licence == "MIT"
+    assert got["whole/LICENSE"].licence == "MIT" and got["whole/LICENSE"].score > 0.9 and got["whole/src/deep/y.c"].from_path == "whole/LICENSE"
+
+
+def test_query_inherits_from_directories_above(spark, tmp_path):
+    rows = [(0, "Released under the MIT License.", "en", "web"), (97, "Licensed under CC BY-SA 4.0", "en", "web"), (194, "Licensed under CC BY-NC 4.0", "en", "web"), (-96, "x", "en", "web"), (-97, None, "en", "web"), (5, "", "en", "web"), (17, "y", "en", "web"), (4, "z", "de", "web"), (4, "z", "de", "web"), (None, "q", None, None), (8, "Released under the MIT License.", "fr", "books")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = licences.query(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted((r[0] for r in rows), key=str)
+    by = {r.doc_id: (r.licence, r.from_path) for r in got}
+    assert by[-97] == ("CC-BY-SA-4.0", "web/en/LICENSE.97") and by[4] == ("MIT", "web/LICENSE.0") and by[17] == ("CC-BY-SA-4.0", "web/en/LICENSE.97")
+    assert by[-96] == ("CC-BY-NC-4.0", "web/en/m4/LICENSE.194") and by[None] == (None, None) and by[8] == ("MIT", None)
