@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, saved
 
 #: Samples in a row of the stored image.
 WIDTH = 192
@@ -96,7 +96,7 @@ def parse(html: str | None) -> list[dict]:
 
 
 def sequences(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """The columns ``keep`` and ``items``, the page's sequence, for every row of pages."""
+    """The columns ``keep`` and ``items``, the page's sequence, for every row of pages; a null or empty page has no items."""
     kinds = dict(pages.select(*keep, html).dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,26 +157,58 @@ def describe(store: DataFrame, digest: str = "digest", media: str = "media") ->
     return each.groupBy(digest).agg(F.min(F.struct(*names)).alias("_f")).select(digest, "_f.*")
 
 
-def resolve(seqs: DataFrame, described: DataFrame, scheme: str = "sha256:") -> DataFrame:
-    """The items of ``sequences`` as rows, a media item with its payload's columns (null for a dangling or foreign reference)."""
+#: A digest that this part of all references name, or more, is hot: there are at most as many.
+HOT_SHARE = 1000
+
+
+def references(seqs: DataFrame, scheme: str = "sha256:") -> DataFrame:
+    """The items of ``sequences`` as rows, with the digest that a media item refers to (_d; null for others and for foreign references)."""
     keep = [c for c in seqs.columns if c != "items"]
     rows = seqs.select(*keep, F.explode_outer("items").alias("_i")).select(*keep, "_i.*")
-    ref = F.when(F.col("ref").startswith(scheme), F.substring("ref", len(scheme) + 1, 64))
-    return rows.withColumn("_d", ref).join(described.withColumnRenamed("digest", "_digest"), F.col("_d") == F.col("_digest"), "left").drop("_d", "_digest")
+    return rows.withColumn("_d", F.when((F.col("kind") == "media") & F.col("ref").startswith(scheme), F.substring("ref", len(scheme) + 1, 64)))
+
+
+def resolve(items: DataFrame, described: DataFrame) -> DataFrame:
+    """``references`` with their payloads' columns; null for text, for dangling and for foreign references.
+
+    items is read more than once, so save it first. Text items are not joined. A digest that a thousandth of all
+    references name is joined by broadcast, as there are at most ``HOT_SHARE`` of those; the others are shuffled.
+    """
+    known, names = described.withColumnRenamed("digest", "_digest"), [c for c in described.columns if c != "digest"]
+    uses = items.where("_d is not null").groupBy("_d").agg(F.count(F.lit(1)).alias("_uses"))
+    total = uses.agg(F.sum("_uses").alias("_all"))
+    hot = saved(uses.join(F.broadcast(total), F.lit(True)).where(F.col("_uses") * HOT_SHARE >= F.col("_all")).select("_d"), "media-hot")
+    hot_known = saved(known.join(F.broadcast(hot), F.col("_digest") == F.col("_d")).drop("_d"), "media-hot-payloads")
+    other = items.where("_d is null").select("*", *[F.lit(None).cast(k).alias(c) for c, k in described.dtypes if c != "digest"])
+    media = items.where("_d is not null")
+    few = media.join(F.broadcast(hot), "_d", "left_semi").join(F.broadcast(hot_known), F.col("_d") == F.col("_digest"), "left")
+    rest = media.join(F.broadcast(hot), "_d", "left_anti").join(known, F.col("_d") == F.col("_digest"), "left")
+    out = [c for c in items.columns if c != "_d"] + names
+    return few.select(*out).unionByName(rest.select(*out)).unionByName(other.select(*out))
+
+
+def _page(text: Column, digest: Column, caption: Column) -> Column:
+    """A text as a page: a paragraph for each line, the stored form as a figure with its caption after the first half of the lines."""
+    plain = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.split(plain(F.coalesce(text, F.lit(""))), "\n")
+    half = F.floor(F.size(lines) / 2).cast("int")
+    paragraphs = lambda part: F.concat(F.lit("<p>"), F.array_join(part, "</p><p>"), F.lit("</p>"))
+    figure = F.concat(F.lit("<figure><img src='sha256:"), digest, F.lit("'><figcaption>"), plain(caption), F.lit("</figcaption></figure>"))
+    return F.concat(F.lit("<article>"), paragraphs(F.slice(lines, F.lit(1), half)), figure, paragraphs(F.slice(lines, half + 1, F.size(lines))), F.lit("</article>"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Contract: the stored form of every text of documents, read back and described.
+    """Contract: the stored form of every text of documents, read back and described; pos is its place between the text's lines.
 
-    Each document becomes a page with a caption and a reference to its stored text.
+    Each document becomes a page of its lines with a reference to its stored text among them, and a caption of source and
+    language. Every row of documents gives a row, whatever its key; null texts are empty ones.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    made = docs.select("doc_id", "source", "lang", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), encode_image(payload(F.col("text"))).alias("media"))
+    made = docs.select("doc_id", "source", "lang", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), encode_image(payload(F.col("text"))).alias("media"))
+    made = made.withColumn("digest", F.sha2("media", 256))
     path = new_path(spark, "media")
-    made.withColumn("digest", F.sha2("media", 256)).write.option("compression", "zstd").parquet(path)
-    store = spark.read.parquet(path)
-    caption = F.concat_ws(" ", "source", "lang")
-    page = F.concat(F.lit("<article><figure><img src='sha256:"), F.col("digest"), F.lit("'><figcaption>"), F.regexp_replace(caption, "[<>&]", " "), F.lit("</figcaption></figure></article>"))
-    seqs = sequences(store.select("doc_id", "n_bytes", page.alias("html")), keep=("doc_id", "n_bytes"))
-    got = resolve(seqs, describe(store)).where("kind = 'media'")
+    made.select("digest", "media").write.option("compression", "zstd").parquet(path)
+    pages = made.select("doc_id", "n_bytes", _page(F.col("text"), F.col("digest"), F.concat_ws(" ", "source", "lang")).alias("html"))
+    items = references(sequences(pages, keep=("doc_id", "n_bytes"))).where("kind = 'media'").select("doc_id", "n_bytes", "pos", "caption", "_d")
+    got = resolve(saved(items, "media-items"), describe(spark.read.parquet(path)))
     return got.select("doc_id", "n_bytes", *[x.split()[0] for x in _FEATURES.split(", ")], "pos", "caption")

@@ -37,8 +37,24 @@ def test_references_resolve_where_they_stand(spark):
     store = spark.createDataFrame([("a",), ("a",)], "text string").select(media.encode_image(media.payload(F.col("text"))).alias("media")).withColumn("digest", F.sha2("media", 256))
     known = store.first().digest
     pages = spark.createDataFrame([(1, PAGE.format(a=known, b="0" * 64), "pos"), (2, None, "kind"), (None, "<p>x", "text")], "page_id long, html string, kind string")
-    rows = media.resolve(media.sequences(pages), media.describe(store)).collect()
+    rows = media.resolve(media.references(media.sequences(pages)), media.describe(store)).collect()
     one = sorted((r for r in rows if r.page_id == 1), key=lambda r: r.pos)
     assert [r.payload_bytes for r in one] == [None, None, 192, None, None, None, None, None] and one[2].caption == "A caption"
     assert {r.page_id: r.pos for r in rows if r.page_id != 1} == {2: None, None: 0}
     assert media.sequences(pages.limit(0)).count() == 0
+
+
+def test_query_places_the_media_between_the_lines(spark, tmp_path):
+    texts = {0: "one", 1: "a\nb\n\nc & <d>\ne", 2: "", 3: None, 4: "x < y\n<p>not a tag</p>", 5: "line\n" * 3000, 6: "one", None: "\n\n"}
+    rows = [(k, t, "so<ur>ce" if k == 1 else "s", "en", "f", 1) for k, t in texts.items()] + [(7, "one", None, None, "f", 1)] * 2
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, feature string, pos int").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = media.query(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted((r[0] for r in rows), key=str)
+    for r in got:
+        t = texts.get(r.doc_id, "one") or ""
+        lines = t.split("\n")
+        raw = t.encode()
+        p = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        assert r.n_bytes == len(raw) and r.payload_sha256 == hashlib.sha256(p).hexdigest() and r.tail_crc32 == zlib.crc32(p[-16:])
+        assert r.pos == sum(1 for x in lines[: len(lines) // 2] if x.split())
+        assert r.caption == ("so<ur>ce en" if r.doc_id == 1 else None if r.doc_id == 7 else "s en")
