@@ -14,6 +14,7 @@ whose token sums are added up first, so each range is ordered by itself.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -22,9 +23,9 @@ from pyspark.sql.window import Window as W
 
 from .common import n_words, saved
 
-#: Hexadecimal digits of the order hash that name a range of a source: 256 ranges.
-RANGE_DIGITS = 2
-#: Ranges that a unit of virtual time is cut into.
+#: Documents of a range of a source's order or of the stretch of virtual time that holds the cut, about, at most.
+RANGE_ROWS = 250_000
+#: Stretches that an interval of virtual time is cut into at once.
 TIME_STEPS = 1024
 
 
@@ -62,8 +63,9 @@ def queue(docs: DataFrame, key: str = "doc_id", weights: Sequence[int] = (3, 1,
     null source is a source; an empty table gives no rows.
     """
     slim = docs.select(F.col(key).alias("_k"), F.col("source"), F.col("size").cast("long").alias("size"))
-    slim = slim.withColumn("_h", F.md5(F.coalesce(F.col("_k").cast("string"), F.lit(""))))
-    slim = saved(slim.withColumn("_r", F.substring("_h", 1, RANGE_DIGITS)), "mix")
+    slim = saved(slim.withColumn("_h", F.md5(F.coalesce(F.col("_k").cast("string"), F.lit("")))), "mix")
+    digits = max(2, math.ceil(math.log(max(1, slim.count()) / RANGE_ROWS, 16)))  # of the order hash, that name a range
+    slim = slim.withColumn("_r", F.substring("_h", 1, digits))
     ranges = saved(slim.groupBy("source", "_r").agg(F.sum("size").alias("_n")), "mix-ranges")
     sizes = ranges.groupBy("source").agg(F.sum("_n").alias("source_size"))
     goal = targets(sizes, weights, share_num, share_den, passes)
@@ -78,17 +80,26 @@ def queue(docs: DataFrame, key: str = "doc_id", weights: Sequence[int] = (3, 1,
 
     again = F.explode(F.array(*[F.lit(i) for i in range(passes)])).alias("_pass")
     copies = timed.where("target > 0 and size > 0").select("*", again).withColumn("_v", (F.col("_cum") + F.col("_pass") * F.col("source_size")) / F.col("target"))
-    copies = copies.withColumn("_t", F.floor(F.col("_v") * TIME_STEPS))
-    steps = copies.groupBy("_t").agg(F.sum("size").alias("_n"))
-    upto = W.orderBy("_t").rowsBetween(W.unboundedPreceding, 0)  # a row per step of virtual time
-    budget = goal.agg(F.sum("source_size").alias("_total")).select((share_num * F.col("_total") / share_den).alias("_budget"))
-    steps = steps.withColumn("_upto", F.sum("_n").over(upto)).join(F.broadcast(budget), F.lit(True))
-    # the step in which the budget runs out, then the last copy in it that still fits
-    cut = saved(steps.where("_upto > _budget").agg(F.min_by(F.struct("_t", (F.col("_upto") - F.col("_n")).alias("_b"), "_budget"), "_t").alias("x")).select("x.*"), "mix-cut")
-    in_cut = copies.join(F.broadcast(cut.withColumnRenamed("_t", "_ct")), F.col("_t") == F.col("_ct"))
-    in_cut = in_cut.withColumn("_all", F.col("_b") + F.sum("size").over(W.orderBy("_v", "rank", "_h", "_k", "_pass", "size").rowsBetween(W.unboundedPreceding, 0)))
-    over = in_cut.where("_all > _budget").agg(F.min(F.struct("_v", "rank", "_h", "_k", "_pass", "size")).alias("_stop"))
-    timed = timed.join(F.broadcast(saved(over, "mix-stop")), F.lit(True))
+    budget = goal.agg(F.sum("source_size").alias("_total")).select((share_num * F.col("_total") / share_den).alias("_budget")).first()[0]
+    before, stop = 0, None
+    n, low, high, whole = copies.agg(F.count(F.lit(1)), F.min("_v"), F.max("_v"), F.sum("size")).first()
+    # the stretch of virtual time in which the budget runs out, cut again while it is long
+    while n and whole > budget:
+        if n <= RANGE_ROWS or low == high:
+            upto = W.orderBy("_v", "rank", "_h", "_k", "_pass", "size").rowsBetween(W.unboundedPreceding, 0)
+            over = copies.withColumn("_all", F.lit(before) + F.sum("size").over(upto)).where(F.col("_all") > budget)
+            # the first copy that no longer fits
+            stop = over.agg(F.min(F.struct("_v", "rank", "_h", "_k", "_pass", "size")).alias("_stop"))
+            break
+        step = F.least(F.floor((F.col("_v") - low) * (TIME_STEPS / (high - low))), F.lit(TIME_STEPS - 1))
+        steps = copies.groupBy(step.alias("_t")).agg(F.sum("size").alias("_n"))
+        steps = steps.withColumn("_upto", F.sum("_n").over(W.orderBy("_t").rowsBetween(W.unboundedPreceding, 0)))  # a row per stretch
+        t, upto, size = steps.where(F.lit(before) + F.col("_upto") > budget).orderBy("_t").select("_t", "_upto", "_n").first()
+        before += upto - size
+        copies = saved(copies.where(step == t), "mix-cut")
+        n, low, high = copies.agg(F.count(F.lit(1)), F.min("_v"), F.max("_v")).first()
+    kind = "struct<_v:double,rank:int,_h:string,_k:" + dict(slim.dtypes)["_k"] + ",_pass:int,size:bigint>"
+    timed = timed.join(F.broadcast(saved(stop, "mix-stop")), F.lit(True)) if stop is not None else timed.withColumn("_stop", F.lit(None).cast(kind))
     taken = sum(
         (F.when(F.col("_stop").isNull() | (F.struct(((F.col("_cum") + i * F.col("source_size")) / F.col("target")).alias("_v"), "rank", "_h", "_k", F.lit(i).alias("_pass"), "size") < F.col("_stop")), 1).otherwise(0) for i in range(passes)),
         F.lit(0),
@@ -100,13 +111,22 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> Data
     """The rows of docs, each as often as the mix takes it; columns as in docs.
 
     docs needs key, text and source; other columns pass through, whatever their names.
-    Rows are told apart by key, source and size; documents that agree in all three share one answer.
+    Rows are told apart by key, source and size; of rows that agree in all three, which are interchangeable to the
+    queue, as many go out as it takes, those of the smallest text hash first.
     """
     got = queue(docs.select(key, "source", n_words(F.col(text)).alias("size")), key, **how)
-    got = got.where("copies > 0").groupBy(F.col(key).alias("_mk"), F.col("source").alias("_ms"), F.col("size").alias("_mn")).agg(F.max("copies").alias("_mc"))
-    got = saved(got, "mix-taken").hint("merge")  # as many rows as documents: a plan that is the same at every size
+    got = got.groupBy(F.col(key).alias("_mk"), F.col("source").alias("_ms"), F.col("size").alias("_mn")).agg(F.sum("copies").alias("_mc"), F.count(F.lit(1)).alias("_mr"))
+    got = saved(got.where("_mc > 0"), "mix-taken")
+    repeated = got.where("_mr > 1").limit(1).count() > 0
+    got = got.hint("merge")  # as many rows as documents: a plan that is the same at every size
     d = docs.withColumn("_n", n_words(F.col(text)))
-    return d.join(got, d[key].eqNullSafe(F.col("_mk")) & d["source"].eqNullSafe(F.col("_ms")) & (F.col("_n") == F.col("_mn"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mc")))).select(*[d[c] for c in docs.columns])
+    out = d.join(got, d[key].eqNullSafe(F.col("_mk")) & d["source"].eqNullSafe(F.col("_ms")) & (F.col("_n") == F.col("_mn")))
+    copies = F.col("_mc")
+    if repeated:
+        turn = F.row_number().over(W.partitionBy("_mk", "_ms", "_mn").orderBy(F.xxhash64(d[text])))
+        out = out.withColumn("_mt", F.when(F.col("_mr") > 1, turn).otherwise(1))
+        copies = F.floor(F.col("_mc") / F.col("_mr")) + F.when(F.col("_mt") <= F.col("_mc") % F.col("_mr"), 1).otherwise(0)
+    return out.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))))).select(*[d[c] for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

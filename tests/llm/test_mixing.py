@@ -75,3 +75,29 @@ def test_empty_and_repeated_rows(spark):
     assert first == again and len(first) >= 4
     blank = spark.createDataFrame([(1, "", "s", 0, "", ""), (2, None, None, 0, "", "")], SCHEMA)
     assert [r.copies for r in mixing.queue(blank.select("doc_id", "source", mixing.n_words(blank["text"]).alias("size"))).collect()] == [0, 0]
+
+
+def test_equal_rows_go_out_as_often_as_the_queue_takes_them(spark):
+    same = [(1, "a b c d e f", "s", i, "", "") for i in range(50)] + [(2, "a b c", "t", 0, "", ""), (3, "a " * 40, "u", 0, "", "")]
+    docs = spark.createDataFrame(same, SCHEMA)
+    q = mixing.queue(docs.select("doc_id", "source", mixing.n_words(docs["text"]).alias("size"))).collect()
+    out = [r.doc_id for r in mixing.mix(docs).collect()]
+    assert len({r.copies for r in q if r.doc_id == 1}) == 2  # the cut lies among them
+    assert {k: out.count(k) for k in (1, 2, 3)} == {k: sum(r.copies for r in q if r.doc_id == k) for k in (1, 2, 3)}
+
+
+def test_the_cut_is_found_in_ever_shorter_stretches(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 7), ["a", "b", "c"][i % 3]) for i in range(500)]
+    docs = spark.createDataFrame([(k, t, s, 7, "x", "y") for k, t, s in rows], SCHEMA)
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 3)
+    monkeypatch.setattr(mixing, "TIME_STEPS", 4)
+    got = mixing.queue(docs.select("doc_id", "source", mixing.n_words(docs["text"]).alias("size"))).collect()
+    assert {(r.doc_id, r.source): r.copies for r in got if r.copies} == brute(rows)[2]
+
+
+def test_query(spark, tmp_path):
+    rows = corpus() + [(5, "x y", "a"), (5, "x y", "a"), (None, "z", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.query(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.size) for r in got) == sorted((k is None, k or 0, words(t)) for k, t, _ in rows)
+    assert all(r.taken in (0, r.size, 2 * r.size) for r in got) and got[0].__fields__[:5] == ["doc_id", "size", "source_size", "target", "taken"]
