@@ -10,7 +10,8 @@ vectors, and only each query's best leave the task.
 
 Equal vectors keep their ``k`` + 1 smallest ids in the index: no query can have
 more of them among its ``k`` nearest, so nothing is lost to a vector that a third
-of the rows share. The forest is at most a few MB, whatever the table's size.
+of the rows share. The forest is at most a few MB, whatever the table's size; leaves,
+which grow with the table then, are cut into slices that pass by different tasks.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ TREES = 6
 #: Vectors wanted in a leaf; and the sample's vectors that it holds at least.
 LEAF, LEAF_SAMPLE = 1024, 16
 RECALL = 0.96
-#: Queries held by a task at once.
-QUERIES = 20_000
+#: Queries held by a task at once, and vectors of a leaf that pass by one task, about: a larger leaf is cut into slices.
+QUERIES, SLICE = 20_000, 50_000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -167,6 +168,7 @@ def nearest(table: DataFrame, queries: Column, key: str = "vec_id", vector: str
     sample = one.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
     forest = spark.sparkContext.broadcast(Forest(_matrix(sample, dim), n, k))
     blocks = -(-n_asks // QUERIES)
+    slices = -(-n * TREES // (SLICE * int(forest.value.bases[-1])))
     kind = dict(table.dtypes)[vector]
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,9 +234,11 @@ def nearest(table: DataFrame, queries: Column, key: str = "vec_id", vector: str
 
     vectors = one.select("ids", "v").mapInArrow(placed, f"ids array<long>, v {kind}, leaves array<int>")
     vectors = vectors.select(F.explode("leaves").alias("leaf"), "ids", "v").select("leaf", "ids", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    vectors = vectors.withColumn("block", (F.col("block") * slices + F.pmod(F.xxhash64("v", F.lit(5)), F.lit(slices))).cast("int"))
     vectors = vectors.select("leaf", "block", F.lit(1).alias("side"), F.explode("ids").alias("id"), "v")
     looks = asks.mapInArrow(asked, f"id long, v {kind}, leaves array<int>")
-    looks = looks.select(F.explode("leaves").alias("leaf"), F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side"), "id", "v")
+    looks = looks.select(F.explode("leaves").alias("leaf"), F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int").alias("block"), "id", "v")
+    looks = looks.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select("leaf", (F.col("block") * slices + F.col("slice")).cast("int").alias("block"), F.lit(0).alias("side"), "id", "v")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = vectors.unionByName(looks).repartition(parts, "leaf", "block").sortWithinPartitions("leaf", "block", "side")
     found = rows.mapInArrow(meet, "query_id long, vec_id long, score double")

@@ -46,9 +46,22 @@ def test_few_and_no_candidates(spark):
 
 def test_recall_over_many_leaves(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "LEAF", 100)
+    monkeypatch.setattr(neighbours, "SLICE", 30)
     rng = np.random.default_rng(2)
     x = (rng.normal(size=(3000, 16)) + 2 * rng.normal(size=(10, 16))[rng.integers(10, size=3000)]).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     got, want = run(spark, rows), brute(rows)
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert hits >= 0.9 * 5 * len(want)
+
+
+def test_query_with_ties_repeated_rows_and_clashing_names(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, [round(rng.gauss(0, 1), 1) for _ in range(3)], i, 0.5) for i in range(150)]
+    rows += [(200 + i, rows[0][1], 0, 0.0) for i in range(8)] + [rows[50], rows[50], (None, rows[0][1], 1, 1.0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, score double").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    stored = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect()]
+    got, want = {}, brute(stored)
+    for r in neighbours.query(spark, str(tmp_path)).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    assert got == {q: {n + 1: i for n, (i, _) in enumerate(x)} for q, x in want.items()}
