@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 BITS = 15
 GRAMS = (3, 4, 5)
+#: Rows of a labelled table that the model is fitted on at most.
+FIT_ROWS = 20_000
 #: The labelled table: names that sites of either kind carry, put together with like hosts and paths by ``labelled``.
 BLOCK_NAMES = "casino-royal online-casino casino win-casino free-casino bets-now sports-bets betting-odds poker-room jackpot-win slots-free pills-shop buy-pills pharma-cheap cheap-meds viagra-store adult-cams adult-dating adult-videos xxx-videos sex-chat link-farm spam-links seo-spam click-track ads-network adserver ad-tracker popup-ads banner-ads free-loans payday-loans crack-keys warez-zone torrent-free replica-watches cheap-replica win-prize lottery-win free-slots".split()
 ALLOW_NAMES = "news daily-news university library science-journal city-council weather recipes gardening history-society museum open-data docs-portal developer health-service train-times book-reviews travel-guide photo-club music-school bioinformatics encyclopedia local-paper football-club film-archive language-school astronomy mathematics another anthology thinking reading together weather-station northern-lights estate theatre institution nation tradition".split()
@@ -33,7 +35,7 @@ def split_url(url: Column) -> tuple[Column, Column]:
 def fit_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:
     """The longest fitting rule as a struct (rule, verdict), or null. Rules of one length: the first."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for h, p, v in sorted(rules, key=lambda r: len(r[0]) + len(r[1])):
+    for _, (h, p, v) in sorted(enumerate(rules), key=lambda r: (len(r[1][0]) + len(r[1][1]), -r[0])):  # the last one looked at wins
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
         out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))).otherwise(out)
     return out
@@ -65,7 +67,7 @@ def fit(rows: Sequence[tuple[str, str, int]], steps: int = 300, rate: float = 2.
     y = np.array([r[2] for r in rows], float)
     at = np.repeat(np.arange(len(x)), [len(i) for i in x])
     cols = np.concatenate(x)
-    scale = np.array([1 / np.sqrt(len(i)) for i in x])
+    scale = np.array([1 / np.sqrt(max(1, len(i))) for i in x])
     w, b = np.zeros(1 << BITS), 0.0
     for _ in range(steps):
         z = np.bincount(at, w[cols], len(x)) * scale + b
@@ -75,21 +77,29 @@ def fit(rows: Sequence[tuple[str, str, int]], steps: int = 300, rate: float = 2.
     return w, b
 
 
+def fit_table(table: DataFrame, url: str = "url", label: str = "block", rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
+    """``fit`` on a labelled table (url, label 1 to block), on its ``rows`` rows of smallest hash; nulls are left out."""
+    host, path = split_url(F.col(url))
+    known = table.where(F.col(url).isNotNull() & F.col(label).isNotNull()).select(host.alias("host"), path.alias("path"), F.col(label).cast("int").alias("y"), F.xxhash64(url, F.lit(3)).alias("h"))
+    return fit([(r.host, r.path, r.y) for r in known.orderBy("h", "host", "path", "y").limit(rows).collect()])
+
+
 @lru_cache(maxsize=1)
 def model() -> tuple[np.ndarray, float]:
     return fit(labelled())
 
 
 def score(host: str, path: str, weights: np.ndarray, bias: float) -> float:
-    """Probability that the URL is one to block."""
+    """Probability that the URL is one to block; without host and path there are no n-grams, and the bias alone counts."""
     i = hashed(host, path)
-    return float(1 / (1 + np.exp(-(weights[i].sum() / np.sqrt(len(i)) + bias))))
+    return float(1 / (1 + np.exp(-(weights[i].sum() / np.sqrt(max(1, len(i))) + bias))))
 
 
 def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules: Sequence[tuple[str, str, str]] = RULES, fitted: tuple[np.ndarray, float] | None = None, least: float = 0.6) -> DataFrame:
     """(key, host, path, rule, verdict, p_block) for every row; the regression judges what no rule fits: block from a probability of ``least`` (above one half, as a wrong block costs a clean page).
 
-    A narrow pass: nothing is shuffled, so a host with a third of the rows costs no more than others.
+    A null or empty url, or one without ``://``, has an empty host and path and the model's bias as its answer; every row
+    has one, whatever its key. A narrow pass: nothing is shuffled, so a host with a third of the rows costs no more than others.
     """
     weights, bias = fitted or model()
     kind = dict(pages.dtypes)[key]

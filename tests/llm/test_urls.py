@@ -1,3 +1,4 @@
+import math
 import re
 
 from ledgerlens.llm import urls
@@ -37,3 +38,50 @@ def test_names_not_trained_on():
     p = lambda h: urls.score(h, "/en/5", w, b)
     assert all(p(f"www.{h}.example.com") >= 0.6 for h in ("casino-win", "free-bets", "cheap-pills", "spam-farm", "poker-casino"))
     assert all(p(f"{h}.example.org") < 0.6 for h in ("library-news", "school", "weather-maps", "history", "tionsh", "thering"))
+
+
+def test_urls_without_host_and_path_have_a_probability(spark):
+    got = urls.judge(spark.createDataFrame([(1, None), (2, ""), (3, "://")], "page_id long, url string")).collect()
+    w, b = urls.model()
+    assert all(abs(r.p_block - 1 / (1 + math.exp(-b))) < 1e-12 for r in got)
+
+
+def test_of_rules_of_one_length_the_first_counts(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("b.a.com", "/x/y/z")], "host string, path string")
+    same = (("a.com", "/x/", "allow"), ("com", "/x/y/", "block"), ("b.a.com", "/", "block"))
+    assert len({len(h + p) for h, p, _ in same}) == 1
+    for i in range(3):
+        order = same[i:] + same[:i]
+        assert df.select(urls.fit_rule(F.col("host"), F.col("path"), order)["rule"]).first()[0] == order[0][0] + order[0][1]
+    longer = (("com", "/x", "allow"), *same)
+    assert df.select(urls.fit_rule(F.col("host"), F.col("path"), longer)["rule"]).first()[0] == "a.com/x/"
+
+
+def held_out():
+    """Accuracy on the URLs of names left out of the fit, every fifth in turn."""
+    rows, right = urls.labelled(), []
+    name = [i // 4 for i in range(len(rows))]  # four URLs of each name
+    for k in range(5):
+        w, b = urls.fit([r for r, n in zip(rows, name) if n % 5 != k])
+        right += [(urls.score(h, p, w, b) >= 0.6) == y for (h, p, y), n in zip(rows, name) if n % 5 == k]
+    return sum(right) / len(right)
+
+
+def test_held_out_names():
+    assert held_out() > 0.7
+
+
+def test_fit_on_a_table(spark):
+    table = [(f"http://{h}{p}", y) for h, p, y in urls.labelled()] + [(None, 1), ("http://x.example.com/", None)]
+    w, b = urls.fit_table(spark.createDataFrame(table, "url string, block int").repartition(4))
+    v, c = urls.model()
+    assert abs(b - c) < 1e-6 and abs(w - v).max() < 1e-6
+
+
+def test_query(spark, tmp_path):
+    rows = [(i, u) for i, u in enumerate(URLS)] + [(None, URLS[3]), (0, URLS[5]), (0, URLS[5])]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(((r.page_id is None, r.page_id or 0, r.host, r.path, r.rule) for r in urls.query(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(((k is None, k or 0, *plain(u), rule(*plain(u))[0]) for k, u in rows), key=str)
