@@ -256,7 +256,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 #: the radius lies above it by 4 deviations. A set of 4 of another's 5 shingles is further off (48, deviation 6.2), hence
 #: the wider radius for fewer than FEW shingles.
 NEAR_WORDS, NEAR_RADIUS, FEW, FEW_RADIUS = 4, 62, 8, 78
-#: Shingles that a task holds when it verifies candidates (16 MB); a larger group of candidates is split into blocks.
+#: Shingles that a task holds when it verifies candidates (32 MB with their numbers); a larger group of candidates is split into blocks.
 HELD = 2_000_000
 
 
@@ -280,19 +280,6 @@ def _signatures(docs: DataFrame, text: str, key: str, shingle: int) -> DataFrame
     return docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_th"), F.col(text).alias("_t")).mapInArrow(run, f"_k {kind}, _th long, node long, n_shingles long, " + ", ".join(f"{x} long" for x in names))
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles): the sorted set of shingle hashes of each row (node, text), as little-endian words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                got = [shingle_set(t.as_py(), shingle).astype("<u8").tobytes() for t in _binary(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary())], ["node", "shingles"])
-
-    return docs.select("node", "text").mapInArrow(run, "node long, shingles binary")
-
-
 class _Verified:
     """One block of candidates with their sets; ``against`` links a further set to those that it is similar to."""
 
@@ -337,8 +324,8 @@ class _Verified:
             self.label[np.isin(self.label, labels)] = labels.min()
 
 
-def _verify(least: float):
-    """Links of the tiles in a task's rows (component, block, side, node, f0 .., shingles), which are sorted by the first three."""
+def _verify(least: float, shingle: int):
+    """Links of the tiles in a task's rows (component, block, side, node, f0 .., text), which are sorted by the first three."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, own, ready, a, b = None, [], None, [], []
@@ -352,12 +339,13 @@ def _verify(least: float):
             where = zip(*(batch.column(i).to_pylist() for i in range(3)))
             nodes = batch.column(3).to_pylist()
             prints = np.stack([batch.column(4 + j).to_numpy() for j in range(NEAR_WORDS)], axis=1).view(np.uint64) if batch.num_rows else None
+            texts = _binary(batch.column(4 + NEAR_WORDS))
             for i, (component, block, side) in enumerate(where):
                 if tile != (component, block):
                     if len(own) > 1 and ready is None:
                         start()
                     tile, own, ready = (component, block), [], None
-                shingles = np.frombuffer(batch.column(4 + NEAR_WORDS)[i].as_buffer(), "<u8").astype(np.uint64)
+                shingles = shingle_set(texts[i].as_py(), shingle)
                 if side == 0:
                     own.append((nodes[i], prints[i].copy(), shingles))
                 elif own:
@@ -384,15 +372,15 @@ def _similar(docs: DataFrame, one: DataFrame, text: str, key: str, shingle: int,
     names = [f"f{j}" for j in range(NEAR_WORDS)]
     near = saved(components(links(one, NEAR_RADIUS, NEAR_WORDS, least, tile)).join(one, "node"), "near-candidates")
     size = near.groupBy("component").agg(F.greatest(F.ceil(F.sum("n_shingles") / held), F.ceil(F.count(F.lit(1)) / tile)).cast("int").alias("blocks"))
-    # the sets of the candidates, from the text of one document each
+    # each candidate's text, from one document that has its set
     have = small(near.select("node", F.col("_k").alias("_rk"), F.col("_th").alias("_rth")))
     texts = docs.select(F.col(key).alias("_dk"), F.col(text).alias("text"), F.xxhash64(text).alias("_dth")).join(have, F.col("_dk").eqNullSafe(F.col("_rk")) & (F.col("_dth") == F.col("_rth")))
-    sets = _sets(texts, shingle).groupBy("node").agg(F.min("shingles").alias("shingles"))
+    texts = texts.groupBy("node").agg(F.min("text").alias("text"))
     at = near.join(size, "component").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int"))
     at = at.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("mine"))))
-    rows = at.join(sets, "node").select("component", "block", F.when(F.col("block") == F.col("mine"), 0).otherwise(1).alias("side"), "node", *names, "shingles")
+    rows = at.join(texts, "node").select("component", "block", F.when(F.col("block") == F.col("mine"), 0).otherwise(1).alias("side"), "node", *names, "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "component", "block").sortWithinPartitions("component", "block", "side").mapInArrow(_verify(least), "a long, b long")
+    return rows.repartition(parts, "component", "block").sortWithinPartitions("component", "block", "side").mapInArrow(_verify(least, shingle), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8, tile: int = TILE, held: int = HELD) -> DataFrame:
