@@ -1,9 +1,7 @@
-"""The queries of the training-data operators, their SQL, and the pipeline."""
+"""The queries of the training-data operators and their SQL."""
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import licences, lines, media, mixing, neighbours, pieces, quality, simhash, tokens, urls
 
 _QUERIES = {
@@ -17,7 +15,6 @@ _QUERIES = {
     "op8_line_dedup": (lines.query, None),
     "op9_licences": (licences.query, licences.SQL),
     "op10_nearest": (neighbours.query, None),
-    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
 
