@@ -85,7 +85,9 @@ def exposure(df: DataFrame, config: Config = Config(), interval: bool = True) ->
     t = proportions(counts(df, {"No ELD Match": FLAGS["No ELD Match"]}), alpha)
     mine = df.where("is_target and not has_eld_activity")
     x = t.join(F.broadcast(mine.agg(F.avg("transaction_amount").alias("mean_unverified"))), F.lit(True)).withColumn("excess", ((F.col("rate_1") - F.col("rate_2")) * F.col("n1")).cast("long"))
-    x = x.where((F.col("p_value") < alpha) & (F.col("excess") > 0)).select("excess", "mean_unverified", (F.col("excess") * F.col("mean_unverified")).alias("exposure"))
+    found = F.struct("excess", "mean_unverified", (F.col("excess") * F.col("mean_unverified")).alias("exposure"))
+    # not a filter, which would be pushed below and repeat what z is made of many times
+    x = x.select(F.explode(F.when((F.col("p_value") < alpha) & (F.col("excess") > 0), F.array(found))).alias("x")).select("x.*")
     if not interval:
         return x
     ci = workers.bootstrap(mine, "transaction_amount", config.performance.n_bootstrap, alpha=alpha)

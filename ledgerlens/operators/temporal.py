@@ -250,7 +250,8 @@ def score_of(m: DataFrame, peer_months: DataFrame, config: Config = Config(), po
     concern = F.when(F.col("metric") == "cost_mean", F.col("trend") == "decreasing").otherwise(F.col("trend") == "increasing") if whole else F.col("trend") == "increasing"
     count = lambda x, name: x.groupBy(*KEY).agg(F.count(F.lit(1)).alias(name))
     parts = [
-        count(mann_kendall(s).where(concern), "trends"), count(cusum(s, t.cusum_k, t.cusum_h), "changes"), count(spikes(s, base, t, need.min_months), "spikes"), count(escalations(s, t), "escalations"),
+        # counted under a condition: a filter on the trend would be pushed below and repeat what z is made of many times
+        mann_kendall(s).groupBy(*KEY).agg(F.count_if(concern).alias("trends")), count(cusum(s, t.cusum_k, t.cusum_h), "changes"), count(spikes(s, base, t, need.min_months), "spikes"), count(escalations(s, t), "escalations"),
         count(autocorrelation(s, t).where("risk_level = 'HIGH'"), "persistent"), count(rolling_outliers(s, t), "outliers"),
     ]
     if points is not None:

@@ -140,7 +140,7 @@ def test_hodges_lehmann_forms_no_pairs(spark):
 def test_report_and_dashboard(spark):
     df = split.in_period(analyse.transactions(spark, "/root/testdata/sf0.001"))
     text = report.report(df)
-    for title in ("SCOPE", "PERIOD", "DATA QUALITY", "TESTS", "FINANCIAL IMPACT", "DRIVER RISK", "VEHICLE RISK", "TEMPORAL RISK", "SUMMARY"):
+    for title in ("SCOPE", "PERIOD", "SLICES", "METHODOLOGY", "DATA QUALITY", "TEST: NO ELD MATCH", "TEST: COST DISTRIBUTION", "TESTS, FALSE-DISCOVERY RATE", "FINANCIAL IMPACT", "CHANGE POINTS", "DRIVER RISK", "VEHICLE RISK", "TEMPORAL RISK", "SUMMARY"):
         assert f"\n{title}\n" in text, title
     rows = dashboard.panels(df)
     assert len(rows["Significance (-log10 p)"]) == 5 and len(rows["Spend by month"]) > 3
@@ -273,7 +273,10 @@ def test_sources_and_report(spark, tmp_path, frame):
     assert readers.read(spark, str(tmp_path / "y.csv")).columns == ["a", "b"]
     assert readers.slug("Ünïted  Branch/No. 5") == "United-Branch-No-5" and readers.slug("con") == "Con-File" and readers.slug("") == "Unnamed"
     assert report.fill("{a} {b}", {"a": 1}) == "1 {MISSING:b}" and report.fill("{a} {b:,.2f}", {"a": 1}) == "1 {MISSING:b}"
-    assert report.fill("{a:,.2f}", {"a": "x"}) == "x"
+    assert report.fill("{a:,.2f}|{b:>6.1f}|{c:.1%}|{d:>5.1f}", {"a": "1,234.5", "b": "x", "c": "12%", "d": None}) == "1,234.50|     x|12.0%|  N/A"
+    assert report.interval(1, 2.5) == "[1.00, 2.50]" and report.interval(None, 1) == "N/A" and report.day(datetime(2024, 3, 1)) == "2024-03-01"
+    months = [{"month": "2024-01", "metric": "a", "entities": ["y", "x", "y"]}, {"month": "2024-01", "metric": "b", "entities": None}, {"month": "2024-02", "metric": "a", "entities": ["z"]}]
+    assert report.entities_by_metric(months, "2024-01", empty="-") == "a: [x, y]; b: -" and report.entities_by_metric(months, "2025-01") == ""
     assert report.currency(-2.5) == "-$2.50" and report.percent(None) == "N/A" and report.is_missing("n/a") and not report.is_missing(False)
     fuel = df.select("vehicle_id", "transaction_timestamp", "odometer_miles")
     trips = spark.createDataFrame([("x", datetime(2024, 1, 1), 1.0, 1.0, 1.0, 1.0)] * 2, "vehicle_id string, date timestamp_ntz, distance_miles double, idle_duration_minutes double, driving_duration_minutes double, engine_runtime_minutes double")
