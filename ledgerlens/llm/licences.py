@@ -103,31 +103,39 @@ def _headers(text: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(spans, whole))
 
 
+#: A candidate goes by 128 bits of hash, so that its text isn't carried along with each of its terms.
+ID = ("h1", "h2")
+
+
+def _named(lines: DataFrame) -> DataFrame:
+    return lines.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+
+
 def candidates(files: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
-    """(line, uses) of the different candidates of all files: repeated ones are weighed once and counted by files."""
+    """(h1, h2, line, uses) of the different candidates of all files: repeated ones are weighed once and counted by files."""
     t = files.where(F.col(text).rlike(ANCHOR)).select(F.explode(_headers(F.col(text), F.col(path))).alias("line"))
-    return t.groupBy("line").agg(F.count(F.lit(1)).alias("uses"))
+    return _named(t).groupBy(*ID).agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("uses"))
 
 
 def match(lines: DataFrame, least: float = LEAST) -> DataFrame:
-    """(line, licence, score): the nearest template of each of ``candidates``' lines, if it reaches ``least``; ties to the first template."""
+    """(h1, h2, licence, score): the nearest template of each of ``candidates``, if it reaches ``least``; ties to the first template."""
     spark = lines.sparkSession
     t = templates(spark)
     lines = saved(lines, "licence-lines")
-    own = _weights(lines, ["line", "uses"])
+    own = _weights(lines, [*ID, "uses"])
     known = _weights(t, ["tid"])
     total = lines.agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("n")).select((F.col("n") + len(TEMPLATES)).alias("n"))
     df = own.groupBy("term").agg(F.sum("uses").alias("d")).unionByName(known.groupBy("term").agg(F.count(F.lit(1)).alias("d"))).groupBy("term").agg(F.sum("d").alias("d"))
     idf = saved(df.join(F.broadcast(total), F.lit(True)).select("term", F.log((1.0 + F.col("n")) / F.col("d")).alias("idf")), "licence-idf")
-    w = own.join(idf, "term").select("line", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = w.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    w = own.join(idf, "term").select(*ID, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = w.groupBy(*ID).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     tw = known.join(idf, "term").select("tid", "term", (F.col("tf") * F.col("idf")).alias("tw"))
     tnorm = tw.groupBy("tid").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
     # a template has at most a few dozen terms, so this side has about a thousand rows
-    dot = w.join(F.broadcast(tw), "term").groupBy("line", "tid").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    cos = dot.join(norm, "line").join(F.broadcast(tnorm), "tid").select("line", "tid", F.round(F.try_divide("dot", F.col("norm") * F.col("tnorm")), 6).alias("score"))
-    best = cos.groupBy("line").agg(F.max(F.struct("score", (-F.col("tid")).alias("t"))).alias("b")).select("line", F.col("b.score").alias("score"), (-F.col("b.t")).alias("tid"))
-    return best.where(F.col("score") >= least).join(F.broadcast(t.select("tid", "licence")), "tid").select("line", "licence", "score")
+    dot = w.join(F.broadcast(tw), "term").groupBy(*ID, "tid").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    cos = dot.join(norm, list(ID)).join(F.broadcast(tnorm), "tid").select(*ID, "tid", F.round(F.try_divide("dot", F.col("norm") * F.col("tnorm")), 6).alias("score"))
+    best = cos.groupBy(*ID).agg(F.max(F.struct("score", (-F.col("tid")).alias("t"))).alias("b")).select(*ID, F.col("b.score").alias("score"), (-F.col("b.t")).alias("tid"))
+    return best.where(F.col("score") >= least).join(F.broadcast(t.select("tid", "licence")), "tid").select(*ID, "licence", "score")
 
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", least: float = LEAST, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -142,7 +150,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", least: float
     good = saved(match(candidates(f), least), "licence-good")
     # the anchor is looked for in the whole text first, so most files are done with one pass
     mine = f.where(F.col("text").rlike(ANCHOR)).select("path", F.xxhash64("text").alias("th"), F.explode(_headers(F.col("text"), F.col("path"))).alias("line"))
-    mine = mine.join(good, "line")
+    mine = _named(mine).join(good, list(ID))
     own = mine.groupBy("path", "th").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence", "line")).alias("b"))
     own = saved(own.select("path", "th", F.struct(F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"), F.col("b.line").alias("line")).alias("own")), "licence-own")
     # licence files by their directory: the best of each, with its path
