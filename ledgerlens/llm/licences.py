@@ -204,12 +204,12 @@ f0 as (
 f1 as (select *, dir || '/m' || cast(((k % 10) + 10) % 10 as varchar) as home0, k % 97 = 0 as held, ((k % 3) + 3) % 3 as third from f0),
 f2 as (select *, case when not held or third = 2 then home0 when third = 0 then top else dir end as home,
               case when held then 'LICENSE.' || coalesce(cast(doc_id as varchar), 'none') else cast(doc_id as varchar) || '.txt' end as name from f1),
-f as (select row_number() over () as rid, doc_id, text, home, name, held, list_transform(string_split(text, chr(10)), x -> trim(x, ' ')) as ls from f2),
-a as (select *, list_filter(range(1, len(ls) + 1), i -> regexp_matches(ls[i], '@ANCHOR@') and not regexp_matches(ls[i], '@DENIED@')) as at from f where regexp_matches(text, '@ANCHOR@')),
+f as (select row_number() over () as rid, doc_id, text, home, name, held, list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')) as ls from f2),
+a as (select *, list_filter(range(1, len(ls) + 1), lambda i: regexp_matches(ls[i], '@ANCHOR@') and not regexp_matches(ls[i], '@DENIED@')) as anchors from f where regexp_matches(text, '@ANCHOR@')),
 l as (
   select rid, home, name, held, unnest(list_distinct(list_concat(
-    flatten(list_transform(at, i -> [ls[i], array_to_string(ls[i:i + 1], ' '), array_to_string(ls[i:i + 3], ' '),
-      case when i > 1 and not regexp_matches(ls[i - 1], '@DENIED@') then array_to_string(ls[i - 1:i + 2], ' ') else ls[i] end])), case when held and len(at) > 0 then [array_to_string(ls, ' ')] else [] end))) as line from a),
+    flatten(list_transform(anchors, lambda i: [ls[i], array_to_string(ls[i:i + 1], ' '), array_to_string(ls[i:i + 3], ' '),
+      case when i > 1 and not regexp_matches(ls[i - 1], '@DENIED@') then array_to_string(ls[i - 1:i + 2], ' ') else ls[i] end])), case when held and len(anchors) > 0 then [array_to_string(ls, ' ')] else [] end))) as line from a),
 c as (select line, count(*) as uses from l group by line),
 own as (select line, uses, term, count(*) as tf from (select line, uses, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) as term from c) group by all),
 known as (select tid, term, count(*) as tf from (select tid, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) as term from t) group by all),
