@@ -7,11 +7,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: A word, by the contracts of the operators: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: How many rows a table may have to be broadcast after it was counted (a few MB of narrow rows).
 BROADCAST_ROWS = 100_000
+#: Rows of a range of ``ranked``, about, at most.
+RANGE_ROWS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +47,27 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
 
 
+def ranked(df: DataFrame, by: str, order: tuple[str, ...], place: str = "place", total: str = "total") -> DataFrame:
+    """df with each row's place (from 0) among the rows of its group ``by`` in the given order, and the group's number of rows.
+
+    No group is ordered in one task: rows are cut into ranges of group and order, a row's place in its range comes from
+    the sorted range, and the ranges' counts are added up. Rows that agree in group and order take places among them in
+    any way, and a random salt lets ranges part them. df should be a table (``saved``), ``by`` without nulls; nulls come
+    first in the order. An empty table stays empty.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
+    keys = [by, *order, "_salt"]
+    x = df.withColumn("_salt", F.rand(7)).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("_salt")
+    x = saved(x.withColumn("_m", F.monotonically_increasing_id()), "ranked")
+    x = x.withColumns({"_p": F.shiftrightunsigned("_m", 33), "_at": F.col("_m").bitwiseAND((1 << 33) - 1)}).drop("_m")
+    ranges = x.groupBy(F.col(by).alias("__g"), F.col("_p").alias("__q")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    own = W.partitionBy("__g")
+    before = F.coalesce(F.sum("_n").over(own.orderBy("__q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = saved(ranges.select("__g", "__q", (before - F.col("_first")).alias("_base"), F.sum("_n").over(own).alias("_of")), "ranks")
+    out = x.join(small(ranges), (F.col(by) == F.col("__g")) & (F.col("_p") == F.col("__q")))
+    return out.select(*df.columns, (F.col("_base") + F.col("_at")).alias(place), F.col("_of").alias(total))
+
+
 def n_words(text: Column) -> Column:
     """The number of words as a long; null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licences, lines, media, mixing, neighbours, pieces, quality, simhash, tokens, urls
+from . import licences, lines, media, merkle, mixing, neighbours, pieces, quality, simhash, tokens, urls
 
 _QUERIES = {
     "op1_mix_sources": (mixing.query, mixing.SQL),
@@ -15,6 +15,7 @@ _QUERIES = {
     "op8_line_dedup": (lines.query, None),
     "op9_licences": (licences.query, licences.SQL),
     "op10_nearest": (neighbours.query, None),
+    "op11_merkle": (merkle.query, merkle.SQL),
 }
 
 
