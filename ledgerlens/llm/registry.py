@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licences, lines, media, merkle, mixing, neighbours, pieces, quality, simhash, tokens, urls
+from . import licences, lines, media, merkle, mixing, neighbours, pieces, quality, sharding, simhash, tokens, trie, urls
 
 _QUERIES = {
     "op1_mix_sources": (mixing.query, mixing.SQL),
@@ -16,6 +16,8 @@ _QUERIES = {
     "op9_licences": (licences.query, licences.SQL),
     "op10_nearest": (neighbours.query, None),
     "op11_merkle": (merkle.query, merkle.SQL),
+    "op12_prefix_trie": (trie.query, None),
+    "op13_shards": (sharding.query, None),
 }
 
 
