@@ -37,7 +37,7 @@ def edited(shard: np.ndarray, size: np.ndarray, shards: int) -> np.ndarray:
 
     Shards above the mean release their largest keys that fit into the excess; released keys go, largest first, to the
     emptiest shard. Then the fullest and the emptiest shard swap two keys, or one gives the other a key, as long as
-    that narrows the gap between them. Ties go by the key's number, so reruns agree. A shard number beyond those in
+    that narrows the gap between them; a shard that nothing relieves is left and the next fullest one tried. Ties go by the key's number, so reruns agree. A shard number beyond those in
     use (a shard put in) is the emptiest one; keys of shards from ``shards`` on (a shard taken away) are all released.
     """
     shard, size = shard.copy(), size.astype(np.int64)
@@ -54,8 +54,11 @@ def edited(shard: np.ndarray, size: np.ndarray, shards: int) -> np.ndarray:
     for k in pool:
         shard[k] = np.argmin(load)
         load[shard[k]] += size[k]
+    stuck = np.zeros(shards, bool)  # full by a key that fits nowhere else
     for _ in range(EXCHANGES):
-        full, low = int(np.argmax(load)), int(np.argmin(load))
+        full, low = int(np.argmax(np.where(stuck, -1, load))), int(np.argmin(load))
+        if stuck[full] or full == low:
+            break
         gap = int(load[full] - load[low])
         mine, theirs = np.flatnonzero(shard == full), np.flatnonzero(shard == low)
         there = np.append(np.sort(size[theirs]), 0)  # a key against none is a move
@@ -67,7 +70,8 @@ def edited(shard: np.ndarray, size: np.ndarray, shards: int) -> np.ndarray:
         left = np.abs(gap - 2 * moved)
         i = int(np.argmin(left)) if len(mine) else -1
         if i < 0 or left[i] >= gap:
-            break
+            stuck[full] = True
+            continue
         partner = theirs[size[theirs] == there[best[i]]]
         if there[best[i]] and len(partner):
             shard[partner[0]] = full
