@@ -7,7 +7,7 @@ ordered by group, go on the same way to the root.
 Levels are windows: partitioned by group and parent index, the full frame's ordered
 ``collect_list`` holds a run, which is the parent's preimage and has each member's
 sibling. Only the first row of a run carries the parent on, so parents are there once on
-the next level. ``LEVELS`` levels share one shuffle, as their runs lie in one block of
+the next level. Up to ``LEVELS`` levels share one shuffle, as their runs lie in one block of
 2 ** ``LEVELS`` consecutive nodes; a block's root is a row of the next step's table, which
 is that much smaller. Paths then come down by one equi-join a step.
 """
@@ -33,13 +33,13 @@ def digest(columns: list[Column]) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-def step(nodes: DataFrame) -> DataFrame:
+def step(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
     """nodes (g, idx, m, hash) with node, the root of the block where the row is a block's first, and path, the block's part.
 
     m is the group's number of nodes; idx counts them from 0. A level above the group's one node adds nothing.
     """
-    x = nodes.withColumns({"_b": F.shiftright("idx", LEVELS), "node": F.col("hash"), "path": F.array().cast(_PATH)})
-    for level in range(LEVELS):
+    x = nodes.withColumns({"_b": F.shiftright("idx", levels), "node": F.col("hash"), "path": F.array().cast(_PATH)})
+    for level in range(levels):
         run = W.partitionBy("g", "_b", F.shiftright("idx", level + 1)).orderBy("idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
         x = x.withColumn("_run", F.collect_list("node").over(run))  # nulls, the rows that carry no node, are left out
         first = F.shiftright("idx", level).bitwiseAND(F.lit(1)) == 0
@@ -57,15 +57,16 @@ def paths(nodes: DataFrame) -> DataFrame:
     most = nodes.agg(F.max("m")).first()[0] or 1
     steps = []
     while most > 1:
-        done = saved(step(nodes), "merkle")
-        steps.append(done.select("g", "idx", "path"))
-        blocks = done.where(F.col("idx").bitwiseAND(F.lit((1 << LEVELS) - 1)) == 0)
-        nodes = blocks.select("g", F.shiftright("idx", LEVELS).alias("idx"), F.ceil(F.col("m") / (1 << LEVELS)).alias("m"), F.col("node").alias("hash"))
-        most = -(-most // (1 << LEVELS))
+        levels = min(LEVELS, (most - 1).bit_length())
+        done = saved(step(nodes, levels), "merkle")
+        steps.append((levels, done.select("g", "idx", "path")))
+        blocks = done.where(F.col("idx").bitwiseAND(F.lit((1 << levels) - 1)) == 0)
+        nodes = blocks.select("g", F.shiftright("idx", levels).alias("idx"), F.ceil(F.col("m") / (1 << levels)).alias("m"), F.col("node").alias("hash"))
+        most = -(-most // (1 << levels))
     got = nodes.select("g", "idx", F.array().cast(_PATH).alias("path"), F.col("hash").alias("top"))
-    for below in reversed(steps):
+    for levels, below in reversed(steps):
         above = small(saved(got, "merkle-path").select(F.col("g").alias("_g"), F.col("idx").alias("_i"), F.col("path").alias("_path"), "top"))
-        got = below.join(above, (F.col("g") == F.col("_g")) & (F.shiftright("idx", LEVELS) == F.col("_i")))
+        got = below.join(above, (F.col("g") == F.col("_g")) & (F.shiftright("idx", levels) == F.col("_i")))
         got = got.select("g", "idx", F.concat("path", "_path").alias("path"), "top")
     return got
 
