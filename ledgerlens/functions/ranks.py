@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from . import ranges, stats, workers
+from . import folds, ranges, stats
 
 
 def percentile_rank(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -54,7 +54,7 @@ def from_counts(v: DataFrame, by: tuple[str, ...] = (), exact: bool = False, als
     g = g.withColumn("p_value", F.expr(stats.two_sided_p_sql("z")))
     if exact:
         few = (F.least("n1", "n2") <= 8) & (F.col("_ties") == 0) & F.col("z").isNotNull()
-        g = g.withColumn("p_value", F.when(few, workers.exact_u(F.when(few, F.col("u")), F.col("n1"), F.col("n2"))).otherwise(F.col("p_value")))
+        g = g.withColumn("p_value", F.when(few, folds.exact_u_p(F.when(few, F.col("u")), F.col("n1"), F.col("n2"))).otherwise(F.col("p_value")))
     return g.select(*by, "n1", "n2", "u", "cliffs_delta", "z", "p_value", *more)
 
 
@@ -75,6 +75,23 @@ def rank_test_sql(source: str, value: str, first: str, by: str = "") -> str:
     return f"select {cols}cast(n1 as bigint) as n1, cast(n2 as bigint) as n2, u, 2 * u / nullif(n1 * n2, 0) - 1 as cliffs_delta, z, {stats.two_sided_p_sql('z')} as p_value from ({z})"
 
 
+def exact_sql(source: str) -> str:
+    """``rank_test_sql``'s p_value replaced by the exact one where a sample has at most 8 values; source has n1, n2, u, p_value and whether all values are different."""
+    few = "\"distinct\" and least(n1, n2) <= 8 and n1 >= 2 and n2 >= 2"
+    low = "cast(floor(least(u, n1 * n2 - u)) as bigint)"
+    part = "w.a[t + 1] - case when t >= w.b + w.i + 1 then w.a[t - w.b - w.i] else 0 end"
+    return f"""
+      with recursive w as (
+        select *, 0 as i, 1.0e0 as ways, list_transform(range(low + 1), lambda t: case when t = 0 then 1.0e0 else 0.0e0 end) as a
+        from (select distinct least(n1, n2) as k, greatest(n1, n2) as b, {low} as low from {source} where {few})
+        union all
+        select w.k, w.b, w.low, w.i + 1, w.ways * (w.b + w.i + 1) / (w.i + 1),
+          list_transform(range(w.low + 1), lambda s: list_sum(list_transform(range(s // (w.i + 1) + 1), lambda j: list_transform([s - j * (w.i + 1)], lambda t: {part})[1])))
+        from w where w.i < w.k)
+      select x.* replace (case when {few} then least(1.0e0, 2 * list_sum(w.a) / w.ways) else p_value end as p_value)
+      from {source} x left join w on w.i = w.k and w.k = least(n1, n2) and w.b = greatest(n1, n2) and w.low = {low}"""
+
+
 def benjamini_hochberg(df: DataFrame, p: str = "p_value", alpha: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds q_value and rejected over a family of tests (a row each); a p that isn't finite counts as 1."""
     clean = F.least(F.greatest(F.coalesce(F.when(~F.isnan(p), F.col(p)), F.lit(1.0)), F.lit(0.0)), F.lit(1.0))

@@ -52,25 +52,6 @@ def fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(w + x + y + z) else fisher_exact(int(w), int(x), int(y), int(z)) for w, x, y, z in zip(a, b, c, d)], dtype=float)
 
 
-def exact_u_p(u: float, n: int, m: int) -> float:
-    """Two-sided exact p of Mann-Whitney's U without ties, by counting arrangements."""
-    ways = np.zeros((n + 1, n * m + 1))
-    ways[0, 0] = 1.0
-    for j in range(1, n + m + 1):  # rank j goes to the first sample or not
-        for i in range(min(n, j), 0, -1):
-            shift = j - i
-            if shift <= m:
-                ways[i, shift:] += ways[i - 1, : n * m + 1 - shift]
-    total = ways[n].sum()
-    low = min(u, n * m - u)
-    return min(1.0, 2 * ways[n, : int(math.floor(low)) + 1].sum() / total)
-
-
-@F.pandas_udf(T.DoubleType())
-def exact_u(u: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(x) else exact_u_p(float(x), int(a), int(b)) for x, a, b in zip(u, n, m)], dtype=float)
-
-
 #: Different values that a task of the bootstrap holds, and tasks among which replicates are dealt while there are few blocks.
 BLOCK, DEALT = 20_000, 16
 
@@ -125,53 +106,3 @@ def vif(df: DataFrame, columns: list[str]) -> DataFrame:
     except np.linalg.LinAlgError:
         out = np.full(k, np.inf)
     return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, out)], "feature string, vif double")
-
-
-def segments(x: np.ndarray, least: int = 2, penalty: float | None = None, gamma: float | None = None, step: int = 1) -> list[int]:
-    """Ends of the optimal segments (the last is len(x)) under a radial basis kernel cost, by dynamic programming with pruning."""
-    n = len(x)
-    d = (x[:, None] - x[None, :]) ** 2
-    if gamma is None:
-        m = np.median(d[np.triu_indices(n, 1)]) if n > 1 else 0.0
-        gamma = 1 / m if m > 0 else 1.0
-    k = np.exp(-np.clip(gamma * d, 1e-2, 1e2))
-    np.fill_diagonal(k, 1.0)
-    total = np.zeros((n + 1, n + 1))
-    total[1:, 1:] = k.cumsum(axis=0).cumsum(axis=1)
-    penalty = 2 * math.log(n) if penalty is None else penalty
-
-    def cost(s, e):
-        return (e - s) - (total[e, e] - total[s, e] - total[e, s] + total[s, s]) / (e - s)
-
-    best, back, alive = {0: -penalty}, {0: 0}, [0]
-    for e in [i for i in range(least, n, step)] + [n]:
-        tried = {s: best[s] + cost(s, e) + penalty for s in alive if e - s >= least and s in best}
-        if not tried:
-            continue
-        back[e] = min(tried, key=tried.get)
-        best[e] = tried[back[e]]
-        alive = [s for s in alive if s not in tried or tried[s] - penalty <= best[e]] + [e]
-    out, e = [], n
-    while e:
-        out.append(e)
-        e = back.get(e, 0)
-    return out[::-1]
-
-
-def change_points(series: DataFrame, by: tuple[str, ...], order: str, value: str, least: int = 2, min_length: int = 6, shift: int = -1, step: int = 5) -> DataFrame:
-    """(by, change_points): months of the optimal segmentation's breaks, for each series of ``min_length`` or more.
-
-    A series is an entity's months of one metric, so a group is a few hundred rows at most.
-    A break is reported as the last month before it (``shift`` -1) or the first one after (0).
-    """
-    kinds = dict(series.dtypes)
-
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.dropna(subset=[value]).sort_values(order)
-        x = part[value].to_numpy(float)
-        if len(x) < min_length or np.ptp(x) == 0:
-            return pd.DataFrame()
-        ends = segments(x, least, step=step)[:-1]
-        return pd.DataFrame([[*key, [str(part[order].iloc[e + shift]) for e in ends]]], columns=[*by, "change_points"])
-
-    return series.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", change_points array<string>")

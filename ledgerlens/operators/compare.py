@@ -59,11 +59,15 @@ def standardised(df: DataFrame, value: str, first: str, config: Config = Config(
 
 
 def family(df: DataFrame, config: Config = Config()) -> DataFrame:
-    """The key-metric family: four proportion tests and the cost distribution, with q-values over all of them."""
+    """The key-metric family: four proportion tests and the cost distribution, with q-values over all of them.
+
+    A test that has no answer isn't of the family: rows that all have a flag, or none of them, and amounts with fewer than
+    two values on a side.
+    """
     alpha = config.statistics.alpha
-    p = proportions(counts(df), alpha).select("metric", F.col("z").alias("statistic"), F.col("cramers_v").alias("effect"), "p_value")
+    p = proportions(counts(df).where("a + b between 1 and n1 + n2 - 1"), alpha).select("metric", F.col("z").alias("statistic"), F.col("cramers_v").alias("effect"), "p_value")
     c = ranks.rank_test(df, "transaction_amount", "is_target").select(F.lit("Cost Distribution").alias("metric"), F.col("u").alias("statistic"), F.col("cliffs_delta").alias("effect"), "p_value")
-    x = ranks.benjamini_hochberg(p.unionByName(c), "p_value", alpha)
+    x = ranks.benjamini_hochberg(p.unionByName(c.where("p_value is not null")), "p_value", alpha)
     return x.withColumn("p_band", F.expr(stats.p_band_sql("p_value")))
 
 

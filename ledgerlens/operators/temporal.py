@@ -7,12 +7,12 @@ has a row for each entity, metric and month, not for each transaction.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..config import Config, Temporal
-from ..functions import ranges, ranks, stats, workers
+from ..functions import folds, ranges, ranks, stats
 
 KEY = ("entity_type", "entity_id")
 SERIES = (*KEY, "metric")
@@ -159,8 +159,8 @@ def autocorrelation(s: DataFrame, t: Temporal = Temporal()) -> DataFrame:
     return g.select(*SERIES, "n", "acf1", F.when(F.col("acf1") > t.acf_high, "HIGH").when(F.col("acf1") > t.acf_medium, "MEDIUM").otherwise("LOW").alias("risk_level"))
 
 
-def fraud_patterns(m: DataFrame, t: Temporal = Temporal()) -> DataFrame:
-    """(entity, off_hours_concentration, spike_and_retreat, escalation_by_halves, operational_anomaly) from the monthly table."""
+def fraud_patterns(m: DataFrame, t: Temporal = Temporal(), *also: Column) -> DataFrame:
+    """(entity, off_hours_concentration, spike_and_retreat, escalation_by_halves, operational_anomaly) from the monthly table; ``also`` are further aggregates."""
     own, order = W.partitionBy(*KEY), W.partitionBy(*KEY).orderBy("month")
     x = m.withColumns({"_r": F.row_number().over(order), "_n": F.count(F.lit(1)).over(own)})
 
@@ -176,6 +176,7 @@ def fraud_patterns(m: DataFrame, t: Temporal = Temporal()) -> DataFrame:
         F.bool_or("_sr").alias("spike_and_retreat"),
         F.coalesce((F.max("_n") >= t.halves_months) & (second > t.halves_factor * first), F.lit(False)).alias("escalation_by_halves"),
         F.lit(False).alias("operational_anomaly"),
+        *also,
     )
 
 
@@ -184,18 +185,28 @@ def latest(m: DataFrame) -> DataFrame:
     return m.groupBy(*KEY).agg(F.max(F.struct("month", *METRICS)).alias("_l")).select(*KEY, "_l.*")
 
 
+def _kendall(n: Column, s: Column, ties: Column, alpha: float = 0.05) -> list[tuple[str, Column]]:
+    """Columns of the test from a series' length, S and ties, each to be selected over those before it."""
+    size, var = n.cast("double"), F.col("_var")
+    p = F.col("p_value") < alpha
+    trend = F.when(n < 3, "insufficient_data").when(var <= 0, "no_trend").when(p & (s > 0), "increasing").when(p & (s < 0), "decreasing").otherwise("no_trend")
+    return [
+        ("_var", (size * (size - 1) * (2 * size + 5) - ties) / 18),
+        ("tau", F.try_divide(s, size * (size - 1) / 2)),
+        ("z", F.when((n >= 3) & (var > 0), (s - F.signum(s)) / F.sqrt(var))),
+        ("p_value", F.expr(stats.two_sided_p_sql("z"))),
+        ("trend", trend),
+    ]
+
+
 def mann_kendall(s: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """(series, n, s, tau, z, p_value, trend): pairs of months within a series, a few hundred squared at most."""
-    a, b = s.select(*SERIES, F.col("month").alias("_m"), F.col("value").alias("_v")), s
-    pairs = b.join(a, list(SERIES)).where("_m < month").groupBy(*SERIES).agg(F.sum(F.signum(F.col("value") - F.col("_v"))).alias("s"))
-    ties = s.groupBy(*SERIES, "value").agg(F.count(F.lit(1)).cast("double").alias("t")).groupBy(*SERIES).agg(F.sum("t").alias("n"), F.sum(F.col("t") * (F.col("t") - 1) * (2 * F.col("t") + 5)).alias("_ties"))
-    x = ties.join(pairs, list(SERIES), "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
-    n = F.col("n")
-    x = x.withColumn("_var", (n * (n - 1) * (2 * n + 5) - F.col("_ties")) / 18)
-    z = F.when(F.col("_var") <= 0, None).otherwise((F.col("s") - F.signum("s")) / F.sqrt("_var"))
-    x = x.withColumns({"tau": F.try_divide("s", n * (n - 1) / 2), "z": F.when(n >= 3, z)}).withColumn("p_value", F.expr(stats.two_sided_p_sql("z")))
-    trend = F.when(n < 3, "insufficient_data").when(F.col("_var") <= 0, "no_trend").when((F.col("p_value") < alpha) & (F.col("s") > 0), "increasing").when((F.col("p_value") < alpha) & (F.col("s") < 0), "decreasing").otherwise("no_trend")
-    return x.select(*SERIES, n.cast("long").alias("n"), "s", "tau", "z", "p_value", trend.alias("trend"))
+    """(series, n, s, tau, z, p_value, trend); a series is an array of its months, within which pairs are counted."""
+    v, _ = folds.ordered("month", "value")
+    x = s.groupBy(*SERIES).agg(v.alias("_v")).withColumn("n", F.size("_v").cast("long"))
+    x = x.withColumns({"s": folds.kendall_s(F.col("_v")), "_ties": folds.ties(F.col("_v"))})
+    for name, column in _kendall(F.col("n"), F.col("s"), F.col("_ties"), alpha):
+        x = x.withColumn(name, column)
+    return x.select(*SERIES, "n", "s", "tau", "z", "p_value", "trend")
 
 
 def cusum(s: DataFrame, k: float = 0.5, h: float = 4.5) -> DataFrame:
@@ -209,8 +220,11 @@ def cusum(s: DataFrame, k: float = 0.5, h: float = 4.5) -> DataFrame:
     return x.groupBy(*SERIES).agg(F.min(F.struct("month", F.when(F.col("_cp") > h, "increase").otherwise("decrease").alias("d"))).alias("f")).select(*SERIES, F.col("f.month").alias("change_month"), F.col("f.d").alias("direction"))
 
 
-def halves(s: DataFrame, least: int = 3) -> DataFrame:
-    """Later half of each series against its earlier half: rank test, effect and direction by the medians."""
+def halves(s: DataFrame, least: int = 3, last: int | None = None) -> DataFrame:
+    """Later half of each series, or of its ``last`` months, against the earlier half: rank test, effect and direction by the medians."""
+    if last is not None:
+        latest_first = W.partitionBy(*SERIES).orderBy(F.desc("month"))
+        s = s.withColumn("_back", F.row_number().over(latest_first)).where(F.col("_back") <= last).drop("_back")
     x = s.withColumns({"_r": F.row_number().over(_order()), "_n": F.count(F.lit(1)).over(_whole())}).withColumn("later", F.col("_r") > F.floor(F.col("_n") / 2))
     x = x.where(F.floor(F.col("_n") / 2) >= least)
     t = ranks.rank_test(x, "value", "later", SERIES, exact=True, ranged=False)
@@ -219,14 +233,10 @@ def halves(s: DataFrame, least: int = 3) -> DataFrame:
     return t.join(med, list(SERIES)).withColumn("direction", d)
 
 
-def score(df: DataFrame, peers: DataFrame, config: Config = Config(), points: DataFrame | None = None, whole: bool = True) -> DataFrame:
-    """The temporal risk score of each entity of df, with baselines from peers, and the counts it is made of.
-
-    ``points`` is (series, change_points) from the segmentation, found here if not given. Without ``whole`` the score
-    is the part that SQL can express: no such points, and every increasing trend but no decreasing one.
-    """
+def score(df: DataFrame, peers: DataFrame, config: Config = Config()) -> DataFrame:
+    """The temporal risk score of each entity of df, with baselines from peers, and the counts it is made of."""
     need = config.data_requirements
-    return score_of(monthly(df, need.min_temporal_transactions, need.min_months), monthly(peers, need.min_months, need.min_months), config, points, whole)
+    return score_of(monthly(df, need.min_temporal_transactions, need.min_months), monthly(peers, need.min_months, need.min_months), config)
 
 
 def branch_months(df: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -240,35 +250,131 @@ def branch_months(df: DataFrame, config: Config = Config()) -> tuple[DataFrame,
     return enough(mine, need.min_temporal_transactions, need.min_months), enough(others, need.min_months, need.min_months), enough(others, need.min_temporal_transactions, need.min_months)
 
 
-def score_of(m: DataFrame, peer_months: DataFrame, config: Config = Config(), points: DataFrame | None = None, whole: bool = True) -> DataFrame:
-    """``score`` from monthly tables."""
+#: Metrics whose changes, escalations and outliers count for the score, in the order of reports; persistence counts for rates.
+BEHAVIOURAL = ("no_eld_rate", "non_diesel_rate", "after_hours_rate", "datetime_count")
+RATES = BEHAVIOURAL[:3]
+#: Metrics as reports call them.
+NAMES = {"datetime_count": "Transaction Volume", "no_eld_rate": "No ELD Rate", "non_diesel_rate": "Non-Diesel Rate", "after_hours_rate": "After Hours Rate", "cost_mean": "Average Transaction Cost"}
+#: Texts of patterns and of the falling cost (fixed values).
+PATTERNS = {
+    "off_hours_concentration": "OFF-HOURS CONCENTRATION PATTERN (excessive non-business hour activity)",
+    "spike_and_retreat": "SPIKE-AND-RETREAT PATTERN (rapid escalation followed by sudden cessation)",
+    "escalation_by_halves": "GRADUAL ESCALATION PATTERN (sustained increase over extended period)",
+    "operational_anomaly": "OPERATIONAL ANOMALY PATTERN (behavior inconsistent with business patterns)",
+}
+FALLING_COST = "DECREASING average cost (potential passenger vehicle use)"
+
+
+def _fixed(x: Column, digits: int) -> Column:
+    """A number with so many digits, halves to even."""
+    return F.format_string(f"%.{digits}f", F.bround(x, digits))
+
+
+def findings(m: DataFrame, peer_months: DataFrame, config: Config = Config()) -> DataFrame:
+    """A row for each entity and metric with what every detector finds in the series, from one shuffle of the long table.
+
+    (series, n, s, tau, z, p_value, trend, change (month, direction), change_points, spike_months, spike_percentile, escalation,
+    volatility, outlier_months, acf1, risk_level). All windows are over the series in month order, and the grouping by series needs
+    no further shuffle. Spikes, escalations, volatility and outliers are those of ``BEHAVIOURAL`` metrics, persistence that of ``RATES``.
+    """
     t, need = config.temporal, config.data_requirements
-    s, base = long(m), baselines_of(peer_months)
-    if whole and points is None:
-        points = workers.change_points(s, SERIES, "month", "value")
+    base = baselines_of(peer_months).select("entity_type", "metric", F.col("mean").alias("_bm"), F.col("std").alias("_bs"))
+    x = changes(long(m)).join(F.broadcast(base), ["entity_type", "metric"], "left")  # 14 rows
+    near, upto = _order().rowsBetween(1 - t.rolling_window, 0), _order().rowsBetween(W.unboundedPreceding, 0)
+    v, i = F.col("value"), F.col("_i")
+    x = x.withColumns({"_i": F.row_number().over(_order()), "_n": F.count(F.lit(1)).over(_whole()), "_mean": F.avg(v).over(_whole()), "_sd": F.stddev_samp(v).over(_whole()), "_next": F.lead(v).over(_order())})
+    x = x.withColumns({"_rm": F.avg(v).over(near), "_rs": F.stddev_samp(v).over(near), "_rn": F.count(v).over(near)})
+    own = F.when((F.col("_sd") > 0) & (i > 1), (v - F.col("_mean")) / F.col("_sd"))
+    stopped = F.max(F.when(~(F.col("change") > 0), i)).over(upto)  # the last month without a rise
+    x = x.withColumns({"_z": own, "_bz": F.when(F.col("_bs") > 0, (v - F.col("_bm")) / F.col("_bs")), "_rz": F.when((F.col("_rn") >= 2) & (F.col("_rs") > 0), (v - F.col("_rm")) / F.col("_rs")), "_stop": stopped})
+    x = x.withColumns({"_up": F.sum(F.col("_z") - t.cusum_k).over(upto), "_down": F.sum(F.col("_z") + t.cusum_k).over(upto)})
+    x = x.withColumns({"_cp": F.col("_up") - F.least(F.lit(0.0), F.min("_up").over(upto)), "_cm": F.col("_down") - F.greatest(F.lit(0.0), F.max("_down").over(upto))})
+    rises, d, dn = F.col("change") > 0, v - F.col("_mean"), F.col("_next") - F.col("_mean")
+    behaviour = F.col("metric").isin(*BEHAVIOURAL)
+    # without a spread in the baseline, or too short, a metric has no month-over-month findings
+    compared = behaviour & (F.col("_n") >= need.min_months) & (F.col("_bs") > 0)
+    spiked = compared & rises & ((F.col("change") > t.spike_change) | (F.col("_bz") > t.spike_z))
+    passed = F.when(F.col("_cp") > t.cusum_h, "increase").when(F.col("_cm") < -t.cusum_h, "decrease")
+    values, keys = folds.ordered("month", "value")
+    months = lambda hit: F.array_sort(F.collect_list(F.when(hit, F.col("month"))))
+    g = x.groupBy(*SERIES).agg(
+        values.alias("_v"), keys.alias("_k"),
+        F.min(F.when(passed.isNotNull(), F.struct("month", passed.alias("direction")))).alias("change"),
+        months(spiked).alias("spike_months"), F.max(F.when(spiked, F.col("_bz"))).alias("_spike_z"),
+        F.max(F.when(compared & rises, i - F.coalesce("_stop", F.lit(1)))).alias("_run"),
+        F.stddev_samp(F.when(compared & (F.abs("change") < t.volatility_cap), F.col("change"))).alias("_volatile"),
+        months(behaviour & (F.abs("_rz") > t.rolling_z)).alias("outlier_months"),
+        F.when(F.first("metric").isin(*RATES) & (F.count(v) >= t.acf_min) & (F.min(v) < F.max(v)), F.try_divide(F.sum(d * dn), F.sum(d * d))).alias("acf1"),
+    )
+    g = g.withColumns({
+        "n": F.size("_v").cast("long"), "s": folds.kendall_s(F.col("_v")), "_ties": folds.ties(F.col("_v")),
+        "change_points": F.coalesce(folds.change_points(F.col("_v"), F.col("_k")), F.array().cast("array<string>")),
+        "spike_percentile": F.when(F.size("spike_months") > 0, F.expr(stats.normal_cdf_sql("_spike_z")) * 100),
+        "escalation": F.when(F.col("_run") >= t.escalation_months, F.col("_run")), "volatility": F.coalesce("_volatile", F.lit(0.0)),
+        "risk_level": F.when(F.col("acf1") > t.acf_high, "HIGH").when(F.col("acf1") > t.acf_medium, "MEDIUM").when(F.col("acf1").isNotNull(), "LOW"),
+    })
+    for name, column in _kendall(F.col("n"), F.col("s"), F.col("_ties")):
+        g = g.withColumn(name, column)
+    return g.drop("_v", "_k", "_spike_z", "_run", "_volatile", "_ties", "_var")
+
+
+def _indicators(f: DataFrame) -> DataFrame:
+    """``findings`` with adverse (the trend is of concern) and texts, its indicators as (kind, rank, text) in the order of reports."""
+    metric = F.col("metric")
+    name = F.element_at(F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair]), metric)
+    first, then = (F.array_position(F.array(*map(F.lit, order)), metric).cast("int") for order in (TRACKED, BEHAVIOURAL))
     # for costs the decrease is of concern: small vehicles
-    concern = F.when(F.col("metric") == "cost_mean", F.col("trend") == "decreasing").otherwise(F.col("trend") == "increasing") if whole else F.col("trend") == "increasing"
-    count = lambda x, name: x.groupBy(*KEY).agg(F.count(F.lit(1)).alias(name))
-    parts = [
-        # counted under a condition: a filter on the trend would be pushed below and repeat what z is made of many times
-        mann_kendall(s).groupBy(*KEY).agg(F.count_if(concern).alias("trends")), count(cusum(s, t.cusum_k, t.cusum_h), "changes"), count(spikes(s, base, t, need.min_months), "spikes"), count(escalations(s, t), "escalations"),
-        count(autocorrelation(s, t).where("risk_level = 'HIGH'"), "persistent"), count(rolling_outliers(s, t), "outliers"),
-    ]
-    if points is not None:
-        parts.append(points.groupBy(*KEY).agg(F.sum(F.size("change_points")).alias("points")))
-    flags = fraud_patterns(m, t).select(*KEY, sum((F.col(c).cast("int") for c in ("off_hours_concentration", "spike_and_retreat", "escalation_by_halves", "operational_anomaly")), F.lit(0)).alias("patterns"))
-    now = latest(m)
-    th = config.thresholds
-    now = now.select(*KEY, F.col("month").alias("latest_month"), (F.when(F.col("no_eld_rate") > 100 * th.high_no_eld, 8).otherwise(0) + F.when(F.col("non_diesel_rate") > 100 * th.high_non_diesel, 6).otherwise(0) + F.when(F.col("after_hours_rate") > 100 * th.high_after_hours, 6).otherwise(0)).alias("current"))
-    x = now.join(flags, list(KEY), "left")
-    for p in parts:
-        x = x.join(p, list(KEY), "left")
-    names = ["trends", "changes", "spikes", "escalations", "persistent", "outliers", "patterns"]
-    x = x.fillna(0, names)
-    extra = F.coalesce(F.col("points"), F.lit(0)) if points is not None else F.lit(0)
+    adverse = F.when(metric == "cost_mean", F.col("trend") == "decreasing").otherwise(F.col("trend") == "increasing")
+    texts = [
+        (first, F.when(adverse, F.when(metric == "cost_mean", FALLING_COST).otherwise(F.concat(F.lit("INCREASING "), name)))),
+        (then, F.when(F.size("spike_months") > 0, F.concat(F.lit("SUDDEN SPIKE in "), name, F.lit(" (+"), _fixed(F.col("spike_percentile"), 0), F.lit("th percentile)")))),
+        (then, F.when(F.col("escalation").isNotNull(), F.concat(F.lit("GRADUAL ESCALATION in "), name, F.lit(" ("), F.col("escalation").cast("string"), F.lit(" consecutive months)")))),
+        (then, F.when(F.size("outlier_months") > 0, F.concat(F.lit("ANOMALOUS MONTHS in "), name, F.lit(": "), F.array_join("outlier_months", ", ")))),
+        (then, F.when(F.col("risk_level") == "HIGH", F.concat(F.lit("PERSISTENT PATTERN in "), name, F.lit(" (autocorr="), _fixed(F.col("acf1"), 2), F.lit(")")))),
+    ]
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), rank.alias("rank"), text.alias("text")) for k, (rank, text) in enumerate(texts)])
+    return f.withColumns({"adverse": adverse, "texts": F.filter(rows, lambda r: r["text"].isNotNull())})
+
+
+def analysis(m: DataFrame, peer_months: DataFrame, config: Config = Config()) -> DataFrame:
+    """A row for each entity: its findings of all metrics, indicators in words, current factors and the temporal risk score.
+
+    metrics is a map from metric to what ``findings`` has for it, indicators and current_factors are arrays of texts in
+    the order of reports. The series' findings are grouped once by entity and meet the entity's patterns and latest month
+    in one join; both sides are a row for each entity and metric, or less.
+    """
+    t, th = config.temporal, config.thresholds
+    f = _indicators(findings(m, peer_months, config))
+    kept = F.struct(*[c for c in f.columns if c not in (*SERIES, "adverse", "texts")])
+    e = f.groupBy(*KEY).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("metric"), kept))).alias("metrics"), F.array_sort(F.flatten(F.collect_list("texts"))).alias("_texts"),
+        F.count_if("adverse").alias("trends"), F.count("change").alias("changes"), F.sum(F.size("change_points")).cast("long").alias("points"), F.count_if(F.size("spike_months") > 0).alias("spikes"),
+        F.count("escalation").alias("escalations"), F.count_if(F.col("risk_level") == "HIGH").alias("persistent"), F.sum(F.size("outlier_months")).cast("long").alias("outliers"), F.sum("volatility").alias("volatility"),
+    )
+    x = fraud_patterns(m, t, F.max(F.struct("month", *METRICS)).alias("_now")).join(e, list(KEY))
+    flags = [F.col(c) for c in PATTERNS]
+    found = F.filter(F.array(*[F.when(F.col(c), text) for c, text in PATTERNS.items()]), lambda y: y.isNotNull())
+    x = x.withColumns({"indicators": F.concat(F.transform("_texts", lambda y: y["text"]), found), "patterns": sum((c.cast("int") for c in flags), F.lit(0)), "latest_month": F.col("_now.month")})
+    limits = (("no_eld_rate", th.high_no_eld, 8), ("non_diesel_rate", th.high_non_diesel, 6), ("after_hours_rate", th.high_after_hours, 6))
+    high = [(F.col(f"_now.{c}") > 100 * most, F.concat(F.lit(f"High {NAMES[c]} ("), _fixed(F.col(f"_now.{c}"), 1), F.lit("%)")), w) for c, most, w in limits]
+    x = x.withColumns({"current": sum((F.when(c, w).otherwise(0) for c, _, w in high), F.lit(0)), "current_factors": F.filter(F.array(*[F.when(c, text) for c, text, _ in high]), lambda y: y.isNotNull())})
     cap = lambda c, w, most: F.least(F.lit(most), c * w)
-    total = cap(F.col("trends"), 10, 20) + cap(F.col("changes") + extra, 8, 25) + cap(F.col("spikes"), 12, 25) + cap(F.col("escalations"), 8, 15) + cap(F.col("patterns"), 15, 30) + cap(F.col("persistent"), 8, 15) + cap(F.col("outliers"), 5, 15) + F.col("current")
-    return x.withColumn("temporal_risk_score", F.least(F.lit(100), total).cast("long")).withColumn("risk_band", F.expr(stats.risk_band_sql("temporal_risk_score", th.bands))).select(*KEY, "latest_month", *names, "current", "temporal_risk_score", "risk_band")
+    parts = (("trends", 10, 20), ("spikes", 12, 25), ("escalations", 8, 15), ("patterns", 15, 30), ("persistent", 8, 15), ("outliers", 5, 15))
+    whole = sum((cap(F.col(c), w, most) for c, w, most in parts), cap(F.col("changes") + F.col("points"), 8, 25) + F.col("current"))
+    x = x.withColumn("temporal_risk_score", F.least(F.lit(100), whole).cast("long")).withColumn("risk_band", F.expr(stats.risk_band_sql("temporal_risk_score", th.bands)))
+    return x.drop("_texts", "_now")
+
+
+def score_of(m: DataFrame, peer_months: DataFrame, config: Config = Config()) -> DataFrame:
+    """``score`` from monthly tables."""
+    names = ("trends", "changes", "points", "spikes", "escalations", "persistent", "outliers", "patterns")
+    return analysis(m, peer_months, config).select(*KEY, "latest_month", *names, "current", "temporal_risk_score", "risk_band")
+
+
+def indicators(m: DataFrame, peer_months: DataFrame, config: Config = Config()) -> DataFrame:
+    """(entity, indicators, current_factors, total_risk_factors, total_change_points, has_fraud_patterns, volatility, recent_behavior) of each entity."""
+    x = analysis(m, peer_months, config)
+    return x.select(*KEY, "indicators", "current_factors", F.size("indicators").alias("total_risk_factors"), (F.col("changes") + F.col("points")).alias("total_change_points"), (F.col("patterns") > 0).alias("has_fraud_patterns"), "volatility", F.size("current_factors").alias("recent_behavior"))
 
 
 def score_summary(scores: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def _tests_sql(continuity: bool = False) -> str:
 
 TEST_CTE = f"ct as ({_COUNT}), te as ({_tests_sql()}), pp as (select * from px where in_period)"
 _U = ranks.rank_test_sql("pp", "transaction_amount", "is_target")
-_FAMILY = f"select metric, z as statistic, cramers_v as effect, p_value from te union all select 'Cost Distribution', u, cliffs_delta, p_value from ({_U})"
+_FAMILY = f"select metric, z as statistic, cramers_v as effect, p_value from te where a + b between 1 and n1 + n2 - 1 union all select 'Cost Distribution', u, cliffs_delta, p_value from ({_U}) where p_value is not null"
 TEST_COLUMNS = "metric a n1 b n2 rate_1:6 rate_2:6 risk_ratio:6 risk_ratio_low:6 risk_ratio_high:6 odds_ratio:6 odds_ratio_low:6 odds_ratio_high:6 z:5 p_value:6 chi2:4 cramers_v:6 difference_low:6 difference_high:6"
 
 
@@ -149,6 +149,7 @@ QUERIES = {
     "tests_proportions": Query(TEST_COLUMNS, lambda s, d: compare.proportions(compare.counts(period_rows(s, d))), "select * from te", TEST_CTE),
     "tests_continuity": Query("metric p_value:6", lambda s, d: compare.proportions(compare.counts(period_rows(s, d)), continuity=True), _tests_sql(True), TEST_CTE),
     "tests_family": Query("metric statistic:3 effect:6 p_value:6 q_value:6 rejected p_band", lambda s, d: compare.family(period_rows(s, d)), f"select *, {stats.p_band_sql('p_value')} as p_band from ({ranks.bh_sql(_FAMILY)})", TEST_CTE),
+    "tests_family_business_hours": Query("metric statistic:3 effect:6 p_value:6 q_value:6 rejected", lambda s, d: compare.family(period_rows(s, d).where("is_business_hours")), f"select * from ({ranks.bh_sql(_FAMILY)})", TEST_CTE.replace("where in_period", "where in_period and is_business_hours")),
     "tests_significant": Query("metric p_value:6", lambda s, d: compare.family(period_rows(s, d)).where("rejected").orderBy("p_value", "metric").select("metric", "p_value"), f"select metric, p_value from ({ranks.bh_sql(_FAMILY)}) where rejected", TEST_CTE),
     "summary_executive": Query("metric p_value:6 odds_ratio:5 risk_difference:6 notable superiority:6", lambda s, d: compare.executive(period_rows(s, d)),
         f"select f.metric, f.p_value, te.odds_ratio, te.rate_1 - te.rate_2 as risk_difference, coalesce(abs(te.rate_1 - te.rate_2) >= 0.05e0, false) as notable, case when f.metric = 'Cost Distribution' then (abs(f.effect) + 1) / 2 end as superiority from ({ranks.bh_sql(_FAMILY)}) f left join te using (metric) where f.rejected", TEST_CTE),

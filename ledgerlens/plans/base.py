@@ -66,7 +66,7 @@ class Query:
         self.columns, self._run = [(c.partition(":")[0], c.partition(":")[2]) for c in columns.split()], run
         head = ", ".join(x for x in (TX.strip() if base else "", ctes.strip()) if x)
         picked = ", ".join(f"round(cast({c} as double), {d}) as {c}" if d else c for c, d in self.columns)
-        self.sql = (f"with {head}\n" if head else "") + f"select {picked} from ({sql})"
+        self.sql = (f"with recursive {head}\n" if head else "") + f"select {picked} from ({sql})"
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self._run(spark, sf_dir)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import ranks, stats, workers
+from ..functions import folds, ranks, stats
 from ..operators import compare, temporal
 from .base import Query, transactions
 
@@ -55,16 +55,56 @@ CTE = ", ".join([
 _cnt = lambda t, where, name: f"left join (select entity_type, entity_id, count(*) as {name} from {t} where {where} group by 1, 2) {name}_t using (entity_type, entity_id)"
 
 
+#: Segmentation: kernel sums of cells of five months, costs of runs of cells, then the optimum over them as a list that grows by one cell a step.
+_K = "entity_type, entity_id, metric"
+SEGMENTS = CTE + f""",
+  sg as (select * from (select {_K}, month, value, row_number() over ({_S} order by month) - 1 as i, count(*) over ({_S}) as n, min(value) over ({_S}) as lo, max(value) over ({_S}) as hi from ls where value is not null) where n >= 6 and lo < hi),
+  sgm as (select {_K}, case when med > 0 then 1 / med else 1.0e0 end as g from (select {_K}, quantile_cont((a.value - b.value) * (a.value - b.value), 0.5) as med from sg a join sg b using ({_K}) where a.i < b.i group by all)),
+  sgc as (select {_K}, a.n, a.i // 5 as ca, b.i // 5 as cb, sum(case when a.i = b.i then 1.0e0 else exp(-least(greatest(g * (a.value - b.value) * (a.value - b.value), 0.01e0), 100)) end) as k from sg a join sg b using ({_K}) join sgm using ({_K}) group by all),
+  sgr as (select {_K}, n, s, e from (select distinct {_K}, n from sgc), unnest(range(0, (n + 4) // 5)) r(s), unnest(range(1, (n + 4) // 5 + 1)) q(e) where s < e and least(5 * e, n) - 5 * s >= 2),
+  sgs as (select {_K}, n, s, e, len - sum(k) / len + 2 * ln(n) as cost from (select *, least(5 * e, n) - 5 * s as len from sgr join sgc using ({_K}, n) where ca >= s and cb >= s and ca < e and cb < e) group by {_K}, n, s, e, len),
+  dp as (select distinct {_K}, n, 0 as e, [-2 * ln(n)] as f, [-1::bigint] as back from sgc
+    union all select d.entity_type, d.entity_id, d.metric, d.n, d.e + 1, list_append(d.f, min(d.f[s.s + 1] + s.cost)), list_append(d.back, arg_min(s.s, d.f[s.s + 1] + s.cost))
+      from dp d join sgs s on s.entity_type = d.entity_type and s.entity_id = d.entity_id and s.metric = d.metric and s.e = d.e + 1 group by d.entity_type, d.entity_id, d.metric, d.n, d.e, d.f, d.back),
+  bt as (select {_K}, back, back[e + 1] as p from dp where e = (n + 4) // 5 union all select {_K}, back, back[p + 1] from bt where p > 0),
+  cps as (select {_K}, coalesce(string_agg(sg.month, ',' order by sg.month), '') as change_points, count(sg.month) as points from (select distinct {_K} from sgc) left join (select {_K}, 5 * p - 1 as i from bt where p > 0) using ({_K}) left join sg using ({_K}, i) group by {_K})"""
+
+
 def _score_ctes() -> str:
-    return CTE + f""",
-  sc0 as (select la.entity_type, la.entity_id, la.month as latest_month, coalesce(trends, 0) as trends, coalesce(changes, 0) as changes, coalesce(spikes, 0) as spikes, coalesce(escalations, 0) as escalations, coalesce(persistent, 0) as persistent,
+    return SEGMENTS + f""",
+  adverse as (select * from mk where case when metric = 'cost_mean' then trend = 'decreasing' else trend = 'increasing' end),
+  rolled as (select * from (select *, case when k >= 2 and w > 0 then (value - m) / w end as z from (select *, avg(value) over x as m, stddev_samp(value) over x as w, count(*) over x as k from ls window x as ({_S} order by month rows between 2 preceding and current row))) where abs(z) > 2 and metric <> 'cost_mean'),
+  sc0 as (select la.entity_type, la.entity_id, la.month as latest_month, coalesce(trends, 0) as trends, coalesce(changes, 0) as changes, cast(coalesce(pts, 0) as bigint) as points, coalesce(spikes, 0) as spikes, coalesce(escalations, 0) as escalations, coalesce(persistent, 0) as persistent, coalesce(outliers, 0) as outliers,
        cast(off_hours_concentration as integer) + cast(spike_and_retreat as integer) + cast(escalation_by_halves as integer) as patterns,
        (case when no_eld_rate > 20 then 8 else 0 end) + (case when non_diesel_rate > 15 then 6 else 0 end) + (case when after_hours_rate > 25 then 6 else 0 end) as current
-     from la left join fp using (entity_type, entity_id) {_cnt('mk', "trend = 'increasing'", 'trends')} {_cnt('cu', 'true', 'changes')} {_cnt('sp', 'true', 'spikes')} {_cnt('es', 'true', 'escalations')} {_cnt('ac', "risk_level = 'HIGH'", 'persistent')}),
-  sc as (select *, {stats.risk_band_sql('temporal_risk_score')} as risk_band from (select *, cast(least(100, least(20, trends * 10) + least(25, changes * 8) + least(25, spikes * 12) + least(15, escalations * 8) + least(30, patterns * 15) + least(15, persistent * 8) + current) as bigint) as temporal_risk_score from sc0))"""
+     from la left join fp using (entity_type, entity_id) {_cnt('adverse', 'true', 'trends')} {_cnt('cu', 'true', 'changes')} {_cnt('sp', "metric <> 'cost_mean'", 'spikes')} {_cnt('es', "metric <> 'cost_mean'", 'escalations')}
+       {_cnt('ac', "risk_level = 'HIGH' and metric in ('no_eld_rate', 'non_diesel_rate', 'after_hours_rate')", 'persistent')} {_cnt('rolled', 'true', 'outliers')}
+       left join (select entity_type, entity_id, sum(points) as pts from cps group by 1, 2) using (entity_type, entity_id)),
+  sc as (select *, {stats.risk_band_sql('temporal_risk_score')} as risk_band from (select *, cast(least(100, least(20, trends * 10) + least(25, (changes + points) * 8) + least(25, spikes * 12) + least(15, escalations * 8) + least(30, patterns * 15) + least(15, persistent * 8) + least(15, outliers * 5) + current) as bigint) as temporal_risk_score from sc0))"""
 
 
 SCORE = _score_ctes()
+_NAME = "case metric " + " ".join(f"when '{c}' then '{n}'" for c, n in temporal.NAMES.items()) + " end"
+_RANK = "list_position(['no_eld_rate', 'non_diesel_rate', 'after_hours_rate', 'datetime_count'], metric)"
+INDICATORS = SCORE + f""",
+  texts as (
+    select entity_type, entity_id, 0 as kind, list_position(['datetime_count', 'no_eld_rate', 'non_diesel_rate', 'after_hours_rate', 'cost_mean'], metric) as rk, case when metric = 'cost_mean' then '{temporal.FALLING_COST}' else 'INCREASING ' || {_NAME} end as txt from adverse
+    union all select entity_type, entity_id, 1, {_RANK}, 'SUDDEN SPIKE in ' || {_NAME} || ' (+' || printf('%.0f', highest_percentile) || 'th percentile)' from sp where metric <> 'cost_mean'
+    union all select entity_type, entity_id, 2, {_RANK}, 'GRADUAL ESCALATION in ' || {_NAME} || ' (' || longest || ' consecutive months)' from es where metric <> 'cost_mean'
+    union all select entity_type, entity_id, 3, {_RANK}, 'ANOMALOUS MONTHS in ' || {_NAME} || ': ' || string_agg(month, ', ' order by month) from rolled group by entity_type, entity_id, metric
+    union all select entity_type, entity_id, 4, {_RANK}, 'PERSISTENT PATTERN in ' || {_NAME} || ' (autocorr=' || printf('%.2f', acf1) || ')' from ac where risk_level = 'HIGH' and metric in ('no_eld_rate', 'non_diesel_rate', 'after_hours_rate')
+    {' '.join(f"union all select entity_type, entity_id, 5, {i}, '{text}' from fp where {c}" for i, (c, text) in enumerate(temporal.PATTERNS.items()))}),
+  now as (select entity_type, entity_id, concat_ws('; ', case when no_eld_rate > 20 then 'High No ELD Rate (' || printf('%.1f', no_eld_rate) || '%)' end, case when non_diesel_rate > 15 then 'High Non-Diesel Rate (' || printf('%.1f', non_diesel_rate) || '%)' end, case when after_hours_rate > 25 then 'High After Hours Rate (' || printf('%.1f', after_hours_rate) || '%)' end) as current_factors,
+    cast(no_eld_rate > 20 as integer) + cast(non_diesel_rate > 15 as integer) + cast(after_hours_rate > 25 as integer) as recent_behavior from la),
+  vol as (select entity_type, entity_id, sum(v) as volatility from (select c.entity_type, c.entity_id, c.metric, coalesce(stddev_samp(c.change) filter (where abs(c.change) < 5), 0) as v from ch c join base b on b.entity_type = c.entity_type and b.metric = c.metric and b.std > 0 where c.metric <> 'cost_mean' and c.change is not null group by 1, 2, 3) group by 1, 2)"""
+
+
+#: Scores of the target's drivers and of the peers', the latter from the same tables over the peers' rows.
+BOTH = SCORE + f""",
+  both_scores as (select cast(temporal_risk_score as double) as v, true as t from sc where entity_type = 'driver'
+    union all select v, false from (with recursive {SCORE.replace("from tx where is_target", "from tx where not is_target")} select cast(temporal_risk_score as double) as v from sc where entity_type = 'driver')),
+  both_test as (select r.*, (select count(*) = count(distinct v) from both_scores) as "distinct" from ({ranks.rank_test_sql('both_scores', 'v', 't')}) r)"""
+_BOTH_STATS = ", ".join(f"avg(v) filter (where {c}) as mean_{i}, " + ", ".join(f"quantile_cont(v, {q}) filter (where {c}) as {n}_{i}" for n, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))) for i, c in ((1, "t"), (2, "not t")))
 
 
 def target(s, d):
@@ -79,10 +119,14 @@ def ser(s, d):
     return temporal.series(target(s, d))
 
 
-def _scores(s, d, whole=False):
-    """Scores of the target; those that are held against SQL are the part that it can express."""
+def _scores(s, d):
+    mine, others, _ = temporal.branch_months(transactions(s, d))
+    return temporal.score_of(mine, others)
+
+
+def _indicators(s, d):
     mine, others, _ = temporal.branch_months(transactions(s, d))
-    return temporal.score_of(mine, others, whole=whole)
+    return temporal.indicators(mine, others).withColumns({c: F.array_join(c, "; ") for c in ("indicators", "current_factors")})
 
 
 def _both_scores(s, d):
@@ -111,12 +155,22 @@ QUERIES = {
     "series_halves": Query("entity_type entity_id metric n1 n2 u:1 cliffs_delta:6 p_value:5 median_early:4 median_late:4 direction", lambda s, d: temporal.halves(ser(s, d)),
         f"""select *, case when coalesce(p_value >= 0.05, true) then 'stable' when median_late > median_early then 'higher' when median_late < median_early then 'lower' else 'stable' end as direction from ({ranks.rank_test_sql('hv', 'value', 'later', 'entity_type, entity_id, metric')})
             join (select entity_type, entity_id, metric, quantile_cont(value, 0.5) filter (where not later) as median_early, quantile_cont(value, 0.5) filter (where later) as median_late from hv group by 1, 2, 3) using (entity_type, entity_id, metric)""", CTE + f", hv as ({_HALF})"),
-    "series_score": Query("entity_type entity_id latest_month trends changes spikes escalations persistent patterns current temporal_risk_score risk_band", _scores, "select * from sc", SCORE),
+    "series_halves_recent": Query("entity_type entity_id metric n1 n2 u:1 cliffs_delta:6 p_value:5 direction", lambda s, d: temporal.halves(ser(s, d), last=12),
+        f"""select *, case when coalesce(p_value >= 0.05, true) then 'stable' when ml > me then 'higher' when ml < me then 'lower' else 'stable' end as direction from ({ranks.exact_sql('rt')})
+            join (select entity_type, entity_id, metric, quantile_cont(value, 0.5) filter (where not later) as me, quantile_cont(value, 0.5) filter (where later) as ml from hv group by 1, 2, 3) using (entity_type, entity_id, metric)""",
+        CTE + f""", rc as (select entity_type, entity_id, metric, month, value, row_number() over ({_S} order by month) as i, count(*) over ({_S}) as n from (select * from ls qualify row_number() over ({_S} order by month desc) <= 12)),
+          hv as (select *, i > n // 2 as later from rc where n // 2 >= 3), rt as (select * from ({ranks.rank_test_sql('hv', 'value', 'later', 'entity_type, entity_id, metric')}) join (select entity_type, entity_id, metric, count(*) = count(distinct value) as "distinct" from hv group by 1, 2, 3) using (entity_type, entity_id, metric))"""),
+    "series_score": Query("entity_type entity_id latest_month trends changes points spikes escalations persistent outliers patterns current temporal_risk_score risk_band", _scores, "select * from sc", SCORE),
     "series_score_summary": Query("entity_type entities mean_score:4 median_score:4 critical high with_spikes with_changes with_patterns", lambda s, d: temporal.score_summary(_scores(s, d)),
         "select entity_type, count(*) as entities, avg(temporal_risk_score) as mean_score, quantile_cont(cast(temporal_risk_score as double), 0.5) as median_score, count(*) filter (where risk_band = 'critical') as critical, count(*) filter (where risk_band = 'high') as high, count(*) filter (where spikes > 0) as with_spikes, count(*) filter (where changes > 0) as with_changes, count(*) filter (where patterns > 0) as with_patterns from sc group by rollup (entity_type)", SCORE),
     "series_timeline": Query("month changes is_peak", lambda s, d: temporal.timeline(temporal.cusum(ser(s, d), 0.5, 3.5)), "select change_month as month, count(*) as changes, rank() over (order by count(*) desc) = 1 as is_peak from cu group by 1", CTE),
     "series_timeline_summary": Query("months total early_share:6 late_share:6 clustered", lambda s, d: temporal.timeline_summary(temporal.timeline(temporal.cusum(ser(s, d), 0.5, 3.5))), "select count(*) as months, cast(coalesce(sum(k), 0) as bigint) as total, coalesce(sum(k) filter (where th = 1) / sum(k), 0) as early_share, coalesce(sum(k) filter (where th = 3) / sum(k), 0) as late_share, coalesce(var_samp(k) > avg(k), false) as clustered from (select k, ntile(3) over (order by change_month) as th from (select change_month, count(*) as k from cu group by change_month))", CTE),
-    "series_segments": Query("entity_type entity_id metric change_points", lambda s, d: workers.change_points(ser(s, d), temporal.SERIES, "month", "value"), ""),
-    "series_score_comparison": Query("n1 n2 u:1 cliffs_delta:6 p_value:5 mean_1:4 mean_2:4 p25_1:4 p25_2:4 median_1:4 median_2:4 p75_1:4 p75_2:4 mean_difference:4 median_difference:4 direction magnitude significant", _both_scores, ""),
+    "series_indicators": Query("entity_type entity_id indicators current_factors total_risk_factors total_change_points has_fraud_patterns volatility:5 recent_behavior", _indicators,
+        """select sc.entity_type, sc.entity_id, coalesce(string_agg(txt, '; ' order by kind, rk), '') as indicators, now.current_factors, cast(count(txt) as integer) as total_risk_factors, changes + points as total_change_points, patterns > 0 as has_fraud_patterns, coalesce(volatility, 0) as volatility, recent_behavior
+           from sc join now using (entity_type, entity_id) left join texts using (entity_type, entity_id) left join vol using (entity_type, entity_id) group by all""", INDICATORS),
+    "series_segments": Query("entity_type entity_id metric change_points", lambda s, d: folds.segments(ser(s, d), temporal.SERIES, "month", "value").withColumn("change_points", F.array_join("change_points", ",")), "select * from cps", SEGMENTS),
+    "series_score_comparison": Query("n1 n2 u:1 cliffs_delta:6 p_value:5 mean_1:4 mean_2:4 p25_1:4 p25_2:4 median_1:4 median_2:4 p75_1:4 p75_2:4 mean_difference:4 median_difference:4 direction magnitude significant", _both_scores,
+        f"""select r.*, q.*, mean_1 - mean_2 as mean_difference, median_1 - median_2 as median_difference, case when abs(cliffs_delta) < 0.15 then 'negligible' when cliffs_delta > 0 then 'higher' else 'lower' end as direction,
+            {stats.band_sql('cliffs_delta', (0.147, 0.33, 0.474), stats.CLIFF_NAMES)} as magnitude, p_value < 0.05 as significant from ({ranks.exact_sql('both_test')}) r, (select {_BOTH_STATS} from both_scores) q where n1 >= 3 and n2 >= 3""", BOTH),
 }
-NO_SQL = {"series_segments", "series_score_comparison"}
+NO_SQL: set[str] = set()

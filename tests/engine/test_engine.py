@@ -93,7 +93,6 @@ def test_benjamini_hochberg(spark):
 def test_workers(spark):
     assert abs(workers.fisher_exact(8, 2, 1, 5) - 0.03496503) < 1e-6
     assert workers.fisher_exact(0, 0, 0, 0) != workers.fisher_exact(0, 0, 0, 0)
-    assert abs(workers.exact_u_p(0, 3, 3) - 0.1) < 1e-12 and workers.exact_u_p(4.5, 3, 3) == 1.0
     df = spark.createDataFrame([(float(x), float(x % 7), float(3 * x)) for x in range(1, 60)], "a double, b double, c double")
     low, high = workers.bootstrap(df, "a", 500).first()
     assert low < 30 < high and (low, high) == tuple(workers.bootstrap(df, "a", 500).first())
@@ -104,7 +103,6 @@ def test_workers(spark):
     np.testing.assert_allclose([got["a"], got["b"]], want)
     with pytest.raises(ValueError):
         workers.vif(df, ["a", "nope"])
-    assert workers.segments(np.r_[np.zeros(10), np.ones(10) * 5], 2) == [10, 20]
 
 
 @pytest.mark.parametrize("block", [20_000, 40])
@@ -248,23 +246,6 @@ def test_series_against_numpy(spark):
     assert temporal.halves(s).where("entity_id = 'e5'").first().n1 == 15
 
 
-def test_score_counts_change_points_and_falling_costs(frame):
-    rows = []
-    for i in range(40):  # many more fill-ups from the 21st month, costs that fall
-        for j in range(12 if i >= 20 else 2):
-            rows.append({"transaction_timestamp": datetime(2020 + i // 12, i % 12 + 1, 1 + j, 12), "driver_name": "A", "vehicle_index": 1, "odometer_miles": 100 * i + j, "transaction_amount": 200.0 - 3 * i})
-    x = features.features(frame(rows))
-    got, part = ({r.entity_id: r for r in temporal.score(x, x, whole=w).collect()}["A"] for w in (True, False))
-    m = temporal.long(temporal.monthly(x, 20, 3)).where("entity_id = 'A'").toPandas().sort_values("month")
-    points = 0
-    for _, g in m.groupby("metric"):
-        v = g["value"].to_numpy(float)
-        points += len(workers.segments(v, 2, step=5)) - 1 if len(v) >= 6 and np.ptp(v) > 0 else 0
-    assert points > 0 and got.trends == part.trends + 1
-    gain = min(25, 8 * (got.changes + points)) - min(25, 8 * part.changes) + min(20, 10 * got.trends) - min(20, 10 * part.trends)
-    assert got.temporal_risk_score == min(100, part.temporal_risk_score + gain) > part.temporal_risk_score
-
-
 def test_sources_and_report(spark, tmp_path, frame):
     df = frame([{"odometer_miles": i} for i in range(3)])
     df.write.parquet(str(tmp_path / "x.parquet"))
