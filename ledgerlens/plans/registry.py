@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analyse, prepare, series
+from . import analyse, prepare, series, streams
 
-ALL = prepare.QUERIES | analyse.QUERIES | series.QUERIES
+ALL = prepare.QUERIES | analyse.QUERIES | series.QUERIES | streams.QUERIES
 NO_SQL = analyse.NO_SQL | series.NO_SQL
 
 

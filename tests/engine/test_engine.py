@@ -262,16 +262,3 @@ def test_sources_and_report(spark, tmp_path, frame):
     fuel = df.select("vehicle_id", "transaction_timestamp", "odometer_miles")
     trips = spark.createDataFrame([("x", datetime(2024, 1, 1), 1.0, 1.0, 1.0, 1.0)] * 2, "vehicle_id string, date timestamp_ntz, distance_miles double, idle_duration_minutes double, driving_duration_minutes double, engine_runtime_minutes double")
     assert [r.distance_miles for r in readers.merge(fuel, trips).collect()] == [2.0] * 3
-
-
-def test_streaming(spark, tmp_path):
-    from ledgerlens.streaming import fillups
-
-    ev = spark.createDataFrame([(1, datetime(2024, 1, 1, 8, 10 * i), 5.0) for i in range(4)] + [(2, datetime(2024, 1, 9), 1.0)], "user_id long, ts timestamp, value double")
-    ev.write.parquet(str(tmp_path / "ev"))
-    for f, n in ((fillups.daily, 1), (fillups.rapid, 1)):
-        q = f(spark.readStream.schema(ev.schema).parquet(str(tmp_path / "ev"))).writeStream.format("memory").queryName(f.__name__).outputMode("append").start()
-        q.processAllAvailable()
-        q.stop()
-        got = spark.table(f.__name__).collect()
-        assert len(got) == n and got[0].fillups == 4
