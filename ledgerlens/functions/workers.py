@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Any
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import ranges
+
 
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     """Two-sided p of a 2x2 table: all tables of the margins that are no likelier.
@@ -56,35 +62,88 @@ def fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
 BLOCK, DEALT = 20_000, 16
 
 
-def bootstrap(values: DataFrame, column: str, resamples: int = 10_000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """(low, high) of the percentile interval of the mean over resamples as large as the data; nulls without values.
+@dataclass(frozen=True)
+class Statistic:
+    """A statistic of a resample, as sums over blocks of its values in ascending order.
+
+    ``parts`` gives a block's terms from its values (a row for each column), their weights, the resampled rows before the
+    block and all resampled rows; ``value`` makes the statistic of the terms' sums over all blocks, as columns.
+    """
+
+    terms: int
+    parts: Callable[[np.ndarray, np.ndarray, int, int], tuple[float, ...]]
+    value: Callable[[list[Column], int], Column]
+
+
+def mean() -> Statistic:
+    return Statistic(1, lambda x, w, first, n: (w @ x[0],), lambda s, n: s[0] / float(max(1, n)))
+
+
+def ratio() -> Statistic:
+    """The first column's sum over the second's."""
+    return Statistic(2, lambda x, w, first, n: (w @ x[0], w @ x[1]), lambda s, n: F.try_divide(s[0], s[1]))
+
 
-    Equal values are counted and dealt to blocks of about ``BLOCK`` different ones. In a resample each block gets a
-    multinomial share of the draws and each of its values a multinomial share of those, which is the same as drawing
-    rows one by one. Shares of blocks follow from the seed and the resample's number, so all tasks agree on them; a
-    task holds its block alone, and the driver sees the blocks' sizes.
+def quantile(share: float) -> Statistic:
+    """By linear interpolation between the two nearest ranks."""
+
+    def parts(x, w, first, n):
+        place, upto = (n - 1) * share, np.cumsum(w)
+        at = [k - first for k in (math.floor(place), math.ceil(place))]
+        return tuple(float(x[0][np.searchsorted(upto, k, side="right")]) if 0 <= k < upto[-1] else 0.0 for k in at)
+
+    return Statistic(2, parts, lambda s, n: s[0] + (s[1] - s[0]) * ((n - 1) * share - math.floor((n - 1) * share)))
+
+
+def trimmed_mean(share: float) -> Statistic:
+    """The mean without that share of the rows at either end."""
+
+    def parts(x, w, first, n):
+        cut, upto = int(share * n), np.cumsum(w)
+        kept = np.clip(np.minimum(upto + first, n - cut) - np.maximum(upto - w + first, cut), 0, None)
+        return (kept @ x[0],)
+
+    return Statistic(1, parts, lambda s, n: s[0] / float(max(1, n - 2 * int(share * n))))
+
+
+def bootstrap(values: DataFrame, column: str, resamples: int = 10_000, seed: int = 42, alpha: float = 0.05, statistic: Statistic | None = None, other: str | None = None) -> DataFrame:
+    """(low, high) of the percentile interval of a statistic (the mean) over resamples as large as the data; nulls without values.
+
+    Equal values are counted and dealt, in ascending order, to blocks of about ``BLOCK`` different ones; pairs of values,
+    for statistics of two columns (``other``), by their hash. In a resample each block gets a multinomial share of the draws and each of
+    its values a multinomial share of those, which is the same as drawing rows one by one. Shares of blocks follow from
+    the seed and the resample's number, so all tasks agree on them and know how many rows lie before their block; a task
+    holds its block alone, and the driver sees the blocks' sizes.
     """
-    x = values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    blocks = max(1, -(-x.count() // BLOCK))
-    x = x.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
+    statistic = statistic or mean()
+    names = ["v"] if other is None else ["v", "w"]
+    columns = [F.col(c).cast("double") for c in ([column] if other is None else [column, other])]
+    x = values.select(*[c.alias(n) for c, n in zip(columns, names)]).dropna().groupBy(*names).agg(F.count(F.lit(1)).alias("c"))
+    if other is None:
+        x = ranges.running(x.withColumn("d", F.lit(1)), "v", ("d",)).select("v", "c", F.floor(F.col("_before_d") / BLOCK).cast("int").alias("block"))
+    else:
+        x = x.withColumn("block", F.pmod(F.xxhash64(*names), F.lit(max(1, -(-x.count() // BLOCK)))).cast("int"))
     sizes = {k: n for k, n in x.groupBy("block").agg(F.sum("c")).collect()}
-    total = sum(sizes.values())
-    share = np.array([sizes.get(i, 0) for i in range(blocks)]) / max(1, total)
-    deals = max(1, DEALT // blocks)
+    total, numbers = sum(sizes.values()), sorted(sizes)
+    share = np.array([sizes[i] for i in numbers]) / max(1, total)
+    deals = max(1, DEALT // max(1, len(numbers)))
     rows = x.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    terms = [f"t{i}" for i in range(statistic.terms)]
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        block, deal = int(key[0]), int(key[1])
-        part = part.sort_values("v")
-        v, p = part["v"].to_numpy(float), part["c"].to_numpy(float)
+    def run(key: tuple[Any, ...], part: pd.DataFrame) -> pd.DataFrame:
+        block, deal = numbers.index(int(key[0])), int(key[1])
+        part = part.sort_values(names)
+        v, p = part[names].to_numpy(float).T, part["c"].to_numpy(float)
         p, reps, sums = p / p.sum(), np.arange(deal, resamples, deals), []
         for r in reps.tolist():
-            draws = np.random.default_rng((seed, r)).multinomial(total, share)[block] if blocks > 1 else total
-            sums.append(float(np.random.default_rng((seed, r, block)).multinomial(draws, p) @ v))
-        return pd.DataFrame({"replicate": reps, "s": sums})
-
-    means = rows.groupBy("block", "deal").applyInPandas(run, "replicate long, s double").groupBy("replicate").agg((F.sum("s") / F.lit(float(max(1, total)))).alias("value"))
-    return means.agg(F.percentile("value", F.lit(alpha / 2)).alias("low"), F.percentile("value", F.lit(1 - alpha / 2)).alias("high"))
+            shares = np.random.default_rng((seed, r)).multinomial(total, share) if len(numbers) > 1 else np.array([total])
+            drawn = np.random.default_rng((seed, r, block)).multinomial(shares[block], p)
+            sums.append(statistic.parts(v, drawn, int(shares[:block].sum()), total))
+        return pd.DataFrame(np.array(sums, float).reshape(len(reps), len(terms)), columns=terms).assign(replicate=reps)[["replicate", *terms]]
+
+    drawn = rows.groupBy("block", "deal").applyInPandas(run, "replicate long, " + ", ".join(f"{t} double" for t in terms))
+    found = drawn.groupBy("replicate").agg(*[F.sum(t).alias(t) for t in terms]).select(statistic.value([F.col(t) for t in terms], total).alias("value"))
+    return found.agg(F.percentile("value", F.lit(alpha / 2)).alias("low"), F.percentile("value", F.lit(1 - alpha / 2)).alias("high"))
 
 
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,47 +138,89 @@ def scores(df: DataFrame, value: str, first: str, config: Config = Config()) ->
     return x.withColumns({"direction": d, "magnitude": F.expr(stats.band_sql("cliffs_delta", config.effect_sizes.cliff, stats.CLIFF_NAMES)), "mean_difference": F.col("mean_1") - F.col("mean_2"), "median_difference": F.col("median_1") - F.col("median_2"), "significant": F.col("p_value") < config.statistics.alpha})
 
 
-#: Candidate shifts that one pass of ``hodges_lehmann`` counts pairs for.
-SHIFTS = 16
+#: Blocks of each side that first enclose a Hodges-Lehmann shift, shifts that a pass counts pairs for, and different pairs that are compared at last at least.
+BLOCKS, SHIFTS, PAIRS = 1024, 48, 2_000_000
 
 
 def hodges_lehmann(df: DataFrame, value: str, first: str) -> DataFrame:
     """One row (shift): the median difference between the groups' values; null if a group is empty.
 
-    No pair is formed: how many differences are at most d is a running count over the values of one side and, moved by
-    d, of the other. The two middle differences are enclosed by sections of an interval, a pass each, in which only
-    the counts of pairs come to the driver, until the interval holds one floating-point number.
+    Selection in the matrix of differences, whose rows and columns are sorted. Both sides' values are counted and cut into
+    ``BLOCKS`` of equal weight; the least and greatest differences of pairs of blocks, weighed on the driver, enclose the
+    middle to about two blocks' pairs. While more different pairs are left than a few for each value, a pass counts, by
+    running counts, how many differences are at most each of ``SHIFTS`` numbers between. The rest meets in a join of
+    neighbouring values, in which its middle is found.
     """
     spark = df.sparkSession
     v = df.where(F.col(value).isNotNull() & F.col(first).isNotNull()).select(F.col(value).cast("double").alias("v"), F.col(first).alias("f"))
     v = v.groupBy("v").agg(F.count_if("f").alias("a"), F.count_if(~F.col("f")).alias("b")).persist()
-    n, m, x0, x1, y0, y1 = v.agg(F.sum("a"), F.sum("b"), *[g(F.when(F.col(c) > 0, F.col("v"))) for c in ("a", "b") for g in (F.min, F.max)]).first()
-    schema = "shift double"
-    if not n or not m:
-        return spark.createDataFrame([(None,)], schema)
-
-    def at_most(shifts: list[float]) -> list[int]:
-        """Pairs (x, y) with x <= y + d, for each d."""
-        sides = [F.struct(F.lit(i).alias("s"), (F.col("v") + F.lit(d)).alias("v"), F.lit(0).cast("long").alias("a"), F.col("b")) for i, d in enumerate(shifts)]
-        x = [F.struct(F.lit(i).alias("s"), F.col("v"), F.col("a"), F.lit(0).cast("long").alias("b")) for i in range(len(shifts))]
-        rows = v.select(F.explode(F.array(*sides, *x)).alias("x")).select("x.*").where("a > 0 or b > 0").groupBy("s", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        r = ranges.running(rows, "v", ("a", "b"), ("s",))
-        got = {k: c for k, c in r.groupBy("s").agg(F.sum(F.col("a") * (F.col("_all_b") - F.col("_before_b")))).collect()}
-        return [got[i] for i in range(len(shifts))]
-
-    # how many differences are at most a number: none below the least, all up to the largest
-    known = {_ordinal(x0 - y1) - 1: 0, _ordinal(x1 - y0) + 1: n * m}
-    middle = []
-    for place in sorted({(n * m + 1) // 2, n * m // 2 + 1}):
-        while True:
-            low, high = max(k for k, c in known.items() if c < place), min(k for k, c in known.items() if c >= place)
-            if high - low <= 1:
-                break
-            cuts = sorted({low + (high - low) * i // (SHIFTS + 1) for i in range(1, SHIFTS + 1)} - {low, high}) or [low + 1]
-            known.update(zip(cuts, at_most([_number(k) for k in cuts])))
-        middle.append(_number(high))
-    v.unpersist()
-    return spark.createDataFrame([(sum(middle) / len(middle),)], schema)
+    try:
+        n, m, values = v.agg(F.sum("a"), F.sum("b"), F.count(F.lit(1))).first()
+        if not n or not m:
+            return spark.createDataFrame([(None,)], "shift double")
+        places = (n * m + 1) // 2, n * m // 2 + 1
+        low, high = _enclosed(v, n, m, *places)
+        (below, few), (_, many) = (counts := _at_most(v, [low, high]))[0], counts[1]
+        while many - few > max(PAIRS, 4 * values) and _ordinal(high) - _ordinal(low) > 1 << 12:
+            even = {low + (high - low) * i / (SHIFTS // 2 + 1) for i in range(1, SHIFTS // 2 + 1)}
+            cuts = even | {_number(_ordinal(low) + (_ordinal(high) - _ordinal(low)) * i // (SHIFTS // 2 + 1)) for i in range(1, SHIFTS // 2 + 1)}
+            cuts = sorted(c for c in cuts if low < c < high)
+            for cut, (c, d) in zip(cuts, _at_most(v, cuts)):
+                if c < places[0]:
+                    low, below, few = cut, c, d
+                elif c >= places[1]:
+                    high, many = cut, d
+                    break
+        near = _between(v, low, high)
+        r = ranges.running(near, "d", ("w",))
+        holds = [F.max(F.when((F.col("_before_w") < p - below) & (p - below <= F.col("_before_w") + F.col("w")), F.col("d"))) for p in places]
+        return spark.createDataFrame([tuple(r.agg(((holds[0] + holds[1]) / 2).alias("shift")).first())], "shift double")
+    finally:
+        v.unpersist()
+
+
+def _enclosed(v: DataFrame, n: int, m: int, first: int, last: int) -> tuple[float, float]:
+    """Numbers below and above the differences of two ranks, from the bounds of blocks of equal weight."""
+    sides = v.select(F.explode(F.array(F.struct(F.lit(True).alias("x"), "v", F.col("a").alias("c")), F.struct(F.lit(False).alias("x"), "v", F.col("b").alias("c")))).alias("s")).select("s.*").where("c > 0")
+    r = ranges.running(sides, "v", ("c",), ("x",))
+    cell = lambda k: F.floor(k * F.lit(BLOCKS) / F.col("_all_c"))
+    begins = (F.col("_before_c") == 0) | (cell(F.col("_before_c")) < cell(F.col("_before_c") + F.col("c"))) | (F.col("_before_c") + F.col("c") == F.col("_all_c"))
+    rows = np.array([tuple(map(float, t)) for t in r.where(begins).select(F.col("x").cast("int"), "v", "_before_c").collect()])
+    bounds = []
+    for side, size in ((1, n), (0, m)):
+        own = rows[rows[:, 0] == side]
+        own = own[np.argsort(own[:, 1])]
+        starts, before = own[:, 1], own[:, 2]
+        bounds.append((starts, np.append(starts[1:], starts[-1]), np.diff(np.append(before, size))))
+    (x0, x1, wx), (y0, y1, wy) = bounds
+    least, most, weight = (x0[:, None] - y1[None, :]).ravel(), (x1[:, None] - y0[None, :]).ravel(), (wx[:, None] * wy[None, :]).ravel()
+    order, back = np.argsort(least), np.argsort(most)
+    slack = 1e-9 * (1 + weight.sum())  # weights are doubles
+    low = least[order][np.searchsorted(np.cumsum(weight[order]), first - slack)]
+    high = most[back][min(len(back) - 1, np.searchsorted(np.cumsum(weight[back]), last + slack))]
+    room = 1e-12 * max(1e-300, np.abs(x0).max(), np.abs(y0).max())
+    return float(low - room), float(high + room)
+
+
+def _at_most(v: DataFrame, shifts: list[float]) -> list[tuple[int, int]]:
+    """Pairs (x, y) with x <= y + d, and such different pairs, for each d."""
+    none = F.lit(0).cast("long")
+    each = [F.struct(F.lit(i).alias("s"), (F.col("v") + F.lit(d)).alias("v"), none.alias("a"), none.alias("p"), F.col("b"), F.signum("b").cast("long").alias("q")) for i, d in enumerate(shifts)]
+    each += [F.struct(F.lit(i).alias("s"), F.col("v"), F.col("a"), F.signum("a").cast("long").alias("p"), none.alias("b"), none.alias("q")) for i in range(len(shifts))]
+    rows = v.select(F.explode(F.array(*each)).alias("x")).select("x.*").where("a > 0 or b > 0").groupBy("s", "v").agg(*[F.sum(c).alias(c) for c in "apbq"])
+    r = ranges.running(rows, "v", ("b", "q"), ("s",))
+    got = {k: (c, d) for k, c, d in r.groupBy("s").agg(F.sum(F.col("a") * (F.col("_all_b") - F.col("_before_b"))), F.sum(F.col("p") * (F.col("_all_q") - F.col("_before_q")))).collect()}
+    return [got[i] for i in range(len(shifts))]
+
+
+def _between(v: DataFrame, low: float, high: float) -> DataFrame:
+    """(d, w): differences of pairs with y + low < x <= y + high, and how many pairs have each."""
+    width = high - low
+    cell = lambda c: F.floor(F.least(F.greatest(c / F.lit(width), F.lit(-4e18)), F.lit(4e18))).cast("long")
+    x = v.where("a > 0").select(F.col("v").alias("x"), "a", cell(F.col("v") - F.lit(low)).alias("_k"))
+    y = v.where("b > 0").select(F.col("v").alias("y"), "b", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1, 2))), lambda i: cell(F.col("v")) + i)).alias("_k"))
+    pairs = x.join(y, "_k").where((F.col("x") > F.col("y") + F.lit(low)) & (F.col("x") <= F.col("y") + F.lit(high)))
+    return pairs.groupBy((F.col("x") - F.col("y")).alias("d")).agg(F.sum(F.col("a") * F.col("b")).alias("w"))
 
 
 def _ordinal(x: float) -> int:

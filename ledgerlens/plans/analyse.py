@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ranks, stats, workers
@@ -80,6 +83,14 @@ def _flagged(spark, d):
     return patterns.red_flags(patterns.day_patterns(target_rows(spark, d)))
 
 
+def _intervals(spark, d):
+    """Intervals of the median, a high quantile, the trimmed mean and the cost of a gallon over the target's unmatched rows."""
+    rows = target_rows(spark, d).where("not has_eld_activity").select("transaction_amount", "fuel_volume_gallons")
+    asked = {"median": (workers.quantile(0.5), None), "p90": (workers.quantile(0.9), None), "trimmed mean": (workers.trimmed_mean(0.1), None), "cost per gallon": (workers.ratio(), "fuel_volume_gallons")}
+    found = [workers.bootstrap(rows, "transaction_amount", CONFIG.performance.n_bootstrap, statistic=f, other=o).select(F.lit(name).alias("statistic"), "low", "high") for name, (f, o) in asked.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 def _grid(spark, d):
     return spark.range(0, 41).select((F.col("id") % 21).alias("k"), (F.floor(F.col("id") / 21) * 30 + 20).alias("n"))
 
@@ -162,6 +173,9 @@ QUERIES = {
     "tests_hodges_lehmann_amounts": Query("shift:4", lambda s, d: compare.hodges_lehmann(target_rows(s, d), "transaction_amount", "has_eld_activity"),
         """select min(d) filter (where c * 2 >= t) * 0.5 + min(d) filter (where c * 2 > t) * 0.5 as shift from (select d, sum(w) over (order by d) as c, sum(w) over () as t from (
            select x - y as d, sum(nx * ny) as w from (select transaction_amount as x, count(*) as nx from tp where has_eld_activity group by 1), (select transaction_amount as y, count(*) as ny from tp where not has_eld_activity group by 1) group by 1))"""),
+    "tests_hodges_lehmann_peers": Query("shift:4", lambda s, d: compare.hodges_lehmann(period_rows(s, d), "transaction_amount", "is_target"),
+        """select min(d) filter (where c * 2 >= t) * 0.5 + min(d) filter (where c * 2 > t) * 0.5 as shift from (select d, sum(w) over (order by d) as c, sum(w) over () as t from (
+           select x - y as d, sum(nx * ny) as w from (select transaction_amount as x, count(*) as nx from pp where is_target group by 1), (select transaction_amount as y, count(*) as ny from pp where not is_target group by 1) group by 1))""", TEST_CTE),
     "tests_hodges_lehmann": Query("shift:4", lambda s, d: compare.hodges_lehmann(period_rows(s, d), "fuel_volume_gallons", "is_target"),
         """select min(d) filter (where c * 2 >= t) * 0.5 + min(d) filter (where c * 2 > t) * 0.5 as shift from (select d, sum(w) over (order by d) as c, sum(w) over () as t from (
            select x - y as d, sum(nx * ny) as w from (select fuel_volume_gallons as x, count(*) as nx from pp where is_target group by 1), (select fuel_volume_gallons as y, count(*) as ny from pp where not is_target group by 1) group by 1))""", TEST_CTE),
@@ -173,6 +187,7 @@ QUERIES = {
     "tests_log_advice": Query("n skew:5 kurtosis:5 p99_ratio:5 tail_share:6 dispersion_drop:5 advised", lambda s, d: compare.log_advice(target_rows(s, d), "transaction_amount"), _LOG, _LOG_CTE),
     "tests_fisher": Query("metric p:6", lambda s, d: compare.counts(period_rows(s, d)).select("metric", workers.fisher("a", F.col("n1") - F.col("a"), "b", F.col("n2") - F.col("b")).alias("p")), _FISHER, TEST_CTE),
     "tests_bootstrap": Query("low:4 high:4", lambda s, d: workers.bootstrap(target_rows(s, d).where("not has_eld_activity"), "transaction_amount", CONFIG.performance.n_bootstrap), ""),
+    "tests_bootstrap_statistics": Query("statistic low:4 high:4", _intervals, ""),
     "tests_vif": Query("feature vif:4", lambda s, d: workers.vif(target_rows(s, d), list(_VIF)), _vif_sql(_VIF)),
     "summary_coverage": Query("slice row_count eld_share:6", lambda s, d: split.in_period(transactions(s, d)).where("in_period").groupBy(F.when(F.col("is_target"), "target").otherwise("peers").alias("slice")).agg(F.count(F.lit(1)).alias("row_count"), F.avg(F.col("has_eld_activity").cast("double")).alias("eld_share")),
         "select case when is_target then 'target' else 'peers' end as slice, count(*) as row_count, avg(cast(has_eld_activity as integer)) as eld_share from px where in_period group by 1"),
@@ -187,7 +202,7 @@ QUERIES = {
     "dashboard_products": Query("product n", lambda s, d: _top_products(target_rows(s, d)),
         "select case when r <= 4 then product_clean else 'Other' end as product, cast(sum(n) as bigint) as n from (select product_clean, count(*) as n, row_number() over (order by count(*) desc, product_clean) as r from tp group by 1) group by 1"),
 }
-NO_SQL = {"tests_bootstrap", "tests_exposure_interval"}
+NO_SQL = {"tests_bootstrap", "tests_bootstrap_statistics", "tests_exposure_interval"}
 
 
 def _weekly(df):

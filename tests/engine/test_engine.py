@@ -116,6 +116,23 @@ def test_bootstrap_interval_is_that_of_the_mean(spark, monkeypatch, block):
     assert abs(low - (x.mean() - half)) < 0.15 * half and abs(high - (x.mean() + half)) < 0.15 * half
 
 
+@pytest.mark.parametrize("block", [20_000, 40])
+def test_bootstrap_of_other_statistics(spark, monkeypatch, block):
+    """Against numpy's resamples of the same rows."""
+    monkeypatch.setattr(workers, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    x, y = rng.gamma(2.0, 50.0, 400).round(1), rng.gamma(3.0, 5.0, 400).round(1) + 1
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)] + [(None, 1.0)], "v double, w double")
+    draws = rng.integers(0, 400, (4000, 400))
+    trimmed = lambda a: np.sort(a, axis=1)[:, 40:-40].mean(axis=1)
+    asked = {"median": (workers.quantile(0.5), None, np.median(x[draws], axis=1)), "p90": (workers.quantile(0.9), None, np.quantile(x[draws], 0.9, axis=1)), "trimmed": (workers.trimmed_mean(0.1), None, trimmed(x[draws])), "ratio": (workers.ratio(), "w", x[draws].sum(axis=1) / y[draws].sum(axis=1))}
+    for name, (f, other, want) in asked.items():
+        got = workers.bootstrap(df, "v", 2_000, statistic=f, other=other).first()
+        low, high = np.quantile(want, [0.025, 0.975])
+        assert abs(got.low - low) < 0.15 * (high - low) and abs(got.high - high) < 0.15 * (high - low), name
+    assert tuple(workers.bootstrap(df.limit(0), "v", 500, statistic=workers.quantile(0.5)).first()) == (None, None)
+
+
 def test_ranges_rise_with_values(spark):
     xs = [-1e300, -5.0, -1.0001, -1.0, -1e-70, -0.0, 0.0, 1e-70, 0.3, 1.0, 1.5, 3.0, 1e9, 1e300, float("inf"), float("nan")]
     got = [r.r for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", ranges.range_of(F.col("x")).alias("r")).orderBy("i").collect()]
@@ -135,6 +152,19 @@ def test_hodges_lehmann_forms_no_pairs(spark):
     assert compare.hodges_lehmann(df.where("first"), "v", "first").first().shift is None
 
 
+@pytest.mark.parametrize("kind", ["smooth", "cents", "two", "tails", "one"])
+def test_hodges_lehmann_narrows_by_passes(spark, monkeypatch, kind):
+    """Few blocks and pairs, so that passes count: smooth values, many ties, two clusters, tails over many powers of ten."""
+    monkeypatch.setattr(compare, "BLOCKS", 4)
+    monkeypatch.setattr(compare, "PAIRS", 10)
+    rng = np.random.default_rng(7)
+    draw = {"smooth": lambda k: rng.normal(size=k), "cents": lambda k: rng.integers(0, 90, k) / 100, "two": lambda k: rng.integers(0, 2, k) * 50.0, "tails": lambda k: np.exp(rng.normal(0, 20, k)), "one": lambda k: np.full(k, 3.0)}[kind]
+    a, b = draw(101), draw(80)
+    df = spark.createDataFrame([(float(x), True) for x in a] + [(float(x), False) for x in b], "v double, first boolean")
+    want = np.median(a[:, None] - b[None, :])
+    assert abs(compare.hodges_lehmann(df, "v", "first").first().shift - want) <= 1e-9 * max(1, abs(want))
+
+
 def test_report_and_dashboard(spark):
     df = split.in_period(analyse.transactions(spark, "/root/testdata/sf0.001")).persist()
     text = report.report(df, config.Config(performance=config.Performance(n_bootstrap=500)))
