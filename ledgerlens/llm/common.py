@@ -68,6 +68,20 @@ def ranked(df: DataFrame, by: str, order: tuple[str, ...], place: str = "place",
     return out.select(*df.columns, (F.col("_base") + F.col("_at")).alias(place), F.col("_of").alias(total))
 
 
+def as_rows(docs: DataFrame) -> DataFrame:
+    """docs as one struct, _row, so that an operator's own columns can't meet a table's names; ``field`` and ``as_columns`` take it apart."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def field(name: str) -> Column:
+    return F.col("_row").getField(name)
+
+
+def as_columns(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs from ``as_rows``, some of them changed."""
+    return rows.select(*[changed.get(c, field(c)).alias(c) for c in docs.columns])
+
+
 def n_words(text: Column) -> Column:
     """The number of words as a long; null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -12,7 +12,8 @@ Equal lines are one row before the join. A key that many different lines share
 (templates, copies with edits) is not joined all against all: with a threshold of
 1, lines differing in one character share the rest of the line around it, so
 grouping by that rest gives the links without pairs. Lines too long for that are cut into
-``PARTS`` parts and joined on all of the line but one part.
+``PARTS`` parts; those that agree in all but one part are grouped so within that part.
+Links are held to the lines' texts, however they were found.
 
 With ``words``, lines whose words differ in one place are linked too, however many
 characters that is: one word replaced, put in or left out, of at most a ``WORD_SHARE``-th
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import components, saved, small
+from .common import as_columns, as_rows, components, field, saved, small
 
 #: Shorter lines are not compared by edits, as one edit is much of them; with ``short`` their exact repeats go.
 MIN_CHARS = 20
@@ -72,26 +73,48 @@ def _rows(lines: DataFrame, keys: str, index: list[int]) -> DataFrame:
     return lines.select("id", F.posexplode(keys).alias("at", "key")).select("id", "key", F.when(F.col("at").isin(*index), 0).otherwise(1).alias("side"))
 
 
+def _without_one(line: Column, p: Column) -> Column:
+    return F.concat(line.substr(F.lit(1), p - 1), line.substr(p + 1, F.length(line)))
+
+
+def _centred(cut: DataFrame, *by: str) -> DataFrame:
+    """Links (a, b) of rows (id, by, p, h, whole) to the centre of their group: a line without the character at p, or (p = 0) the whole line that others have one more than."""
+    group = W.partitionBy(*by, "p", "h")
+    centre = F.when(F.col("p") > 0, F.min("id").over(group)).otherwise(F.max(F.when(F.col("whole"), F.col("id"))).over(group))
+    return cut.select("id", centre.alias("c")).where("c is not null and c <> id").select(F.col("id").alias("a"), F.col("c").alias("b"))
+
+
 def _hot_links(hot: DataFrame) -> DataFrame:
     """Links of lines (id, norm) at distance 1: lines that agree but for the character at one place, or for one more."""
-    place = F.explode(F.sequence(F.lit(1), F.length("norm"))).alias("p")
-    cut = hot.select("id", "norm", place).select("id", "p", F.xxhash64(F.col("norm").substr(F.lit(1), F.col("p") - 1), F.col("norm").substr(F.col("p") + 1, F.length("norm"))).alias("r"), F.xxhash64(F.concat(F.col("norm").substr(F.lit(1), F.col("p") - 1), F.col("norm").substr(F.col("p") + 1, F.length("norm")))).alias("x"))
+    p, norm = F.col("p"), F.col("norm")
+    rest = F.xxhash64(norm.substr(F.lit(1), p - 1), norm.substr(p + 1, F.length("norm")))
+    cut = hot.select("id", "norm", F.explode(F.sequence(F.lit(1), F.length("norm"))).alias("p")).select("id", "p", rest.alias("r"), F.xxhash64(_without_one(norm, p)).alias("x"))
     cut = cut.select("id", F.explode(F.array(F.struct(F.col("p").alias("p"), F.col("r").alias("h")), F.struct(F.lit(0).alias("p"), F.col("x").alias("h")))).alias("c")).select("id", "c.*", F.lit(False).alias("whole"))
-    cut = cut.unionByName(hot.select("id", F.lit(0).alias("p"), F.xxhash64("norm").alias("h"), F.lit(True).alias("whole"))).distinct()
     # a place and the rest of the line leave one character open, so these groups are small by construction
-    group = W.partitionBy("p", "h")
-    centre = F.when(F.col("p") > 0, F.min("id").over(group)).otherwise(F.max(F.when(F.col("whole"), F.col("id"))).over(group))
-    return cut.select("id", centre.alias("c")).where("c is not null and c <> id").select(F.col("id").alias("a"), F.col("c").alias("b"))
+    return _centred(cut.unionByName(hot.select("id", F.lit(0).alias("p"), F.xxhash64("norm").alias("h"), F.lit(True).alias("whole"))).distinct())
 
 
-def _part_keys(norm: Column) -> Column:
-    """Keys of a long line without one part each, by its own length and, as the longer one, by the length below."""
-    length, out = F.length(norm), []
+def _long_links(hot: DataFrame) -> DataFrame:
+    """The same for long lines, without pairs: lines that agree in all but one of ``PARTS`` parts are compared character by character in that part alone.
+
+    A line stands under its own length (side 0) and, as the one with a character more in that part, under the length below
+    (side 1). Only parts whose rest another line has are looked into.
+    """
+    length, out = F.length("norm"), []
     for d in (0, 1):
         for i in range(PARTS):
             start, size = _segment(length - d, i, PARTS)
-            out.append(F.struct(F.xxhash64(F.lit(i), length - d, norm.substr(F.lit(1), start), norm.substr(start + size + d + 1, length)).alias("key"), F.lit(d).alias("side")))
-    return F.array(*out)
+            rest = F.xxhash64(F.lit(i), length - d, F.col("norm").substr(F.lit(1), start), F.col("norm").substr(start + size + d + 1, length))
+            out.append(F.struct(rest.alias("key"), F.lit(d).alias("side"), F.col("norm").substr(start + 1, size + d).alias("part")))
+    rows = saved(hot.select("id", F.explode(F.array(*out)).alias("x")).select("id", "x.*"), "line-parts")
+    shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("side").alias("least")).where("low <> high and least = 0").select("key")
+    rows = saved(rows.join(shared, "key"), "line-parts")
+    p = F.col("p")
+    place = rows.select("id", "key", "side", "part", F.explode(F.sequence(F.lit(1), F.greatest(F.length("part"), F.lit(1)))).alias("p"))
+    h = F.xxhash64(_without_one(F.col("part"), p))
+    cut = place.select("id", "key", F.when(F.col("side") == 0, p).otherwise(0).alias("p"), h.alias("h"), F.lit(False).alias("whole"))
+    whole = rows.where("side = 0").select("id", "key", F.lit(0).alias("p"), F.xxhash64("part").alias("h"), F.lit(True).alias("whole"))
+    return _centred(cut.unionByName(whole).distinct(), "key")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -123,11 +146,25 @@ def links(cold: DataFrame, hot: DataFrame, norm: DataFrame, threshold: int = 1)
     n_long, n_short = hot.agg(F.count_if(F.length("norm") >= HOT_CHARS), F.count_if(F.length("norm") <= HOT_CHARS)).first()
     pairs = cold
     if n_long:
-        long = hot.where(F.length("norm") >= HOT_CHARS).select("id", F.explode(_part_keys(F.col("norm"))).alias("x")).select("id", "x.*")
-        pairs = saved(cold.unionByName(_pairs(long)).distinct(), "line-pairs")
-    near = pairs.join(norm.select(F.col("id").alias("a"), F.col("norm").alias("ta")), "a").join(norm.select(F.col("id").alias("b"), F.col("norm").alias("tb")), "b")
-    near = near.where(F.levenshtein("ta", "tb", threshold).between(0, threshold)).select("a", "b")
-    return near.unionByName(_hot_links(hot.where(F.length("norm") <= HOT_CHARS))) if n_short else near
+        pairs = pairs.unionByName(_long_links(hot.where(F.length("norm") >= HOT_CHARS)))
+    if n_short:
+        pairs = pairs.unionByName(_hot_links(hot.where(F.length("norm") <= HOT_CHARS)))
+    near = _with_texts(saved(pairs.distinct(), "line-pairs"), norm)
+    return near.where(F.levenshtein("ta", "tb", threshold).between(0, threshold)).select("a", "b")
+
+
+def _with_texts(pairs: DataFrame, norm: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their lines ta and tb; a link that rests on equal hashes is held to them."""
+    return pairs.join(norm.select(F.col("id").alias("a"), F.col("norm").alias("ta")), "a").join(norm.select(F.col("id").alias("b"), F.col("norm").alias("tb")), "b")
+
+
+def _one_word_apart(a: Column, b: Column) -> Column:
+    """Whether two arrays of words are equal but for one word, replaced or left out of one of them."""
+    more = F.greatest(F.size(a), F.size(b))
+    longer, other = F.when(F.size(a) >= F.size(b), a).otherwise(b), F.when(F.size(a) >= F.size(b), b).otherwise(a)
+    p = F.array_position(F.zip_with(F.slice(longer, F.lit(1), F.size(other)), other, lambda x, y: x != y), True).cast("int")  # 0 if none differs
+    tail = F.slice(longer, p + 1, more) == F.slice(other, F.when(F.size(a) == F.size(b), p + 1).otherwise(F.greatest(p, F.lit(1))), more)
+    return (more - F.size(other) <= 1) & ((p == 0) | tail)
 
 
 def _one_space(norm: Column) -> Column:
@@ -192,7 +229,9 @@ def word_links(norm: DataFrame) -> DataFrame:
     # many lines can agree but for one word: grouped minimums and a join, no window
     centre = cut.groupBy("p", "h").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max(F.when(F.col("whole"), F.col("id"))).alias("whole_id")).where("low <> high")
     centre = centre.select("p", "h", F.when(F.col("p") > 0, F.col("low")).otherwise(F.col("whole_id")).alias("b")).where("b is not null")
-    return cut.join(centre, ["p", "h"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    found = cut.join(centre, ["p", "h"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    found = _with_texts(saved(found, "line-pairs"), norm)
+    return found.where(_one_word_apart(F.split("ta", SPACES), F.split("tb", SPACES))).select("a", "b")
 
 
 def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = 1, min_chars: int = MIN_CHARS, words: bool = False, short: bool = False) -> DataFrame:
@@ -219,13 +258,14 @@ def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
         ids = ids.unionByName(shared_words(compared).select("id", F.lit(False).alias("hot"), "halves"))
     ids = saved(ids.groupBy("id").agg(F.max("hot").alias("hot"), F.max("halves").alias("halves")), "line-ids")
     # the text of each line that is looked at, from one more pass over the documents
-    norm = occ.select(F.col("h1").alias("id"), "norm").join(small(ids), "id").groupBy("id", "hot", "halves").agg(F.min("norm").alias("norm"))
-    norm = saved(norm, "line-texts")
+    norm = occ.select(F.col("h1").alias("id"), "h2", "norm").join(small(ids), "id").groupBy("id", "hot", "halves").agg(F.min(F.struct("h2", "norm")).alias("x"))
+    norm = saved(norm.select("id", "hot", "halves", "x.*"), "line-texts")
     near = links(cold, norm.where("hot").select("id", "norm"), norm.select("id", "norm"), threshold)
     if words:
         near = near.unionByName(word_links(norm.where("halves <> 0").select("id", "norm", "halves")))
-    classes = components(near).withColumnRenamed("node", "h1")
-    member = lines.select("h1", "h2", "first").join(classes, "h1")
+    # a line whose 64 bits another one has isn't in that one's class: the text that was compared has these 128
+    classes = components(near).join(norm.select(F.col("id").alias("node"), "h2"), "node").select(F.col("node").alias("h1"), "h2", "component")
+    member = lines.select("h1", "h2", "first").join(classes, ["h1", "h2"])
     keep = member.groupBy("component").agg(F.min("first").alias("keep"))
     near = saved(member.join(keep, "component").select("h1", "h2", "keep"), "line-classes")
     exact = lines.where("copies > 1").join(near, ["h1", "h2"], "left_anti").select("h1", "h2", F.col("first").alias("keep"))
@@ -238,14 +278,16 @@ def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = 1, min_chars: int = MIN_CHARS, words: bool = False, short: bool = False) -> DataFrame:
     """The rows of docs with repeated lines taken out of ``text``; a null text stays null, other columns stay.
 
-    A text that loses no line is not changed; one that loses all is empty.
+    A text that loses no line is not changed; one that loses all is empty. Lines of any length are compared whole, and an
+    empty table gives no rows.
     """
     gone = saved(dropped(docs, text, key, threshold, min_chars, words, short), "line-drops")
-    joined = docs.join(gone.select(F.col("_k"), F.col("_th"), F.col("drop").alias("_drop")).hint("merge"), docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[text]) == F.col("_th")), "left")
-    parts = F.split(docs[text], "\n")
+    own = field(text)
+    joined = as_rows(docs).join(gone.select("_k", "_th", F.col("drop").alias("_drop")).hint("merge"), field(key).eqNullSafe(F.col("_k")) & (F.xxhash64(own) == F.col("_th")), "left")
+    parts = F.split(own, "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drop")), lambda i: F.get(F.col("_parts"), i))
-    out = joined.withColumn("_parts", F.when(F.col("_drop").isNotNull(), parts)).withColumn("_new", F.when(F.col("_drop").isNull(), docs[text]).otherwise(F.array_join(kept, "\n")))
-    return out.select(*[F.col("_new").alias(c) if c == text else docs[c] for c in docs.columns])
+    out = joined.withColumn("_parts", F.when(F.col("_drop").isNotNull(), parts)).withColumn("_new", F.when(F.col("_drop").isNull(), own).otherwise(F.array_join(kept, "\n")))
+    return as_columns(out, docs, **{text: F.col("_new")})
 
 
 def query(spark, sf_dir: str) -> DataFrame:

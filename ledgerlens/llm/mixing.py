@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import n_words, saved
+from .common import as_columns, as_rows, field, n_words, saved
 
 #: Documents of a range of a source's order or of the stretch of virtual time that holds the cut, about, at most.
 RANGE_ROWS = 250_000
@@ -119,14 +119,15 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> Data
     got = saved(got.where("_mc > 0"), "mix-taken")
     repeated = got.where("_mr > 1").limit(1).count() > 0
     got = got.hint("merge")  # as many rows as documents: a plan that is the same at every size
-    d = docs.withColumn("_n", n_words(F.col(text)))
-    out = d.join(got, d[key].eqNullSafe(F.col("_mk")) & d["source"].eqNullSafe(F.col("_ms")) & (F.col("_n") == F.col("_mn")))
+    own_key, own_source, own_text = field(key), field("source"), field(text)
+    d = as_rows(docs).withColumn("_n", n_words(own_text))
+    out = d.join(got, own_key.eqNullSafe(F.col("_mk")) & own_source.eqNullSafe(F.col("_ms")) & (F.col("_n") == F.col("_mn")))
     copies = F.col("_mc")
     if repeated:
-        turn = F.row_number().over(W.partitionBy("_mk", "_ms", "_mn").orderBy(F.xxhash64(d[text])))
+        turn = F.row_number().over(W.partitionBy("_mk", "_ms", "_mn").orderBy(F.xxhash64(own_text)))
         out = out.withColumn("_mt", F.when(F.col("_mr") > 1, turn).otherwise(1))
         copies = F.floor(F.col("_mc") / F.col("_mr")) + F.when(F.col("_mt") <= F.col("_mc") % F.col("_mr"), 1).otherwise(0)
-    return out.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))))).select(*[d[c] for c in docs.columns])
+    return as_columns(out.select("_row", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))))), docs)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

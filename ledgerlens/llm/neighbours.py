@@ -159,8 +159,9 @@ def nearest(table: DataFrame, queries: Column, key: str = "vec_id", vector: str
     x = saved(x.where(F.size("v") == dim), "vectors")
     asks = x.where("asks").select("id", "v").distinct()
     # the smallest ids of each different vector, found without bringing its copies together
-    salted = x.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("s")).agg(F.array_sort(F.collect_set("id")).alias("ids")).select("v", F.slice("ids", 1, k + 1).alias("ids"))
-    one = salted.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
+    few = lambda df, *by: df.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy("id"))).where(F.col("_r") <= k + 1).drop("_r")
+    ids = few(few(x.select("v", "id").distinct().withColumn("s", F.pmod(F.xxhash64("id"), F.lit(64))), "v", "s"), "v")
+    one = ids.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     one = saved(one, "vectors-one")
     n, n_asks = one.count(), asks.count()
     if not n or not n_asks:

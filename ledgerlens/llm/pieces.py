@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Score of an unknown character below the lowest piece's, as in the library.
@@ -59,14 +60,21 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int, object]]:
 
 
 def load(raw: bytes) -> tuple[list[tuple[str, float, int]], bool]:
-    """Pieces (text, score, type) of a model file and whether a space is put before each text."""
+    """Pieces (text, score, type) of a model file and whether a space is put before each text.
+
+    Of the normalizer that is the only setting that is honoured; a model that maps characters, removes white space or
+    doesn't escape it is refused.
+    """
     pieces, prefix = [], True
     for number, _, value in _fields(raw):
         if number == 1:
             f = {n: v for n, _, v in _fields(value)}
             pieces.append((f.get(1, b"").decode(), struct.unpack("<f", f.get(2, bytes(4)))[0], f.get(3, NORMAL)))
         elif number == 3:
-            prefix = bool({n: v for n, _, v in _fields(value)}.get(3, 1))
+            f = {n: v for n, _, v in _fields(value)}
+            if f.get(2) or f.get(4, 1) or not f.get(5, 1):
+                raise ValueError("the model's normalizer maps characters or changes white space, which isn't supported")
+            prefix = bool(f.get(3, 1))
     return pieces, prefix
 
 
@@ -187,10 +195,13 @@ def coder(path: str) -> Pieces:
 def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True) -> DataFrame:
     """The columns ``keep``, n_tokens, ids_crc32, decoded_ok (decoding gives the text back) and, if asked for, ids.
 
-    A null text is encoded as an empty one: no ids. A narrow pass over whole texts; the model file must be
+    A kept column that is called like one of these is given as ``kept_`` and its name; columns that aren't kept don't
+    matter. A null text is encoded as an empty one: no ids; an empty table gives no rows; rows that repeat are encoded each. A narrow pass over whole texts; the model file must be
     on every executor, as part of an installed package or added with ``SparkContext.addFile``.
     """
     kinds = dict(docs.select(*keep).dtypes)
+    results = ("n_tokens", "ids_crc32", "decoded_ok", "ids")
+    given = [f"kept_{k}" if k in results else k for k in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model)
@@ -200,14 +211,14 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
                 texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
                 ids = [c.encode(t) for t in texts]
                 cols = [*part.columns[:-1], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([c.decode(x) == t for x, t in zip(ids, texts)])]
-                names = [*keep, "n_tokens", "ids_crc32", "decoded_ok"]
+                names = [*given, *results[:3]]
                 if with_ids:
                     cols.append(pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())))
-                    names.append("ids")
+                    names.append(results[3])
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", n_tokens long, ids_crc32 long, decoded_ok boolean" + ", ids array<int>" * with_ids
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    schema = ", ".join(f"`{g}` {kinds[k]}" for g, k in zip(given, keep)) + ", n_tokens long, ids_crc32 long, decoded_ok boolean" + ", ids array<int>" * with_ids
+    return docs.select(*[F.col(k).alias(g) for g, k in zip(given, keep)], F.col(text).alias("_piece_text")).mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import components, saved, small
+from .common import as_columns, as_rows, components, field, saved, small
 
 #: Fingerprints of a cell that one task holds; a larger cell is split into blocks.
 TILE = 4096
@@ -407,12 +407,13 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id
     groups = got.groupBy("component").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = saved(got.join(groups, "component").select("_k", "_th", (rank == F.col("best")).alias("stays")).groupBy("_k", "_th", "stays").agg(F.count(F.lit(1)).alias("n")), "near-rows")
     named = lambda x: x.select(F.col("_k").alias("_near_k"), F.col("_th").alias("_near_th"))
-    same = docs[key].eqNullSafe(F.col("_near_k")) & (F.xxhash64(docs[text]) == F.col("_near_th"))
+    whole, digest = as_rows(docs), F.xxhash64(field(text))
+    same = field(key).eqNullSafe(F.col("_near_k")) & (digest == F.col("_near_th"))
     twice = named(rows.where("stays and n > 1"))
     n_twice = twice.count()
-    out = docs.join(small(named(rows.where("not stays" if not n_twice else "not stays or n > 1"))), same, "left_anti")
+    out = whole.join(small(named(rows.where("not stays" if not n_twice else "not stays or n > 1"))), same, "left_anti")
     if not n_twice:
-        return out
-    again = docs.join(small(twice, n_twice), same, "left_semi")
-    again = again.withColumn("_near_n", F.row_number().over(W.partitionBy(key, F.xxhash64(text)).orderBy(F.to_json(F.struct(*docs.columns)))))
-    return out.unionByName(again.where("_near_n = 1").drop("_near_n"))
+        return as_columns(out, docs)
+    again = whole.join(small(twice, n_twice), same, "left_semi")
+    again = again.withColumn("_near_n", F.row_number().over(W.partitionBy(field(key), digest).orderBy(F.to_json("_row"))))
+    return as_columns(out.unionByName(again.where("_near_n = 1").select("_row")), docs)
