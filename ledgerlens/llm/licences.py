@@ -63,9 +63,18 @@ _GENERAL = {f"{x}-{v}": x for x in ("GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0
 TEMPLATES = (*GRANTS, *((_GENERAL.get(x, x), f"SPDX-License-Identifier: {x}") for x in TAGS))
 #: A header begins with a line that holds one of these; every template does.
 ANCHOR = r"(?i)licen[sc]|copyright|spdx|permission|redistribut|public domain|rights reserved|warrant"
-#: A line that denies its licence begins no header.
-DENIED = r"(?i)\b(not|never|no longer)\b[^.]{0,25}\b(licen[sc]|released|distributed|covered|available)"
-LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)[^/]*$"
+#: What denies a licence: from the negation over what is denied, which may stand on the next line, to the licence's name or the sentence's end.
+DENIED = (
+    r"(?i)\b(?:not|never|no longer)\b[^.]{0,25}?\b(?:licen[sc]e\b[^.\n]*|(?:licen[sc]ed|licen[sc]ing|released|distributed|covered|available)\b"
+    r"(?:[^.\n]*licen[sc]e\b[^.\n]*|[^.\n]*\n[^.\n]*|[^.\n]*))\.?"
+)
+#: Names of licence files: nothing or a text's ending, a licence's name or a number after them.
+LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)([.-](txt|md|markdown|rst|html?|none|lesser|lib|mit|apache|bsd|a?l?gpl|mpl|isc|zlib|[0-9]+))*$"
+#: A tag that names several licences.
+EXPRESSION = r"(?i)SPDX-License-Identifier:\s*\(?([A-Za-z0-9.+-]+(?:\s+(?:OR|AND)\s+[A-Za-z0-9.+-]+)+)"
+OPERATOR = r"(?i)\s+(?:OR|AND)\s+"
+#: Lines of a header, from the line that begins it.
+SPANS = (1, 2, 4, 8)
 LEAST = 0.6
 TERM = r"[a-z0-9]+"
 
@@ -85,24 +94,36 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def _begins(line: Column) -> Column:
-    return line.rlike(ANCHOR) & ~line.rlike(DENIED)
+    return line.rlike(ANCHOR)
+
+
+def granted(text: Column) -> Column:
+    """The text without what denies a licence."""
+    return F.when(text.rlike(DENIED), F.regexp_replace(text, DENIED, " ")).otherwise(text)
 
 
 def _headers(text: Column, path: Column) -> Column:
-    """The different candidates of a text with an anchor: headers of 1, 2 and 4 lines from each that begins one, of 4 from the line before, and a licence file as a whole.
+    """The different candidates of a text with an anchor: headers of ``SPANS`` lines from each that begins one, of 4 from the line before, and a licence file as a whole.
 
-    Each line is put beside the three after it first, so that the steps of a long text take one look at it.
+    Each line is put beside those after it first, so that the steps of a long text take one look at it.
     """
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
-    n = F.size(lines)
-    beside = F.arrays_zip(lines.alias("a"), F.slice(lines, F.lit(2), n).alias("b"), F.slice(lines, F.lit(3), n).alias("c"), F.slice(lines, F.lit(4), n).alias("d"))
-    here = F.filter(beside, lambda z: _begins(z["a"]) | (F.coalesce(_begins(z["b"]), F.lit(False)) & ~z["a"].rlike(DENIED)))
-    four = lambda z: F.concat_ws(" ", z["a"], z["b"], z["c"], z["d"])
-    spans = F.flatten(F.transform(here, lambda z: F.when(_begins(z["a"]), F.array(z["a"], F.concat_ws(" ", z["a"], z["b"]), four(z))).otherwise(F.array(four(z)))))
+    lines = F.transform(F.split(granted(text), "\n"), lambda x: F.trim(x))
+    n, names = F.size(lines), [f"l{i}" for i in range(SPANS[-1])]
+    beside = F.arrays_zip(*[(F.slice(lines, F.lit(i + 1), n) if i else lines).alias(c) for i, c in enumerate(names)])
+    here = F.filter(beside, lambda z: _begins(z["l0"]) | F.coalesce(_begins(z["l1"]), F.lit(False)))
+    span = lambda z, k: F.concat_ws(" ", *[z[c] for c in names[:k]])
+    spans = F.flatten(F.transform(here, lambda z: F.when(_begins(z["l0"]), F.array(*[span(z, k) for k in SPANS])).otherwise(F.array(span(z, 4)))))
     whole = F.when(path.rlike(LICENCE_FILE) & F.exists(lines, _begins), F.array(F.array_join(lines, " "))).otherwise(F.array())
     return F.array_distinct(F.concat(spans, whole))
 
 
+def _named_by(line: Column, licence: Column) -> Column:
+    """The tag's expression, if a line has one of known licences only; else the licence."""
+    e = F.regexp_extract(line, EXPRESSION, 1)
+    known = F.size(F.array_except(F.split(e, OPERATOR), F.array(*map(F.lit, TAGS)))) == 0
+    return F.when((e != "") & known, F.regexp_replace(e, r"\s+", " ")).otherwise(licence)
+
+
 #: A candidate goes by 128 bits of hash, so that its text isn't carried along with each of its terms.
 ID = ("h1", "h2")
 
@@ -152,7 +173,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", least: float
     mine = f.where(F.col("text").rlike(ANCHOR)).select("path", F.xxhash64("text").alias("th"), F.explode(_headers(F.col("text"), F.col("path"))).alias("line"))
     mine = _named(mine).join(good, list(ID))
     own = mine.groupBy("path", "th").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence", "line")).alias("b"))
-    own = saved(own.select("path", "th", F.struct(F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"), F.col("b.line").alias("line")).alias("own")), "licence-own")
+    own = saved(own.select("path", "th", F.struct(_named_by(F.col("b.line"), F.col("b.licence")).alias("licence"), (-F.col("b.s")).alias("score"), F.col("b.line").alias("line")).alias("own")), "licence-own")
     # licence files by their directory: the best of each, with its path
     dirs = own.where(F.col("path").rlike(LICENCE_FILE)).select(_parent(F.col("path")).alias("dir"), F.struct((-F.col("own.score")).alias("s"), "own.licence", "path", "own.line").alias("c")).groupBy("dir").agg(F.min("c").alias("c"))
     # the directories that files are in, once each, and their ancestors
@@ -204,12 +225,12 @@ f0 as (
 f1 as (select *, dir || '/m' || cast(((k % 10) + 10) % 10 as varchar) as home0, k % 97 = 0 as held, ((k % 3) + 3) % 3 as third from f0),
 f2 as (select *, case when not held or third = 2 then home0 when third = 0 then top else dir end as home,
               case when held then 'LICENSE.' || coalesce(cast(doc_id as varchar), 'none') else cast(doc_id as varchar) || '.txt' end as name from f1),
-f as (select row_number() over () as rid, doc_id, text, home, name, held, list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')) as ls from f2),
-a as (select *, list_filter(range(1, len(ls) + 1), lambda i: regexp_matches(ls[i], '@ANCHOR@') and not regexp_matches(ls[i], '@DENIED@')) as anchors from f where regexp_matches(text, '@ANCHOR@')),
+f as (select row_number() over () as rid, doc_id, text, home, name, held, list_transform(string_split(regexp_replace(text, '@DENIED@', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')) as ls from f2),
+a as (select *, list_filter(range(1, len(ls) + 1), lambda i: regexp_matches(ls[i], '@ANCHOR@')) as anchors from f where regexp_matches(text, '@ANCHOR@')),
 l as (
   select rid, home, name, held, unnest(list_distinct(list_concat(
-    flatten(list_transform(anchors, lambda i: [ls[i], array_to_string(ls[i:i + 1], ' '), array_to_string(ls[i:i + 3], ' '),
-      case when i > 1 and not regexp_matches(ls[i - 1], '@DENIED@') then array_to_string(ls[i - 1:i + 2], ' ') else ls[i] end])), case when held and len(anchors) > 0 then [array_to_string(ls, ' ')] else [] end))) as line from a),
+    flatten(list_transform(anchors, lambda i: [ls[i], array_to_string(ls[i:i + 1], ' '), array_to_string(ls[i:i + 3], ' '), array_to_string(ls[i:i + 7], ' '),
+      case when i > 1 then array_to_string(ls[i - 1:i + 2], ' ') else ls[i] end])), case when held and len(anchors) > 0 then [array_to_string(ls, ' ')] else [] end))) as line from a),
 c as (select line, count(*) as uses from l group by line),
 own as (select line, uses, term, count(*) as tf from (select line, uses, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) as term from c) group by all),
 known as (select tid, term, count(*) as tf from (select tid, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) as term from t) group by all),
@@ -225,7 +246,8 @@ cs as (
   select line, tid, round(dot / nullif(norm * tnorm, 0), 6) as score
   from (select line, tid, sum(w * tw) as dot from w join tw using (term) group by all) join nw using (line) join nt using (tid)),
 b as (select line, licence, score from (select *, row_number() over (partition by line order by score desc, tid) as r from cs) join (select tid, licence from t) using (tid) where r = 1 and score >= 0.6),
-m as (select rid, home, name, held, licence, score, line from (select *, row_number() over (partition by rid order by score desc, licence, line) as r from l join b using (line)) where r = 1),
+m as (select rid, home, name, held, score, line, case when regexp_extract(line, '@EXPRESSION@', 1) <> '' and len(list_filter(regexp_split_to_array(regexp_extract(line, '@EXPRESSION@', 1), '@OPERATOR@'), lambda x: not list_contains([@TAGS@], x))) = 0
+    then regexp_replace(regexp_extract(line, '@EXPRESSION@', 1), '\s+', ' ', 'g') else licence end as licence from (select *, row_number() over (partition by rid order by score desc, licence, line) as r from l join b using (line)) where r = 1),
 lf as (
   select * from (select *, row_number() over (partition by home order by score desc, licence, home || '/' || name, line) as r from m where held) where r = 1),
 h as (select distinct home from f),
@@ -235,4 +257,4 @@ near as (
 select f.doc_id, f.home || '/' || f.name as path, coalesce(m.licence, lf.licence) as licence, coalesce(m.score, lf.score) as score,
        coalesce(m.line, lf.line) as line, case when m.rid is null then lf.home || '/' || lf.name end as from_path
 from f left join m using (rid) left join near on near.home = f.home left join lf on lf.home = near.lf_home
-""".replace("@TEMPLATES@", ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(TEMPLATES))).replace("@ANCHOR@", ANCHOR).replace("@DENIED@", DENIED)
+""".replace("@TEMPLATES@", ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(TEMPLATES))).replace("@ANCHOR@", ANCHOR).replace("@DENIED@", DENIED).replace("@EXPRESSION@", EXPRESSION).replace("@OPERATOR@", OPERATOR).replace("@TAGS@", ", ".join(f"'{t}'" for t in TAGS))

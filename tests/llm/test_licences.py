@@ -15,11 +15,11 @@ def brute(files):
     """(path, licence, from) by comparing every line with every template."""
     terms = lambda t: Counter(re.findall(r"[a-z0-9]+", t.lower()))
     def headers(p, t):
-        ls = [x.strip(" ") for x in t.split("\n")] if t is not None else []
-        at = [i for i, x in enumerate(ls) if re.search(licences.ANCHOR, x) and not re.search(licences.DENIED, x)]
+        ls = [x.strip(" ") for x in re.sub(licences.DENIED, " ", t).split("\n")] if t is not None else []
+        at = [i for i, x in enumerate(ls) if re.search(licences.ANCHOR, x)]
         whole = [" ".join(ls)] if at and p and re.search(licences.LICENCE_FILE, p) else []
-        before = [" ".join(ls[i - 1 : i + 3]) for i in at if i and not re.search(licences.DENIED, ls[i - 1])]
-        return list(dict.fromkeys([" ".join(ls[i : i + n]) for i in at for n in (1, 2, 4)] + before + whole))
+        before = [" ".join(ls[i - 1 : i + 3]) for i in at if i]
+        return list(dict.fromkeys([" ".join(ls[i : i + n]) for i in at for n in (1, 2, 4, 8)] + before + whole))
 
     lines = [x for p, t in files for x in headers(p, t)]
     n = len(lines) + len(licences.TEMPLATES)
@@ -100,3 +100,21 @@ def test_query_inherits_from_directories_above(spark, tmp_path):
     by = {r.doc_id: (r.licence, r.from_path) for r in got}
     assert by[-97] == ("CC-BY-SA-4.0", "web/en/LICENSE.97") and by[4] == ("MIT", "web/LICENSE.0") and by[17] == ("CC-BY-SA-4.0", "web/en/LICENSE.97")
     assert by[-96] == ("CC-BY-NC-4.0", "web/en/m4/LICENSE.194") and by[None] == (None, None) and by[8] == ("MIT", None)
+
+
+def test_denials_names_and_expressions(spark):
+    """Denials over line ends, grants after them, file names that only begin like a licence's, and tags of several licences."""
+    cases = {
+        "a/x.c": ("This code is NOT\nreleased under the MIT License.", None),
+        "b/x.c": ("no longer under\nthe Apache License. Licensed under the MIT License.", "MIT"),
+        "c/x.c": ("# not released under the MIT License\n# Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        "d/x.c": ("You may not use this file except\nin compliance with the License.\nLicensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        "e/x.c": ("// SPDX-License-Identifier: MIT OR Apache-2.0", "MIT OR Apache-2.0"),
+        "f/x.c": ("// SPDX-License-Identifier: (BSD-3-Clause AND MIT)", "BSD-3-Clause AND MIT"),
+        "g/license_checker.py": ("Released under the MIT License.", "MIT"), "g/other.py": ("code", None),
+        "h/notice_board.txt": ("Released under the MIT License.", "MIT"), "h/other.py": ("code", None),
+        "i/LICENSE-MIT": ("Released under the MIT License.", "MIT"), "i/other.py": ("code", "MIT"),
+    }
+    df = spark.createDataFrame([(p, t) for p, (t, _) in cases.items()], "path string, text string")
+    got = {r.path: r.licence for r in licences.scan(df).collect()}
+    assert got == {p: want for p, (_, want) in cases.items()}
