@@ -91,10 +91,6 @@ def _intervals(spark, d):
     return reduce(DataFrame.unionByName, found)
 
 
-def _grid(spark, d):
-    return spark.range(0, 41).select((F.col("id") % 21).alias("k"), (F.floor(F.col("id") / 21) * 30 + 20).alias("n"))
-
-
 _LOG = """select n, skew, kurtosis, p99_ratio, tail_share, dispersion_drop, n >= 30 and lowest >= 0 and (skew > 1 or kurtosis > 3 or p99_ratio >= 3 or tail_share > 0.02) and dispersion_drop >= 0.2 as advised from (
    select a.n, lowest, skew, kurtosis, p99 / p50 as p99_ratio, tail_share, coalesce(1 - (lmad / lm) / (mad / p50), 0) as dispersion_drop from a, b)"""
 _LOG_CTE = """a as (select count(v) as n, min(v) as lowest, skewness(v) as skew, kurtosis(v) as kurtosis, quantile_cont(v, 0.25) as p25, quantile_cont(v, 0.5) as p50, quantile_cont(v, 0.75) as p75, quantile_cont(v, 0.99) as p99, quantile_cont(ln(1 + v), 0.5) as lm from (select transaction_amount as v from tp)),
@@ -155,8 +151,8 @@ QUERIES = {
     "patterns_stations": Query("merchant_name transaction_count unique_drivers unique_vehicles total_cost:2 avg_cost:4 no_eld_rate:6 non_diesel_rate:6 avg_volume:4 pct_of_total:6", lambda s, d: patterns.stations(target_rows(s, d)), "select * from st", STATION_CTE),
     "patterns_suspicious_stations": Query("merchant_name transaction_count high_non_diesel high_no_eld low_avg_cost suspicion_flags", lambda s, d: patterns.suspicious_stations(target_rows(s, d)),
         "select * from sf where suspicion_flags > 0 and transaction_count >= 5 order by suspicion_flags desc, merchant_name limit 10", STATION_CTE),
-    "tests_wilson": Query("k n low:6 high:6", lambda s, d: _grid(s, d).select("k", "n", *[F.expr(e).alias(c) for e, c in zip(stats.wilson_sql("k", "n"), ("low", "high"))]),
-        f"select k, n, {stats.wilson_sql('k', 'n')[0]} as low, {stats.wilson_sql('k', 'n')[1]} as high from (select i % 21 as k, (i // 21) * 30 + 20 as n from range(0, 41) t(i))", base=False),
+    "tests_wilson": Query("driver_name no_eld_count total_transactions low:6 high:6", lambda s, d: risk.metrics(target_rows(s, d)).select("driver_name", "no_eld_count", "total_transactions", *[F.expr(e).alias(c) for e, c in zip(stats.wilson_sql("no_eld_count", "total_transactions"), ("low", "high"))]),
+        f"select *, {stats.wilson_sql('no_eld_count', 'total_transactions')[0]} as low, {stats.wilson_sql('no_eld_count', 'total_transactions')[1]} as high from (select driver_name, count(*) filter (where not has_eld_activity) as no_eld_count, count(datetime_parsed) as total_transactions from tp where driver_name is not null group by 1)"),
     "tests_proportions": Query(TEST_COLUMNS, lambda s, d: compare.proportions(compare.counts(period_rows(s, d))), "select * from te", TEST_CTE),
     "tests_continuity": Query("metric p_value:6", lambda s, d: compare.proportions(compare.counts(period_rows(s, d)), continuity=True), _tests_sql(True), TEST_CTE),
     "tests_family": Query("metric statistic:3 effect:6 p_value:6 q_value:6 rejected p_band", lambda s, d: compare.family(period_rows(s, d)), f"select *, {stats.p_band_sql('p_value')} as p_band from ({ranks.bh_sql(_FAMILY)})", TEST_CTE),
