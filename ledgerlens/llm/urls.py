@@ -15,11 +15,23 @@ from pyspark.sql import functions as F
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 BITS = 15
 GRAMS = (3, 4, 5)
+#: Probability from which a URL is blocked: above one half, as a wrong block costs a clean page.
+LEAST = 0.7
 #: Rows of a labelled table that the model is fitted on at most.
 FIT_ROWS = 20_000
-#: The labelled table: names that sites of either kind carry, put together with like hosts and paths by ``labelled``.
-BLOCK_NAMES = "casino-royal online-casino casino win-casino free-casino bets-now sports-bets betting-odds poker-room jackpot-win slots-free pills-shop buy-pills pharma-cheap cheap-meds viagra-store adult-cams adult-dating adult-videos xxx-videos sex-chat link-farm spam-links seo-spam click-track ads-network adserver ad-tracker popup-ads banner-ads free-loans payday-loans crack-keys warez-zone torrent-free replica-watches cheap-replica win-prize lottery-win free-slots".split()
-ALLOW_NAMES = "news daily-news university library science-journal city-council weather recipes gardening history-society museum open-data docs-portal developer health-service train-times book-reviews travel-guide photo-club music-school bioinformatics encyclopedia local-paper football-club film-archive language-school astronomy mathematics another anthology thinking reading together weather-station northern-lights estate theatre institution nation tradition".split()
+#: What sites of either kind are about and how they call themselves; ``labelled`` puts names together from them.
+BLOCK_WORDS = (
+    "casino poker bets betting slots jackpot roulette pills meds pharmacy viagra loans payday credit adult dating cams escorts porn warez cracks keygen "
+    "torrents replicas watches handbags backlinks spam clicks popups banners adware trackers prizes lottery giveaway followers likes"
+).split()
+BLOCK_STYLES = "online free cheap win buy best royal fast instant vip super hot discount bonus extra sale now deals club farm".split()
+ALLOW_WORDS = (
+    "news library university museum council weather recipes garden history science journal archive school health hospital travel trains books reading "
+    "writing letters thinking lectures research students teaching theatre music film photography football chess astronomy mathematics physics biology "
+    "chemistry geology languages dictionary encyclopedia software documentation developers data maps climate forests rivers mountains cycling running "
+    "heritage charity parliament law courts elections economics farming kitchen weaving pottery painting"
+).split()
+ALLOW_STYLES = "daily city local open national northern southern public community young modern ancient river harbour village county college summer winter evening".split()
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -42,16 +54,23 @@ def fit_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 
 
 def labelled() -> list[tuple[str, str, int]]:
-    """(host, path, 1 to block) of the small training table."""
+    """(host, path, 1 to block) of the small training table: each word by itself and with some styles before and after it, on like hosts and paths."""
     heads, tails, roots = ("", "www.", "m.", "blog."), ("example.com", "example.net", "example.org"), ("/", "/en/{}", "/fr/{}.html", "/de/{}/", "/es/{}")
     out = []
-    for names, y in ((BLOCK_NAMES, 1), (ALLOW_NAMES, 0)):
-        for i, name in enumerate(names):
-            for j in range(4):
+    for words, styles, times, y in ((BLOCK_WORDS, BLOCK_STYLES, 5, 1), (ALLOW_WORDS, ALLOW_STYLES, 3, 0)):
+        for i, word in enumerate(words):
+            for j in range(times):
+                style = styles[(7 * i + 3 * j) % len(styles)]
+                name = word if j == 0 else f"{style}-{word}" if j % 2 else f"{word}-{style}"
                 out.append((f"{heads[(i + j) % 4]}{name}.{tails[(i + 2 * j) % 3]}", roots[(i + 3 * j) % 5].format(1000 + 37 * i + j), y))
     return out
 
 
+def labelled_table(spark) -> DataFrame:
+    """``labelled`` as a table (url, block); a few hundred rows."""
+    return spark.createDataFrame([(f"https://{h}{p}", y) for h, p, y in labelled()], "url string, block int")
+
+
 def hashed(host: str, path: str) -> list[int]:
     """The set of hashed n-grams; host and path have grams of their own."""
     out = set()
@@ -61,7 +80,7 @@ def hashed(host: str, path: str) -> list[int]:
     return list(out)
 
 
-def fit(rows: Sequence[tuple[str, str, int]], steps: int = 300, rate: float = 2.0, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit(rows: Sequence[tuple[str, str, int]], steps: int = 1500, rate: float = 5.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias by gradient steps on the mean log loss; each URL's grams weigh 1 in all by length."""
     x = [np.array(hashed(h, p)) for h, p, _ in rows]
     y = np.array([r[2] for r in rows], float)
@@ -95,8 +114,8 @@ def score(host: str, path: str, weights: np.ndarray, bias: float) -> float:
     return float(1 / (1 + np.exp(-(weights[i].sum() / np.sqrt(max(1, len(i))) + bias))))
 
 
-def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules: Sequence[tuple[str, str, str]] = RULES, fitted: tuple[np.ndarray, float] | None = None, least: float = 0.6) -> DataFrame:
-    """(key, host, path, rule, verdict, p_block) for every row; the regression judges what no rule fits: block from a probability of ``least`` (above one half, as a wrong block costs a clean page).
+def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules: Sequence[tuple[str, str, str]] = RULES, fitted: tuple[np.ndarray, float] | None = None, least: float = LEAST) -> DataFrame:
+    """(key, host, path, rule, verdict, p_block) for every row; the regression judges what no rule fits: block from a probability of ``least``.
 
     A null or empty url, or one without ``://``, has an empty host and path and the model's bias as its answer; every row
     has one, whatever its key. A narrow pass: nothing is shuffled, so a host with a third of the rows costs no more than others.
@@ -117,5 +136,5 @@ def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules: Seque
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Contract: page_id, host, path, rule, verdict for every page."""
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+    """Contract: page_id, host, path, rule, verdict for every page, by a model fitted on the small labelled table."""
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), fitted=fit_table(labelled_table(spark)))
