@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -151,20 +151,37 @@ def facts(x: DataFrame, days: int = 5) -> DataFrame:
     return end.select("_bad", F.when(F.coalesce(granular, F.lit(False)), "granular").otherwise("daily").alias("_mode"))
 
 
-def prepared(df: DataFrame, config: Config = Config()) -> DataFrame:
+class Steps:
+    """Counts of ``prepared``'s rows that come with the first job over them, without a pass of their own."""
+
+    def __init__(self):
+        self._seen = {k: Observation() for k in ("initial", "different", "final")}
+
+    def watch(self, step: str, df: DataFrame) -> DataFrame:
+        return df.observe(self._seen[step], F.count(F.lit(1)).alias("n"))
+
+    def counts(self) -> dict[str, int]:
+        """initial, duplicates, incomplete and final, as ``clean.counts`` has them; waits for a job over the whole frame."""
+        n = {k: o.get["n"] for k, o in self._seen.items()}
+        return {"initial": n["initial"], "duplicates": n["initial"] - n["different"], "incomplete": n["different"] - n["final"], "final": n["final"]}
+
+
+def prepared(df: DataFrame, config: Config = Config(), steps: Steps | None = None) -> DataFrame:
     """``features`` of ``clean``ed transactions, in two scans and one shuffle of whole rows.
 
-    Copies share vehicle and day, so rows are dealt by those, compared and given their day's features where they are.
+    Copies share vehicle and day, so rows are dealt by those, compared and given their day's features where they are. With
+    ``steps`` the job over the frame counts the rows of each step on its way.
     """
+    watch = steps.watch if steps else lambda _, x: x
     raw = clean.plain(df, config)
     typed = dict(raw.dtypes)
     scalars = facts(clean.types(raw), config.data_requirements.monthend_days)
     if typed.get("vehicle_index") == TYPES["vehicle_index"] and typed.get("transaction_timestamp") == TYPES["transaction_timestamp"]:
-        x = raw.withColumn("_day", F.to_date("transaction_timestamp")).withColumn("_spread", _spread("_day"))
+        x = watch("initial", raw).withColumn("_day", F.to_date("transaction_timestamp")).withColumn("_spread", _spread("_day"))
         x = clean.types(x.repartition("vehicle_index", "_day", "_spread").dropDuplicates())
     else:  # texts are compared as they are, before they have a day
-        x = clean.types(raw.dropDuplicates())
-    x = x.join(F.broadcast(scalars), F.lit(True))
+        x = clean.types(watch("initial", raw).dropDuplicates())
+    x = watch("different", x).join(F.broadcast(scalars), F.lit(True))
     month = F.date_format("transaction_timestamp", "yyyy-MM")
-    x = clean.absolute(x.where(F.col("_bad").isNull() | ~F.coalesce(month == F.col("_bad"), F.lit(False))).drop("_bad"))
+    x = watch("final", clean.absolute(x.where(F.col("_bad").isNull() | ~F.coalesce(month == F.col("_bad"), F.lit(False))).drop("_bad")))
     return features(x, config).drop("_day", "_spread")

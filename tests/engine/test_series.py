@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import folds
-from ledgerlens.operators import compare, features, temporal
+from ledgerlens.operators import clean, compare, features, temporal
 
 from .test_engine import frame  # noqa: F401
 
@@ -122,3 +122,16 @@ def test_tests_without_hits_are_not_of_the_family(frame):
     ps = np.sort([r.p_value for r in got.values()])
     q = np.minimum.accumulate((ps * len(ps) / np.arange(1, len(ps) + 1))[::-1])[::-1]
     np.testing.assert_allclose(sorted(r.q_value for r in got.values()), np.minimum(q, 1))
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_counts_come_with_the_job_over_the_frame(frame, text):
+    rows = [{"transaction_timestamp": datetime(2024, 1, 1 + i % 28, 9), "odometer_miles": i % 50} for i in range(60)] + [{"transaction_timestamp": datetime(2024, 2, 2, 9)}] * 3
+    df = frame(rows)
+    if text:
+        df = df.withColumn("transaction_timestamp", F.col("transaction_timestamp").cast("string"))
+    steps = features.Steps()
+    x = features.prepared(df, steps=steps)
+    n = len(x.collect())
+    assert steps.counts() == clean.counts(df).first().asDict() and steps.counts()["final"] == n
+    assert steps.counts()["duplicates"] > 0 and steps.counts()["incomplete"] > 0
