@@ -151,6 +151,15 @@ def facts(x: DataFrame, days: int = 5) -> DataFrame:
     return end.select("_bad", F.when(F.coalesce(granular, F.lit(False)), "granular").otherwise("daily").alias("_mode"))
 
 
+#: The columns that rows are dealt by: copies share them, as do the rows of a vehicle's day.
+DEALT = ("vehicle_index", "_day", "_spread")
+
+
+def dealt(x: DataFrame) -> DataFrame:
+    """Typed rows with _day and _spread, to be partitioned by ``DEALT``."""
+    return x.withColumn("_day", F.to_date("transaction_timestamp")).withColumn("_spread", _spread("_day"))
+
+
 class Steps:
     """Counts of ``prepared``'s rows that come with the first job over them, without a pass of their own."""
 
@@ -170,17 +179,20 @@ def prepared(df: DataFrame, config: Config = Config(), steps: Steps | None = Non
     """``features`` of ``clean``ed transactions, in two scans and one shuffle of whole rows.
 
     Copies share vehicle and day, so rows are dealt by those, compared and given their day's features where they are. With
-    ``steps`` the job over the frame counts the rows of each step on its way.
+    ``steps`` the job over the frame counts the rows of each step on its way. A table of ``sources.bucketed`` needs no such shuffle.
     """
     watch = steps.watch if steps else lambda _, x: x
-    raw = clean.plain(df, config)
-    typed = dict(raw.dtypes)
+    if set(DEALT) <= set(df.columns):  # a table that is bucketed so
+        raw = df.drop("_day", "_spread")
+        x = clean.types(watch("initial", df).dropDuplicates())
+    else:
+        raw = clean.plain(df, config)
+        typed = dict(raw.dtypes)
+        if all(typed.get(c) == TYPES[c] for c in ("vehicle_index", "transaction_timestamp")):
+            x = clean.types(dealt(watch("initial", raw)).repartition(*DEALT).dropDuplicates())
+        else:  # texts are compared as they are, before they have a day
+            x = clean.types(watch("initial", raw).dropDuplicates())
     scalars = facts(clean.types(raw), config.data_requirements.monthend_days)
-    if typed.get("vehicle_index") == TYPES["vehicle_index"] and typed.get("transaction_timestamp") == TYPES["transaction_timestamp"]:
-        x = watch("initial", raw).withColumn("_day", F.to_date("transaction_timestamp")).withColumn("_spread", _spread("_day"))
-        x = clean.types(x.repartition("vehicle_index", "_day", "_spread").dropDuplicates())
-    else:  # texts are compared as they are, before they have a day
-        x = clean.types(watch("initial", raw).dropDuplicates())
     x = watch("different", x).join(F.broadcast(scalars), F.lit(True))
     month = F.date_format("transaction_timestamp", "yyyy-MM")
     x = watch("final", clean.absolute(x.where(F.col("_bad").isNull() | ~F.coalesce(month == F.col("_bad"), F.lit(False))).drop("_bad")))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from ..operators import clean, features, quality, split
-from ..sources import canonical, readers
+from ..sources import bucketed, canonical, readers
+from ..sources.shared import shared_path
 from .base import CONFIG, Query, cleaned, transactions
 
 NOW = datetime(2001, 6, 1)
@@ -24,6 +26,13 @@ def _merged(spark, d):
     return readers.merge(fuel, trips)
 
 
+def _bucketed(spark, d):
+    """Features from the transactions as a bucketed table, which is written first."""
+    name = f"transactions_{uuid.uuid4().hex}"
+    bucketed.write(raw(spark, d), name, shared_path(spark, name), CONFIG)
+    return features.prepared(bucketed.read(spark, name), CONFIG)
+
+
 def _texts(spark, d):
     """Amounts and times as text, one of them broken now and then, for the type checks."""
     x = raw(spark, d)
@@ -69,6 +78,7 @@ QUERIES = {
     "features_dates": Query("odometer_miles date_only year month week_number weekday day_of_month is_weekend", transactions, "select * from tx"),
     "features_clock": Query("odometer_miles hour minute is_business_hours is_morning_rush is_evening_rush is_rush_hour time_of_day_category", transactions, "select * from tx"),
     "features_transaction": Query("odometer_miles product_clean is_diesel_def cost_per_gallon transaction_size_category branch_group", transactions, "select * from tx"),
+    "features_bucketed": Query("odometer_miles product_clean fillups_per_day has_eld_activity is_first_transaction_of_day distance_miles:4 is_target", _bucketed, "select * from tx"),
     "features_vehicle": Query("odometer_miles mpg:6 idle_percentage:6 driving_percentage:6", transactions, "select * from tx"),
     "features_fillups_per_day": Query("odometer_miles fillups_per_day", transactions, "select * from tx"),
     "features_flags": Query("odometer_miles no_eld many_fillups", lambda s, d: features.above(features.inverted(transactions(s, d), "has_eld_activity", "no_eld"), "fillups_per_day", 1, "many_fillups"), "select *, not has_eld_activity as no_eld, fillups_per_day > 1 as many_fillups from tx"),

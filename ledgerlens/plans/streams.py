@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path
 from ..streaming import fillups
 from .base import Query
 
@@ -15,12 +16,12 @@ def events(spark, d) -> DataFrame:
 
 
 def _days(s, d):
-    x = fillups.caught_up(events(s, d), lambda e: fillups.daily(e, kind="event_type"), fillups.shared_path(s, "stream-days"))
+    x = fillups.caught_up(events(s, d), lambda e: fillups.daily(e, kind="event_type"), shared_path(s, "stream-days"))
     return x.withColumn("day", F.to_date("day"))
 
 
 def _sessions(s, d):
-    return fillups.caught_up(events(s, d), fillups.rapid, fillups.shared_path(s, "stream-sessions")).withColumnsRenamed({"start": "session_start", "end": "session_end"})
+    return fillups.caught_up(events(s, d), fillups.rapid, shared_path(s, "stream-sessions")).withColumnsRenamed({"start": "session_start", "end": "session_end"})
 
 
 QUERIES = {

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import folds
 from ledgerlens.operators import clean, compare, features, temporal
+from ledgerlens.sources import bucketed
 
 from .test_engine import frame  # noqa: F401
 
@@ -135,3 +136,16 @@ def test_counts_come_with_the_job_over_the_frame(frame, text):
     n = len(x.collect())
     assert steps.counts() == clean.counts(df).first().asDict() and steps.counts()["final"] == n
     assert steps.counts()["duplicates"] > 0 and steps.counts()["incomplete"] > 0
+
+
+def test_a_bucketed_table_needs_no_shuffle(spark, frame, tmp_path):
+    rows = [{"transaction_timestamp": datetime(2024, 1, 1 + i % 28, 9, i % 7), "odometer_miles": i % 50, "vehicle_index": i % 9 or None, "distance_miles": float(i % 3)} for i in range(90)]
+    df = frame(rows + rows[:20])
+    bucketed.write(df, "bucketed_test", f"file://{tmp_path}/t", buckets=4)
+    x = features.prepared(bucketed.read(spark, "bucketed_test"))
+    plain = features.prepared(df)
+    assert sorted(x.columns) == sorted(plain.columns)
+    assert sorted(map(str, x.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+    exchanges = lambda d: [line for line in d._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line and ("_spread" in line or "merchant" in line)]
+    assert exchanges(plain) and not exchanges(x), exchanges(x)
+    spark.sql("drop table bucketed_test")
