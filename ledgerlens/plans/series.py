@@ -58,11 +58,11 @@ _cnt = lambda t, where, name: f"left join (select entity_type, entity_id, count(
 #: Segmentation: kernel sums of cells of five months, costs of runs of cells, then the optimum over them as a list that grows by one cell a step.
 _K = "entity_type, entity_id, metric"
 SEGMENTS = CTE + f""",
-  sg as (select * from (select {_K}, month, value, row_number() over ({_S} order by month) - 1 as i, count(*) over ({_S}) as n, min(value) over ({_S}) as lo, max(value) over ({_S}) as hi from ls where value is not null) where n >= 6 and lo < hi),
-  sgm as (select {_K}, case when med > 0 then 1 / med else 1.0e0 end as g from (select {_K}, quantile_cont((a.value - b.value) * (a.value - b.value), 0.5) as med from sg a join sg b using ({_K}) where a.i < b.i group by all)),
-  sgc as (select {_K}, a.n, a.i // 5 as ca, b.i // 5 as cb, sum(case when a.i = b.i then 1.0e0 else exp(-least(greatest(g * (a.value - b.value) * (a.value - b.value), 0.01e0), 100)) end) as k from sg a join sg b using ({_K}) join sgm using ({_K}) group by all),
-  sgr as (select {_K}, n, s, e from (select distinct {_K}, n from sgc), unnest(range(0, (n + 4) // 5)) r(s), unnest(range(1, (n + 4) // 5 + 1)) q(e) where s < e and least(5 * e, n) - 5 * s >= 2),
-  sgs as (select {_K}, n, s, e, len - sum(k) / len + 2 * ln(n) as cost from (select *, least(5 * e, n) - 5 * s as len from sgr join sgc using ({_K}, n) where ca >= s and cb >= s and ca < e and cb < e) group by {_K}, n, s, e, len),
+  sg as materialized (select * from (select {_K}, month, value, row_number() over ({_S} order by month) - 1 as i, count(*) over ({_S}) as n, min(value) over ({_S}) as lo, max(value) over ({_S}) as hi from ls where value is not null) where n >= 6 and lo < hi),
+  sgm as materialized (select {_K}, case when med > 0 then 1 / med else 1.0e0 end as g from (select {_K}, quantile_cont((a.value - b.value) * (a.value - b.value), 0.5) as med from sg a join sg b using ({_K}) where a.i < b.i group by all)),
+  sgc as materialized (select {_K}, a.n, a.i // 5 as ca, b.i // 5 as cb, sum(case when a.i = b.i then 1.0e0 else exp(-least(greatest(g * (a.value - b.value) * (a.value - b.value), 0.01e0), 100)) end) as k from sg a join sg b using ({_K}) join sgm using ({_K}) group by all),
+  sgr as materialized (select {_K}, n, s, e from (select distinct {_K}, n from sgc), unnest(range(0, (n + 4) // 5)) r(s), unnest(range(1, (n + 4) // 5 + 1)) q(e) where s < e and least(5 * e, n) - 5 * s >= 2),
+  sgs as materialized (select {_K}, n, s, e, len - sum(k) / len + 2 * ln(n) as cost from (select *, least(5 * e, n) - 5 * s as len from sgr join sgc using ({_K}, n) where ca >= s and cb >= s and ca < e and cb < e) group by {_K}, n, s, e, len),
   dp as (select distinct {_K}, n, 0 as e, [-2 * ln(n)] as f, [-1::bigint] as back from sgc
     union all select d.entity_type, d.entity_id, d.metric, d.n, d.e + 1, list_append(d.f, min(d.f[s.s + 1] + s.cost)), list_append(d.back, arg_min(s.s, d.f[s.s + 1] + s.cost))
       from dp d join sgs s on s.entity_type = d.entity_type and s.entity_id = d.entity_id and s.metric = d.metric and s.e = d.e + 1 group by d.entity_type, d.entity_id, d.metric, d.n, d.e, d.f, d.back),
