@@ -137,10 +137,11 @@ def shared_keys(lines: DataFrame, threshold: int = 1) -> tuple[DataFrame, DataFr
     return rows, saved(_pairs(rows if threshold != 1 else rows.where(F.col("n") <= HOT)), "line-pairs")
 
 
-def links(cold: DataFrame, hot: DataFrame, norm: DataFrame, threshold: int = 1) -> DataFrame:
-    """Links (a, b) that reach every pair of lines within the threshold.
+def links(cold: DataFrame, hot: DataFrame, norm: DataFrame, threshold: int = 1, worded: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that reach every pair of lines within the threshold and, if ``worded`` are given, those of them whose words differ in one place.
 
-    cold holds the pairs to be verified, hot the lines (id, norm) of hot keys, norm (id, norm) of all lines of either.
+    cold holds the pairs to be verified, hot the lines (id, norm) of hot keys, worded those of ``word_links``, norm
+    (id, norm) of all lines of any. Texts meet all pairs at once, however they were found.
     """
     # lines of HOT_CHARS characters are in both, so that those of one more find them
     n_long, n_short = hot.agg(F.count_if(F.length("norm") >= HOT_CHARS), F.count_if(F.length("norm") <= HOT_CHARS)).first()
@@ -149,13 +150,13 @@ def links(cold: DataFrame, hot: DataFrame, norm: DataFrame, threshold: int = 1)
         pairs = pairs.unionByName(_long_links(hot.where(F.length("norm") >= HOT_CHARS)))
     if n_short:
         pairs = pairs.unionByName(_hot_links(hot.where(F.length("norm") <= HOT_CHARS)))
-    near = _with_texts(saved(pairs.distinct(), "line-pairs"), norm)
-    return near.where(F.levenshtein("ta", "tb", threshold).between(0, threshold)).select("a", "b")
-
-
-def _with_texts(pairs: DataFrame, norm: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their lines ta and tb; a link that rests on equal hashes is held to them."""
-    return pairs.join(norm.select(F.col("id").alias("a"), F.col("norm").alias("ta")), "a").join(norm.select(F.col("id").alias("b"), F.col("norm").alias("tb")), "b")
+    pairs = pairs.distinct().withColumn("by_words", F.lit(False))
+    if worded is not None:
+        pairs = pairs.unionByName(worded.withColumn("by_words", F.lit(True)))
+    texts = saved(pairs, "line-pairs").join(norm.select(F.col("id").alias("a"), F.col("norm").alias("ta")), "a").join(norm.select(F.col("id").alias("b"), F.col("norm").alias("tb")), "b")
+    # a link that rests on equal hashes is held to the lines
+    near = F.levenshtein("ta", "tb", threshold).between(0, threshold)
+    return texts.where(F.when(F.col("by_words"), _one_word_apart(F.split("ta", SPACES), F.split("tb", SPACES))).otherwise(near)).select("a", "b")
 
 
 def _one_word_apart(a: Column, b: Column) -> Column:
@@ -202,7 +203,7 @@ def shared_words(lines: DataFrame) -> DataFrame:
 
 
 def word_links(norm: DataFrame) -> DataFrame:
-    """Links (a, b) that reach every pair of the lines (id, norm, halves) whose words differ in one place at most.
+    """Links (a, b), to be verified, that reach every pair of the lines (id, norm, halves) whose words differ in one place at most.
 
     The place lies outside a half that both have, so only the words there are left out in turn. A word and its place are
     one hash, the words of a line the exclusive or of theirs, so that a line without one word takes one step.
@@ -229,9 +230,7 @@ def word_links(norm: DataFrame) -> DataFrame:
     # many lines can agree but for one word: grouped minimums and a join, no window
     centre = cut.groupBy("p", "h").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max(F.when(F.col("whole"), F.col("id"))).alias("whole_id")).where("low <> high")
     centre = centre.select("p", "h", F.when(F.col("p") > 0, F.col("low")).otherwise(F.col("whole_id")).alias("b")).where("b is not null")
-    found = cut.join(centre, ["p", "h"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    found = _with_texts(saved(found, "line-pairs"), norm)
-    return found.where(_one_word_apart(F.split("ta", SPACES), F.split("tb", SPACES))).select("a", "b")
+    return cut.join(centre, ["p", "h"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
 def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = 1, min_chars: int = MIN_CHARS, words: bool = False, short: bool = False) -> DataFrame:
@@ -260,9 +259,8 @@ def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     # the text of each line that is looked at, from one more pass over the documents
     norm = occ.select(F.col("h1").alias("id"), "h2", "norm").join(small(ids), "id").groupBy("id", "hot", "halves").agg(F.min(F.struct("h2", "norm")).alias("x"))
     norm = saved(norm.select("id", "hot", "halves", "x.*"), "line-texts")
-    near = links(cold, norm.where("hot").select("id", "norm"), norm.select("id", "norm"), threshold)
-    if words:
-        near = near.unionByName(word_links(norm.where("halves <> 0").select("id", "norm", "halves")))
+    worded = word_links(norm.where("halves <> 0").select("id", "norm", "halves")) if words else None
+    near = links(cold, norm.where("hot").select("id", "norm"), norm.select("id", "norm"), threshold, worded)
     # a line whose 64 bits another one has isn't in that one's class: the text that was compared has these 128
     classes = components(near).join(norm.select(F.col("id").alias("node"), "h2"), "node").select(F.col("node").alias("h1"), "h2", "component")
     member = lines.select("h1", "h2", "first").join(classes, ["h1", "h2"])
