@@ -130,3 +130,22 @@ def test_hot_lines_on_both_sides_of_the_bound(spark, monkeypatch):
     rows = [(0, template)] + [(i + 1, template[:i] + template[i + 1 :]) for i in range(41)]
     got = lines.dedup(spark.createDataFrame([(k, t, "n", 1) for k, t in rows], SCHEMA)).collect()
     assert {r.doc_id: r.text for r in got} == {k: template if k == 0 else "" for k, _ in rows} == brute(rows, 1)
+
+
+def test_long_template_lines_make_no_pairs(spark, monkeypatch):
+    """Thousands of long lines of one template with a running number: links in proportion to the lines, and one of them stays."""
+    seen, write = [], lines.saved
+
+    def counting(df, name):
+        out = write(df, name)
+        if name == "line-pairs":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "saved", counting)
+    n = 2000
+    head, tail = "the head of a template that is long enough to be cut into parts " * 6, " and its tail after the running number, which is long as well" * 6
+    docs = spark.createDataFrame([(i, f"{head}{i:05d}{tail}") for i in range(n)], "doc_id long, text string")
+    assert len(head) + len(tail) > lines.HOT_CHARS
+    kept = [r.doc_id for r in lines.dedup(docs).collect() if r.text]
+    assert kept == [0] and sum(seen) <= 20 * n
