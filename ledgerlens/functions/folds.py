@@ -69,13 +69,23 @@ def _prefix_sums(v: Column, points: Column, gamma: Column) -> Column:
     """[[sum of the kernel over rows below point i and columns below point j]]."""
     near = lambda a, b: F.exp(-F.least(F.greatest(gamma * (a - b) * (a - b), F.lit(1e-2)), F.lit(1e2)))
 
-    def upto(a, i):
+    cells = F.sequence(F.lit(1), F.size(points) - 1)
+    within = lambda xs, c: F.slice(xs, F.get(points, c - 1) + 1, F.get(points, c) - F.get(points, c - 1))
+
+    def by_cell(a, i):
         row = F.transform(v, lambda b, j: F.when(i == j, F.lit(1.0)).otherwise(near(a, b)))
-        return let(row, lambda r: F.transform(points, lambda p: total(F.slice(r, F.lit(1), p))))
+        return let(row, lambda r: F.transform(cells, lambda c: total(within(r, c))))
+
+    # sums of cells between points, then running sums along both sides
+    added = lambda rows, j: F.aggregate(rows, F.lit(0.0), lambda a, r: a + F.get(r, j))
+    upto = F.sequence(F.lit(0), F.size(points) - 1)
+
+    def running(square):
+        along = F.transform(square, lambda r: F.transform(upto, lambda f: total(F.slice(r, F.lit(1), f))))
+        return let(along, lambda rows: F.transform(upto, lambda e: F.transform(upto, lambda f: added(F.slice(rows, F.lit(1), e), f))))
 
-    places = F.sequence(F.lit(0), F.size(points) - 1)
-    column = lambda rows, p, j: F.aggregate(F.slice(rows, F.lit(1), p), F.lit(0.0), lambda a, r: a + F.get(r, j))
-    return let(F.transform(v, upto), lambda rows: F.transform(points, lambda p: F.transform(places, lambda j: column(rows, p, j))))
+    square = lambda rows: F.transform(cells, lambda c: F.transform(cells, lambda d: added(within(rows, c), d - 1)))
+    return let(F.transform(v, by_cell), lambda rows: let(square(rows), running))
 
 
 def breaks(v: Column, least: int = 2, step: int = 5, penalty: Column | None = None, gamma: Column | None = None) -> Column:
