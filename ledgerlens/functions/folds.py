@@ -139,5 +139,7 @@ def change_points(v: Column, keys: Column, least: int = 2, min_length: int = 6,
 def segments(series: DataFrame, by: tuple[str, ...], order: str, value: str, **how) -> DataFrame:
     """(by, change_points) of each series that is long enough and not constant."""
     v, keys = ordered(order, value)
-    x = series.groupBy(*by).agg(v.alias("_v"), keys.alias("_k")).withColumn("change_points", change_points(F.col("_v"), F.col("_k"), **how))
+    # few bytes but much work: partitions by number, which adaptive execution doesn't put together
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = series.repartition(parts, *by).groupBy(*by).agg(v.alias("_v"), keys.alias("_k")).withColumn("change_points", change_points(F.col("_v"), F.col("_k"), **how))
     return x.where(F.col("change_points").isNotNull()).select(*by, "change_points")

@@ -279,7 +279,9 @@ def findings(m: DataFrame, peer_months: DataFrame, config: Config = Config()) ->
     """
     t, need = config.temporal, config.data_requirements
     base = baselines_of(peer_months).select("entity_type", "metric", F.col("mean").alias("_bm"), F.col("std").alias("_bs"))
-    x = changes(long(m)).join(F.broadcast(base), ["entity_type", "metric"], "left")  # 14 rows
+    # few bytes but much work: partitions by number, which adaptive execution doesn't put together
+    parts = int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = changes(long(m).repartition(parts, *SERIES)).join(F.broadcast(base), ["entity_type", "metric"], "left")  # 14 rows
     near, upto = _order().rowsBetween(1 - t.rolling_window, 0), _order().rowsBetween(W.unboundedPreceding, 0)
     v, i = F.col("value"), F.col("_i")
     x = x.withColumns({"_i": F.row_number().over(_order()), "_n": F.count(F.lit(1)).over(_whole()), "_mean": F.avg(v).over(_whole()), "_sd": F.stddev_samp(v).over(_whole()), "_next": F.lead(v).over(_order())})
