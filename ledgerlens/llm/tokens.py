@@ -10,13 +10,15 @@ key, first token and number of tokens, since an end id may also occur in a text.
 
 from __future__ import annotations
 
-import re
+import string
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,77 +30,96 @@ from .common import new_path, saved
 SEQUENCE = 2048
 #: Sequences in a batch: 256 of 2048 16-bit ids are 1 MB.
 BATCH = 256
-#: Words whose ids a worker keeps; beyond it starts afresh.
+#: Words whose ids a worker keeps, those of the latest half of them at least.
 KEPT = 400_000
+#: Bytes of texts that are encoded at once, about; a longer text is by itself.
+AT_ONCE = 4 << 20
 
 _WORKER: dict = {}
-#: Characters that Python's split takes for white space and the tokenizer's expression does not.
-_ODD = re.compile("[\x1c-\x1f]")
+
+
+class _Letters(dict):
+    """For ``str.translate``: letters as the tokenizer's normalizer and pre-tokenizer leave them in a word, each asked of the library once.
+
+    A space stands for characters that need their neighbours: all but letters, and letters that another one may compose
+    with (from U+1100 on) or that become more than letters.
+    """
+
+    def __init__(self, tokenizer):
+        self.normal, self.cut = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
+
+    def __missing__(self, code: int) -> str:
+        pieces = self.cut(f"a{self.normal(chr(code))}a") if code < 0x1100 and chr(code).isalpha() else []
+        self[code] = pieces[0][0][1:-1] if len(pieces) == 1 else " "
+        return self[code]
 
 
 class WordEncoder:
-    """Encodes texts as the tokenizer does, a white-space separated word at a time, each different word once.
+    """Encodes texts as the tokenizer does, a white-space separated word at a time, each different word of a batch once.
 
-    Holds for tokenizers whose pre-tokenizer drops white space, so that no token spans it. Words
-    of letters only are one pre-token, which ends in the one token with the end-of-word
-    suffix: many of them go to the library as one text, and its ids are cut there. If
-    the numbers don't agree, or a word holds anything else, it goes by itself.
+    Holds for tokenizers whose pre-tokenizer drops white space, so that no token spans it, and takes a run of letters
+    or of punctuation as one pre-token. A word of letters, with or without punctuation behind, goes to the library's model
+    in the letters' normal form, and these ids are kept; any other word goes through the whole tokenizer by itself.
     """
 
-    def __init__(self, path: str, suffix: str = "</w>"):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab()
-        self.kind = np.dtype("<u2") if max(vocab.values()) < 1 << 16 else np.dtype("<u4")
-        self.last = np.zeros(max(vocab.values()) + 1, bool)
-        self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.known: dict[str, bytes] = {}
+        self.model, self.letters = self.tokenizer.model, _Letters(self.tokenizer)
+        self.kind = np.dtype("<u2") if max(self.tokenizer.get_vocab().values()) < 1 << 16 else np.dtype("<u4")
+        #: Ids of letters (none, if they must go with their word) and, after a space, of what goes whole; the older half was known before.
+        self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(part):
-                raw, size = ids.tobytes(), self.kind.itemsize
-                out += [raw[s * size : e * size] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
-            else:
-                out += self._whole(part)
-        return out
-
-    def learn(self, words: set[str]) -> None:
-        plain, ends, other = {}, {}, []
-        for w in words:
-            core = w.rstrip(".,;:!?")
-            if core.isalpha():
-                plain[w] = core.lower() if core.isascii() else core
-                if len(core) < len(w):
-                    ends[w] = w[len(core) :]
-            else:
-                other.append(w)
-        need = list({*plain.values()} - self.known.keys())
-        self.known.update(zip(need, self._letters(need)))
-        need = list({*ends.values()} - self.known.keys())
-        self.known.update(zip(need, self._whole(need)))
-        self.known.update(zip(other, self._whole(other)))
-        for w, core in plain.items():
-            self.known[w] = self.known[core] + (self.known[ends[w]] if w in ends else b"")
+    def _core(self, core: str) -> bytes | None:
+        normal = core.translate(self.letters)
+        if " " in normal:
+            return None
+        ids = [t.id for t in self.model.tokenize(normal)]
+        return struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
+
+    def words(self, words: pa.Array) -> list[bytes]:
+        """Little-endian ids of each of some different words."""
+        cores = pc.ascii_rtrim(words, characters=string.punctuation)
+        cores = pc.if_else(pc.string_is_ascii(cores), pc.ascii_lower(cores), cores)
+        whole, cores = (x.to_numpy(zero_copy_only=False).tolist() for x in (words, cores))
+        if len(self.known) > KEPT // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        for c in cores:  # no set difference with the keys, which would go through all that is known
+            if c not in known:
+                known[c] = older[c] if c in older else self._core(c)
+        # what stands behind the letters: nothing, punctuation, or None if the word goes whole
+        rests = [None if known[c] is None else w[len(c) :] for w, c in zip(whole, cores)]
+        odd = {i: f" {w}" for i, (w, r) in enumerate(zip(whole, rests)) if r is None}
+        need = [w for w in {*odd.values(), *(f" {r}" for r in set(rests) - {None})} if w not in known]
+        known.update((w, older[w]) for w in need if w in older)
+        need = [w for w in need if w not in known]
+        known.update(zip(need, self._whole([w[1:] for w in need])))
+        behind = {r: known[f" {r}"] for r in set(rests) - {None}}
+        return [known[odd[i]] if r is None else known[c] + behind[r] if r else known[c] for i, (c, r) in enumerate(zip(cores, rests))]
+
+    def encode_array(self, texts: pa.Array, end: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts after one another, each with ``end`` behind, and where each text begins, with the whole number last."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        raw = [*self.words(coded.dictionary), np.array(end, self.kind).tobytes()]
+        ids, sizes = np.frombuffer(b"".join(raw), self.kind), np.fromiter(map(len, raw), np.int64, len(raw)) // self.kind.itemsize
+        ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        at = np.insert(coded.indices.to_numpy(), ends, len(raw) - 1)  # words by number; each text's end is one more
+        n = sizes[at]
+        upto = np.cumsum(n)
+        first = (np.cumsum(sizes) - sizes)[at] - (upto - n)
+        return ids[np.repeat(first, n) + np.arange(len(at) and upto[-1])], np.concatenate([[0], upto[ends + np.arange(len(ends))]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
-        if len(self.known) > KEPT:
-            self.known = {}
-        words = [None if _ODD.search(t) else t.split() for t in texts]
-        new = set().union(*[w for w in words if w]) - self.known.keys()
-        if new:
-            self.learn(new)
-        get = self.known.__getitem__
-        return [self._whole([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, words)]
+        ids, at = self.encode_array(pa.array(texts, pa.string()))
+        return [ids[s:e].tobytes() for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -194,7 +215,7 @@ def write(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, enc, writer = TaskContext.get().partitionId(), encoder(tokenizer), None
-        end, n_docs = np.array([end_id], enc.kind).tobytes(), 0
+        n_docs = 0
         for b in batches:
             if not b.num_rows:
                 continue
@@ -207,12 +228,14 @@ def write(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_i
                 shape = pa.schema([("key", b.column(0).type), ("start", pa.int64()), ("n_tokens", pa.int64())])
                 index = pa.ipc.new_file(beside, shape)
             starts, ns = [], []
-            for at in range(0, b.num_rows, 500):
-                for raw in enc.encode(b.column(1).slice(at, 500).to_pylist()):
-                    starts.append(writer.n)
-                    writer.add(raw + end)
-                    ns.append(writer.n - starts[-1])
-            index.write_batch(pa.RecordBatch.from_arrays([b.column(0), pa.array(starts, pa.int64()), pa.array(ns, pa.int64())], schema=shape))
+            blocks = np.cumsum(pc.binary_length(b.column(1)).to_numpy().astype(np.int64)) // AT_ONCE
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), b.num_rows]
+            for s, e in zip(cuts, cuts[1:]):
+                ids, at = enc.encode_array(b.column(1).slice(s, e - s), (end_id,))
+                starts.append(at[:-1] + writer.n)
+                ns.append(np.diff(at))
+                writer.add(ids.tobytes())
+            index.write_batch(pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(starts)), pa.array(np.concatenate(ns))], schema=shape))
             n_docs += b.num_rows
         if writer:
             writer.close()

@@ -53,3 +53,44 @@ def test_files_round_trip(spark, library):
 
 def test_empty_table(spark):
     assert tokens.read(tokens.write(spark.createDataFrame([], "doc_id long, text string"), PATH)).count() == 0
+
+
+MIXED = ["Heat heat, HEAT! heat*** heat$$$ (heat) heat's don't '' 'tis", "Über ÜBER über*** queß... Ñandú ñandú,", "J̌ x ǰ x J̌A İ ı K Å ſ ŉ ΣΑΣ σας ᄀ가 ᾼ", "<|STARTOFTEXT|> <|endoftext|>x a<|endoftext|> b<| |> ...", "a\x00b \x00 \x1c.\x1d a\x85. \xa0.. _a_ a_ a__ 7. x7. x…. …."]
+
+
+def test_words_of_letters_skip_the_whole_tokenizer(library, monkeypatch):
+    """A word of letters goes to the model once, however it is written and whatever punctuation is behind it."""
+    enc, seen, whole = tokens.WordEncoder(PATH), [], tokens.WordEncoder._whole
+    monkeypatch.setattr(tokens.WordEncoder, "_whole", lambda self, texts: seen.extend(texts) or whole(self, texts))
+    texts = [f"{w}{end}" for w in ("heat", "Heat", "HEAT", "über", "Über", "ñandú") for end in ("", ",", "***", "$$$", ".###")]
+    got = enc.encode([" ".join(texts), *texts])
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in (" ".join(texts), *texts)]
+    assert set(seen) <= {"", ",", "***", "$$$", ".###"}
+
+
+@pytest.mark.parametrize("kept", [2, 400_000])
+def test_mixed_words_in_any_batch(library, monkeypatch, kept):
+    monkeypatch.setattr(tokens, "KEPT", kept)
+    enc = tokens.WordEncoder(PATH)
+    want = [library.encode(t, add_special_tokens=False).ids for t in MIXED]
+    for texts, ids in [(MIXED, want), *(([t], [i]) for t, i in zip(MIXED, want)), (MIXED[::-1], want[::-1]), ([], [])]:
+        assert [np.frombuffer(x, "<u2").tolist() for x in enc.encode(texts)] == ids
+
+
+def test_letters_with_any_mark(library):
+    """Each letter below U+1100, alone and with marks that may compose with it, as the library has it."""
+    letters = [chr(c) for c in range(1, 0x1100) if chr(c).isalpha()]
+    words = [*letters, *(f"x{c}y." for c in letters), *(f"{c}{m}" for c in letters[:52] + ["Σ", "σ", "é"] for m in map(chr, range(0x300, 0x370)))]
+    got = tokens.encoder(PATH).encode(words)
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)]
+
+
+def test_texts_of_several_blocks(spark, library, monkeypatch):
+    rows = [(i, "word " * (i % 7) + f"w{i}") for i in range(60)]
+    monkeypatch.setattr(tokens, "AT_ONCE", 64)
+    enc, col = tokens.encoder(PATH), pa.array([t for _, t in rows])
+    ids, at = enc.encode_array(col.slice(5, 20), (2,))
+    assert [ids[s:e].tolist() for s, e in zip(at, at[1:])] == [[*library.encode(t, add_special_tokens=False).ids, 2] for _, t in rows[5:25]]
+    got = tokens.read(tokens.write(spark.createDataFrame(rows, "doc_id long, text string"), PATH)).orderBy("doc_id").collect()
+    want = [[*library.encode(t, add_special_tokens=False).ids, 2] for _, t in rows]
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in want]
