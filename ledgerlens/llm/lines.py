@@ -35,12 +35,27 @@ MIN_CHARS = 20
 HOT, HOT_CHARS, PARTS = 40, 600, 16
 #: A word that differs may have this part of the other words' characters; words stand between runs of these.
 WORD_SHARE, SPACES = 10, r"[ \t\r\x0b\x0c]+"
+#: What is taken off a line's ends.
+BLANKS = " \t\r\x0b\x0c"
+
+
+def _trimmed(line: Column) -> Column:
+    """The line without blanks at its ends; looked for there first, as Spark's trim goes through every character."""
+    blank = F.lit(False)
+    for x in BLANKS:
+        blank |= line.startswith(x) | line.endswith(x)
+    return F.when(blank, F.trim(line, F.lit(BLANKS))).otherwise(line)
+
+
+def n_lines(text: Column) -> Column:
+    """The number of lines, counted by their ends; null for a null text."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
 
 
 def occurrences(docs: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
     """(_k, _th, n, norm, h1, h2) of each line of min_chars characters or more; 128 bits of hash stand for a line."""
     each = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_th"), F.posexplode(F.split(F.col(text), "\n")).alias("n", "line"))
-    each = each.where(F.length("line") >= min_chars).select("_k", "_th", "n", F.trim("line", F.lit(" \t\r\x0b\x0c")).alias("norm"))
+    each = each.where(F.length("line") >= min_chars).select("_k", "_th", "n", _trimmed(F.col("line")).alias("norm"))
     return each.where(F.length("norm") >= min_chars).select("*", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"))
 
 
@@ -156,7 +171,7 @@ def links(cold: DataFrame, hot: DataFrame, norm: DataFrame, threshold: int = 1,
     texts = saved(pairs, "line-pairs").join(norm.select(F.col("id").alias("a"), F.col("norm").alias("ta")), "a").join(norm.select(F.col("id").alias("b"), F.col("norm").alias("tb")), "b")
     # a link that rests on equal hashes is held to the lines
     near = F.levenshtein("ta", "tb", threshold).between(0, threshold)
-    return texts.where(F.when(F.col("by_words"), _one_word_apart(F.split("ta", SPACES), F.split("tb", SPACES))).otherwise(near)).select("a", "b")
+    return texts.where(F.when(F.col("by_words"), _one_word_apart(F.split(_one_space(F.col("ta")), " "), F.split(_one_space(F.col("tb")), " "))).otherwise(near)).select("a", "b")
 
 
 def _one_word_apart(a: Column, b: Column) -> Column:
@@ -208,7 +223,7 @@ def word_links(norm: DataFrame) -> DataFrame:
     The place lies outside a half that both have, so only the words there are left out in turn. A word and its place are
     one hash, the words of a line the exclusive or of theirs, so that a line without one word takes one step.
     """
-    word = norm.select("id", "halves", F.posexplode(F.split("norm", SPACES)).alias("p", "w")).select("id", "halves", "p", F.length("w").alias("c"), F.xxhash64("p", "w").alias("h"), F.xxhash64(F.col("p") - 1, "w").alias("g"))
+    word = norm.select("id", "halves", F.posexplode(F.split(_one_space(F.col("norm")), " ")).alias("p", "w")).select("id", "halves", "p", F.length("w").alias("c"), F.xxhash64("p", "w").alias("h"), F.xxhash64(F.col("p") - 1, "w").alias("g"))
     line = W.partitionBy("id")
     upto = line.orderBy("p").rowsBetween(W.unboundedPreceding, 0)
     word = word.select("id", "halves", "p", "c", "h", F.bit_xor("h").over(upto).alias("hs"), F.bit_xor("g").over(upto).alias("gs"), F.bit_xor("h").over(line).alias("h_all"), F.bit_xor("g").over(line).alias("g_all"), F.sum("c").over(line).alias("chars"), F.count("p").over(line).alias("n"))
@@ -282,14 +297,15 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: i
     gone = saved(dropped(docs, text, key, threshold, min_chars, words, short), "line-drops")
     own = field(text)
     joined = as_rows(docs).join(gone.select("_k", "_th", F.col("drop").alias("_drop")).hint("merge"), field(key).eqNullSafe(F.col("_k")) & (F.xxhash64(own) == F.col("_th")), "left")
-    parts = F.split(own, "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drop")), lambda i: F.get(F.col("_parts"), i))
-    out = joined.withColumn("_parts", F.when(F.col("_drop").isNotNull(), parts)).withColumn("_new", F.when(F.col("_drop").isNull(), own).otherwise(F.array_join(kept, "\n")))
+    # _parts is referred to twice, so that Spark keeps it as a column: within the lambda alone, texts were split for each line
+    parts = F.col("_parts")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drop")), lambda i: F.get(parts, i))
+    out = joined.withColumn("_parts", F.when(F.col("_drop").isNotNull(), F.split(own, "\n"))).withColumn("_new", F.when(F.col("_drop").isNull(), own).otherwise(F.array_join(kept, "\n")))
     return as_columns(out, docs, **{text: F.col("_new")})
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """doc_id, lines and characters before and after, and the digest of the deduplicated text, for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    slim = dedup(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0))).withColumn("chars", F.coalesce(F.length("text"), F.lit(0))), words=True, short=True)
-    return slim.select("doc_id", "n_lines", F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size(F.split("text", "\n"))).alias("n_kept"), "chars", F.coalesce(F.length("text"), F.lit(0)).alias("chars_kept"), F.md5("text").alias("text_md5"))
+    slim = dedup(docs.withColumn("n_lines", F.coalesce(n_lines(F.col("text")), F.lit(0))).withColumn("chars", F.coalesce(F.length("text"), F.lit(0))), words=True, short=True)
+    return slim.select("doc_id", "n_lines", F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(n_lines(F.col("text"))).alias("n_kept"), "chars", F.coalesce(F.length("text"), F.lit(0)).alias("chars_kept"), F.md5("text").alias("text_md5"))

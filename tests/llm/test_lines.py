@@ -149,3 +149,24 @@ def test_long_template_lines_make_no_pairs(spark, monkeypatch):
     assert len(head) + len(tail) > lines.HOT_CHARS
     kept = [r.doc_id for r in lines.dedup(docs).collect() if r.text]
     assert kept == [0] and sum(seen) <= 20 * n
+
+
+def test_texts_are_split_once(spark, tmp_path):
+    """Lines are taken from one split of their text, not from one for each line, and line counts need none."""
+    many = "\n".join(f"line {i:06d} of a text" + "x" * (i % 50) for i in range(3000))
+    rows = [(1, "line of many copies\n\n" + many), (2, many), (3, None), (4, ""), (5, "\n"), (6, "\t a line of twenty characters \x0b\x0c\r"), (7, "a line of twenty characters\nkept")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = lines.query(spark, str(tmp_path))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    got = {r.doc_id: (r.n_lines, r.n_kept, r.chars) for r in out.collect()}
+    want = {k: 0 if t is None else len(t.split("\n")) for k, t in rows}
+    assert {k: v[0] for k, v in got.items()} == want and {k: v[2] for k, v in got.items()} == {k: len(t or "") for k, t in rows}
+    assert [got[k][1] for k in (2, 3, 4, 5, 6, 7)] == [0, 0, 0, 2, 1, 1]
+
+
+def test_trimmed_lines(spark):
+    from pyspark.sql import functions as F
+
+    some = ["", " ", " \t\r", "a", " a", "a\x0b", "\x0ca b\r \t", "\xa0a\xa0", "é ", "\u3000x", "\x1fa", None]
+    df = spark.createDataFrame([(x,) for x in some], "line string")
+    assert [r[0] for r in df.select(lines._trimmed(F.col("line"))).collect()] == [x and x.strip(lines.BLANKS) for x in some]
