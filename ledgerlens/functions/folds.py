@@ -21,6 +21,20 @@ def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
 
+def deviation(xs: Column) -> Column:
+    """Sample deviation of an array without nulls; null below two values.
+
+    Each value in turn moves the mean and adds its distance to the old mean times that to the new one, which are DuckDB's
+    steps and roundings; Spark's own aggregate multiplies otherwise and differs in the last bit.
+    """
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("d"))
+
+    def step(a, x):
+        return let(a["m"] + (x - a["m"]) / (a["n"] + 1), lambda m: F.struct((a["n"] + 1).alias("n"), m.alias("m"), (a["d"] + (x - m) * (x - a["m"])).alias("d")))
+
+    return F.when(F.size(xs) >= 2, F.aggregate(xs, start, step, lambda a: F.sqrt(a["d"] / (a["n"] - 1))))
+
+
 def ordered(order: str, value: str) -> tuple[Column, Column]:
     """Aggregates: a group's values without nulls in their order, and the order's keys beside them."""
     pairs = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("k"), F.col(value).cast("double").alias("v")))))

@@ -143,10 +143,11 @@ def rolling_outliers(s: DataFrame, t: Temporal = Temporal(), exclusive: bool = F
     """Months further than ``rolling_z`` deviations from their window's mean.
 
     With the month itself in a window of three this cannot be (at most 2 / sqrt 3); ``exclusive`` takes the months before.
+    Rates of few rows often lie exactly at the limit, where the last bit of the deviation decides: it is folded as in SQL.
     """
     w = _order().rowsBetween(-t.rolling_window, -1) if exclusive else _order().rowsBetween(1 - t.rolling_window, 0)
-    x = s.withColumns({"_m": F.avg("value").over(w), "_s": F.stddev_samp("value").over(w), "_n": F.count("value").over(w)})
-    x = x.withColumn("z", F.when((F.col("_n") >= 2) & (F.col("_s") > 0), (F.col("value") - F.col("_m")) / F.col("_s")))
+    x = s.withColumns({"_m": F.avg("value").over(w), "_s": folds.deviation(F.collect_list("value").over(w))})
+    x = x.withColumn("z", F.when(F.col("_s") > 0, (F.col("value") - F.col("_m")) / F.col("_s")))
     return x.where(F.abs("z") > t.rolling_z).select(*SERIES, "month", "value", "z")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import folds
 from ledgerlens.operators import clean, compare, features, temporal
+from ledgerlens.plans import series
 from ledgerlens.sources import bucketed
 
 from .test_engine import frame  # noqa: F401
@@ -149,3 +150,20 @@ def test_a_bucketed_table_needs_no_shuffle(spark, frame, tmp_path):
     exchanges = lambda d: [line for line in d._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line and ("_spread" in line or "merchant" in line)]
     assert exchanges(plain) and not exchanges(x), exchanges(x)
     spark.sql("drop table bucketed_test")
+
+
+def test_rolling_outliers_at_the_limit(spark):
+    """Months exactly two deviations away are none, as in DuckDB, whatever bits the rates have; windows with gaps, single values and equal ones."""
+    import duckdb
+
+    given = {"A": [100 * (8 / 12), 100 * (7 / 12), 50.0, 75.0], "B": [100 * (1 / 3), None, 25.0, 0.0, 0.0, 0.0, 50.0], "C": [5.0, 1.0]}
+    rng = np.random.default_rng(6)
+    given |= {f"R{i}": [100 * (int(rng.integers(0, 5)) / int(k)) for k in rng.integers(4, 13, 40)] for i in range(40)}
+    rows = [("driver", e, "after_hours_rate", f"2020-{i:03d}", v) for e, values in given.items() for i, v in enumerate(values)]
+    got = temporal.rolling_outliers(spark.createDataFrame(rows, "entity_type string, entity_id string, metric string, month string, value double"), exclusive=True)
+    sql = series.QUERIES["series_rolling_exclusive"].sql.rpartition(" from (select * from (select *, case")[2]
+    con = duckdb.connect()
+    con.execute("create table ls (entity_type varchar, entity_id varchar, metric varchar, month varchar, value double)")
+    con.executemany("insert into ls values (?, ?, ?, ?, ?)", rows)
+    want = con.execute(f"select entity_id, month from (select * from (select *, case{sql}").fetchall()
+    assert sorted((r.entity_id, r.month) for r in got.collect()) == sorted(want) and len(want) > 50 and ("A", "2020-003") not in want
