@@ -59,7 +59,9 @@ def fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
 
 
 #: Different values that a task of the bootstrap holds, and tasks among which replicates are dealt while there are few blocks.
-BLOCK, DEALT = 20_000, 16
+BLOCK, DEALT = 20_000, 64
+#: Rows for each different value of a block up to which its rows are drawn rather than shares of its values.
+SINGLY = 2
 
 
 @dataclass(frozen=True)
@@ -67,12 +69,14 @@ class Statistic:
     """A statistic of a resample, as sums over blocks of its values in ascending order.
 
     ``parts`` gives a block's terms from its values (a row for each column), their weights, the resampled rows before the
-    block and all resampled rows; ``value`` makes the statistic of the terms' sums over all blocks, as columns.
+    block and all resampled rows; ``value`` makes the statistic of the terms' sums over all blocks, as columns. Where the
+    terms are nothing but the values at some ranks of a resample, ascending from 0, ``ranks`` gives those for the number of rows.
     """
 
     terms: int
     parts: Callable[[np.ndarray, np.ndarray, int, int], tuple[float, ...]]
     value: Callable[[list[Column], int], Column]
+    ranks: Callable[[int], tuple[int, ...]] | None = None
 
 
 def mean() -> Statistic:
@@ -92,7 +96,7 @@ def quantile(share: float) -> Statistic:
         at = [k - first for k in (math.floor(place), math.ceil(place))]
         return tuple(float(x[0][np.searchsorted(upto, k, side="right")]) if 0 <= k < upto[-1] else 0.0 for k in at)
 
-    return Statistic(2, parts, lambda s, n: s[0] + (s[1] - s[0]) * ((n - 1) * share - math.floor((n - 1) * share)))
+    return Statistic(2, parts, lambda s, n: s[0] + (s[1] - s[0]) * ((n - 1) * share - math.floor((n - 1) * share)), lambda n: (math.floor((n - 1) * share), math.ceil((n - 1) * share)))
 
 
 def trimmed_mean(share: float) -> Statistic:
@@ -106,44 +110,113 @@ def trimmed_mean(share: float) -> Statistic:
     return Statistic(1, parts, lambda s, n: s[0] / float(max(1, n - 2 * int(share * n))))
 
 
-def bootstrap(values: DataFrame, column: str, resamples: int = 10_000, seed: int = 42, alpha: float = 0.05, statistic: Statistic | None = None, other: str | None = None) -> DataFrame:
-    """(low, high) of the percentile interval of a statistic (the mean) over resamples as large as the data; nulls without values.
+def _ranked(resamples: int, n: int, ranks: tuple[int, ...], seed: int) -> np.ndarray:
+    """(resample, rank): the rows, numbered by value from 0, that stand at ascending ranks of a resample of n rows.
 
-    Equal values are counted and dealt, in ascending order, to blocks of about ``BLOCK`` different ones; pairs of values,
-    for statistics of two columns (``other``), by their hash. In a resample each block gets a multinomial share of the draws and each of
-    its values a multinomial share of those, which is the same as drawing rows one by one. Shares of blocks follow from
-    the seed and the resample's number, so all tasks agree on them and know how many rows lie before their block; a task
-    holds its block alone, and the driver sees the blocks' sizes.
+    A resample's rows are n independent uniform numbers cut into n equal parts. The least of m of them that lie above a
+    number is beyond it by a beta share of what is left, and so is the k-th least, so a rank needs no other draw.
     """
-    statistic = statistic or mean()
-    names = ["v"] if other is None else ["v", "w"]
-    columns = [F.col(c).cast("double") for c in ([column] if other is None else [column, other])]
-    x = values.select(*[c.alias(n) for c, n in zip(columns, names)]).dropna().groupBy(*names).agg(F.count(F.lit(1)).alias("c"))
-    if other is None:
-        x = ranges.running(x.withColumn("d", F.lit(1)), "v", ("d",)).select("v", "c", F.floor(F.col("_before_d") / BLOCK).cast("int").alias("block"))
-    else:
-        x = x.withColumn("block", F.pmod(F.xxhash64(*names), F.lit(max(1, -(-x.count() // BLOCK)))).cast("int"))
-    sizes = {k: n for k, n in x.groupBy("block").agg(F.sum("c")).collect()}
+    rng, below, done, out = np.random.default_rng((seed, n)), np.zeros(resamples), 0, []
+    for k in ranks:
+        if k + 1 > done:
+            below = below + (1 - below) * rng.beta(k + 1 - done, n - k, resamples)
+            done = k + 1
+        out.append(np.minimum((below * n).astype(np.int64), n - 1))
+    return np.array(out, np.int64).reshape(len(ranks), resamples).T
+
+
+def _at_ranks(x: DataFrame, total: int, statistic: Statistic, resamples: int, seed: int) -> DataFrame:
+    """(replicate, t0, t1, ...): the values at a statistic's ranks in each resample, looked up in ``ranges.running`` counts."""
+    ranks = statistic.ranks(total)
+    rows = _ranked(resamples, total, ranks, seed).ravel()
+    order = np.argsort(rows, kind="stable")
+    places = rows[order]
+
+    def found(parts):
+        for part in parts:
+            begin = np.searchsorted(places, part["_before_c"].to_numpy(np.int64))
+            size = np.searchsorted(places, part["_before_c"].to_numpy(np.int64) + part["c"].to_numpy(np.int64)) - begin
+            at = order[np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+            values, term = np.repeat(part["v"].to_numpy(float), size), at % len(ranks)
+            yield pd.DataFrame({"replicate": at // len(ranks)} | {f"t{i}": np.where(term == i, values, 0.0) for i in range(len(ranks))})
+
+    near = x.where((F.col("_before_c") <= int(places[-1])) & (F.col("_before_c") + F.col("c") > int(places[0]))).select("v", "c", "_before_c")
+    return near.mapInPandas(found, "replicate long, " + ", ".join(f"t{i} double" for i in range(len(ranks))))
+
+
+def _drawn(x: DataFrame, names: list[str], sizes: dict[int, int], statistic: Statistic, resamples: int, seed: int) -> DataFrame:
+    """(replicate, t0, t1, ...): a statistic's terms of each resample and block."""
     total, numbers = sum(sizes.values()), sorted(sizes)
-    share = np.array([sizes[i] for i in numbers]) / max(1, total)
-    deals = max(1, DEALT // max(1, len(numbers)))
-    rows = x.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    share = np.array([sizes[i] for i in numbers]) / total
+    deals = max(1, DEALT // len(numbers))
     terms = [f"t{i}" for i in range(statistic.terms)]
 
     def run(key: tuple[Any, ...], part: pd.DataFrame) -> pd.DataFrame:
         block, deal = numbers.index(int(key[0])), int(key[1])
         part = part.sort_values(names)
-        v, p = part[names].to_numpy(float).T, part["c"].to_numpy(float)
-        p, reps, sums = p / p.sum(), np.arange(deal, resamples, deals), []
+        v, c = np.ascontiguousarray(part[names].to_numpy(float).T), part["c"].to_numpy(np.int64)
+        p, reps, sums = c / c.sum(), np.arange(deal, resamples, deals), []
+        holder = np.repeat(np.arange(len(c), dtype=np.int32), c) if c.sum() <= SINGLY * len(c) else None
         for r in reps.tolist():
             shares = np.random.default_rng((seed, r)).multinomial(total, share) if len(numbers) > 1 else np.array([total])
-            drawn = np.random.default_rng((seed, r, block)).multinomial(shares[block], p)
+            rng = np.random.default_rng((seed, r, block))
+            if holder is None:
+                drawn = rng.multinomial(shares[block], p)
+            else:  # few rows a value: the rows themselves are drawn
+                drawn = np.bincount(holder[rng.integers(0, len(holder), shares[block], dtype=np.int32)], minlength=len(c))
             sums.append(statistic.parts(v, drawn, int(shares[:block].sum()), total))
         return pd.DataFrame(np.array(sums, float).reshape(len(reps), len(terms)), columns=terms).assign(replicate=reps)[["replicate", *terms]]
 
-    drawn = rows.groupBy("block", "deal").applyInPandas(run, "replicate long, " + ", ".join(f"{t} double" for t in terms))
-    found = drawn.groupBy("replicate").agg(*[F.sum(t).alias(t) for t in terms]).select(statistic.value([F.col(t) for t in terms], total).alias("value"))
-    return found.agg(F.percentile("value", F.lit(alpha / 2)).alias("low"), F.percentile("value", F.lit(1 - alpha / 2)).alias("high"))
+    # few bytes but much work: partitions by number, which adaptive execution doesn't put together
+    rows = x.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1)))).repartition(max(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), DEALT), "block", "deal")
+    return rows.groupBy("block", "deal").applyInPandas(run, "replicate long, " + ", ".join(f"{t} double" for t in terms))
+
+
+def bootstraps(values: DataFrame, asked: dict[str, tuple[Statistic, str, str | None]], resamples: int = 10_000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """(statistic, low, high): percentile intervals of statistics, each of one column or two, over resamples as large as the data; nulls without values.
+
+    Equal values are counted, once for all statistics of the same columns, and dealt, in ascending order, to blocks of about ``BLOCK`` different ones;
+    pairs of values, for statistics of two columns, by their hash. In a resample each block gets a multinomial share of the draws and each of
+    its values a multinomial share of those, which is the same as drawing rows one by one. Shares of blocks follow from
+    the seed and the resample's number, so all tasks agree on them and know how many rows lie before their block; a task
+    holds its block alone, and the driver sees the blocks' sizes. A statistic of single ranks needs no resample in full: the
+    rank's place among all rows is drawn from its own distribution.
+    """
+    spark, found, kept = values.sparkSession, {}, []
+    try:
+        columns = sorted({(c, o) for _, c, o in asked.values()}, key=str)
+        if len(columns) > 1:
+            values = values.select(*sorted({c for pair in columns for c in pair if c})).persist()
+            kept.append(values)
+        for column, other in columns:
+            names = ["v"] if other is None else ["v", "w"]
+            x = values.select(*[F.col(c).cast("double").alias(n) for c, n in zip((column, other), names)]).dropna().groupBy(*names).agg(F.count(F.lit(1)).alias("c"))
+            if other is None:
+                x = ranges.running(x.withColumn("d", F.lit(1)), "v", ("c", "d")).select("v", "c", "_before_c", F.floor(F.col("_before_d") / BLOCK).cast("int").alias("block"))
+            else:
+                x = x.withColumn("block", F.pmod(F.xxhash64(*names), F.lit(max(1, -(-x.count() // BLOCK)))).cast("int"))
+            kept.append(x.persist())
+            sizes = {k: n for k, n in x.groupBy("block").agg(F.sum("c")).collect()}
+            total = sum(sizes.values())
+            for name, (statistic, c, o) in asked.items():
+                if (c, o) != (column, other):
+                    continue
+                if not total:
+                    found[name] = (None, None)
+                    continue
+                drawn = _at_ranks(x, total, statistic, resamples, seed) if statistic.ranks and other is None else _drawn(x, names, sizes, statistic, resamples, seed)
+                sums = drawn.groupBy("replicate").agg(*[F.sum(f"t{i}").alias(f"t{i}") for i in range(statistic.terms)])
+                made = sums.select(statistic.value([F.col(f"t{i}") for i in range(statistic.terms)], total).alias("value"))
+                found[name] = tuple(made.agg(F.percentile("value", F.lit(alpha / 2)), F.percentile("value", F.lit(1 - alpha / 2))).first())
+    finally:
+        for x in kept:
+            x.unpersist()
+    return spark.createDataFrame([(name, *found[name]) for name in asked], "statistic string, low double, high double")
+
+
+def bootstrap(values: DataFrame, column: str, resamples: int = 10_000, seed: int = 42, alpha: float = 0.05, statistic: Statistic | None = None, other: str | None = None) -> DataFrame:
+    """(low, high) of the percentile interval of one statistic (the mean), as in ``bootstraps``."""
+    return bootstraps(values, {"": (statistic or mean(), column, other)}, resamples, seed, alpha).select("low", "high")
 
 
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:

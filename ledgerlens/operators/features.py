@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..config import BusinessHours, Config, Target
 from ..schema import TYPES
-from . import clean
+from . import clean, split
 
 
 def dates(df: DataFrame, days: tuple[int, ...] = (0, 1, 2, 3, 4)) -> DataFrame:
@@ -135,20 +135,23 @@ def features(df: DataFrame, config: Config = Config(), mode: str | None = None)
     return telemetry(engine_shares(mileage(x)), mode)
 
 
-def facts(x: DataFrame, days: int = 5) -> DataFrame:
-    """One row (_bad, _mode) of typed transactions: the unfinished last month, if any, and the telemetry mode of the others.
+def facts(x: DataFrame, config: Config = Config()) -> DataFrame:
+    """One row (_bad, _mode, _year) of typed transactions: the unfinished last month, if any, the telemetry mode of the others, and the year that the analysis is about, if the data are split.
 
-    Vehicle-days are grouped, then months, so both scalars come from one pass; copies change neither.
+    Vehicle-days are grouped, then months, so all come from one pass; copies change none of them.
     """
     t = F.col("transaction_timestamp")
     day = x.groupBy("vehicle_index", F.to_date(t).alias("_d")).agg((F.min(F.abs("distance_miles")) < F.max(F.abs("distance_miles"))).alias("many"), F.max(t).alias("last"))
     many = F.col("vehicle_index").isNotNull() & F.col("_d").isNotNull() & F.col("many")
-    month = day.groupBy(F.date_format("_d", "yyyy-MM").alias("month")).agg(F.coalesce(F.bool_or(many), F.lit(False)).alias("many"), F.max("last").alias("last"))
-    end = month.agg(F.max("last").alias("last"), F.collect_list(F.struct("month", "many")).alias("months"))  # a few hundred months
-    bad = F.when(F.datediff(F.last_day("last"), F.to_date("last")) > days, F.date_format("last", "yyyy-MM"))
+    month = day.groupBy(F.date_format("_d", "yyyy-MM").alias("month"), F.year("_d").alias("year")).agg(F.coalesce(F.bool_or(many), F.lit(False)).alias("many"), F.max("last").alias("last"))
+    end = month.agg(F.max("last").alias("last"), F.collect_list(F.struct("month", "many", "year")).alias("months"))  # a few hundred months
+    bad = F.when(F.datediff(F.last_day("last"), F.to_date("last")) > config.data_requirements.monthend_days, F.date_format("last", "yyyy-MM"))
     end = end.withColumn("_bad", bad)
-    granular = F.exists("months", lambda m: m["many"] & (F.col("_bad").isNull() | (m["month"] != F.col("_bad"))))
-    return end.select("_bad", F.when(F.coalesce(granular, F.lit(False)), "granular").otherwise("daily").alias("_mode"))
+    end = end.withColumn("months", F.filter("months", lambda m: F.col("_bad").isNull() | F.coalesce(m["month"] != F.col("_bad"), F.lit(True))))
+    end = end.withColumn("_years", F.filter(F.transform("months", lambda m: m["year"]), lambda y: y.isNotNull()))
+    granular, y0, y1 = F.exists("months", lambda m: m["many"]), F.array_min("_years"), F.array_max("_years")
+    status = split.status(y0, y1, F.size("_years"), F.size(F.filter("_years", lambda y: y == y1)), config)
+    return end.select("_bad", F.when(F.coalesce(granular, F.lit(False)), "granular").otherwise("daily").alias("_mode"), F.when(status == "split", y1).alias("_year"))
 
 
 #: The columns that rows are dealt by: copies share them, as do the rows of a vehicle's day.
@@ -175,25 +178,33 @@ class Steps:
         return {"initial": n["initial"], "duplicates": n["initial"] - n["different"], "incomplete": n["different"] - n["final"], "final": n["final"]}
 
 
-def prepared(df: DataFrame, config: Config = Config(), steps: Steps | None = None) -> DataFrame:
+def prepared(df: DataFrame, config: Config = Config(), steps: Steps | None = None, current: bool = False) -> DataFrame:
     """``features`` of ``clean``ed transactions, in two scans and one shuffle of whole rows.
 
     Copies share vehicle and day, so rows are dealt by those, compared and given their day's features where they are. With
-    ``steps`` the job over the frame counts the rows of each step on its way. A table of ``sources.bucketed`` needs no such shuffle.
+    ``steps`` the job over the frame counts the rows of each step on its way. With ``current`` only rows of the analysis
+    period (``split.in_period``) are returned. A table of ``sources.bucketed`` needs no such shuffle. Months are kept or left
+    out whole, so what no one asks for is left out before rows are dealt, unless steps are counted or times are texts.
     """
     watch = steps.watch if steps else lambda _, x: x
-    if set(DEALT) <= set(df.columns):  # a table that is bucketed so
-        raw = df.drop("_day", "_spread")
-        x = clean.types(watch("initial", df).dropDuplicates())
-    else:
-        raw = clean.plain(df, config)
-        typed = dict(raw.dtypes)
-        if all(typed.get(c) == TYPES[c] for c in ("vehicle_index", "transaction_timestamp")):
-            x = clean.types(dealt(watch("initial", raw)).repartition(*DEALT).dropDuplicates())
-        else:  # texts are compared as they are, before they have a day
-            x = clean.types(watch("initial", raw).dropDuplicates())
-    scalars = facts(clean.types(raw), config.data_requirements.monthend_days)
-    x = watch("different", x).join(F.broadcast(scalars), F.lit(True))
+    bucketed = set(DEALT) <= set(df.columns)
+    raw = df.drop("_day", "_spread") if bucketed else clean.plain(df, config)
+    typed = dict(raw.dtypes)
+    scalars = facts(clean.types(raw), config)
     month = F.date_format("transaction_timestamp", "yyyy-MM")
-    x = watch("final", clean.absolute(x.where(F.col("_bad").isNull() | ~F.coalesce(month == F.col("_bad"), F.lit(False))).drop("_bad")))
-    return features(x, config).drop("_day", "_spread")
+    kept = F.col("_bad").isNull() | ~F.coalesce(month == F.col("_bad"), F.lit(False))
+    if current:
+        kept &= F.coalesce(F.col("_year").isNull() | (F.year("transaction_timestamp") == F.col("_year")), F.lit(False))
+    if all(typed.get(c) == TYPES[c] for c in ("vehicle_index", "transaction_timestamp")):
+        x = watch("initial", df if bucketed else dealt(raw))
+        if steps is None:
+            few = F.broadcast(scalars.select("_bad", "_year", (F.col("_mode") == "granular").alias("_granular")))
+            x = x.join(few, F.lit(True)).where(kept).drop("_bad", "_year")
+        x = clean.types((x if bucketed else x.repartition(*DEALT)).dropDuplicates())
+    else:  # texts are compared as they are, before they have a day
+        x = clean.types(watch("initial", raw).dropDuplicates())
+    if "_granular" in x.columns:
+        x = x.withColumn("_mode", F.when(F.col("_granular"), "granular").otherwise("daily")).drop("_granular")
+    else:
+        x = watch("different", x).join(F.broadcast(scalars), F.lit(True)).where(kept).drop("_bad", "_year")
+    return features(watch("final", clean.absolute(x)), config).drop("_day", "_spread")

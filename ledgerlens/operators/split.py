@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
 
 
+def status(y0: Column, y1: Column, months: Column, current_months: Column, config: Config = Config()) -> Column:
+    """single, split or insufficient, from the first and last year and the months of all years and of the last."""
+    need = config.data_requirements
+    return F.when((y0 == y1) | (months <= need.min_months), "single").when(current_months > need.min_current_year_months, "split").otherwise("insufficient")
+
+
 def period(df: DataFrame, config: Config = Config()) -> DataFrame:
     """One row (y0, y1, months, current_months, status). Months are grouped first, so the rest runs on a few rows."""
-    need = config.data_requirements
     m = df.where("transaction_timestamp is not null").groupBy(F.year("transaction_timestamp").alias("y"), F.month("transaction_timestamp").alias("m")).agg(F.count(F.lit(1)).alias("n"))
     years = m.groupBy("y").agg(F.count(F.lit(1)).alias("k"))
     x = years.agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.coalesce(F.sum("k"), F.lit(0)).alias("months"), F.max_by("k", "y").alias("current_months"))
-    single = (F.col("y0") == F.col("y1")) | (F.col("months") <= need.min_months)
-    return x.withColumn("status", F.when(single, "single").when(F.col("current_months") > need.min_current_year_months, "split").otherwise("insufficient"))
+    return x.withColumn("status", status(*map(F.col, ("y0", "y1", "months", "current_months")), config))
 
 
 def in_period(df: DataFrame, config: Config = Config()) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ranks, stats, workers
@@ -13,7 +10,7 @@ from .base import CONFIG, Query, transactions
 
 
 def period_rows(spark, d):
-    return split.in_period(transactions(spark, d)).where("in_period")
+    return transactions(spark, d, current=True)
 
 
 def target_rows(spark, d):
@@ -86,9 +83,8 @@ def _flagged(spark, d):
 def _intervals(spark, d):
     """Intervals of the median, a high quantile, the trimmed mean and the cost of a gallon over the target's unmatched rows."""
     rows = target_rows(spark, d).where("not has_eld_activity").select("transaction_amount", "fuel_volume_gallons")
-    asked = {"median": (workers.quantile(0.5), None), "p90": (workers.quantile(0.9), None), "trimmed mean": (workers.trimmed_mean(0.1), None), "cost per gallon": (workers.ratio(), "fuel_volume_gallons")}
-    found = [workers.bootstrap(rows, "transaction_amount", CONFIG.performance.n_bootstrap, statistic=f, other=o).select(F.lit(name).alias("statistic"), "low", "high") for name, (f, o) in asked.items()]
-    return reduce(DataFrame.unionByName, found)
+    asked = {"median": (workers.quantile(0.5), "transaction_amount", None), "p90": (workers.quantile(0.9), "transaction_amount", None), "trimmed mean": (workers.trimmed_mean(0.1), "transaction_amount", None), "cost per gallon": (workers.ratio(), "transaction_amount", "fuel_volume_gallons")}
+    return workers.bootstraps(rows, asked, CONFIG.performance.n_bootstrap)
 
 
 _LOG = """select n, skew, kurtosis, p99_ratio, tail_share, dispersion_drop, n >= 30 and lowest >= 0 and (skew > 1 or kurtosis > 3 or p99_ratio >= 3 or tail_share > 0.02) and dispersion_drop >= 0.2 as advised from (

@@ -18,8 +18,8 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean(canonical.transactions(spark, sf_dir), CONFIG)
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.prepared(canonical.transactions(spark, sf_dir), CONFIG)
+def transactions(spark: SparkSession, sf_dir: str, current: bool = False) -> DataFrame:
+    return features.prepared(canonical.transactions(spark, sf_dir), CONFIG, current=current)
 
 
 #: The same steps for DuckDB: tx has all columns, trimmed to what the oracle queries use.

@@ -292,3 +292,32 @@ def test_sources_and_report(spark, tmp_path, frame):
     fuel = df.select("vehicle_id", "transaction_timestamp", "odometer_miles")
     trips = spark.createDataFrame([("x", datetime(2024, 1, 1), 1.0, 1.0, 1.0, 1.0)] * 2, "vehicle_id string, date timestamp_ntz, distance_miles double, idle_duration_minutes double, driving_duration_minutes double, engine_runtime_minutes double")
     assert [r.distance_miles for r in readers.merge(fuel, trips).collect()] == [2.0] * 3
+
+
+def test_intervals_read_their_rows_once(spark, monkeypatch):
+    """Four statistics share one pass over the rows, which may be a long way from the tables."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    rng = np.random.default_rng(8)
+    a, b = rng.gamma(2.0, 50.0, 300), rng.gamma(3.0, 5.0, 300) + 1
+    df = spark.createDataFrame([(float(x), float(y), False) for x, y in zip(a, b)] + [(None, 1.0, False), (1e6, 1.0, True)], "transaction_amount double, fuel_volume_gallons double, has_eld_activity boolean")
+    monkeypatch.setattr(analyse, "target_rows", lambda s, d: df.mapInPandas(counted, df.schema))
+    got = {r.statistic: r for r in analyse.QUERIES["tests_bootstrap_statistics"](spark, "").collect()}
+    assert seen.value == df.count()
+    for name, value in (("median", np.median(a)), ("p90", np.quantile(a, 0.9)), ("trimmed mean", np.sort(a)[30:-30].mean()), ("cost per gallon", a.sum() / b.sum())):
+        assert got[name].low < value < got[name].high < 1.5 * got[name].low
+
+
+@pytest.mark.parametrize("n, share", [(1, 0.5), (2, 0.5), (7, 0.9), (30, 0.25)])
+def test_ranks_of_resamples_have_their_distribution(n, share):
+    """Rows at neighbouring ranks, drawn one after the other, against resamples in full."""
+    ranks = workers.quantile(share).ranks(n)
+    got = workers._ranked(60_000, n, ranks, 1)
+    full = np.sort(np.random.default_rng(2).integers(0, n, (60_000, n)), axis=1)[:, ranks]
+    both = lambda x: np.histogram2d(x[:, 0], x[:, 1], bins=n, range=((-0.5, n - 0.5),) * 2)[0] / len(x)
+    assert (got[:, 0] <= got[:, 1]).all() and np.abs(both(got) - both(full)).max() < 0.01

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import folds
-from ledgerlens.operators import clean, compare, features, temporal
+from ledgerlens.operators import clean, compare, features, split, temporal
 from ledgerlens.plans import series
 from ledgerlens.sources import bucketed
 
@@ -167,3 +167,19 @@ def test_rolling_outliers_at_the_limit(spark):
     con.executemany("insert into ls values (?, ?, ?, ?, ?)", rows)
     want = con.execute(f"select entity_id, month from (select * from (select *, case{sql}").fetchall()
     assert sorted((r.entity_id, r.month) for r in got.collect()) == sorted(want) and len(want) > 50 and ("A", "2020-003") not in want
+
+
+@pytest.mark.parametrize("text", [False, True])
+@pytest.mark.parametrize("kind", ["split", "insufficient", "single", "no times"])
+def test_rows_of_the_period_alone(frame, kind, text):
+    """As if all rows had been prepared first: copies, an unfinished last month, rows without times or vehicles."""
+    months = {"split": 17, "insufficient": 15, "single": 5, "no times": 0}[kind]
+    rows = [{"transaction_timestamp": datetime(2023 + m // 12, 1 + m % 12, d, 9), "odometer_miles": m % 5, "vehicle_index": d % 4 or None, "distance_miles": float(d % 2)} for m in range(months) for d in (3, 3, 27, 28)]
+    rows += [{"transaction_timestamp": datetime(2024, months - 11, 2, 8)}] * 2 if months > 12 else []
+    df = frame(rows + [{"transaction_timestamp": None, "odometer_miles": i % 2} for i in range(4)])
+    if text:
+        df = df.withColumn("transaction_timestamp", F.col("transaction_timestamp").cast("string"))
+    want = split.in_period(features.prepared(df, steps=features.Steps())).where("in_period").drop("in_period")
+    got = features.prepared(df, current=True)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
