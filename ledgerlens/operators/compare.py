@@ -84,19 +84,25 @@ def executive(df: DataFrame, config: Config = Config()) -> DataFrame:
 def exposure(df: DataFrame, config: Config = Config(), interval: bool = True) -> DataFrame:
     """One row (excess, mean_unverified, exposure, exposure_low, exposure_high) if the target's unverified rate is significantly higher; else none.
 
-    The bounds are those of the mean's bootstrap interval times the excess; without ``interval`` they are left out.
+    The bounds are those of the mean's bootstrap interval times the excess; without ``interval`` they are left out. The interval
+    is computed at once, from the three columns that the test and the mean need too: they are kept until it is there.
     """
     alpha = config.statistics.alpha
+    if interval:
+        rows = df.select("is_target", "has_eld_activity", "transaction_amount").persist()
+        try:
+            one = exposure(rows, config, interval=False).collect()
+            ci = workers.bootstrap(rows.where("is_target and not has_eld_activity"), "transaction_amount", config.performance.n_bootstrap, alpha=alpha).first() if one else None
+        finally:
+            rows.unpersist()
+        made = [(x.excess, x.mean_unverified, x.exposure, *(None if end is None else x.excess * end for end in ci)) for x in one]
+        return df.sparkSession.createDataFrame(made, "excess long, mean_unverified double, exposure double, exposure_low double, exposure_high double")
     t = proportions(counts(df, {"No ELD Match": FLAGS["No ELD Match"]}), alpha)
     mine = df.where("is_target and not has_eld_activity")
     x = t.join(F.broadcast(mine.agg(F.avg("transaction_amount").alias("mean_unverified"))), F.lit(True)).withColumn("excess", ((F.col("rate_1") - F.col("rate_2")) * F.col("n1")).cast("long"))
     found = F.struct("excess", "mean_unverified", (F.col("excess") * F.col("mean_unverified")).alias("exposure"))
     # not a filter, which would be pushed below and repeat what z is made of many times
-    x = x.select(F.explode(F.when((F.col("p_value") < alpha) & (F.col("excess") > 0), F.array(found))).alias("x")).select("x.*")
-    if not interval:
-        return x
-    ci = workers.bootstrap(mine, "transaction_amount", config.performance.n_bootstrap, alpha=alpha)
-    return x.join(F.broadcast(ci), F.lit(True)).select("excess", "mean_unverified", "exposure", (F.col("excess") * F.col("low")).alias("exposure_low"), (F.col("excess") * F.col("high")).alias("exposure_high"))
+    return x.select(F.explode(F.when((F.col("p_value") < alpha) & (F.col("excess") > 0), F.array(found))).alias("x")).select("x.*")
 
 
 def log_advice(df: DataFrame, column: str) -> DataFrame:

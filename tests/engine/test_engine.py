@@ -321,3 +321,22 @@ def test_ranks_of_resamples_have_their_distribution(n, share):
     full = np.sort(np.random.default_rng(2).integers(0, n, (60_000, n)), axis=1)[:, ranks]
     both = lambda x: np.histogram2d(x[:, 0], x[:, 1], bins=n, range=((-0.5, n - 0.5),) * 2)[0] / len(x)
     assert (got[:, 0] <= got[:, 1]).all() and np.abs(both(got) - both(full)).max() < 0.01
+
+
+def test_exposure_reads_its_rows_once(spark):
+    """Test, mean and interval share one pass; no row where the target isn't worse."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    rows = [(i < 100, i % 100 >= (60 if i < 100 else 10), 20.0 + i % 7) for i in range(300)] + [(True, False, None)]
+    df = spark.createDataFrame(rows, "is_target boolean, has_eld_activity boolean, transaction_amount double")
+    small = config.Config(performance=config.Performance(n_bootstrap=500))
+    got = compare.exposure(df.mapInPandas(counted, df.schema), small).first()
+    assert seen.value == len(rows)
+    plain = compare.exposure(df, small, interval=False).first()
+    assert (got.excess, got.mean_unverified, got.exposure) == tuple(plain) and got.exposure_low < got.exposure < got.exposure_high
+    assert compare.exposure(df.withColumn("is_target", ~F.col("is_target")), small).count() == 0
