@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,8 +145,10 @@ def scores(df: DataFrame, value: str, first: str, config: Config = Config()) ->
     return x.withColumns({"direction": d, "magnitude": F.expr(stats.band_sql("cliffs_delta", config.effect_sizes.cliff, stats.CLIFF_NAMES)), "mean_difference": F.col("mean_1") - F.col("mean_2"), "median_difference": F.col("median_1") - F.col("median_2"), "significant": F.col("p_value") < config.statistics.alpha})
 
 
-#: Blocks of each side that first enclose a Hodges-Lehmann shift, shifts that a pass counts pairs for, and different pairs that are compared at last at least.
+#: Blocks of each side that first enclose a Hodges-Lehmann shift, shifts that a pass counts pairs for, and different pairs that are compared at last at most, but for equal differences.
 BLOCKS, SHIFTS, PAIRS = 1024, 48, 2_000_000
+#: Different values of the second side that a task of a pass holds at least, where there are so many, and of the first side that meet them in a task, about.
+HELD, MET = 4096, 50_000
 
 
 def hodges_lehmann(df: DataFrame, value: str, first: str) -> DataFrame:
@@ -153,31 +156,34 @@ def hodges_lehmann(df: DataFrame, value: str, first: str) -> DataFrame:
 
     Selection in the matrix of differences, whose rows and columns are sorted. Both sides' values are counted and cut into
     ``BLOCKS`` of equal weight; the least and greatest differences of pairs of blocks, weighed on the driver, enclose the
-    middle to about two blocks' pairs. While more different pairs are left than a few for each value, a pass counts, by
-    running counts, how many differences are at most each of ``SHIFTS`` numbers between. The rest meets in a join of
-    neighbouring values, in which its middle is found.
+    middle to about two blocks' pairs. While more different pairs are left than ``PAIRS``, a pass counts how many differences
+    are at most each of ``SHIFTS`` numbers between. In a pass each value of the first side meets the blocks of the second in
+    which these numbers lie from it, one or two as a rule, so its shuffle doesn't grow with the numbers. What is left meets
+    in the same way, and its middle is found among counted differences.
     """
     spark = df.sparkSession
     v = df.where(F.col(value).isNotNull() & F.col(first).isNotNull()).select(F.col(value).cast("double").alias("v"), F.col(first).alias("f"))
     v = v.groupBy("v").agg(F.count_if("f").alias("a"), F.count_if(~F.col("f")).alias("b")).persist()
     try:
-        n, m, values = v.agg(F.sum("a"), F.sum("b"), F.count(F.lit(1))).first()
+        n, m = v.agg(F.sum("a"), F.sum("b")).first()
         if not n or not m:
             return spark.createDataFrame([(None,)], "shift double")
         places = (n * m + 1) // 2, n * m // 2 + 1
-        low, high = _enclosed(v, n, m, *places)
-        (below, few), (_, many) = (counts := _at_most(v, [low, high]))[0], counts[1]
-        while many - few > max(PAIRS, 4 * values) and _ordinal(high) - _ordinal(low) > 1 << 12:
+        low, high, meeting = _enclosed(v, n, m, *places)
+        (below, few), (_, many) = (counts := meeting.at_most([low, high]))[0], counts[1]
+        before = None
+        while many - few > PAIRS and _ordinal(high) - _ordinal(low) > 1 << 12 and before != (low, high):
+            before = low, high
             even = {low + (high - low) * i / (SHIFTS // 2 + 1) for i in range(1, SHIFTS // 2 + 1)}
             cuts = even | {_number(_ordinal(low) + (_ordinal(high) - _ordinal(low)) * i // (SHIFTS // 2 + 1)) for i in range(1, SHIFTS // 2 + 1)}
             cuts = sorted(c for c in cuts if low < c < high)
-            for cut, (c, d) in zip(cuts, _at_most(v, cuts)):
+            for cut, (c, d) in zip(cuts, meeting.at_most(cuts)):
                 if c < places[0]:
                     low, below, few = cut, c, d
                 elif c >= places[1]:
                     high, many = cut, d
                     break
-        near = _between(v, low, high)
+        near = meeting.between(low, high)
         r = ranges.running(near, "d", ("w",))
         holds = [F.max(F.when((F.col("_before_w") < p - below) & (p - below <= F.col("_before_w") + F.col("w")), F.col("d"))) for p in places]
         return spark.createDataFrame([tuple(r.agg(((holds[0] + holds[1]) / 2).alias("shift")).first())], "shift double")
@@ -185,19 +191,19 @@ def hodges_lehmann(df: DataFrame, value: str, first: str) -> DataFrame:
         v.unpersist()
 
 
-def _enclosed(v: DataFrame, n: int, m: int, first: int, last: int) -> tuple[float, float]:
-    """Numbers below and above the differences of two ranks, from the bounds of blocks of equal weight."""
-    sides = v.select(F.explode(F.array(F.struct(F.lit(True).alias("x"), "v", F.col("a").alias("c")), F.struct(F.lit(False).alias("x"), "v", F.col("b").alias("c")))).alias("s")).select("s.*").where("c > 0")
-    r = ranges.running(sides, "v", ("c",), ("x",))
+def _enclosed(v: DataFrame, n: int, m: int, first: int, last: int) -> tuple[float, float, _Meeting]:
+    """Numbers below and above the differences of two ranks, from the bounds of blocks of equal weight, and how values meet between such numbers."""
+    sides = v.select(F.explode(F.array(F.struct(F.lit(True).alias("x"), "v", F.col("a").alias("c")), F.struct(F.lit(False).alias("x"), "v", F.col("b").alias("c")))).alias("s")).select("s.*", F.lit(1).alias("q")).where("c > 0")
+    r = ranges.running(sides, "v", ("c", "q"), ("x",))
     cell = lambda k: F.floor(k * F.lit(BLOCKS) / F.col("_all_c"))
     begins = (F.col("_before_c") == 0) | (cell(F.col("_before_c")) < cell(F.col("_before_c") + F.col("c"))) | (F.col("_before_c") + F.col("c") == F.col("_all_c"))
-    rows = np.array([tuple(map(float, t)) for t in r.where(begins).select(F.col("x").cast("int"), "v", "_before_c").collect()])
-    bounds = []
-    for side, size in ((1, n), (0, m)):
-        own = rows[rows[:, 0] == side]
-        own = own[np.argsort(own[:, 1])]
-        starts, before = own[:, 1], own[:, 2]
-        bounds.append((starts, np.append(starts[1:], starts[-1]), np.diff(np.append(before, size))))
+    rows = sorted(map(tuple, r.where(begins).select("x", "v", "_before_c", "_before_q", "_all_q").collect()))
+    bounds, sizes = [], []
+    for side, size in ((True, n), (False, m)):
+        own = [t for t in rows if t[0] == side]
+        starts, before = np.array([t[1] for t in own]), np.array([t[2] for t in own] + [size], np.int64)
+        bounds.append((starts, np.append(starts[1:], starts[-1]), np.diff(before).astype(float)))
+        sizes.append((starts, before, np.array([t[3] for t in own] + [own[0][4]], np.int64)))
     (x0, x1, wx), (y0, y1, wy) = bounds
     least, most, weight = (x0[:, None] - y1[None, :]).ravel(), (x1[:, None] - y0[None, :]).ravel(), (wx[:, None] * wy[None, :]).ravel()
     order, back = np.argsort(least), np.argsort(most)
@@ -205,28 +211,88 @@ def _enclosed(v: DataFrame, n: int, m: int, first: int, last: int) -> tuple[floa
     low = least[order][np.searchsorted(np.cumsum(weight[order]), first - slack)]
     high = most[back][min(len(back) - 1, np.searchsorted(np.cumsum(weight[back]), last + slack))]
     room = 1e-12 * max(1e-300, np.abs(x0).max(), np.abs(y0).max())
-    return float(low - room), float(high + room)
-
-
-def _at_most(v: DataFrame, shifts: list[float]) -> list[tuple[int, int]]:
-    """Pairs (x, y) with x <= y + d, and such different pairs, for each d."""
-    none = F.lit(0).cast("long")
-    each = [F.struct(F.lit(i).alias("s"), (F.col("v") + F.lit(d)).alias("v"), none.alias("a"), none.alias("p"), F.col("b"), F.signum("b").cast("long").alias("q")) for i, d in enumerate(shifts)]
-    each += [F.struct(F.lit(i).alias("s"), F.col("v"), F.col("a"), F.signum("a").cast("long").alias("p"), none.alias("b"), none.alias("q")) for i in range(len(shifts))]
-    rows = v.select(F.explode(F.array(*each)).alias("x")).select("x.*").where("a > 0 or b > 0").groupBy("s", "v").agg(*[F.sum(c).alias(c) for c in "apbq"])
-    r = ranges.running(rows, "v", ("b", "q"), ("s",))
-    got = {k: (c, d) for k, c, d in r.groupBy("s").agg(F.sum(F.col("a") * (F.col("_all_b") - F.col("_before_b"))), F.sum(F.col("p") * (F.col("_all_q") - F.col("_before_q")))).collect()}
-    return [got[i] for i in range(len(shifts))]
-
-
-def _between(v: DataFrame, low: float, high: float) -> DataFrame:
-    """(d, w): differences of pairs with y + low < x <= y + high, and how many pairs have each."""
-    width = high - low
-    cell = lambda c: F.floor(F.least(F.greatest(c / F.lit(width), F.lit(-4e18)), F.lit(4e18))).cast("long")
-    x = v.where("a > 0").select(F.col("v").alias("x"), "a", cell(F.col("v") - F.lit(low)).alias("_k"))
-    y = v.where("b > 0").select(F.col("v").alias("y"), "b", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1, 2))), lambda i: cell(F.col("v")) + i)).alias("_k"))
-    pairs = x.join(y, "_k").where((F.col("x") > F.col("y") + F.lit(low)) & (F.col("x") <= F.col("y") + F.lit(high)))
-    return pairs.groupBy((F.col("x") - F.col("y")).alias("d")).agg(F.sum(F.col("a") * F.col("b")).alias("w"))
+    return float(low - room), float(high + room), _Meeting(v, *sizes)
+
+
+class _Meeting:
+    """The pairs of both sides' counted values whose difference lies near given numbers, block of the second side by block.
+
+    Of each side come the first values of its blocks and, for these and the end, how many rows and different values lie before.
+    """
+
+    def __init__(self, v: DataFrame, x: tuple[np.ndarray, np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        starts, rows, values = y
+        kept = [0]
+        for i in range(1, len(starts)):  # a few blocks together while they hold few values
+            if values[i] - values[kept[-1]] >= HELD:
+                kept.append(i)
+        self.v, self.starts, self.x = v, starts[kept], (x[0], x[2])
+        ends = [*kept[1:], len(starts)]
+        self.after = rows[-1] - rows[ends], values[-1] - values[ends]
+
+    def _pairs(self, low: float, high: float, run, schema: str) -> DataFrame:
+        """run(key, x, y) over each block of y and the x from which a number between low and high leads into it; x.whole says that all later blocks lie above."""
+        starts, parts = self.starts, int(self.v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # x beyond the number for a block, by the blocks of x: they are dealt to tasks, which have the block's y each
+        x0, before = self.x
+        first = np.maximum(np.searchsorted(x0, np.append(-np.inf, starts[1:] + low), side="right") - 1, 0)
+        last = np.searchsorted(x0, np.append(starts[1:] + high, np.inf), side="right")
+        tasks = 1 + (before[last] - before[first]) // MET
+
+        def of_x(batches):
+            for part in batches:
+                x = part["v"].to_numpy(float)
+                begin, end = (np.maximum(np.searchsorted(starts + d, x) - 1, 0) for d in (high, low))
+                size = end - begin + 1
+                at = np.repeat(np.arange(len(x)), size)
+                block = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + begin[at]
+                task = (at * 7919 + len(x)) % tasks[block]
+                yield part.iloc[at].assign(block=block, task=task, whole=block == end[at])[["block", "task", "v", "a", "whole"]]
+
+        def of_y(batches):
+            for part in batches:
+                block = np.searchsorted(starts, part["v"].to_numpy(float), side="right") - 1
+                size = tasks[block]
+                at = np.repeat(np.arange(len(block)), size)
+                yield part.iloc[at].assign(block=block[at], task=np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))[["block", "task", "v", "b"]]
+
+        key = ("block", "task")
+        xs = self.v.where("a > 0").select("v", "a").mapInPandas(of_x, "block long, task long, v double, a long, whole boolean")
+        ys = self.v.where("b > 0").select("v", "b").mapInPandas(of_y, "block long, task long, v double, b long")
+        # few bytes but much work: partitions by number, which adaptive execution doesn't put together
+        return xs.repartition(parts, *key).groupBy(*key).cogroup(ys.repartition(parts, *key).groupBy(*key)).applyInPandas(run, schema)
+
+    def at_most(self, shifts: list[float]) -> list[tuple[int, int]]:
+        """Pairs (x, y) with x <= y + d, and such different pairs, for each d of ascending shifts."""
+        after = self.after
+
+        def run(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            y, v, a, block = y.sort_values("v"), x["v"].to_numpy(float), x["a"].to_numpy(np.int64), int(key[0])
+            above = np.append(np.cumsum(y["b"].to_numpy(np.int64)[::-1])[::-1], 0)
+            own, whole, out = y["v"].to_numpy(float), x["whole"].to_numpy(bool), []
+            for i, d in enumerate(shifts if len(x) else ()):
+                at = np.searchsorted(own + d, v)
+                out.append((i, int((a * (above[at] + whole * after[0][block])).sum()), int((len(own) - at + whole * after[1][block]).sum())))
+            return pd.DataFrame(out, columns=["s", "c", "d"])
+
+        got = self._pairs(shifts[0], shifts[-1], run, "s long, c long, d long").groupBy("s").agg(F.sum("c"), F.sum("d")).collect()
+        got = {k: (c, d) for k, c, d in got}
+        return [got[i] for i in range(len(shifts))]
+
+    def between(self, low: float, high: float) -> DataFrame:
+        """(d, w): differences of pairs with y + low < x <= y + high, and how many pairs have each."""
+
+        def run(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            y, v = y.sort_values("v"), x["v"].to_numpy(float)
+            own, b = y["v"].to_numpy(float), y["b"].to_numpy(np.int64)
+            begin = np.searchsorted(own + high, v)
+            size = np.searchsorted(own + low, v) - begin
+            at = np.repeat(np.arange(len(v)), size)
+            other = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + begin[at]
+            pairs = pd.DataFrame({"d": v[at] - own[other], "w": x["a"].to_numpy(np.int64)[at] * b[other]})
+            return pairs.groupby("d", as_index=False)["w"].sum()
+
+        return self._pairs(low, high, run, "d double, w long").groupBy("d").agg(F.sum("w").alias("w"))
 
 
 def _ordinal(x: float) -> int:

@@ -340,3 +340,22 @@ def test_exposure_reads_its_rows_once(spark):
     plain = compare.exposure(df, small, interval=False).first()
     assert (got.excess, got.mean_unverified, got.exposure) == tuple(plain) and got.exposure_low < got.exposure < got.exposure_high
     assert compare.exposure(df.withColumn("is_target", ~F.col("is_target")), small).count() == 0
+
+
+def test_hodges_lehmann_passes_shuffle_values_once(spark, monkeypatch):
+    """Each pass counts for 48 numbers, but shuffles a value to the blocks that it meets; blocks with many values are dealt to several tasks."""
+    import glob
+    import os
+
+    monkeypatch.setattr(compare, "PAIRS", 1000)
+    monkeypatch.setattr(compare, "HELD", 300, raising=False)
+    monkeypatch.setattr(compare, "MET", 200, raising=False)
+    rng = np.random.default_rng(9)
+    a, b = rng.gamma(2.0, 50.0, 3001), np.r_[rng.gamma(2.0, 47.0, 4000), np.full(900, 61.5)]
+    folders = [str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    written = lambda: {f: os.path.getsize(f) for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    df = spark.createDataFrame([(float(x), True) for x in a] + [(float(x), False) for x in b], "v double, first boolean")
+    before = written()
+    got = compare.hodges_lehmann(df, "v", "first").first().shift
+    assert abs(got - np.median(a[:, None] - b[None, :])) < 1e-9
+    assert sum(size for f, size in written().items() if f not in before) < 8e5
