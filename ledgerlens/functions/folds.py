@@ -1,13 +1,16 @@
 """Computations on short sorted arrays as folds inside one row: segmentation, Kendall's S, exact rank-test probabilities.
 
 A series of months is an array of a few hundred values at most, so all of this is one
-expression over it: no join of a series with itself and no Python worker.
+expression over it: no join of a series with itself. What needs all pairs of its values is
+made for many series at once, with numpy in Python workers (``measured``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,27 +82,78 @@ def exact_u_p(u: Column, n: Column, m: Column) -> Column:
     return F.when(u.isNotNull(), let(F.least(n, m).cast("int"), lambda a: let(F.greatest(n, m).cast("int"), lambda b: p(a, b))))
 
 
-def _prefix_sums(v: Column, points: Column, gamma: Column) -> Column:
-    """[[sum of the kernel over rows below point i and columns below point j]]."""
-    near = lambda a, b: F.exp(-F.least(F.greatest(gamma * (a - b) * (a - b), F.lit(1e-2)), F.lit(1e2)))
-
-    cells = F.sequence(F.lit(1), F.size(points) - 1)
-    within = lambda xs, c: F.slice(xs, F.get(points, c - 1) + 1, F.get(points, c) - F.get(points, c - 1))
-
-    def by_cell(a, i):
-        row = F.transform(v, lambda b, j: F.when(i == j, F.lit(1.0)).otherwise(near(a, b)))
-        return let(row, lambda r: F.transform(cells, lambda c: total(within(r, c))))
-
+#: Numbers of the kernels that a worker holds at once.
+KERNEL = 1 << 21
+
+
+def _measured(x: np.ndarray, least: int, step: int, penalty: np.ndarray, gamma: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """Kendall's S, ties and breaks of series of one length, a row each; penalties and gammas that are NaN are the usual ones."""
+    count, n = x.shape
+    gap = x[:, :, None] - x[:, None, :]
+    upper = np.triu_indices(n, 1)
+    beside = gap[:, upper[0], upper[1]]
+    s = -np.sign(beside).sum(axis=1)
+    same = ((x[:, :, None] == x[:, None, :]) | (np.isnan(x)[:, :, None] & np.isnan(x)[:, None, :])).sum(axis=2).astype(float)
+    ties = ((same - 1) * (2 * same + 5)).sum(axis=1)
+    if n < max(2, least):
+        return s, ties, [[] for _ in range(count)]
+    middle = (beside.shape[1] - 1) // 2, beside.shape[1] // 2
+    part = np.partition(beside * beside, middle, axis=1)
+    median = (part[:, middle[0]] + part[:, middle[1]]) / 2
+    gamma = np.where(np.isnan(gamma), np.where(median > 0, 1 / np.where(median > 0, median, 1.0), 1.0), gamma)
+    near = np.exp(-np.clip(gamma[:, None, None] * gap * gap, 1e-2, 1e2))
+    near[:, range(n), range(n)] = 1.0
+    points = [k for k in range(n) if k == 0 or (k % step == 0 and k >= least)] + [n]
+    ends = len(points) - 1
     # sums of cells between points, then running sums along both sides
-    added = lambda rows, j: F.aggregate(rows, F.lit(0.0), lambda a, r: a + F.get(r, j))
-    upto = F.sequence(F.lit(0), F.size(points) - 1)
-
-    def running(square):
-        along = F.transform(square, lambda r: F.transform(upto, lambda f: total(F.slice(r, F.lit(1), f))))
-        return let(along, lambda rows: F.transform(upto, lambda e: F.transform(upto, lambda f: added(F.slice(rows, F.lit(1), e), f))))
+    sums = np.zeros((count, ends + 1, ends + 1))
+    sums[:, 1:, 1:] = np.add.reduceat(np.add.reduceat(near, points[:-1], axis=2), points[:-1], axis=1).cumsum(axis=1).cumsum(axis=2)
+    fine = np.where(np.isnan(penalty), 2 * np.log(n), penalty)
+    best, back = np.full((count, ends + 1), np.inf), np.zeros((count, ends + 1), int)
+    best[:, 0] = -fine
+    for e in range(1, ends + 1):
+        begins = np.array([i for i in range(e) if points[e] - points[i] >= least], int)
+        if len(begins):
+            size = np.array([points[e] - points[i] for i in begins], float)
+            scatter = sums[:, e, e, None] - sums[:, begins, e] - sums[:, e, begins] + sums[:, begins, begins]
+            tried = best[:, begins] + (size - scatter / size) + fine[:, None]
+            first = tried.argmin(axis=1)
+            best[:, e], back[:, e] = tried[range(count), first], begins[first]
+    out = []
+    for row in back.tolist():
+        found, e = [], ends
+        while row[e] > 0:
+            e = row[e]
+            found.append(points[e])
+        out.append(found[::-1])
+    return s, ties, out
+
+
+def measured(v: Column, least: int = 2, step: int = 5, penalty: Column | None = None, gamma: Column | None = None) -> Column:
+    """A struct (s, ties, breaks) of an array without nulls: ``kendall_s``, ``ties`` and ``breaks``, from one table of its values' differences.
+
+    The table has a number for each pair of values, which the JVM would make one expression at a time; here numpy makes those of many
+    arrays of one length at once. Null for null.
+    """
 
-    square = lambda rows: F.transform(cells, lambda c: F.transform(cells, lambda d: added(within(rows, c), d - 1)))
-    return let(F.transform(v, by_cell), lambda rows: let(square(rows), running))
+    @F.pandas_udf("s double, ties double, breaks array<int>")
+    def run(v: pd.Series, penalty: pd.Series, gamma: pd.Series) -> pd.DataFrame:
+        s, ties, breaks = [None] * len(v), [None] * len(v), [None] * len(v)
+        rows: dict[int, list[int]] = {}
+        for i, x in enumerate(v):
+            if x is not None:
+                rows.setdefault(len(x), []).append(i)
+        for n, of in rows.items():
+            size = max(1, KERNEL // max(1, n * n))
+            for k in range(0, len(of), size):
+                at = of[k : k + size]
+                found = _measured(np.stack([v.iloc[i] for i in at]).astype(float), least, step, penalty.iloc[at].to_numpy(float), gamma.iloc[at].to_numpy(float))
+                for i, a, b, c in zip(at, *found):
+                    s[i], ties[i], breaks[i] = a, b, c
+        return pd.DataFrame({"s": s, "ties": ties, "breaks": breaks})
+
+    null = F.lit(None).cast("double")
+    return run(v, null if penalty is None else penalty, null if gamma is None else gamma)
 
 
 def breaks(v: Column, least: int = 2, step: int = 5, penalty: Column | None = None, gamma: Column | None = None) -> Column:
@@ -109,44 +163,12 @@ def breaks(v: Column, least: int = 2, step: int = 5, penalty: Column | None = No
     values or more and breaks lie at multiples of ``step``. ``gamma`` is one over the median squared distance, or 1 where
     that is 0. Of equal optima the one whose last segment is longest is taken.
     """
-    n = F.size(v)
-    fine = F.ln(n.cast("double")) * 2 if penalty is None else penalty
-    points = F.filter(F.sequence(F.lit(0), n), lambda k: (k == 0) | (k == n) | ((k % step == 0) & (k >= least)))
-    if gamma is None:
-        gaps = F.sort_array(F.flatten(F.transform(v, lambda a, i: F.transform(F.slice(v, i + 2, n), lambda b: (a - b) * (a - b)))))
-        middle = let(gaps, lambda d: (F.get(d, F.floor((F.size(d) - 1) / 2).cast("int")) + F.get(d, F.floor(F.size(d) / 2).cast("int"))) / 2)
-        gamma = let(middle, lambda m: F.when(m > 0, 1 / m).otherwise(F.lit(1.0)))
-
-    def segmented(p, s, fine):
-        at = lambda i, j: F.get(F.get(s, i), j)
-        size = lambda b, e: F.get(p, e) - F.get(p, b)
-        cost = lambda b, e: size(b, e) - (at(e, e) - at(b, e) - at(e, b) + at(b, b)) / size(b, e)
-
-        def best(done, e):
-            begins = F.filter(F.sequence(F.lit(0), e - 1), lambda b: size(b, e) >= least)
-            tried = F.transform(begins, lambda b: F.struct((F.get(done, b)["f"] + cost(b, e) + fine).alias("f"), b.alias("b")))
-            return F.concat(done, F.array(F.array_min(tried)))
-
-        start = F.array(F.struct((-fine).alias("f"), F.lit(-1).alias("b")))
-        forward = F.aggregate(F.sequence(F.lit(1), F.size(p) - 1), start, best)
-
-        def back(done):
-            here = F.struct((F.size(p) - 1).alias("at"), F.array().cast("array<int>").alias("out"))
-
-            def earlier(x, _):
-                b = F.get(done, x["at"])["b"]
-                return F.when(x["at"] <= 0, x).otherwise(F.struct(b.alias("at"), F.when(b > 0, F.concat(F.array(F.get(p, b)), x["out"])).otherwise(x["out"]).alias("out")))
-
-            return F.aggregate(F.sequence(F.lit(1), F.size(p) - 1), here, earlier, lambda x: x["out"])
-
-        return let(forward, back)
-
-    return let(points, lambda p: let(gamma, lambda g: let(_prefix_sums(v, p, g), lambda s: let(fine, lambda c: segmented(p, s, c)))))
+    return measured(v, least, step, penalty, gamma)["breaks"]
 
 
-def change_points(v: Column, keys: Column, least: int = 2, min_length: int = 6, shift: int = -1, step: int = 5) -> Column:
-    """The keys at the breaks of an array: the last before each (``shift`` -1) or the first after (0); null for series that are short or constant."""
-    found = F.transform(breaks(v, least, step), lambda e: F.get(keys, e + shift))
+def change_points(v: Column, keys: Column, least: int = 2, min_length: int = 6, shift: int = -1, step: int = 5, found: Column | None = None) -> Column:
+    """The keys at the ``breaks`` of an array, unless they are ``found`` before: the last before each (``shift`` -1) or the first after (0); null for series that are short or constant."""
+    found = F.transform(breaks(v, least, step) if found is None else found, lambda e: F.get(keys, e + shift))
     return F.when((F.size(v) >= min_length) & (F.array_min(v) < F.array_max(v)), found)
 
 

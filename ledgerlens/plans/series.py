@@ -130,8 +130,8 @@ def _indicators(s, d):
 
 
 def _both_scores(s, d):
-    mine, others, known = temporal.branch_months(transactions(s, d))
-    a, b = (temporal.score_of(m, others).where("entity_type = 'driver'").select("temporal_risk_score", F.lit(t).alias("is_target")) for m, t in ((mine, True), (known, False)))
+    mine, others, known = temporal.branch_months(transactions(s, d), types=("driver",))
+    a, b = (temporal.score_of(m, others).select("temporal_risk_score", F.lit(t).alias("is_target")) for m, t in ((mine, True), (known, False)))
     return compare.scores(a.unionByName(b), "temporal_risk_score", "is_target")
 
 

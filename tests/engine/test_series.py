@@ -183,3 +183,21 @@ def test_rows_of_the_period_alone(frame, kind, text):
     got = features.prepared(df, current=True)
     assert sorted(got.columns) == sorted(want.columns)
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_many_series_are_measured_fast(spark):
+    """S, ties and breaks of 2,000 series of 82 months in seconds, equal to the folds and to the optimum; nulls and short arrays too."""
+    import time
+
+    rng = np.random.default_rng(10)
+    given = [np.r_[rng.normal(0, 1, 41), rng.normal(k % 4 * 3, 1, 41)].round(1) + 0.0 for k in range(2000)]
+    rows = [(k, x.tolist()) for k, x in enumerate(given)] + [(-1, None), (-2, []), (-3, [1.0]), (-4, [2.0, 2.0, 1.0])]
+    df = spark.createDataFrame(rows, "k int, v array<double>").repartition(4).persist()
+    got = {r.k: r for r in df.select("k", folds.breaks(F.col("v")).alias("breaks")).collect()}
+    began = time.perf_counter()
+    df.select(folds.breaks(F.col("v"))).write.format("noop").mode("overwrite").save()
+    assert time.perf_counter() - began < 4
+    assert all(got[k].breaks == best_breaks(given[k]) for k in range(60)) and got[-1].breaks is None and got[-2].breaks == got[-3].breaks == []
+    few = df.where("k < 60 and v is not null").select("k", folds.measured(F.col("v")).alias("m"), folds.kendall_s(F.col("v")).alias("s"), folds.ties(F.col("v")).alias("t")).collect()
+    assert len(few) == 63 and all((r.m.s, r.m.ties) == (r.s, r.t) for r in few)
+    df.unpersist()
