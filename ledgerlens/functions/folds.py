@@ -83,7 +83,7 @@ def exact_u_p(u: Column, n: Column, m: Column) -> Column:
 
 
 #: Numbers of the kernels that a worker holds at once.
-KERNEL = 1 << 21
+KERNEL = 1 << 18
 
 
 def _measured(x: np.ndarray, least: int, step: int, penalty: np.ndarray, gamma: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
